@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, mixing, topk, url_filter, warc
+from . import bpe, exact_dedup, langid, mixing, simhash, topk, url_filter, warc
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_url_filter": url_filter.op2_url_filter,
     "op3_mixing": mixing.op3_mixing,
+    "op4_simhash": simhash.op4_simhash,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_topk": topk.op6_topk,
+    "op8_langid": langid.op8_langid,
     "op10_warc": warc.op10_warc,
 }
 
