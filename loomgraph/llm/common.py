@@ -67,6 +67,17 @@ def map_batches(df: DataFrame, rows: Callable[[dict[str, list]], dict[str, list]
     return df.mapInArrow(run, schema)
 
 
+def map_stream(df: DataFrame, rows: Callable[[Iterator[dict[str, list]]], Iterator[dict[str, list]]], schema: str) -> DataFrame:
+    """As map_batches, for functions that keep a bounded state over the batches of a partition."""
+    arrow = _arrow_schema(df.sparkSession, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in rows({n: c.to_pylist() for n, c in zip(b.schema.names, b.columns, strict=True)} for b in batches):
+            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+
+    return df.mapInArrow(run, schema)
+
+
 def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, langid, mixing, simhash, topk, url_filter, warc
+from . import bpe, exact_dedup, langid, lm, mixing, simhash, topk, url_filter, warc
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_topk": topk.op6_topk,
     "op8_langid": langid.op8_langid,
+    "op9_lm": lm.op9_lm,
     "op10_warc": warc.op10_warc,
 }
 
