@@ -20,6 +20,7 @@ SHARE = Fraction(3, 2)
 MAX_EPOCHS = 2
 #: Buckets of the seeded order, a power of 16 to be read off the hash's leading hex digits.
 ORDER_DIGITS = 3
+BROADCAST_SOURCES = 100_000
 
 
 def water_fill(sizes: list[int], weights: list[int], total: Fraction, max_epochs: int) -> list[Fraction]:
@@ -74,14 +75,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: Fraction = S
         plan.append((row["_source"], size, float(target), whole, float(target - whole * size)))
     planned = spark.createDataFrame(plan, "_source string, source_size long, target double, _whole long, _extra double")
     by_source = lambda a, b: a["_source"].eqNullSafe(b["_p"])
-    planned = F.broadcast(planned.withColumnRenamed("_source", "_p"))  # a row per source
+    # A row per source: broadcast while their number, which is known here, is small.
+    small = (lambda df: F.broadcast(df)) if len(plan) <= BROADCAST_SOURCES else (lambda df: df)
+    planned = small(planned.withColumnRenamed("_source", "_p"))
 
     ahead = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     cuts = sums.withColumn("_before", F.coalesce(F.sum("_words").over(ahead), F.lit(0)))
     cuts = cuts.join(planned, by_source(cuts, planned))
     cuts = cuts.where((F.col("_before") < F.col("_extra")) & (F.col("_before") + F.col("_words") >= F.col("_extra")))
     cuts = cuts.select(F.col("_source").alias("_c"), F.col("_bucket").alias("_cut"), F.col("_before"))
-    cuts = F.broadcast(cuts.groupBy("_c").agg(F.min_by(F.struct("_cut", "_before"), "_cut").alias("_at")).select("_c", "_at.*"))  # a row per source at most
+    cuts = small(cuts.groupBy("_c").agg(F.min_by(F.struct("_cut", "_before"), "_cut").alias("_at")).select("_c", "_at.*"))
 
     rows = bucketed.join(planned, by_source(bucketed, planned)).drop("_p")
     rows = rows.join(cuts, rows["_source"].eqNullSafe(cuts["_c"]), "left").drop("_c")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, langid, lm, mixing, simhash, topk, url_filter, warc
+from . import bpe, exact_dedup, langid, lm, mixing, repeats, simhash, topk, url_filter, warc
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_simhash": simhash.op4_simhash,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_topk": topk.op6_topk,
+    "op7_repeats": repeats.op7_repeats,
     "op8_langid": langid.op8_langid,
     "op9_lm": lm.op9_lm,
     "op10_warc": warc.op10_warc,
