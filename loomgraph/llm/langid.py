@@ -133,3 +133,18 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", id_crc(F.col("doc_id"), 4) == 2)
     trees = fit(docs.where("not held_out"))
     return identify(docs, trees, keep=("held_out",)).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def keep_identified(docs: DataFrame, trees: Trees, least: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows whose language is told with a score of at least ``least``, unchanged and with all their columns."""
+    import pyarrow as pa
+
+    bounded_batches(docs.sparkSession)
+    held = docs.sparkSession.sparkContext.broadcast(trees)
+
+    def run(batches):
+        for batch in batches:
+            got = [held.value.predict(t) for t in batch.column(text).to_pylist()]
+            yield batch.filter(pa.array([lang != UNDECIDED and score >= least for lang, score in got], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
