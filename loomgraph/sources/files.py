@@ -5,9 +5,11 @@ from __future__ import annotations
 import fnmatch
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..schema import node_id, qualified_name
 from .braces import extract_braces
@@ -36,7 +38,8 @@ def is_ignored(path: Column, rules: tuple[list[str], list[str]]) -> Column:
     parts, paths = rules
     out = F.exists(F.split(path, "/"), lambda p: p.isin(*SKIP_DIRS))
     for r in parts:
-        out = out | F.exists(F.split(path, "/"), lambda p, r=r: p.rlike(f"(?s)^{_regex(r)}$"))
+        pattern = f"(?s)^{_regex(r)}$"
+        out = out | F.exists(F.split(path, "/"), lambda p: p.rlike(pattern))
     for r in paths:
         out = out | path.rlike(f"(?s)^{_regex(r)}$") | path.rlike(f"(?s)^{_regex(r + '/*')}$")
     return out
@@ -68,26 +71,23 @@ ROWS = (
 
 def extract(files: DataFrame) -> DataFrame:
     """All rows of all files, each parsed once; a file that fails yields one error row and stops nothing."""
-    names = [c.split()[0] for c in ROWS.split(", ")]
+    schema = to_arrow_schema(StructType.fromDDL(ROWS))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in frames:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             out = []
-            for f in df.itertuples():
-                base = {"project_id": f.project_id, "file": f.file, "language": f.language}
+            for f in batch.to_pylist():
+                base = {k: f[k] for k in ("project_id", "file", "language")}
                 try:
-                    symbols, calls = extract_source(f.language, f.file, bytes(f.content))
+                    symbols, calls = extract_source(f["language"], f["file"], f["content"] or b"")
                 except Exception as e:  # one broken file is a row, not the end of the job
                     out.append(base | {"kind": "error", "seq": 0, "error": f"{type(e).__name__}: {e}"})
                     continue
                 out += [base | {"kind": "symbol", "seq": k} | s for k, s in enumerate(symbols)]
                 out += [base | {"kind": "call", "seq": k} | c for k, c in enumerate(calls)]
-            made = pd.DataFrame(out, columns=names)
-            for c in ("seq", "line", "column", "end_line", "caller_line"):
-                made[c] = made[c].astype("Int32")
-            yield made
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    return files.select("project_id", "file", "language", "content").mapInPandas(run, ROWS)
+    return files.select("project_id", "file", "language", "content").mapInArrow(run, ROWS)
 
 
 def symbols_of(rows: DataFrame) -> DataFrame:
