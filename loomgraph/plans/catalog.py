@@ -324,7 +324,7 @@ def knn_l2(spark, d):
 @query("knn_batch", """
 WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id IN (3, 7, 11, 19)),
 s AS (SELECT query_id, vec_id, list_sum(list_transform(list_zip(embedding, e), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE))) AS d FROM embeddings, q)
-SELECT query_id, row_number() OVER w AS rank, vec_id, round(d, 6) AS distance, round(1 / (1 + d), 6) AS score FROM s WINDOW w AS (PARTITION BY query_id ORDER BY d, vec_id) QUALIFY row_number() OVER w <= 5""")
+SELECT query_id, (row_number() OVER w)::INTEGER AS rank, vec_id, round(d, 6) AS distance, round(1 / (1 + d), 6) AS score FROM s WINDOW w AS (PARTITION BY query_id ORDER BY d, vec_id) QUALIFY row_number() OVER w <= 5""")
 def knn_batch(spark, d):
     v = table(spark, d, "embeddings")
     q = v.where(F.col("vec_id").isin(3, 7, 11, 19)).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
@@ -444,7 +444,7 @@ def project_id_hash(spark, d):
 
 
 @query("diff_summary", """
-SELECT p_partkey AS diff_id, 2 AS files, (p_size + 1)::BIGINT AS added, 1::BIGINT AS deleted FROM part""")
+SELECT p_partkey AS diff_id, 2::BIGINT AS files, (p_size + 1)::BIGINT AS added, 1::BIGINT AS deleted FROM part""")
 def diff_summary(spark, d):
     body = F.concat(
         F.lit("diff --git a/x.py b/x.py\nindex 1..2 100644\n--- a/x.py\n+++ b/x.py\n@@ -1,2 +1,3 @@\n-old\n"), F.repeat(F.lit("+new\n"), F.col("p_size")),
