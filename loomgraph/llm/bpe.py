@@ -11,14 +11,17 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, map_batches, table
+from .common import _arrow_schema, bounded_batches, map_batches, table
 
 #: Fixed value of the vocabulary: how byte-level BPE splits text before it merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -138,20 +141,35 @@ def codec(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
-def encode_texts(docs: DataFrame, path: str | None = None, text: str = "text") -> DataFrame:
-    """The rows with a column ``ids array<int>``; a null text counts as empty. Other columns are kept as they are.
+def encode_texts(docs: DataFrame, path: str | None = None, text: str = "text", check: bool = False) -> DataFrame:
+    """The rows with a column ``ids array<int>``, and with check one ``round_trip``: whether the ids decode to the text.
 
-    The new column replaces one of that name. Repeated rows are encoded each; long texts whole.
+    A null text counts as empty. Other columns are kept as they are, but for those of the new names. Repeated rows are
+    encoded each; long texts whole. Ids go from numpy into Arrow, so a batch never becomes lists of Python numbers.
     """
     bounded_batches(docs.sparkSession)
     path = path or os.environ.get("LOOMGRAPH_BPE") or default_vocabulary()
-    kept = docs.drop("ids")
+    kept = docs.drop("ids", *["round_trip"] * check)
+    schema = ", ".join(f"`{n}` {k}" for n, k in kept.dtypes) + ", ids array<int>" + ", round_trip boolean" * check
+    arrow = _arrow_schema(docs.sparkSession, schema)
 
-    def rows(batch):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
-        return batch | {"ids": [own.encode(t or "") for t in batch[text]]}
-
-    return map_batches(kept, rows, ", ".join(f"`{n}` {k}" for n, k in kept.dtypes) + ", ids array<int>")
+        for whole in batches:
+            for at in range(0, whole.num_rows, 250):
+                batch = whole.slice(at, 250)
+                flat, ends, good = [], [0], []
+                for t in batch.column(text).to_pylist():
+                    ids = own.encode(t or "")
+                    flat.append(np.array(ids, np.int32))
+                    ends.append(ends[-1] + len(ids))
+                    if check:
+                        good.append(own.decode(ids) == (t or ""))
+                made = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat) if flat else np.empty(0, np.int32)))
+                new = [made.cast(arrow.field("ids").type)] + [pa.array(good, pa.bool_())] * check
+                yield pa.RecordBatch.from_arrays([*[c.cast(f.type) for c, f in zip(batch.columns, arrow)], *new], schema=arrow)
+
+    return kept.mapInArrow(run, schema)
 
 
 def decode_ids(encoded: DataFrame, path: str | None = None, ids: str = "ids") -> DataFrame:
