@@ -135,7 +135,7 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, trees, keep=("held_out",)).select("doc_id", "held_out", "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, trees: Trees, least: float = 0.5, text: str = "text") -> DataFrame:
+def keep_identified(docs: DataFrame, trees: Trees, least: float = 0.0, text: str = "text") -> DataFrame:
     """The rows whose language is told with a score of at least ``least``, unchanged and with all their columns."""
     import pyarrow as pa
 
