@@ -2,27 +2,32 @@
 
 A string of LEAST bytes counts as repeated if it also starts anywhere else. Sorting all suffixes of a corpus is
 out of reach, so only those are sorted that can have a long match. Every LEAST-byte string holds an anchor: the
-GRAM-byte part with the smallest hash, which depends on the string alone. Anchors whose hash occurs once are
-done with. Around each other anchor a task collects the bytes that a string through it can touch (its context).
-Contexts of an anchor are aligned at it, so for each start before the anchor the suffixes that begin there are in
-suffix order once the contexts are sorted by what follows the anchor and by what precedes it: suffixes share
-LEAST bytes exactly if they fall into the same run of both orders. Within a run, a suffix whose neighbour has a
-smaller position has a previous factor of LEAST bytes; the run's smallest position is the first copy.
-
-Equal contexts are folded before they meet, on the map side first. Anchors with very many different contexts are
-not gathered: their strings are counted one by one, pre-aggregated.
+first GRAM-byte part with the smallest hash, which depends on the string alone. Strings that share an anchor lie
+side by side; the bytes they cover together are the anchor's context.
+
+Anchors whose hash occurs once are done with. Contexts are folded by 128-bit hashes first, so copies of a context
+never travel: if all of an anchor's contexts are equal, all their strings are repeated. Only where an anchor has
+several contexts, one copy of each sends its bytes. Contexts of an anchor are aligned at it, so for each start
+before the anchor the suffixes that begin there are in suffix order once the contexts are sorted by what follows
+the anchor and by what precedes it: suffixes share LEAST bytes exactly if they fall into the same run of both
+orders. Within a run, a suffix whose neighbour has a smaller position has a previous factor of LEAST bytes; the
+run's smallest position is the first copy.
+
+Anchors with very many different contexts are not gathered: their strings are counted one by one, pre-aggregated.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, durable, map_stream, table
+from .common import bounded_batches, durable, map_stream, shared_dir, table
 
 LEAST, GRAM = 200, 50
 REACH = LEAST - GRAM
@@ -55,11 +60,11 @@ def sliding(values: np.ndarray, width: int, pick: np.ufunc, fill: int) -> np.nda
     return pick(back[: n - width + 1], ahead[width - 1 : n])
 
 
-def anchors(piece: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes) of the anchors of all LEAST-byte strings in texts laid end to end; ends: where each text ends."""
+def anchors(piece: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(position, hash, first string, last string) of the anchors of all LEAST-byte strings in texts laid end to end; ends: where each text ends."""
     n = len(piece)
     if n < LEAST:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
+        return (np.empty(0, np.int64), np.empty(0, np.uint64), *[np.empty(0, np.int64)] * 2)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum((piece.astype(np.uint64) + np.uint64(1)) * _UP[:n], out=total[1:])
     x = (total[GRAM:] - total[:-GRAM]) * _DOWN[: n - GRAM + 1]
@@ -76,7 +81,17 @@ def anchors(piece: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     pad = np.zeros(REACH, np.uint64)
     top = sliding(np.concatenate([pad, least, pad]), REACH + 1, np.maximum, 0)
     at = np.nonzero(top == x)[0]
-    return at, x[at]
+    values = x[at]
+    # A string belongs to the first anchor in it that has its smallest hash; the strings of an anchor are neighbours.
+    strings = np.nonzero(inside)[0]
+    owner, wanted = np.searchsorted(at, strings), least[strings]
+    open_ = np.nonzero(values[owner] != wanted)[0]
+    while len(open_):
+        owner[open_] += 1
+        open_ = open_[values[owner[open_]] != wanted[open_]]
+    edge = np.nonzero(np.concatenate([[True], owner[1:] != owner[:-1], [True]]))[0]
+    own = owner[edge[:-1]] if len(owner) else np.empty(0, np.int64)
+    return at[own], values[own], strings[edge[:-1][: len(own)]], strings[edge[1:][: len(own)] - 1]
 
 
 def pieces(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]]:
@@ -88,7 +103,7 @@ def pieces(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, list[tu
 
     for k, t in enumerate(texts):
         for at in range(0, max(1, len(t) - LEAST + 1), SEGMENT - LEAST):
-            part = t[at : at + SEGMENT - 1]
+            part = t[at : at + SEGMENT - 1]  # its strings start before the next part does
             if len(part) < LEAST:
                 continue
             if size + len(part) > SEGMENT:
@@ -101,14 +116,18 @@ def pieces(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, list[tu
         yield out()
 
 
-def anchors_of(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(text, position in it, hash) arrays; an anchor in the overlap of two parts may come twice, in the same position."""
+def anchors_of(texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
+    """(text, position in it, hash, first string, last string) arrays.
+
+    Each string is in one part of a long text, so an anchor in the overlap of two parts may come twice, in the same
+    position, with different strings.
+    """
     for data, ends, where in pieces(texts):
-        at, h = anchors(data, ends)
+        at, h, lo, hi = anchors(data, ends)
         part = np.searchsorted(ends, at, side="right")
         text, offset = np.array(where, np.int64).reshape(-1, 2).T
-        begin = np.concatenate([[0], ends[:-1]])
-        yield text[part], at - begin[part] + offset[part], h
+        shift = offset[part] - np.concatenate([[0], ends[:-1]])[part]
+        yield text[part], at + shift, h, lo + shift, hi + shift
 
 
 def anchor_counts(docs: DataFrame, text: str) -> DataFrame:
@@ -116,7 +135,7 @@ def anchor_counts(docs: DataFrame, text: str) -> DataFrame:
         for batch in batches:
             parts = list(anchors_of([(t or "").encode("utf-8") for t in batch[text]]))
             # An anchor that two overlapping parts of a long text share counts once.
-            spot = {k: np.concatenate([p[i] for p in parts]) if parts else np.empty(0, np.int64) for i, k in enumerate(("t", "p", "h"))}
+            spot = {k: np.concatenate([p[i] for p in parts]) if parts else np.empty(0, np.int64) for i, k in enumerate(("t", "p", "h"))}  # and not their strings
             order = np.lexsort((spot["p"], spot["t"]))
             t, p, h = spot["t"][order], spot["p"][order], spot["h"][order]
             new = np.ones(len(t), bool)
@@ -143,28 +162,60 @@ def in_filter(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1) == 1
 
 
-def contexts(docs: DataFrame, held) -> DataFrame:
-    """(h, l, ctx, id, key, pos): the bytes around each anchor that the filter passes; l of them precede it."""
+def occurrences(docs: DataFrame, held) -> DataFrame:
+    """(h, c, l, m, id, key, pos, rep): the contexts of the anchors that the filter passes, without their bytes.
+
+    c is the 128-bit hash of the bytes, l of which precede the anchor; m is the least number of bytes before the anchor
+    that one of its strings has; rep is a hash of the place.
+    """
     kind = dict(docs.dtypes)["id"]
 
     def rows(batches):
         for batch in batches:
-            raw = [(t or "").encode("utf-8") for t in batch["text"]]
-            seen = set()  # an anchor in the overlap of two parts of a long text comes twice
-            for text, pos, h in anchors_of(raw):
-                good = in_filter(held.value, h)
-                out: dict[str, list] = {k: [] for k in ("h", "l", "ctx", "id", "key", "pos")}
-                for k, p, x in zip(text[good].tolist(), pos[good].tolist(), h[good].view(np.int64).tolist(), strict=True):
-                    ctx = raw[k][max(0, p - REACH) : p + LEAST]
-                    if len(raw[k]) > SEGMENT - LEAST:
-                        if (k, p) in seen:
-                            continue
-                        seen.add((k, p))
-                    for name, v in zip(out, (x, min(p, REACH), ctx, batch["id"][k], batch["key"][k], p), strict=True):
-                        out[name].append(v)
+            for out in _found(batch, lambda h: in_filter(held.value, h), False):
+                yield out
+
+    return map_stream(docs.select("id", "key", "text"), rows, f"h long, c binary, l int, m int, id {kind}, key binary, pos int, rep long")
+
+
+def context_bytes(docs: DataFrame, held) -> DataFrame:
+    """(h, c, l, ctx) at the places whose hash the filter passes."""
+
+    def rows(batches):
+        for batch in batches:
+            for out in _found(batch, None, True, lambda rep: in_filter(held.value, rep)):
                 yield out
 
-    return map_stream(docs.select("id", "key", "text"), rows, f"h long, l int, ctx binary, id {kind}, key binary, pos int")
+    return map_stream(docs.select("id", "key", "text"), rows, "h long, c binary, l int, ctx binary")
+
+
+def _found(batch: dict, pass_hash, with_bytes: bool, pass_rep=None) -> Iterator[dict]:
+    raw = [(t or "").encode("utf-8") for t in batch["text"]]
+    names = ("h", "c", "l", "ctx") if with_bytes else ("h", "c", "l", "m", "id", "key", "pos", "rep")
+    digest, short = xxhash.xxh3_128_digest, xxhash.xxh3_64_intdigest
+    for text, pos, h, lo, hi in anchors_of(raw):
+        if pass_hash is not None:
+            good = pass_hash(h)
+            text, pos, h, lo, hi = text[good], pos[good], h[good], lo[good], hi[good]
+        rep = np.array([short(batch["key"][k] + b"%d:%d" % (p, a)) for k, p, a in zip(text.tolist(), pos.tolist(), lo.tolist())], np.uint64)
+        if pass_rep is not None:
+            good = pass_rep(rep)
+            text, pos, h, lo, hi, rep = text[good], pos[good], h[good], lo[good], hi[good], rep[good]
+        out: dict[str, list] = {k: [] for k in names}
+        for k, p, x, a, b, r in zip(text.tolist(), pos.tolist(), h.view(np.int64).tolist(), lo.tolist(), hi.tolist(), rep.view(np.int64).tolist(), strict=True):
+            ctx = raw[k][a : b + LEAST]
+            c = digest(b"%d:%d:" % (x, p - a) + ctx)
+            row = (x, c, p - a, ctx) if with_bytes else (x, c, p - a, p - b, batch["id"][k], batch["key"][k], p, r)
+            for held, v in zip(out.values(), row, strict=True):
+                held.append(v)
+        yield out
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows as Parquet in the shared folder: durable, compressed, and read by column."""
+    path = f"{shared_dir(df.sparkSession)}/repeats-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def shared_depths(rows: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -271,32 +322,39 @@ def _starts(runs: Column) -> Column:
 def spans(docs: DataFrame, keep_first: bool, together: int = TOGETHER) -> DataFrame:
     """(key, spans array<struct<lo,hi>>) of docs (id, key, text): the bytes to remove, overlapping ones not yet merged."""
     spark = docs.sparkSession
-    counts = anchor_counts(docs, "text").where("n > 1").select("h")
-    counts = durable(counts)
-    bits = bit_filter(counts, F.col("h"), counts.count())
-    found = durable(contexts(docs, spark.sparkContext.broadcast(bits)).withColumn("c", F.unhex(F.md5(F.concat(F.encode(F.concat_ws(":", "h", "l", F.lit("")), "UTF-8"), F.col("ctx"))))))
-    folded = found.groupBy("h", "l", "ctx", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "key", "pos")).alias("first_at"))
-    folded = durable(folded)
-    several = folded.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"))
-    all_starts = F.array(F.greatest(F.lit(0), F.lit(LEAST) - (F.length("ctx") - F.col("l"))), F.col("l"))
-    met = folded.join(several, "h")
-    alone = met.where("kinds = 1 and n > 1").select("c", all_starts.alias("again"), all_starts.alias("first"), "first_at")
-    some = met.where(f"kinds > 1 and kinds <= {together}").repartition("h").sortWithinPartitions("h", "first_at")
-    many = met.where(F.col("kinds") > together)
-    judged = sorted_together(some).unionByName(counted_apart(many))
+    broadcast = spark.sparkContext.broadcast
+    counts = durable(anchor_counts(docs, "text").where("n > 1").select("h"))
+    found = stored(occurrences(docs, broadcast(bit_filter(counts, F.col("h"), counts.count()))))
+    first = [F.min(F.struct("id", "key", "pos")).alias("first_at")] if keep_first else []
+    folded = stored(found.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("rep"), *first))
+    kinds = folded.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"))
+    met = folded.join(kinds, "h")
+    at = ["first_at"] * keep_first
+    alone = met.where("kinds = 1 and n > 1").select("c", *at)
+    several = stored(met.where("kinds > 1"))
+    seen = context_bytes(docs, broadcast(bit_filter(several, F.col("rep"), several.count())))
+    own = seen.groupBy("h", "c").agg(F.first("l").alias("l"), F.first("ctx").alias("ctx")).join(several, ["h", "c"])
+    place = F.col("first_at") if keep_first else F.col("rep")
+    own = own.select("h", "c", "l", "ctx", "n", "kinds", place.alias("first_at"))
+    some = own.where(F.col("kinds") <= together).repartition("h").sortWithinPartitions("h", "first_at")
+    judged = sorted_together(some)
+    if several.where(F.col("kinds") > together).limit(1).count():
+        own = stored(own)
+        judged = sorted_together(own.where(F.col("kinds") <= together).repartition("h").sortWithinPartitions("h", "first_at"))
+        judged = judged.unionByName(counted_apart(own.where(F.col("kinds") > together)))
+    none = F.lit(None).cast("array<int>")
     if keep_first:
-        verdict = alone.unionByName(judged.join(folded.select("c", "first_at"), "c"))
+        verdict = alone.select("c", none.alias("again"), none.alias("first"), "first_at").unionByName(judged.join(folded.select("c", "first_at"), "c"))
     else:
-        verdict = alone.select("c", "again").unionByName(judged.select("c", "again"))
-    hits = found.select("c", "id", "key", "pos").join(verdict, "c")
+        verdict = alone.select("c", none.alias("again")).unionByName(judged.select("c", "again"))
+    hits = found.select("c", "l", "m", "id", "key", "pos").join(verdict, "c")
+    # Of an anchor whose contexts are all equal, every string is repeated.
+    hits = hits.withColumn("again", F.coalesce("again", F.array("m", "l")))
     if keep_first:
-        own = F.struct("id", "key", "pos").eqNullSafe(F.col("first_at"))
-        rest = F.array_except(_starts(F.col("again")), _starts(F.col("first")))
-        hits = hits.withColumn("again", F.when(own, F.flatten(F.transform(rest, lambda s: F.array(s, s)))).otherwise(F.col("again")))
-    cut = F.transform(
-        _places(F.col("again")),
-        lambda k: F.struct((F.col("pos") - F.col("again")[2 * k + 1]).alias("lo"), (F.col("pos") - F.col("again")[2 * k] + LEAST).alias("hi")),
-    )
+        is_first = F.struct("id", "key", "pos").eqNullSafe(F.col("first_at"))
+        rest = F.array_except(_starts(F.col("again")), _starts(F.coalesce("first", F.array("m", "l"))))
+        hits = hits.withColumn("again", F.when(is_first, F.flatten(F.transform(rest, lambda s: F.array(s, s)))).otherwise(F.col("again")))
+    cut = F.transform(_places(F.col("again")), lambda k: F.struct((F.col("pos") - F.col("again")[2 * k + 1]).alias("lo"), (F.col("pos") - F.col("again")[2 * k] + LEAST).alias("hi")))
     return hits.select("key", F.explode(cut).alias("x")).groupBy("key").agg(F.collect_list("x").alias("spans"))  # bounded by the text's length
 
 

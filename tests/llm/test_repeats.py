@@ -69,10 +69,14 @@ def test_first_copy_stays(spark, together):
 def test_segments_of_long_texts_agree(monkeypatch):
     r = random.Random(1)
     text = bytes(r.choice(b"abcdef ") for _ in range(20_000))
-    whole = {(int(p), int(h)) for _, pos, hs in anchors_of([text]) for p, h in zip(pos, hs)}
+
+    def strings(texts):
+        return sorted((int(t), int(p), int(h), s) for found in anchors_of(texts) for t, p, h, lo, hi in zip(*found) for s in range(lo, hi + 1))
+
+    whole = strings([b"short", text, text[:900]])
+    assert {(t, s) for t, _, _, s in whole} == {(1, s) for s in range(20_000 - LEAST + 1)} | {(2, s) for s in range(900 - LEAST + 1)}
     monkeypatch.setattr(repeats, "SEGMENT", 3000)
-    parts = {(int(p), int(h)) for _, pos, hs in anchors_of([b"short", text, text[:900]]) for p, h in zip(pos, hs) if _[0] == 1 or True}
-    assert whole <= parts
+    assert strings([b"short", text, text[:900]]) == whole
 
 
 def test_empty_table_and_other_columns(spark):
