@@ -198,6 +198,7 @@ def _found(batch: dict, pass_hash, with_bytes: bool, pass_rep=None) -> Iterator[
             good = pass_hash(h)
             text, pos, h, lo, hi = text[good], pos[good], h[good], lo[good], hi[good]
         rep = np.array([short(batch["key"][k] + b"%d:%d" % (p, a)) for k, p, a in zip(text.tolist(), pos.tolist(), lo.tolist())], np.uint64)
+        rep &= np.uint64(0xFFFFFFFF00000000)  # 32 bits tell places apart well enough: others only send bytes in vain
         if pass_rep is not None:
             good = pass_rep(rep)
             text, pos, h, lo, hi, rep = text[good], pos[good], h[good], lo[good], hi[good], rep[good]
@@ -324,7 +325,8 @@ def spans(docs: DataFrame, keep_first: bool, together: int = TOGETHER) -> DataFr
     spark = docs.sparkSession
     broadcast = spark.sparkContext.broadcast
     counts = durable(anchor_counts(docs, "text").where("n > 1").select("h"))
-    found = stored(occurrences(docs, broadcast(bit_filter(counts, F.col("h"), counts.count()))))
+    # Found again where they are needed: the texts are read once more, and places never fill the shared folder.
+    found = occurrences(docs, broadcast(bit_filter(counts, F.col("h"), counts.count())))
     first = [F.min(F.struct("id", "key", "pos")).alias("first_at")] if keep_first else []
     folded = stored(found.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("rep"), *first))
     kinds = folded.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"))
@@ -347,7 +349,7 @@ def spans(docs: DataFrame, keep_first: bool, together: int = TOGETHER) -> DataFr
         verdict = alone.select("c", none.alias("again"), none.alias("first"), "first_at").unionByName(judged.join(folded.select("c", "first_at"), "c"))
     else:
         verdict = alone.select("c", none.alias("again")).unionByName(judged.select("c", "again"))
-    hits = found.select("c", "l", "m", "id", "key", "pos").join(verdict, "c")
+    hits = found.select("c", "l", "m", *["id"] * keep_first, "key", "pos").join(verdict, "c")
     # Of an anchor whose contexts are all equal, every string is repeated.
     hits = hits.withColumn("again", F.coalesce("again", F.array("m", "l")))
     if keep_first:
