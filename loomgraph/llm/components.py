@@ -1,4 +1,8 @@
-"""Connected components by alternating large and small stars, on edges that never leave the executors."""
+"""Connected components by alternating large and small stars, on edges that never leave the executors.
+
+Before each round, nodes whose only neighbour is smaller leave with a pointer to it; what has become a star is then
+done, and later rounds work on the rest alone. The pointers are followed back at the end, the last round's first.
+"""
 
 from __future__ import annotations
 
@@ -8,16 +12,17 @@ from pyspark.sql import functions as F
 from .common import durable
 
 
+def _both_ways(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("u").alias("n"), F.col("v").alias("o")).unionByName(edges.select(F.col("v").alias("n"), F.col("u").alias("o")))
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Each node's neighbours are tied to the smallest of them and the node.
 
     Large: the neighbours above the node. Small: the neighbours below it, and the node itself. The smallest is
     found by a pre-aggregated minimum, so a node with very many neighbours costs a task no more than the rest.
     """
-    if large:
-        around = edges.select(F.col("u").alias("n"), F.col("v").alias("o")).unionByName(edges.select(F.col("v").alias("n"), F.col("u").alias("o")))
-    else:
-        around = edges.select(F.col("u").alias("n"), F.col("v").alias("o"))
+    around = _both_ways(edges) if large else edges.select(F.col("u").alias("n"), F.col("v").alias("o"))
     least = around.groupBy("n").agg(F.min("o").alias("m")).select("n", F.least("m", "n").alias("m"))
     if large:
         tied = around.where("o > n").join(least, "n").select(F.col("o").alias("u"), F.col("m").alias("v"))
@@ -26,17 +31,26 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return tied.where("u > v").distinct()
 
 
+def _leaves(edges: DataFrame) -> DataFrame:
+    """(node, root): nodes whose only neighbour is smaller, and that neighbour, which is no such node itself."""
+    return _both_ways(edges).groupBy("n").agg(F.count(F.lit(1)).alias("k"), F.min("o").alias("o")).where("k = 1 and o < n").select(F.col("n").alias("node"), F.col("o").alias("root"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node that has an edge and isn't its component's smallest, from edges (u, v) of longs.
 
     Self loops and repeated edges don't matter; without edges the result is empty. Each round is checkpointed.
     """
     now = durable(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct())
-    mark = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    seen = mark(now)
-    while seen[0]:
-        now = durable(_star(_star(now, True), False))
-        if (got := mark(now)) == seen:
+    rounds = []
+    while True:
+        rounds.append(durable(_leaves(now)))
+        rest = durable(now.join(rounds[-1].select(F.col("node").alias("u")), "u", "left_anti"))
+        if not rest.limit(1).count():
             break
-        seen = got
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        now = durable(_star(_star(rest, True), False))
+    found = rounds.pop()
+    for left in reversed(rounds):
+        later = found.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
+        found = durable(found.unionByName(left.join(later, left["root"] == later["_n"], "left").select("node", F.coalesce("_r", "root").alias("root"))))
+    return found
