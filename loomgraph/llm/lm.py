@@ -1,31 +1,38 @@
-"""LM scoring with a weighted backoff automaton.
+"""LM scoring with a weighted backoff model of words, word pairs and triples.
 
-Counts are taken over all training rows. Frequent words and the n-grams between them become an automaton of
-bounded size: a state for each kept context, arcs with log probabilities, and failure arcs with backoff weights
-to the next shorter context. One left-to-right pass carries the state and adds up the log probabilities. All
-other words leave the automaton by its failure arcs; their unigram counts, whose table grows with the corpus,
-are joined on the executors.
+Counts of all three orders are taken over all training rows, and no n-gram is left out. Since a longer context's
+n-grams end in counted shorter ones, the log probability that backing off gives is a sum of one weight for each
+n-gram that occurs: a word's unigram and the backoff weight it opens as a context, and for pairs and triples what
+they add to the way over their shorter n-grams. The weights are a distributed table. A bounded part of it, the most
+frequent words and n-grams, is held by each task; all other occurrences are joined with the table.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, durable, map_stream, table
+from .common import bounded_batches, durable, map_stream, shared_dir, table
 from .langid import id_crc
 
-#: Words with ids in the automaton's tables; words in contexts and arcs of bigrams, and of trigrams; n-grams of an order.
-HEAD, PAIR, TRIPLE, GRAMS = 1 << 17, 2048, 256, 400_000
+#: Words and n-grams that each task holds; all others are joined.
+HEAD, GRAMS = 1 << 17, 800_000
+#: Words in the keys of the small automaton's pairs and triples.
+PAIR, TRIPLE = 2048, 256
 DISCOUNT = 0.75
 #: The end of a text as a word: no word is empty.
 END = b""
-FLUSH = 400_000
+FLUSH, FOLD, ROWS = 400_000, 1 << 21, 1 << 18
+#: In the place of a word in rows of n-grams: no word is a space.
+GRAM = b" "
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -62,7 +69,10 @@ def most_frequent(counted: DataFrame, bound: int) -> DataFrame:
 
 
 class Automaton:
-    """States are ids; 0 is the empty context. Words are ids by falling count; END has one like the others."""
+    """The same model over tables that fit in one process, as states and arcs: it shows that each state is a distribution.
+
+    States are ids; 0 is the empty context. Words are ids by falling count; END has one like the others.
+    """
 
     def __init__(self, head: list[tuple[bytes, int]], total: int, kinds: int, pairs: dict[int, int], triples: dict[int, int]):
         self.ids = {w: i for i, (w, _) in enumerate(head)}
@@ -131,107 +141,201 @@ class Automaton:
                 break
             weight += self.backoff[at]
             at = self.fail[at]
-        if len(self.arc) > 4 * GRAMS + (1 << 21):
+        if len(self.arc) > 1 << 21:
             return weight + to[0], to[1]
         self.arc[key] = to = (weight + to[0], to[1])
         return to
 
-    def score(self, words: list[bytes]) -> tuple[int, int, float, float, Counter]:
-        """(tokens, those in the tables, their base, the model's sum without other words' unigrams, other words)."""
-        get, none = self.ids.get, len(self.ids)
-        ids = [get(w, none) for w in words]
-        ids.append(self.end)
-        arc, drop, step = self.arc.get, self.drop, self.step
-        s, total = self.longest((self.end,)), 0.0
-        for w in ids:
-            if w < PAIR and w < none:
-                lp, s = arc(s * PAIR + w) or step(s, w)
-                total += lp
-            elif s:
-                total += drop[s]
-                s = 0
-        seen = np.array(ids)
-        known = seen[seen < none]
-        base = self.unigram[known]
-        rest = Counter(w for w, i in zip(words, ids) if i == none)
-        if self.end == none:
-            rest[END] += 1
-        return len(ids), len(known), float(base.sum()), total + float(base[known >= PAIR].sum()), rest
-
-
-def gram_counts(docs: DataFrame, text: str, ids: dict[bytes, int], order: int, limit: int) -> DataFrame:
-    """(gram, n) of runs of ``order`` words with ids below limit; a text starts after an END and ends in one."""
-    held = docs.sparkSession.sparkContext.broadcast(ids)  # PAIR words at most
+
+def hashed(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
+    """Spark's xxhash64 of each word; known is a bounded cache."""
+    if len(known) > FLUSH:
+        known.clear()
+    for w in set(words).difference(known):
+        h = xxhash.xxh64_intdigest(w, 42)
+        known[w] = h - (1 << 64) if h >> 63 else h
+    return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+
+
+def mixed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of two longs."""
+    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda v, k: (v << np.uint64(k)) | (v >> np.uint64(64 - k))
+    h = np.full(len(x), 42, np.uint64)
+    for v in (x, y):
+        h = h + p5 + np.uint64(8) ^ turn(v.view(np.uint64) * p2, 31) * p1
+        h = turn(h, 27) * p1 + p4
+        h = (h ^ (h >> np.uint64(33))) * p2
+        h = (h ^ (h >> np.uint64(29))) * p3
+        h ^= h >> np.uint64(32)
+    return h.view(np.int64)
+
+
+def grams_of(texts: list[list[bytes]], known: dict[bytes, int]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For pairs, then triples: (text, x, y, key), where x and y are the keys of the n-gram without its last and its first word. A text starts after an END and ends in one."""
+    h = hashed([w for words in texts for w in (END, *words, END)], known)
+    at = np.repeat(np.arange(len(texts)), [len(words) + 2 for words in texts])
+    inside = at[:-1] == at[1:]
+    pair = mixed(h[:-1], h[1:])
+    both = inside[:-1] & inside[1:]
+    x, y = pair[:-1][both], pair[1:][both]
+    return [(at[:-1][inside], h[:-1][inside], h[1:][inside], pair[inside]), (at[:-2][both], x, y, mixed(x, y))]
+
+
+def gram_counts(docs: DataFrame, text: str) -> DataFrame:
+    """(size, x, y, n) of all pairs and triples, pre-aggregated by partition in bounded memory."""
+
+    def folded(size: int, parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[dict]:
+        x, y = (np.concatenate(c) for c in zip(*parts, strict=True))
+        by = np.argsort(x * np.int64(0x5851F42D4C957F2D) ^ y)
+        x, y = x[by], y[by]
+        first = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])]))
+        n = np.diff(np.append(first, len(x)))
+        x, y = x[first], y[first]
+        for i in range(0, len(x), ROWS):
+            part = slice(i, i + ROWS)
+            yield {"size": np.full(len(x[part]), size, np.int32), "x": x[part], "y": y[part], "n": n[part]}
 
     def rows(batches: Iterator[dict]) -> Iterator[dict]:
-        get = held.value.get
+        known: dict[bytes, int] = {}
+        held: dict[int, list] = {2: [], 3: []}
+        count = {2: 0, 3: 0}
         for batch in batches:
-            codes = []
-            for t in batch[text]:
-                w = np.array([get(x, limit) for x in (END, *words_of(t), END)], np.int64)
-                parts = [w[k : len(w) - order + 1 + k] for k in range(order)]
-                good = np.logical_and.reduce([p < limit for p in parts])
-                code = np.zeros(len(parts[0]), np.int64)
-                for p in parts:
-                    code = code * limit + p
-                codes.append(code[good])
-            gram, n = np.unique(np.concatenate(codes) if codes else np.empty(0, np.int64), return_counts=True)
-            yield {"gram": gram.tolist(), "n": n.tolist()}
+            for size, (_, x, y, _) in enumerate(grams_of([words_of(t) for t in batch[text]], known), 2):
+                if len(x):
+                    held[size].append((x, y))
+                    count[size] += len(x)
+                if count[size] > FOLD:
+                    yield from folded(size, held[size])
+                    held[size], count[size] = [], 0
+        for size, parts in held.items():
+            if parts:
+                yield from folded(size, parts)
 
-    return map_stream(docs.select(text), rows, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return map_stream(docs.select(text), rows, "size int, x long, y long, n long").groupBy("size", "x", "y").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, text: str = "text") -> tuple[Automaton, DataFrame, int, int]:
-    """The automaton, the durable counts of all words, their total and their number."""
+def weights(counts: DataFrame, grams: DataFrame, norm: float) -> tuple[DataFrame, DataFrame]:
+    """(word, n, key, weight) of words, and (key, n, weight) of pairs and triples.
+
+    - With discount D, p(c|h) = (n(hc) - D) / n(h) where hc occurs, else the backoff weight of h times p(c| h without its first word).
+    - A backoff weight is what the discounts of a context leave, over what its words leave of the shorter context's distribution.
+    """
+    contexts = lambda rows: rows.groupBy("x").agg(F.sum("n").alias("whole"), F.count(F.lit(1)).alias("kinds"), F.sum(F.pow(F.lit(10.0), "lower")).alias("met")).select(
+        F.col("x").alias("context"), "whole", (F.log10(F.lit(DISCOUNT) * F.col("kinds") / F.col("whole")) - F.log10(F.greatest(1 - F.col("met"), F.lit(1e-9)))).alias("backoff")
+    )
+    own = F.log10((F.col("n") - DISCOUNT) / F.col("whole"))
+    words = counts.withColumn("key", F.xxhash64("word"))
+    pairs = grams.where("size = 2").select("x", "y", "n").join(words.select(F.col("key").alias("y"), (F.log10(F.col("n") + 1.0) - norm).alias("lower")), "y")
+    after_word = contexts(pairs)
+    pairs = pairs.join(after_word, F.col("x") == F.col("context")).select(F.xxhash64("x", "y").alias("key"), "n", own.alias("p"), (own - F.col("backoff") - F.col("lower")).alias("adds"))
+    triples = grams.where("size = 3").select("x", "y", "n").join(pairs.select(F.col("key").alias("y"), F.col("p").alias("lower")), "y")
+    after_pair = contexts(triples)
+    triples = triples.join(after_pair, F.col("x") == F.col("context")).select(F.xxhash64("x", "y").alias("key"), "n", (own - F.col("backoff") - F.col("lower")).alias("weight"))
+    opens = F.coalesce("backoff", F.lit(0.0))
+    pairs = pairs.join(after_pair, F.col("key") == F.col("context"), "left").select("key", "n", (F.col("adds") + opens).alias("weight"))
+    words = words.join(after_word, F.col("key") == F.col("context"), "left").select("word", "n", "key", opens.alias("weight"))
+    return words, pairs.unionAll(triples)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Parquet in the shared folder: n-grams are many, and take half the room of a checkpoint."""
+    path = f"{shared_dir(df.sparkSession)}/lm-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@dataclass
+class Frequent:
+    """What each task holds: HEAD words at most, and GRAMS n-grams at most, by rising key."""
+
+    ids: dict[bytes, int]
+    unigram: np.ndarray
+    opens: np.ndarray
+    keys: np.ndarray
+    weight: np.ndarray
+
+
+@dataclass
+class Model:
+    frequent: Frequent
+    grams: DataFrame
+    norm: float
+
+
+def train(docs: DataFrame, text: str = "text") -> tuple[Model, DataFrame, int, int]:
+    """The model, the durable counts and weights of all words, their total and their number."""
     bounded_batches(docs.sparkSession)
     counts = durable(word_counts(docs, text))
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    head = sorted(((bytes(r["word"]), r["n"]) for r in most_frequent(counts, HEAD).collect()), key=lambda x: (-x[1], x[0]))  # HEAD rows at most
-    ids = {w: i for i, (w, _) in enumerate(head[:PAIR])}
-    kept = []
-    for order, limit in ((2, PAIR), (3, TRIPLE)):
-        own = {w: i for w, i in ids.items() if i < limit}
-        grams = durable(gram_counts(docs, text, own, order, limit)) if own else None
-        kept.append({r["gram"]: r["n"] for r in most_frequent(grams, GRAMS).collect()} if own else {})  # GRAMS rows at most
-    return Automaton(head, total, kinds, *kept), counts, total, kinds
-
-
-def score_texts(docs: DataFrame, model: Automaton, counts: DataFrame, total: int, kinds: int, id: str = "doc_id", text: str = "text") -> DataFrame:
+    norm = math.log10(total + kinds + 1)
+    words, grams = weights(counts, stored(gram_counts(docs, text)), norm)
+    words, grams = durable(words), stored(grams)
+    head = most_frequent(words, HEAD).select("word", "n", "weight").toArrow()  # HEAD rows at most
+    held = most_frequent(grams, GRAMS).select("key", "weight").toArrow()  # GRAMS rows at most
+    keys, weight = held["key"].to_numpy(), held["weight"].to_numpy()
+    by = np.argsort(keys)
+    ids = {w: i for i, w in enumerate(head["word"].to_pylist())}
+    frequent = Frequent(ids, np.log10(head["n"].to_numpy() + 1.0) - norm, head["weight"].to_numpy(), keys[by], weight[by])
+    return Model(frequent, grams, norm), words, total, kinds
+
+
+def score_texts(docs: DataFrame, model: Model, counts: DataFrame, total: int, kinds: int, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
     - A null text is empty: its one token is the end. Long texts are scored whole.
     - Without training rows each token has probability 1 / (0 + 1), so all scores are 0.
     - Rows that repeat an id are scored on their own. An empty table gives an empty result.
+    - Words are joined by their bytes, n-grams by 64-bit hashes.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     kind = dict(docs.dtypes)[id]
-    held = spark.sparkContext.broadcast(model)  # HEAD words and 2 * GRAMS arcs at most
+    held = spark.sparkContext.broadcast(model.frequent)
 
     def rows(batches: Iterator[dict]) -> Iterator[dict]:
+        f, known = held.value, {}
+        none = len(f.ids)
+        unigram, opens = np.append(f.unigram, 0.0), np.append(f.opens, 0.0)
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("_row", "_id", "word", "k", "tokens", "known", "base", "own")}
-            add = [out[k].append for k in out]
-            for row, own_id, t in zip(batch["_row"], batch["_id"], batch["_text"], strict=True):
-                tokens, known, base, own, rest = held.value.score(words_of(t))
-                # A word never holds a space, so this one meets no count.
-                for f, x in zip(add, (row, own_id, b" %d" % row, 0, tokens, known, base, own)):
-                    f(x)
-                for w, k in rest.items():
-                    for f, x in zip(add, (row, own_id, w, k, 0, 0, 0.0, 0.0)):
-                        f(x)
-            yield out
+            texts, row = [words_of(t) for t in batch["_text"]], np.array(batch["_row"], np.int64)
+            lengths = [len(words) + 1 for words in texts]
+            flat = [w for words in texts for w in (*words, END)]
+            at = np.repeat(np.arange(len(texts)), lengths)
+            ids = np.array([f.ids.get(w, none) for w in flat], np.int64)
+            sums = lambda x, at=at, n=len(texts): np.bincount(at, x, n)
+            base = sums(unigram[ids])
+            score = base + sums(opens[ids])
+            rest = np.flatnonzero(ids == none)
+            out = [(row[at[rest]], hashed([flat[i] for i in rest], known), [flat[i] for i in rest])]
+            for where, _, _, key in grams_of(texts, known):
+                slot = np.searchsorted(f.keys, key)
+                hit = np.zeros(len(key), bool)
+                inside = slot < len(f.keys)
+                hit[inside] = f.keys[slot[inside]] == key[inside]
+                score += sums(f.weight[slot[hit]], where[hit])
+                out.append((row[where[~hit]], key[~hit], None))
+            for r, key, words in out:
+                for i in range(0, len(r), ROWS):
+                    n = len(r[i : i + ROWS])
+                    yield {"_row": r[i : i + ROWS], "key": key[i : i + ROWS], "word": words[i : i + ROWS] if words else [GRAM] * n, "own": [None] * n}
+            own = zip(batch["_id"], lengths, sums(ids < none).astype(int).tolist(), base.tolist(), score.tolist(), strict=True)
+            # This word meets no count either.
+            yield {"_row": row, "key": mixed(row, row), "word": [b" %d" % r for r in row], "own": [dict(zip(("id", "tokens", "known", "base", "score"), x, strict=True)) for x in own]}
 
     picked = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id).alias("_id"), F.col(text).alias("_text"))
-    parts = map_stream(picked, rows, f"_row long, _id {kind}, word binary, k long, tokens long, known long, base double, own double")
-    met = parts.join(counts, "word", "left")
-    seen = F.coalesce("n", F.lit(0))
-    rest = F.col("k") * (F.log10(seen + 1.0) - model.norm)
-    return met.groupBy("_row", "_id").agg(
-        F.sum("tokens").alias("n_tokens"),
-        F.sum(F.col("known") + F.when(seen > 0, F.col("k")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("base") + rest).alias("base_score"),
-        F.sum(F.col("own") + rest).alias("score"),
+    parts = map_stream(picked, rows, f"_row long, key long, word binary, own struct<id: {kind}, tokens: long, known: long, base: double, score: double>")
+    of_grams = model.grams.select("key", F.lit(GRAM).alias("word"), F.lit(0).cast("long").alias("n"), "weight")
+    met = parts.join(counts.select("key", "word", "n", "weight").unionAll(of_grams), ["key", "word"], "left")
+    is_word = F.col("own").isNull() & (F.col("word") != F.lit(GRAM))
+    rest = F.when(is_word, F.log10(F.coalesce("n", F.lit(0)) + 1.0) - model.norm).otherwise(0.0)
+    none = lambda c: F.coalesce(c, F.lit(0.0))
+    return met.groupBy("_row").agg(
+        F.max("own.id").alias("_id"),
+        F.sum("own.tokens").alias("n_tokens"),
+        F.sum(F.coalesce("own.known", F.lit(0)) + F.when(is_word & (F.col("n") > 0), 1).otherwise(0)).alias("n_known"),
+        F.sum(none("own.base") + rest).alias("base_score"),
+        F.sum(none("own.score") + rest + none("weight")).alias("score"),
     ).select(F.col("_id").alias(id), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
