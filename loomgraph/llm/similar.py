@@ -4,13 +4,15 @@ The method of simhash.py with fingerprints of 512 bits, taken from distinct shin
 bits estimates the angle between the shingle sets, and with it their Jaccard similarity. Documents are tiled by
 their number of shingles: sets whose sizes differ by more than the similarity allows can't reach it, so those tile
 pairs are skipped. Pairs far below the expected distance of the threshold link at once; pairs around it are checked
-on the shingles themselves; pairs above have no part. A pair of tiles returns a spanning forest of its sure links,
-and the open pairs that this forest doesn't join already.
+on the shingles themselves; pairs above have no part. The upper bound holds for the sizes at hand: a pair of the
+similarity exceeds it with probability MISS at most. A pair of tiles returns a spanning forest of its sure links, and
+the open pairs that this forest doesn't join already.
 """
 
 from __future__ import annotations
 
 import math
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -25,8 +27,12 @@ from .simhash import SEED, union_links
 
 WORDS = 8
 TILE = 16384
-#: Standard deviations around the threshold's expected distance that are checked exactly.
-SURE, OPEN = 2.7, 2.7
+#: Standard deviations below the threshold's expected distance that are checked exactly.
+SURE = 2.7
+#: The chance that a pair of the similarity lies above the distance up to which pairs are checked.
+MISS = 1e-7
+#: Up to this size the share of differing bits is computed for each pair of sizes; the words of a first look.
+SMALL, LOOK = 64, 2
 
 
 def shingle_set(text: str | None, shingle: int) -> np.ndarray:
@@ -58,24 +64,61 @@ def wide_fingerprint(hashes: np.ndarray) -> bytes:
     return np.packbits(counts * 2 > len(hashes), axis=1, bitorder="little").tobytes()
 
 
-def distances(similarity: float) -> tuple[int, int, int]:
-    """Distances over all words: up to the first a pair is sure, up to the second open; the third holds for the first word alone."""
+@cache
+def differing(n: int, m: int, similarity: float) -> float:
+    """The largest share of differing bits of sets of n and m shingles that reach the similarity: ties give 0 bits, so for small sets it isn't the angle's."""
+    chances = lambda k: np.array([math.comb(k, i) for i in range(k + 1)]) / 2.0**k
+    most = 0.0
+    for shared in range(max(0, math.ceil(similarity / (1 + similarity) * (n + m) - 1e-9)), min(n, m) + 1):
+        of = np.arange(shared + 1)
+        one = [np.array([own[2 * (s + np.arange(len(own))) > k].sum() for s in of]) for k, own in ((n, chances(n - shared)), (m, chances(m - shared)))]
+        most = max(most, float((chances(shared) * (one[0] * (1 - one[1]) + one[1] * (1 - one[0]))).sum()))
+    return most
+
+
+@cache
+def largest(similarity: float) -> float:
+    """The same for all larger sets: the excess over the angle's share falls with the size."""
+    sizes = range(SMALL * 3 // 4, SMALL + 1)
+    return max(differing(n, m, similarity) for n in sizes for m in sizes if n <= m)
+
+
+@cache
+def bound(bits: int, p: float) -> int:
+    """The least distance that a pair with the share p exceeds with probability MISS at most."""
+    if p <= 0:
+        return 0
+    tail = 0.0
+    for k in range(bits, -1, -1):
+        tail += math.exp(math.lgamma(bits + 1) - math.lgamma(k + 1) - math.lgamma(bits - k + 1) + k * math.log(p) + (bits - k) * math.log1p(-p))
+        if tail > MISS:
+            return k
+    return 0
+
+
+def distances(similarity: float, a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
+    """For sets of these sizes, distances over all words: up to the first a pair is sure, up to the second open; the third holds for the first LOOK words alone."""
     cosine = 2 * similarity / (1 + similarity)
     p = math.acos(cosine) / math.pi
-    spread = lambda bits: math.sqrt(bits * p * (1 - p))
     bits = 64 * WORDS
-    return int(bits * p - SURE * spread(bits)), math.ceil(bits * p + OPEN * spread(bits)), math.ceil(64 * p + 1.5 * OPEN * spread(64))
+    sure = int(bits * p - SURE * math.sqrt(bits * p * (1 - p)))
+    of = lambda sizes: np.unique(sizes[sizes <= SMALL]).tolist()
+    most = max((differing(min(n, m), max(n, m), similarity) for n in of(a) for m in of(b)), default=0.0)
+    if max(a.max(initial=0), b.max(initial=0)) > SMALL:
+        most = max(most, largest(similarity))
+    return sure, bound(bits, most), bound(64 * LOOK, most)
 
 
 def tile_pairs(a: tuple, b: tuple, similarity: float, block: int = 1 << 21) -> tuple[list, list, list]:
     """(u, v, sure) of two tiles of (ids, sizes, fingerprints)."""
-    sure, open_, first = distances(similarity)
+    sure, open_, first = distances(similarity, a[1], b[1])
     ids = np.concatenate([a[0], b[0]])
     label = np.arange(len(ids))
     maybe = []
     step = max(1, block // max(1, len(b[0])))
     for at in range(0, len(a[0]), step):
-        i, j = np.nonzero(np.bitwise_count(a[2][at : at + step, None, 0] ^ b[2][None, :, 0]) <= first)
+        look = sum(np.bitwise_count(a[2][at : at + step, None, k] ^ b[2][None, :, k]) for k in range(LOOK))
+        i, j = np.nonzero(look <= first)
         i += at
         good = (a[0][i] != b[0][j]) & (np.minimum(a[1][i], b[1][j]) >= similarity * np.maximum(a[1][i], b[1][j]) - 1e-9)
         i, j = i[good], j[good]

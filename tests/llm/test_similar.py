@@ -63,3 +63,15 @@ def test_documents(spark, sf_dir):
 
 def test_empty(spark):
     assert one_of_each(spark.createDataFrame([], "doc_id long, text string, u long, id int")).count() == 0
+
+
+@pytest.mark.parametrize("words, more", [(8, 1), (9, 1), (16, 1), (24, 3), (100, 12)])
+def test_small_sets_at_the_threshold(spark, words, more):
+    # The same text with some words more, of a similarity of 0.8 or just above.
+    r = random.Random(words)
+    texts = [[f"{r.randrange(10**9)}" for _ in range(words + more)] for _ in range(250)]
+    data = list(enumerate(x for t in texts for x in (" ".join(t[:words]), " ".join(t))))
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    want = brute([*data[:2]], 0.8)
+    assert len(want) == 1
+    assert {x.doc_id for x in one_of_each(df).collect()} == {i for i, _ in data if i % 2 == 0}
