@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WIDTH = 384
+#: Queries that a task holds at once.
+BLOCK = 10_000
 
 
 def embedding_text() -> Column:
@@ -37,12 +39,11 @@ def nearest(vectors: DataFrame, query: list[float], k: int = 5, id: str = "node_
 
 
 def nearest_of_each(vectors: DataFrame, queries: DataFrame, k: int = 5, id: str = "node_id", vector: str = "embedding") -> DataFrame:
-    """The k nearest of each of a small, stated set of queries (query_id, query): each task keeps k rows a query before they are gathered."""
+    """The k nearest of each query (query_id, query): each task keeps k rows a query before they are gathered. More than BLOCK queries are split into blocks, each met by every partition of the vectors."""
     held = queries.select("query_id", F.col("query").alias("_q"))
-    n = held.count()
-    if n > 10_000:
-        raise ValueError(f"{n} queries are more than a task should hold; ask in parts")
-    met = vectors.select(F.col(id).alias("node"), F.col(vector).alias("_v")).crossJoin(F.broadcast(held))  # its size is checked above
+    blocks = -(-held.count() // BLOCK)
+    held = held.repartition(blocks) if blocks > 1 else F.broadcast(held)  # BLOCK queries at most are broadcast
+    met = vectors.select(F.col(id).alias("node"), F.col(vector).alias("_v")).crossJoin(held)
     best = Window.partitionBy("query_id").orderBy("distance", "node")
     rows = met.select("query_id", "node", squared_l2(F.col("_v"), F.col("_q")).alias("distance"))
     return rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", F.col("node").alias(id), "distance", (1 / (1 + F.col("distance"))).alias("score"))
