@@ -59,9 +59,10 @@ def exact_dedup(docs: DataFrame, text: str = "text", id: str = "doc_id", hash_of
 
 
 def keep_first(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """The rows that stay, with all their columns."""
-    stay = exact_dedup(docs, text, id).where("kept").select(F.col(id).alias("_stay"))
-    return docs.join(stay.distinct(), docs[id].eqNullSafe(F.col("_stay")), "left_semi")
+    """The rows that stay, with all their columns. Of a repeated id, only the rows with a text it is kept for; rows that repeat both all stay."""
+    stay = exact_dedup(docs, text, id).where("kept").select(F.col(id).alias("_stay"), F.col("text_sha256").alias("_sha")).distinct()
+    same = docs[id].eqNullSafe(F.col("_stay")) & (F.sha2(normalised(docs[text]), 256) == F.col("_sha"))
+    return docs.join(stay, same, "left_semi")
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
