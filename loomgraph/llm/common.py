@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import durable, shared_dir
+
+__all__ = ["batches_of", "bit_filter", "bounded_batches", "durable", "hex64", "in_filter", "map_batches", "map_stream", "shared_dir", "stored", "table", "word_count"]
+
 #: White space of the word definition: space and the five controls from tab to carriage return.
 #: ``bytes.split()`` without arguments splits on exactly these six bytes.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -22,26 +28,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def bounded_batches(spark: SparkSession) -> None:
     """Keep the Arrow batches that feed Python small: texts may be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
 
+@contextmanager
+def batches_of(spark: SparkSession, records: int) -> Iterator[None]:
+    """Batches of so many rows for what is run inside: each row is much work, or large."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(records))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where none is configured."""
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if configured:
-        return configured.rstrip("/")
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if held.isDefined():
-        return held.get().rstrip("/")
-    folder = tempfile.mkdtemp(prefix="loomgraph-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return f"file://{folder}"
 
+#: Spark's setting by which the shuffle files of a statement go when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint: losing an executor later loses no work."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows as Parquet in the shared folder: durable, compressed, and read by column. Shuffles that led there are done with and go.
+
+    Row groups are small, since rows may be large and a reader decodes many of a group at once.
+    """
+    spark = df.sparkSession
+    path, before = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").option("parquet.block.size", str(8 << 20)).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def word_count(text: Column) -> Column:
@@ -83,3 +101,23 @@ def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
     from pyspark.sql.types import StructType
 
     return to_arrow_schema(StructType.fromDDL(schema))
+
+
+#: Bits of the filters that are broadcast, so their size is fixed. A full filter passes more than it must, never less.
+FILTER_BITS = 30
+
+
+def bit_filter(keys: DataFrame, key: Column, n: int) -> np.ndarray:
+    """Bits at the leading bits of each key, a long; at most 2 ** FILTER_BITS of them, whatever n is."""
+    bits = min(FILTER_BITS, max(10, (16 * n).bit_length()))
+    at = F.shiftrightunsigned(key, 64 - bits)
+    words = keys.select(F.shiftrightunsigned(at, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int")).alias("b"))
+    got = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()  # 2 ** (FILTER_BITS - 6) rows at most
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[got.column("w").to_numpy()] = got.column("b").to_numpy().view(np.uint64)
+    return out
+
+
+def in_filter(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = keys >> np.uint64(64 - 6 - (len(words).bit_length() - 1))
+    return words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1) == 1

@@ -1,38 +1,37 @@
-"""LM scoring with a weighted backoff model of words, word pairs and triples.
+"""LM scoring with a weighted backoff automaton of words, word pairs and triples.
 
-Counts of all three orders are taken over all training rows, and no n-gram is left out. Since a longer context's
-n-grams end in counted shorter ones, the log probability that backing off gives is a sum of one weight for each
-n-gram that occurs: a word's unigram and the backoff weight it opens as a context, and for pairs and triples what
-they add to the way over their shorter n-grams. The weights are a distributed table. A bounded part of it, the most
-frequent words and n-grams, is held by each task; all other occurrences are joined with the table.
+The n-grams of the training texts are the automaton's states. Each order is smoothed towards the next shorter one with
+the weight MASS (Dirichlet smoothing): the arc of a counted n-gram hw has the probability
+(n(hw) + MASS * p(w | shorter h)) / (n(h) + MASS), and a state's failure arc has the weight MASS / (n(h) + MASS). So an
+arc's weight needs five counts and nothing else: of the triple, its two pairs and its last two words.
+
+No n-gram is left out, and none is held by all tasks: each chunk of texts asks for the counts of its own n-grams
+(exchange.py), and then has all arcs that its texts can take. The state after a word is the longest counted context of
+the two words before it, so the traversal from left to right is done at all positions of a chunk at once.
 """
 
 from __future__ import annotations
 
 import math
-import uuid
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, durable, map_stream, shared_dir, table
+from .common import bounded_batches, map_batches, stored, table
+from .exchange import chunks, cuts, from_counts, from_keys, packed_counts, packed_keys, range_bits, shortened, with_answers
 from .langid import id_crc
 
-#: Words and n-grams that each task holds; all others are joined.
-HEAD, GRAMS = 1 << 17, 800_000
-#: Words in the keys of the small automaton's pairs and triples.
-PAIR, TRIPLE = 2048, 256
-DISCOUNT = 0.75
-#: The end of a text as a word: no word is empty.
+#: Weight of the shorter context's distribution, in occurrences.
+MASS = 2.0
+#: Before the first word of a text and at its end: no word is empty.
 END = b""
-FLUSH, FOLD, ROWS = 400_000, 1 << 21, 1 << 18
-#: In the place of a word in rows of n-grams: no word is a space.
-GRAM = b" "
+#: Words whose hashes a worker remembers.
+KNOWN = 200_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -40,307 +39,185 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8").lower().split()
 
 
-def word_counts(docs: DataFrame, text: str) -> DataFrame:
-    """(word, n) over all texts, each ending in END, pre-aggregated by partition in bounded memory."""
+class Automaton:
+    """The model in one process, with its states, arcs and failure arcs: what the distributed scores must equal."""
+
+    def __init__(self, texts: list[list[bytes]]):
+        self.count: Counter = Counter()
+        for words in texts:
+            s = [END, *words, END]
+            self.count.update((w,) for w in s[1:])
+            self.count.update(zip(s, s[1:]))
+            self.count.update(zip(s, s[1:], s[2:]))
+        words = {g: n for g, n in self.count.items() if len(g) == 1}
+        self.norm = sum(words.values()) + len(words) + 1
+        #: State: counts of the word or pair that it stands for. An arc needs its state's failure arc, so both are found by length.
+        self.failure: dict[tuple, tuple[float, tuple]] = {}
+        self.arc: dict[tuple, float] = {(): math.log10(1 / self.norm)}
+        for g in sorted(self.count, key=len):
+            context = self.count[g[:-1]] if len(g) > 1 else 0
+            lower = 10 ** self.weight(g[1:-1], g[-1]) if len(g) > 1 else 0.0
+            self.arc[g] = math.log10((self.count[g] + MASS * lower) / (context + MASS)) if len(g) > 1 else math.log10((self.count[g] + 1) / self.norm)
+            if len(g) < 3 and (g[-1] != END or len(g) == 1):  # nothing follows an end
+                self.failure[g] = (math.log10(MASS / (self.count[g] + MASS)), g[1:])
+
+    def weight(self, state: tuple, word: bytes) -> float:
+        """The arc of a word out of a state, over failure arcs if need be."""
+        total = 0.0
+        while (*state, word) not in self.arc:
+            if not state:
+                return total + self.arc[()]
+            down, state = self.failure.get(state, (0.0, state[1:]))
+            total += down
+        return total + self.arc[(*state, word)]
+
+    def score(self, words: list[bytes]) -> float:
+        state, total = (END,), 0.0
+        for w in [*words, END]:
+            total += self.weight(state, w)
+            state = (*state, w)[-2:]
+            while state and state not in self.failure:
+                state = state[1:]
+        return total
 
-    def rows(batches: Iterator[dict]) -> Iterator[dict]:
-        held: Counter = Counter()
-        for batch in batches:
-            for t in batch[text]:
-                held.update(words_of(t))
-            held[END] += len(batch[text])
-            if len(held) > FLUSH:
-                yield {"word": list(held), "n": list(held.values())}
-                held = Counter()
-        yield {"word": list(held), "n": list(held.values())}
 
-    return map_stream(docs.select(text), rows, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+def mixed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """64 bits of two 64-bit values, in their order."""
+    h = x * np.uint64(0x9E3779B97F4A7C15) ^ (y + np.uint64(0x165667B19E3779F9)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    h = (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ h >> np.uint64(32)) * np.uint64(0x94D049BB133111EB)
+    return h ^ h >> np.uint64(31)
 
 
-def most_frequent(counted: DataFrame, bound: int) -> DataFrame:
-    """Rows whose count n is high enough for no more than bound rows to reach it; found from a histogram of log counts."""
-    level = F.floor(F.log2("n") * 16).cast("int")
-    left, least = bound, None
-    for r in sorted(counted.groupBy(level.alias("l")).count().collect(), key=lambda r: -r["l"]):  # some hundred rows
-        if (left := left - r["count"]) < 0:
-            break
-        least = r["l"]
-    return counted.where(F.lit(False) if least is None else level >= least)
+def hashed(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
+    """64 bits of each word; known is a bounded memory."""
+    if len(known) > KNOWN:
+        known.clear()
+    for w in set(words).difference(known):
+        known[w] = xxhash.xxh3_64_intdigest(w)
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
-class Automaton:
-    """The same model over tables that fit in one process, as states and arcs: it shows that each state is a distribution.
+class Chunk:
+    """The tokens of a chunk's texts, and its questions: distinct words, and distinct pairs and triples, as sorted keys.
 
-    States are ids; 0 is the empty context. Words are ids by falling count; END has one like the others.
+    words[word_at] and grams[pair_at], grams[triple_at] are those that end in each token; START, before each text, is
+    END's word. A text's first token has no triple: its place is its pair's.
     """
 
-    def __init__(self, head: list[tuple[bytes, int]], total: int, kinds: int, pairs: dict[int, int], triples: dict[int, int]):
-        self.ids = {w: i for i, (w, _) in enumerate(head)}
-        self.norm = math.log10(total + kinds + 1)
-        count = np.array([n for _, n in head] or [0], float)
-        self.unigram = np.log10(count + 1) - self.norm
-        p1 = 10**self.unigram
-        self.end = self.ids.get(END, len(head))
-        grams: dict[tuple[int, ...], dict[int, int]] = {}
-        for k, n in pairs.items():
-            grams.setdefault((k // PAIR,), {})[k % PAIR] = n
-        for k, n in triples.items():
-            c = (k // TRIPLE**2, k // TRIPLE % TRIPLE)
-            if c[0] * PAIR + c[1] in pairs and (c[1],) in grams:
-                grams.setdefault(c, {})[k % TRIPLE] = n
-        self.state = {(): 0}
-        for c in sorted(grams, key=lambda c: (len(c), c)):
-            self.state[c] = len(self.state)
-        contexts = list(self.state)
-        self.fail = [0] * len(contexts)
-        self.backoff = [0.0] * len(contexts)
-        self.arc: dict[int, tuple[float, int]] = {}
-        prob: list[dict[int, float]] = [{}]
-        for s, c in enumerate(contexts[1:], 1):
-            self.fail[s] = self.state[c[1:]]
-            whole = count[c[0]] if len(c) == 1 else pairs[c[0] * PAIR + c[1]]
-            prob.append({w: max(n - DISCOUNT, 0.01) / whole for w, n in grams[c].items()})
-            lower = sum(self._p(self.fail[s], w, prob, p1) for w in prob[s])
-            self.backoff[s] = math.log10(max(1 - sum(prob[s].values()), 1e-9) / max(1 - lower, 1e-9))
-        for s, c in enumerate(contexts):
-            for w, p in prob[s].items():
-                self.arc[s * PAIR + w] = (math.log10(p), self.longest((*c, w)))
-        self.drop = [self._drop(s) for s in range(len(contexts))]
-
-    def _p(self, s: int, w: int, prob: list, p1: np.ndarray) -> float:
-        weight = 0.0
-        while s:
-            if w in prob[s]:
-                return 10**weight * prob[s][w]
-            weight += self.backoff[s]
-            s = self.fail[s]
-        return 10**weight * p1[w]
-
-    def _drop(self, s: int) -> float:
-        out = 0.0
-        while s:
-            out += self.backoff[s]
-            s = self.fail[s]
+    def __init__(self, texts: list[str | None], bits: int, known: dict[bytes, int]):
+        split = [words_of(t) for t in texts]
+        self.lengths = np.array([len(w) + 1 for w in split], np.int64)
+        h = hashed([w for words in split for w in (END, *words, END)], known)
+        text = np.repeat(np.arange(len(split)), self.lengths + 1)
+        self.token = np.flatnonzero(np.concatenate([[False], text[1:] == text[:-1]]))  # all but START
+        self.text = text[self.token]
+        self.first = np.concatenate([[True], self.text[1:] != self.text[:-1]])[: len(self.text)]
+        self.words, word_at = np.unique(h, return_inverse=True)
+        self.word_at, self.before = word_at[self.token], word_at[self.token - 1]
+        pair = mixed(h[self.token - 1], h[self.token])
+        triple = mixed(np.concatenate([pair[:1], pair[:-1]]), h[self.token] ^ np.uint64(0x5851F42D4C957F2D))
+        triple[self.first] = pair[self.first]
+        self.grams, at = np.unique(shortened(np.concatenate([pair, triple]), bits), return_inverse=True)
+        self.pair_at, self.triple_at = at[: len(pair)], at[len(pair) :]
+
+    def counts(self, learn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of words and of n-grams, in the texts to learn from. The start of a text is no token."""
+        own = learn[self.text]
+        words = np.bincount(self.word_at[own], minlength=len(self.words))
+        grams = np.bincount(self.pair_at[own], minlength=len(self.grams)) + np.bincount(self.triple_at[own & ~self.first], minlength=len(self.grams))
+        return words, grams
+
+    def log_probabilities(self, words: np.ndarray, grams: np.ndarray, total: int, kinds: int) -> tuple[np.ndarray, np.ndarray]:
+        """(base, log10 probability) of each token, from the counts of the whole corpus."""
+        one = (words[self.word_at] + 1.0) / (total + kinds + 1)
+        pair, triple = grams[self.pair_at], grams[self.triple_at]
+        two = (pair + MASS * one) / (words[self.before] + MASS)
+        context = np.concatenate([[0], pair[:-1]])  # the pair before this token is the context of its triple
+        three = np.where(self.first, two, (triple + MASS * two) / (context + MASS))
+        return np.log10(one), np.log10(three)
+
+
+def ask(parts: DataFrame, bits: int) -> DataFrame:
+    """(range, chunk, words, word_n, grams, gram_n): distinct keys of the chunks with their counts in texts to learn from."""
+
+    def rows(batch: dict) -> dict:
+        out: dict[str, list] = {k: [] for k in ("range", "chunk", "words", "word_n", "grams", "gram_n")}
+        known: dict[bytes, int] = {}
+        for name, texts, learn in zip(batch["chunk"], batch["text"], batch["learn"], strict=True):
+            c = Chunk(texts, bits, known)
+            word_n, gram_n = c.counts(np.array(learn, bool))
+            by = {r: (w, (0, 0)) for r, *w in cuts(c.words, bits)}
+            for r, *g in cuts(c.grams, bits):
+                by[r] = (by.get(r, ((0, 0),))[0], g)
+            for r, ((a, b), (x, y)) in by.items():
+                row = (r, name, packed_keys(c.words[a:b], bits, whole=True), packed_counts(word_n[a:b]), packed_keys(c.grams[x:y], bits), packed_counts(gram_n[x:y]))
+                for held, v in zip(out.values(), row, strict=True):
+                    held.append(v)
         return out
 
-    def longest(self, context: tuple[int, ...]) -> int:
-        """The state of the longest suffix that is a context."""
-        for c in (context[-2:], context[-1:], ()):
-            if (s := self.state.get(c)) is not None:
-                return s
-        return 0
-
-    def step(self, s: int, w: int) -> tuple[float, int]:
-        """The arc of a word below PAIR, over failure arcs if need be; found once, then kept as an arc."""
-        key, weight, at = s * PAIR + w, 0.0, s
-        while True:
-            if (to := self.arc.get(at * PAIR + w)) is not None:
-                break
-            if not at:
-                to = (float(self.unigram[w]), self.longest((w,)))
-                break
-            weight += self.backoff[at]
-            at = self.fail[at]
-        if len(self.arc) > 1 << 21:
-            return weight + to[0], to[1]
-        self.arc[key] = to = (weight + to[0], to[1])
-        return to
+    return map_batches(parts.select("chunk", "text", "learn"), rows, "range int, chunk string, words binary, word_n binary, grams binary, gram_n binary")
 
 
-def hashed(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
-    """Spark's xxhash64 of each word; known is a bounded cache."""
-    if len(known) > FLUSH:
-        known.clear()
-    for w in set(words).difference(known):
-        h = xxhash.xxh64_intdigest(w, 42)
-        known[w] = h - (1 << 64) if h >> 63 else h
-    return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+def answer(asked: DataFrame) -> DataFrame:
+    """(chunk, range, word_n, gram_n, total, kinds): counts of the whole corpus in the order of the questions; total and kinds of a range's words stand in one row of it."""
 
+    def summed(keys: list[np.ndarray], n: list[np.ndarray]) -> tuple[list[bytes], np.ndarray]:
+        _, at = np.unique(np.concatenate(keys), return_inverse=True)
+        whole = np.bincount(at, np.concatenate(n)).astype(np.int64)  # exact below 2 ** 53
+        edge = np.cumsum([0, *map(len, keys)])
+        return [packed_counts(whole[at[a:b]]) for a, b in zip(edge, edge[1:], strict=False)], whole
 
-def mixed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Spark's xxhash64 of two longs."""
-    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-    turn = lambda v, k: (v << np.uint64(k)) | (v >> np.uint64(64 - k))
-    h = np.full(len(x), 42, np.uint64)
-    for v in (x, y):
-        h = h + p5 + np.uint64(8) ^ turn(v.view(np.uint64) * p2, 31) * p1
-        h = turn(h, 27) * p1 + p4
-        h = (h ^ (h >> np.uint64(33))) * p2
-        h = (h ^ (h >> np.uint64(29))) * p3
-        h ^= h >> np.uint64(32)
-    return h.view(np.int64)
-
-
-def grams_of(texts: list[list[bytes]], known: dict[bytes, int]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For pairs, then triples: (text, x, y, key), where x and y are the keys of the n-gram without its last and its first word. A text starts after an END and ends in one."""
-    h = hashed([w for words in texts for w in (END, *words, END)], known)
-    at = np.repeat(np.arange(len(texts)), [len(words) + 2 for words in texts])
-    inside = at[:-1] == at[1:]
-    pair = mixed(h[:-1], h[1:])
-    both = inside[:-1] & inside[1:]
-    x, y = pair[:-1][both], pair[1:][both]
-    return [(at[:-1][inside], h[:-1][inside], h[1:][inside], pair[inside]), (at[:-2][both], x, y, mixed(x, y))]
-
-
-def gram_counts(docs: DataFrame, text: str) -> DataFrame:
-    """(size, x, y, n) of all pairs and triples, pre-aggregated by partition in bounded memory."""
-
-    def folded(size: int, parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[dict]:
-        x, y = (np.concatenate(c) for c in zip(*parts, strict=True))
-        by = np.argsort(x * np.int64(0x5851F42D4C957F2D) ^ y)
-        x, y = x[by], y[by]
-        first = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])]))
-        n = np.diff(np.append(first, len(x)))
-        x, y = x[first], y[first]
-        for i in range(0, len(x), ROWS):
-            part = slice(i, i + ROWS)
-            yield {"size": np.full(len(x[part]), size, np.int32), "x": x[part], "y": y[part], "n": n[part]}
-
-    def rows(batches: Iterator[dict]) -> Iterator[dict]:
-        known: dict[bytes, int] = {}
-        held: dict[int, list] = {2: [], 3: []}
-        count = {2: 0, 3: 0}
-        for batch in batches:
-            for size, (_, x, y, _) in enumerate(grams_of([words_of(t) for t in batch[text]], known), 2):
-                if len(x):
-                    held[size].append((x, y))
-                    count[size] += len(x)
-                if count[size] > FOLD:
-                    yield from folded(size, held[size])
-                    held[size], count[size] = [], 0
-        for size, parts in held.items():
-            if parts:
-                yield from folded(size, parts)
-
-    return map_stream(docs.select(text), rows, "size int, x long, y long, n long").groupBy("size", "x", "y").agg(F.sum("n").alias("n"))
-
-
-def weights(counts: DataFrame, grams: DataFrame, norm: float) -> tuple[DataFrame, DataFrame]:
-    """(word, n, key, weight) of words, and (key, n, weight) of pairs and triples.
-
-    - With discount D, p(c|h) = (n(hc) - D) / n(h) where hc occurs, else the backoff weight of h times p(c| h without its first word).
-    - A backoff weight is what the discounts of a context leave, over what its words leave of the shorter context's distribution.
-    """
-    contexts = lambda rows: rows.groupBy("x").agg(F.sum("n").alias("whole"), F.count(F.lit(1)).alias("kinds"), F.sum(F.pow(F.lit(10.0), "lower")).alias("met")).select(
-        F.col("x").alias("context"), "whole", (F.log10(F.lit(DISCOUNT) * F.col("kinds") / F.col("whole")) - F.log10(F.greatest(1 - F.col("met"), F.lit(1e-9)))).alias("backoff")
-    )
-    own = F.log10((F.col("n") - DISCOUNT) / F.col("whole"))
-    words = counts.withColumn("key", F.xxhash64("word"))
-    pairs = grams.where("size = 2").select("x", "y", "n").join(words.select(F.col("key").alias("y"), (F.log10(F.col("n") + 1.0) - norm).alias("lower")), "y")
-    after_word = contexts(pairs)
-    pairs = pairs.join(after_word, F.col("x") == F.col("context")).select(F.xxhash64("x", "y").alias("key"), "n", own.alias("p"), (own - F.col("backoff") - F.col("lower")).alias("adds"))
-    triples = grams.where("size = 3").select("x", "y", "n").join(pairs.select(F.col("key").alias("y"), F.col("p").alias("lower")), "y")
-    after_pair = contexts(triples)
-    triples = triples.join(after_pair, F.col("x") == F.col("context")).select(F.xxhash64("x", "y").alias("key"), "n", (own - F.col("backoff") - F.col("lower")).alias("weight"))
-    opens = F.coalesce("backoff", F.lit(0.0))
-    pairs = pairs.join(after_pair, F.col("key") == F.col("context"), "left").select("key", "n", (F.col("adds") + opens).alias("weight"))
-    words = words.join(after_word, F.col("key") == F.col("context"), "left").select("word", "n", "key", opens.alias("weight"))
-    return words, pairs.unionAll(triples)
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Parquet in the shared folder: n-grams are many, and take half the room of a checkpoint."""
-    path = f"{shared_dir(df.sparkSession)}/lm-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-@dataclass
-class Frequent:
-    """What each task holds: HEAD words at most, and GRAMS n-grams at most, by rising key."""
-
-    ids: dict[bytes, int]
-    unigram: np.ndarray
-    opens: np.ndarray
-    keys: np.ndarray
-    weight: np.ndarray
-
-
-@dataclass
-class Model:
-    frequent: Frequent
-    grams: DataFrame
-    norm: float
-
-
-def train(docs: DataFrame, text: str = "text") -> tuple[Model, DataFrame, int, int]:
-    """The model, the durable counts and weights of all words, their total and their number."""
-    bounded_batches(docs.sparkSession)
-    counts = durable(word_counts(docs, text))
-    total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    norm = math.log10(total + kinds + 1)
-    words, grams = weights(counts, stored(gram_counts(docs, text)), norm)
-    words, grams = durable(words), stored(grams)
-    head = most_frequent(words, HEAD).select("word", "n", "weight").toArrow()  # HEAD rows at most
-    held = most_frequent(grams, GRAMS).select("key", "weight").toArrow()  # GRAMS rows at most
-    keys, weight = held["key"].to_numpy(), held["weight"].to_numpy()
-    by = np.argsort(keys)
-    ids = {w: i for i, w in enumerate(head["word"].to_pylist())}
-    frequent = Frequent(ids, np.log10(head["n"].to_numpy() + 1.0) - norm, head["weight"].to_numpy(), keys[by], weight[by])
-    return Model(frequent, grams, norm), words, total, kinds
-
-
-def score_texts(docs: DataFrame, model: Model, counts: DataFrame, total: int, kinds: int, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n_tokens, n_known, train_tokens, base_score, score) of every row.
-
-    - A null text is empty: its one token is the end. Long texts are scored whole.
+    def judge(df: pd.DataFrame) -> pd.DataFrame:
+        words, whole = summed([from_keys(x) for x in df["words"]], [from_counts(x) for x in df["word_n"]])
+        grams, _ = summed([from_keys(x) for x in df["grams"]], [from_counts(x) for x in df["gram_n"]])
+        once = np.arange(len(df)) == 0
+        return pd.DataFrame({"chunk": df["chunk"], "range": df["range"], "word_n": words, "gram_n": grams, "total": whole.sum() * once, "kinds": (whole > 0).sum() * once})
+
+    return asked.groupBy("range").applyInPandas(judge, "chunk string, range int, word_n binary, gram_n binary, total long, kinds long")
+
+
+def score_texts(docs: DataFrame, learn: Column, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, n_tokens, n_known, train_tokens, base_score, score) of every row, from the n-grams of the rows where learn holds.
+
+    - A null text is empty: its one token is the end. Long texts are counted and scored whole.
     - Without training rows each token has probability 1 / (0 + 1), so all scores are 0.
-    - Rows that repeat an id are scored on their own. An empty table gives an empty result.
-    - Words are joined by their bytes, n-grams by 64-bit hashes.
+    - Rows that repeat an id are learned from and scored on their own. An empty table gives an empty result.
+    - Words are told apart by 64-bit hashes, longer n-grams by 47 bits or more, growing with the corpus. Ties don't arise.
+    - Other columns are not read, whatever their names.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     kind = dict(docs.dtypes)[id]
-    held = spark.sparkContext.broadcast(model.frequent)
-
-    def rows(batches: Iterator[dict]) -> Iterator[dict]:
-        f, known = held.value, {}
-        none = len(f.ids)
-        unigram, opens = np.append(f.unigram, 0.0), np.append(f.opens, 0.0)
-        for batch in batches:
-            texts, row = [words_of(t) for t in batch["_text"]], np.array(batch["_row"], np.int64)
-            lengths = [len(words) + 1 for words in texts]
-            flat = [w for words in texts for w in (*words, END)]
-            at = np.repeat(np.arange(len(texts)), lengths)
-            ids = np.array([f.ids.get(w, none) for w in flat], np.int64)
-            sums = lambda x, at=at, n=len(texts): np.bincount(at, x, n)
-            base = sums(unigram[ids])
-            score = base + sums(opens[ids])
-            rest = np.flatnonzero(ids == none)
-            out = [(row[at[rest]], hashed([flat[i] for i in rest], known), [flat[i] for i in rest])]
-            for where, _, _, key in grams_of(texts, known):
-                slot = np.searchsorted(f.keys, key)
-                hit = np.zeros(len(key), bool)
-                inside = slot < len(f.keys)
-                hit[inside] = f.keys[slot[inside]] == key[inside]
-                score += sums(f.weight[slot[hit]], where[hit])
-                out.append((row[where[~hit]], key[~hit], None))
-            for r, key, words in out:
-                for i in range(0, len(r), ROWS):
-                    n = len(r[i : i + ROWS])
-                    yield {"_row": r[i : i + ROWS], "key": key[i : i + ROWS], "word": words[i : i + ROWS] if words else [GRAM] * n, "own": [None] * n}
-            own = zip(batch["_id"], lengths, sums(ids < none).astype(int).tolist(), base.tolist(), score.tolist(), strict=True)
-            # This word meets no count either.
-            yield {"_row": row, "key": mixed(row, row), "word": [b" %d" % r for r in row], "own": [dict(zip(("id", "tokens", "known", "base", "score"), x, strict=True)) for x in own]}
-
-    picked = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id).alias("_id"), F.col(text).alias("_text"))
-    parts = map_stream(picked, rows, f"_row long, key long, word binary, own struct<id: {kind}, tokens: long, known: long, base: double, score: double>")
-    of_grams = model.grams.select("key", F.lit(GRAM).alias("word"), F.lit(0).cast("long").alias("n"), "weight")
-    met = parts.join(counts.select("key", "word", "n", "weight").unionAll(of_grams), ["key", "word"], "left")
-    is_word = F.col("own").isNull() & (F.col("word") != F.lit(GRAM))
-    rest = F.when(is_word, F.log10(F.coalesce("n", F.lit(0)) + 1.0) - model.norm).otherwise(0.0)
-    none = lambda c: F.coalesce(c, F.lit(0.0))
-    return met.groupBy("_row").agg(
-        F.max("own.id").alias("_id"),
-        F.sum("own.tokens").alias("n_tokens"),
-        F.sum(F.coalesce("own.known", F.lit(0)) + F.when(is_word & (F.col("n") > 0), 1).otherwise(0)).alias("n_known"),
-        F.sum(none("own.base") + rest).alias("base_score"),
-        F.sum(none("own.score") + rest + none("weight")).alias("score"),
-    ).select(F.col("_id").alias(id), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+    picked = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
+    parts = chunks(picked, "text")
+    bits = range_bits(parts)
+    answers = stored(answer(ask(parts, bits)), "lm")
+    total, kinds = (int(x or 0) for x in answers.agg(F.sum("total"), F.sum("kinds")).first())
+
+    def rows(batch: dict) -> dict:
+        out: dict[str, list] = {k: [] for k in ("id", "n_tokens", "n_known", "base_score", "score")}
+        known: dict[bytes, int] = {}
+        for ids, texts, got in zip(batch["id"], batch["text"], batch["answers"], strict=True):
+            c = Chunk(texts, bits, known)
+            got = sorted(got, key=lambda x: x["range"])
+            words, grams = (np.concatenate([from_counts(x[k]) for x in got]) for k in ("word_n", "gram_n"))
+            base, score = c.log_probabilities(words, grams, total, kinds)
+            sums = lambda x, c=c, n=len(ids): np.bincount(c.text, x, n)
+            out["id"] += ids
+            out["n_tokens"] += c.lengths.tolist()
+            out["n_known"] += sums(words[c.word_at] > 0).astype(int).tolist()
+            out["base_score"] += sums(base).tolist()
+            out["score"] += sums(score).tolist()
+        return out
+
+    met = with_answers(parts.select("chunk", "id", "text"), answers.select("chunk", "range", "word_n", "gram_n"))
+    scored = map_batches(met.select("id", "text", "answers"), rows, f"id {kind}, n_tokens long, n_known long, base_score double, score double")
+    return scored.select(F.col("id").alias(id), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = id_crc(F.col("doc_id"), 7) == 2
-    out = score_texts(docs, *train(docs.where(~held_out)))
+    out = score_texts(docs, ~held_out)
     return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
