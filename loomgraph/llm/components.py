@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from .common import durable
 
 
+PER_FILE = 50_000
+
+
 def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("n"), F.col("v").alias("o")).unionByName(edges.select(F.col("v").alias("n"), F.col("u").alias("o")))
 
@@ -39,18 +42,21 @@ def _leaves(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node that has an edge and isn't its component's smallest, from edges (u, v) of longs.
 
-    Self loops and repeated edges don't matter; without edges the result is empty. Each round is checkpointed.
+    Self loops and repeated edges don't matter; without edges the result is empty. Each round is checkpointed, in files
+    of some PER_FILE edges, since each file costs its own time to make.
     """
     now = durable(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct())
+    files = 1 + now.count() // PER_FILE
+    kept = lambda df: durable(df.coalesce(files))
     rounds = []
     while True:
-        rounds.append(durable(_leaves(now)))
-        rest = durable(now.join(rounds[-1].select(F.col("node").alias("u")), "u", "left_anti"))
+        rounds.append(kept(_leaves(now)))
+        rest = kept(now.join(rounds[-1].select(F.col("node").alias("u")), "u", "left_anti"))
         if not rest.limit(1).count():
             break
-        now = durable(_star(_star(rest, True), False))
+        now = kept(_star(_star(rest, True), False))
     found = rounds.pop()
     for left in reversed(rounds):
         later = found.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
-        found = durable(found.unionByName(left.join(later, left["root"] == later["_n"], "left").select("node", F.coalesce("_r", "root").alias("root"))))
+        found = kept(found.unionByName(left.join(later, left["root"] == later["_n"], "left").select("node", F.coalesce("_r", "root").alias("root"))))
     return found

@@ -5,28 +5,33 @@ bits estimates the angle between the shingle sets, and with it their Jaccard sim
 their number of shingles: sets whose sizes differ by more than the similarity allows can't reach it, so those tile
 pairs are skipped. Pairs far below the expected distance of the threshold link at once; pairs around it are checked
 on the shingles themselves; pairs above have no part. The upper bound holds for the sizes at hand: a pair of the
-similarity exceeds it with probability MISS at most. A pair of tiles returns a spanning forest of its sure links, and
-the open pairs that this forest doesn't join already.
+similarity exceeds it with probability MISS at most.
+
+No pair is ever listed. A pair of tiles returns a spanning forest of its sure links, and the documents that have open
+pairs left. Once the components of the sure links are known, those documents alone are tiled again, with their roots
+and shingles, and a pair of tiles compares the shingles of open pairs from different components, joining as it goes.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, durable, map_batches
+from .common import batches_of, bit_filter, bounded_batches, durable, in_filter, map_batches, stored
 from .components import components
-from .repeats import bit_filter, in_filter
 from .simhash import SEED, union_links
 
 WORDS = 8
 TILE = 16384
+#: Shingles of the documents in a tile of the second look.
+SET_BYTES = 6 << 20
 #: Standard deviations below the threshold's expected distance that are checked exactly.
 SURE = 2.7
 #: The chance that a pair of the similarity lies above the distance up to which pairs are checked.
@@ -109,12 +114,9 @@ def distances(similarity: float, a: np.ndarray, b: np.ndarray) -> tuple[int, int
     return sure, bound(bits, most), bound(64 * LOOK, most)
 
 
-def tile_pairs(a: tuple, b: tuple, similarity: float, block: int = 1 << 21) -> tuple[list, list, list]:
-    """(u, v, sure) of two tiles of (ids, sizes, fingerprints)."""
+def near_pairs(a: tuple, b: tuple, similarity: float, block: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, sure) of the pairs of two tiles of (ids, sizes, fingerprints) that may reach the similarity, a block of i at a time; j counts on from a's last."""
     sure, open_, first = distances(similarity, a[1], b[1])
-    ids = np.concatenate([a[0], b[0]])
-    label = np.arange(len(ids))
-    maybe = []
     step = max(1, block // max(1, len(b[0])))
     for at in range(0, len(a[0]), step):
         look = sum(np.bitwise_count(a[2][at : at + step, None, k] ^ b[2][None, :, k]) for k in range(LOOK))
@@ -125,21 +127,110 @@ def tile_pairs(a: tuple, b: tuple, similarity: float, block: int = 1 << 21) -> t
         far = np.zeros(len(i), np.int64)
         for k in range(WORDS):
             far += np.bitwise_count(a[2][i, k] ^ b[2][j, k])
-        near = far <= sure
-        union_links(label, i[near], j[near] + len(a[0]))
-        rest = (far > sure) & (far <= open_)
-        i, j = i[rest], j[rest] + len(a[0])
-        apart = label[i] != label[j]
-        maybe.append(np.stack([i[apart], j[apart]]))
-    child = np.nonzero(label != np.arange(len(ids)))[0]
-    i, j = np.concatenate(maybe, axis=1) if maybe else np.empty((2, 0), np.int64)
-    apart = label[i] != label[j]
-    i, j = i[apart], j[apart]
-    return [*ids[child], *ids[i]], [*ids[label[child]], *ids[j]], [True] * len(child) + [False] * len(i)
+        near = far <= open_
+        yield i[near], j[near] + len(a[0]), far[near] <= sure
+
+
+def forest(ids: np.ndarray, label: np.ndarray) -> tuple[list[int], list[int]]:
+    child = np.flatnonzero(label != np.arange(len(ids)))
+    return ids[child].tolist(), ids[label[child]].tolist()
+
+
+def sure_links(a: tuple, b: tuple, similarity: float, most: int = 1 << 19) -> tuple[list, list, list]:
+    """(u, v) of a spanning forest of the sure links of two tiles, and the ids with an open pair that it doesn't join."""
+    ids = np.concatenate([a[0], b[0]])
+    label, flagged = np.arange(len(ids)), np.zeros(len(ids), bool)
+    maybe, held = [], 0
+
+    def apart(pairs: list) -> np.ndarray:
+        i, j = np.concatenate(pairs, axis=1) if pairs else np.empty((2, 0), np.int64)
+        other = (label[i] != label[j]) & ~(flagged[i] & flagged[j])
+        return np.stack([i[other], j[other]])
+
+    for i, j, sure in near_pairs(a, b, similarity):
+        union_links(label, i[sure], j[sure])
+        maybe.append(apart([np.stack([i[~sure], j[~sure]])]))
+        held += maybe[-1].shape[1]
+        if held > most:
+            maybe = [apart(maybe)]
+            held = maybe[0].shape[1]
+            if held > most // 2:
+                # Some of these may be joined later on: they are looked at again in vain, and none is lost.
+                flagged[maybe[0].ravel()] = True
+                maybe, held = [], 0
+    flagged[apart(maybe).ravel()] = True
+    return *forest(ids, label), ids[flagged].tolist()
+
+
+def checked_links(a: tuple, b: tuple, similarity: float) -> tuple[list, list]:
+    """(u, v) of links of the similarity between the classes of two tiles of (ids, sizes, fingerprints, roots, sets): enough to join all classes that have one.
+
+    The shingles of a text are compared with those of its open partners in other classes, all at once; whatever has
+    been joined by then is not looked at again.
+    """
+    ids = np.concatenate([a[0], b[0]])
+    _, label = np.unique(np.concatenate([a[3], b[3]]), return_inverse=True)
+    _, least = np.unique(label, return_index=True)
+    label = least[label]  # each class under its first member
+    sets = [*a[4], *b[4]]
+    u, v = [], []
+    for i, j, _ in near_pairs(a, b, similarity):
+        cut = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1], [True]])) if len(i) else [0]
+        for lo, hi in zip(cut, cut[1:]):
+            x, rest = int(i[lo]), j[lo:hi]
+            rest = rest[label[rest] != label[x]]
+            for at in range(0, len(rest), 256):
+                some = rest[at : at + 256]
+                some = some[label[some] != label[x]]
+                if not len(some):
+                    continue
+                own, sizes = sets[x], np.array([len(sets[y]) for y in some])
+                every = np.concatenate([sets[y] for y in some])
+                spot = np.minimum(np.searchsorted(own, every), len(own) - 1)
+                shared = np.add.reduceat((own[spot] == every).astype(np.int64), np.cumsum(sizes) - sizes)
+                met = some[shared >= similarity * (len(own) + sizes - shared) - 1e-9]
+                u += [int(ids[x])] * len(met)
+                v += ids[met].tolist()
+                union_links(label, np.full(len(met), x), met)
+    return u, v
+
+
+def tile_pairs(rows: DataFrame, size: Column, tile: int, pack: Callable[[pd.DataFrame], bytes]) -> DataFrame:
+    """(a, b): the blobs of all tile pairs of a size class and itself or the next. size: what a row counts for in a tile, at least."""
+    # A set of n shingles reaches the similarity only with sets of its own or the next class. A row for each class: some dozens.
+    parts = F.ceil(F.greatest(F.count(F.lit(1)) / tile, F.sum(size))).cast("long")
+    dealt = rows.join(F.broadcast(rows.groupBy("class").agg(parts.alias("parts"))), "class").withColumn("part", F.pmod(F.xxhash64("id", "fp"), F.col("parts")))
+
+    def packed(df: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"class": [df["class"].iloc[0]], "part": [df["part"].iloc[0]], "blob": [pack(df)]})
+
+    spark = rows.sparkSession
+    tiles = durable(dealt.groupBy("class", "part").applyInPandas(packed, "class long, part long, blob binary"))
+    left = tiles.select(F.col("class").alias("c"), F.col("part").alias("p"), F.col("blob").alias("a"), F.explode(F.array(F.col("class"), F.col("class") + 1)).alias("class"))
+    met = left.join(tiles.withColumnRenamed("blob", "b"), "class").where("c < class or p <= part").select("a", "b")
+    # Tile pairs are far fewer than rows, and each is much work: one to a partition, about.
+    return met.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def packed_prints(df: pd.DataFrame) -> bytes:
+    return np.int64(len(df)).tobytes() + df["id"].to_numpy(np.int64).tobytes() + df["n"].to_numpy(np.int64).tobytes() + b"".join(df["fp"])
+
+
+def packed_sets(df: pd.DataFrame) -> bytes:
+    return packed_prints(df) + df["root"].to_numpy(np.int64).tobytes() + b"".join(df["set"])
+
+
+def unpacked(blob: bytes) -> tuple:
+    """(ids, sizes, fingerprints), and where there are sets (.., roots, sets)."""
+    every = np.frombuffer(blob, np.uint64)
+    n = int(every[0])
+    ids, sizes, prints = every[1 : 1 + n].view(np.int64), every[1 + n : 1 + 2 * n].view(np.int64), every[1 + 2 * n : 1 + (2 + WORDS) * n].reshape(n, WORDS)
+    rest = every[1 + (2 + WORDS) * n :]
+    return (ids, sizes, prints, rest[:n].view(np.int64), np.split(rest[n:], np.cumsum(sizes)[:-1])) if len(rest) else (ids, sizes, prints)
 
 
 def similar_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id: str = "doc_id", text: str = "text", tile: int = TILE) -> DataFrame:
-    """Edges (u, v) of ids that connect the same documents as all links of the similarity or more do."""
+    """Edges (u, v) of integer ids that connect the same documents as all links of the similarity or more do."""
     spark = docs.sparkSession
     bounded_batches(spark)
     base = docs.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
@@ -148,70 +239,54 @@ def similar_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id
         sets = [shingle_set(t, shingle) for t in batch["text"]]
         return {"id": batch["id"], "n": [len(s) for s in sets], "fp": [wide_fingerprint(s) for s in sets]}
 
-    # A set of n shingles reaches the similarity only with sets of its own or the next size class.
     size_class = F.floor(F.log(F.col("n").cast("double")) / math.log(1 / similarity) + 1e-9).cast("long")
     own = durable(map_batches(base, prints, "id long, n long, fp binary").where("n > 0").withColumn("class", size_class))
-    parts = F.greatest(F.lit(1), F.ceil(F.col("count") / tile)).cast("long")
-    crowd = own.groupBy("class").count().select("class", parts.alias("parts"))
-    dealt = own.join(crowd, "class").withColumn("part", F.pmod(F.xxhash64("id", "fp"), F.col("parts")))
 
-    def pack(df: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"class": [df["class"].iloc[0]], "part": [df["part"].iloc[0]], "blob": [df["id"].to_numpy(np.int64).tobytes() + df["n"].to_numpy(np.int64).tobytes() + b"".join(df["fp"])]})
-
-    tiles = durable(dealt.groupBy("class", "part").applyInPandas(pack, "class long, part long, blob binary"))
-    left = tiles.select(F.col("class").alias("c"), F.col("part").alias("p"), F.col("blob").alias("a"), F.explode(F.array(F.col("class"), F.col("class") + 1)).alias("class"))
-    met = left.join(tiles.withColumnRenamed("blob", "b"), "class").where("c < class or p <= part").select("a", "b")
-    # Tile pairs are far fewer than rows, and each is much work: one to a partition, about.
-    met = met.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
-
-    def unpack(blob: bytes) -> tuple:
-        n = len(blob) // (16 + 8 * WORDS)
-        all_ = np.frombuffer(blob, np.uint64)
-        return all_[:n].view(np.int64), all_[n : 2 * n].view(np.int64), all_[2 * n :].reshape(n, WORDS)
-
-    def compare(batch):
-        out: tuple[list, list, list] = ([], [], [])
+    def sure(batch):
+        out: dict[str, list] = {"u": [], "v": []}
         for a, b in zip(batch["a"], batch["b"], strict=True):
-            for held, new in zip(out, tile_pairs(unpack(a), unpack(b), similarity), strict=True):
-                held += new
-        return {"u": [int(x) for x in out[0]], "v": [int(x) for x in out[1]], "sure": out[2]}
-
-    pairs = durable(map_batches(met, compare, "u long, v long, sure boolean").where("u <> v"))
-    bounded_batches(spark)
-    unsure = pairs.where("not sure").select("u", "v").distinct()
-    ends = unsure.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    ends = durable(ends)
-    mixed = lambda c: F.xxhash64(c)
-    held = spark.sparkContext.broadcast(bit_filter(ends, mixed("id"), ends.count()))
+            u, v, open_ = sure_links(unpacked(a), unpacked(b), similarity)
+            out["u"] += u + open_
+            out["v"] += v + [None] * len(open_)
+        return out
+
+    met = tile_pairs(own, F.lit(0), tile, packed_prints)
+    with batches_of(spark, 2):
+        found = durable(map_batches(met, sure, "u long, v long"))
+    links = found.where("v is not null and u <> v")
+    roots = components(links).select(F.col("node").alias("id"), "root")
+    ends = durable(found.where("v is null").select(F.col("u").alias("id")).distinct().join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root")))
+    held = spark.sparkContext.broadcast(bit_filter(ends, F.xxhash64("id"), ends.count()))
 
     def sets(batch):
         keys = np.array(batch["k"], np.int64).view(np.uint64)
-        hit = in_filter(held.value, keys).tolist() if len(keys) else []
-        some = [i for i, h in enumerate(hit) if h]
-        return {"id": [batch["id"][i] for i in some], "set": [shingle_set(batch["text"][i], shingle).tobytes() for i in some]}
+        some = np.flatnonzero(in_filter(held.value, keys)).tolist() if len(keys) else []
+        of = [shingle_set(batch["text"][i], shingle) for i in some]
+        return {"id": [batch["id"][i] for i in some], "n": [len(s) for s in of], "fp": [wide_fingerprint(s) for s in of], "set": [s.tobytes() for s in of]}
 
-    shingles = durable(map_batches(base.withColumn("k", mixed("id")), sets, "id long, set binary").join(ends, "id", "left_semi"))
-    both = unsure.join(shingles.select(F.col("id").alias("u"), F.col("set").alias("a")), "u").join(shingles.select(F.col("id").alias("v"), F.col("set").alias("b")), "v")
+    with_sets = map_batches(base.withColumn("k", F.xxhash64("id")), sets, "id long, n long, fp binary, set binary").where("n > 0")
+    with_sets = stored(with_sets.join(ends, "id").withColumn("class", size_class), "similar")
 
-    def verify(batch):
-        u, v = [], []
-        for x, y, a, b in zip(batch["u"], batch["v"], batch["a"], batch["b"], strict=True):
-            a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-            shared = len(np.intersect1d(a, b, assume_unique=True))
-            if shared >= similarity * (len(a) + len(b) - shared) - 1e-9:
-                u.append(x)
-                v.append(y)
-        return {"u": u, "v": v}
+    def check(batch):
+        out: dict[str, list] = {"u": [], "v": []}
+        for a, b in zip(batch["a"], batch["b"], strict=True):
+            u, v = checked_links(unpacked(a), unpacked(b), similarity)
+            out["u"] += u
+            out["v"] += v
+        return out
 
-    return pairs.where("sure").select("u", "v").unionByName(map_batches(both, verify, "u long, v long"))
+    met = tile_pairs(with_sets, F.col("n") * 8 / SET_BYTES, tile, packed_sets)
+    with batches_of(spark, 1):
+        checked = durable(map_batches(met, check, "u long, v long"))
+    return links.unionByName(checked)
 
 
-def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id: str = "doc_id", text: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id: str = "doc_id", text: str = "text", tile: int = TILE) -> DataFrame:
     """The rows that stay, with all their columns: of each group of linked documents, the one with the smallest id.
 
     - Texts without words link to nothing, and neither do rows with a null id: they stay.
-    - Rows that repeat an id are one document, and share its verdict. An empty table gives an empty result.
+    - Ids are integers. Rows that repeat an id are one document with the links of all its texts, and share its verdict.
+    - Very long texts count with all their shingles. An empty table gives an empty result. Columns may have any names.
     """
-    gone = components(similar_links(docs, shingle, similarity, id, text)).select(F.col("node").alias("_gone"))
+    gone = components(similar_links(docs, shingle, similarity, id, text, tile)).select(F.col("node").alias("_gone"))
     return docs.join(gone, docs[id] == gone["_gone"], "left_anti")

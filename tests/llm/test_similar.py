@@ -47,10 +47,10 @@ def rows():
 def test_against_all_pairs(spark, tile, monkeypatch):
     from loomgraph.llm import similar
 
-    monkeypatch.setattr(similar, "TILE", tile)
+    monkeypatch.setattr(similar, "SET_BYTES", tile * 1000)
     data = rows()
     df = spark.createDataFrame([*data, (None, "a b c"), (None, "a b c")], "doc_id long, text string").repartition(3)
-    got = [x.doc_id for x in one_of_each(df).collect()]
+    got = [x.doc_id for x in one_of_each(df, tile=tile).collect()]
     assert got.count(None) == 2
     assert {x for x in got if x is not None} == brute(data, 0.8)
 
@@ -61,6 +61,26 @@ def test_documents(spark, sf_dir):
     assert {x.doc_id for x in one_of_each(docs).collect()} == brute(data, 0.8)
 
 
+def test_a_large_group_around_the_threshold(spark):
+    # Each text differs from a common one in some words: nearly all pairs are open, and they are decided in the tiles.
+    r = random.Random(9)
+    text = [f"{r.randrange(10**9)}" for _ in range(104)]
+    data = []
+    for i in range(400):
+        t = list(text)
+        for k in r.sample(range(0, 104, 8), 2):
+            t[k] = f"x{i}"
+        data.append((i, " ".join(t)))
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    assert {x.doc_id for x in one_of_each(df, tile=100).collect()} == brute(data, 0.8)
+
+
+def test_repeated_ids(spark):
+    data = [(1, "a b c d e f g h"), (1, "k l m n o p q r"), (2, "K l m n o p q r"), (3, "u v w x y z a b"), (3, "u v w x y z a b"), (4, "a B c d e f g h")]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    assert sorted(x.doc_id for x in one_of_each(df).collect()) == [1, 1, 3, 3]
+
+
 def test_empty(spark):
     assert one_of_each(spark.createDataFrame([], "doc_id long, text string, u long, id int")).count() == 0
 
