@@ -5,38 +5,40 @@ out of reach, so only those are sorted that can have a long match. Every LEAST-b
 first GRAM-byte part with the smallest hash, which depends on the string alone. Strings that share an anchor lie
 side by side; the bytes they cover together are the anchor's context.
 
-Anchors whose hash occurs once are done with. Contexts are folded by 128-bit hashes first, so copies of a context
-never travel: if all of an anchor's contexts are equal, all their strings are repeated. Only where an anchor has
-several contexts, one copy of each sends its bytes. Contexts of an anchor are aligned at it, so for each start
-before the anchor the suffixes that begin there are in suffix order once the contexts are sorted by what follows
-the anchor and by what precedes it: suffixes share LEAST bytes exactly if they fall into the same run of both
-orders. Within a run, a suffix whose neighbour has a smaller position has a previous factor of LEAST bytes; the
-run's smallest position is the first copy.
-
-Anchors with very many different contexts are not gathered: their strings are counted one by one, pre-aggregated.
+Anchors are found once, and stored with the chunk of texts they are in (exchange.py). Chunks send the hashes of their
+distinct (anchor, context) entries, without bytes, and learn which contexts occur again as a whole: all strings of
+those are repeated. Where an anchor has several contexts, one copy of each sends its bytes. Contexts of an anchor are
+aligned at it, so for each start before the anchor the suffixes that begin there are in suffix order once the contexts
+are sorted by what follows the anchor and by what precedes it: suffixes share LEAST bytes exactly if they fall into the
+same run of both orders. Within a run, a suffix has a previous factor of LEAST bytes exactly if a smaller position
+stands before or after it in suffix order (its previous or next smaller value).
+
+Anchors with very many different contexts, which no task could hold, are not gathered: their strings are counted one by
+one, pre-aggregated. Both ways give the same verdicts.
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, durable, map_stream, shared_dir, table
+from .common import bounded_batches, map_batches, map_stream, stored, table
+from .exchange import chunks, cuts, from_counts, from_keys, packed_counts, packed_keys, range_bits, with_answers
 
 LEAST, GRAM = 200, 50
 REACH = LEAST - GRAM
 SEGMENT = 1 << 20
 #: Different contexts of an anchor up to which they are sorted together.
 TOGETHER = 20_000
-#: Bits of the filter that tells which anchors to look at: it is broadcast, so its size is fixed. A full filter
-#: costs more contexts, never a match.
-FILTER_BITS = 30
+#: What a chunk learns of an entry: its context occurs again; it is the first entry of that context; it sends its bytes;
+#: it does so for an anchor of more contexts than are sorted together.
+AGAIN, FIRST, SENDS, CROWDED = 1, 2, 4, 8
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -130,93 +132,93 @@ def anchors_of(texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
         yield text[part], at + shift, h, lo + shift, hi + shift
 
 
-def anchor_counts(docs: DataFrame, text: str) -> DataFrame:
-    def rows(batches):
-        for batch in batches:
-            parts = list(anchors_of([(t or "").encode("utf-8") for t in batch[text]]))
-            # An anchor that two overlapping parts of a long text share counts once.
-            spot = {k: np.concatenate([p[i] for p in parts]) if parts else np.empty(0, np.int64) for i, k in enumerate(("t", "p", "h"))}  # and not their strings
-            order = np.lexsort((spot["p"], spot["t"]))
-            t, p, h = spot["t"][order], spot["p"][order], spot["h"][order]
-            new = np.ones(len(t), bool)
-            new[1:] = (t[1:] != t[:-1]) | (p[1:] != p[:-1])
-            value, n = np.unique(h[new].astype(np.uint64), return_counts=True)
-            yield {"h": value.view(np.int64).tolist(), "n": n.tolist()}
-
-    return map_stream(docs.select(text), rows, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-
-
-def bit_filter(keys: DataFrame, key: Column, n: int) -> np.ndarray:
-    """Bits at the leading bits of each key, a long; at most 2 ** FILTER_BITS of them, whatever n is."""
-    bits = min(FILTER_BITS, max(10, (16 * n).bit_length()))
-    at = F.shiftrightunsigned(key, 64 - bits)
-    words = keys.select(F.shiftrightunsigned(at, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int")).alias("b"))
-    got = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()  # 2 ** (FILTER_BITS - 6) rows at most
-    out = np.zeros(1 << (bits - 6), np.uint64)
-    out[got.column("w").to_numpy()] = got.column("b").to_numpy().view(np.uint64)
-    return out
-
-
-def in_filter(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = keys >> np.uint64(64 - 6 - (len(words).bit_length() - 1))
-    return words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1) == 1
-
-
-def occurrences(docs: DataFrame, held) -> DataFrame:
-    """(h, c, l, m, id, key, pos, rep): the contexts of the anchors that the filter passes, without their bytes.
-
-    c is the 128-bit hash of the bytes, l of which precede the anchor; m is the least number of bytes before the anchor
-    that one of its strings has; rep is a hash of the place.
-    """
-    kind = dict(docs.dtypes)["id"]
-
-    def rows(batches):
-        for batch in batches:
-            for out in _found(batch, lambda h: in_filter(held.value, h), False):
-                yield out
-
-    return map_stream(docs.select("id", "key", "text"), rows, f"h long, c binary, l int, m int, id {kind}, key binary, pos int, rep long")
-
-
-def context_bytes(docs: DataFrame, held) -> DataFrame:
-    """(h, c, l, ctx) at the places whose hash the filter passes."""
-
-    def rows(batches):
-        for batch in batches:
-            for out in _found(batch, None, True, lambda rep: in_filter(held.value, rep)):
-                yield out
-
-    return map_stream(docs.select("id", "key", "text"), rows, "h long, c binary, l int, ctx binary")
-
-
-def _found(batch: dict, pass_hash, with_bytes: bool, pass_rep=None) -> Iterator[dict]:
-    raw = [(t or "").encode("utf-8") for t in batch["text"]]
-    names = ("h", "c", "l", "ctx") if with_bytes else ("h", "c", "l", "m", "id", "key", "pos", "rep")
-    digest, short = xxhash.xxh3_128_digest, xxhash.xxh3_64_intdigest
-    for text, pos, h, lo, hi in anchors_of(raw):
-        if pass_hash is not None:
-            good = pass_hash(h)
-            text, pos, h, lo, hi = text[good], pos[good], h[good], lo[good], hi[good]
-        rep = np.array([short(batch["key"][k] + b"%d:%d" % (p, a)) for k, p, a in zip(text.tolist(), pos.tolist(), lo.tolist())], np.uint64)
-        rep &= np.uint64(0xFFFFFFFF00000000)  # 32 bits tell places apart well enough: others only send bytes in vain
-        if pass_rep is not None:
-            good = pass_rep(rep)
-            text, pos, h, lo, hi, rep = text[good], pos[good], h[good], lo[good], hi[good], rep[good]
-        out: dict[str, list] = {k: [] for k in names}
-        for k, p, x, a, b, r in zip(text.tolist(), pos.tolist(), h.view(np.int64).tolist(), lo.tolist(), hi.tolist(), rep.view(np.int64).tolist(), strict=True):
-            ctx = raw[k][a : b + LEAST]
-            c = digest(b"%d:%d:" % (x, p - a) + ctx)
-            row = (x, c, p - a, ctx) if with_bytes else (x, c, p - a, p - b, batch["id"][k], batch["key"][k], p, r)
-            for held, v in zip(out.values(), row, strict=True):
-                held.append(v)
-        yield out
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """The rows as Parquet in the shared folder: durable, compressed, and read by column."""
-    path = f"{shared_dir(df.sparkSession)}/repeats-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Columns that anchored() gives a chunk: of distinct entries by rising anchor, the anchor's hash, the context's, and the
+#: number of occurrences; of occurrences in order, the text, the position, the bytes before it of the first and the last
+#: string, and the entry.
+ENTRIES, PLACES = ("anchor", "context", "copies"), ("of", "pos", "most", "least", "entry")
+
+
+def anchored(texts: list[str | None]) -> tuple[bytes, ...]:
+    raw = [(t or "").encode("utf-8") for t in texts]
+    parts = list(anchors_of(raw))
+    of, pos, h, lo, hi = (np.concatenate([p[i] for p in parts]) if parts else np.empty(0, np.int64) for i in range(5))
+    by = np.lexsort((lo, pos, of))
+    of, pos, h, lo, hi = of[by], pos[by], h[by].astype(np.uint64), lo[by], hi[by]
+    digest = xxhash.xxh3_64_intdigest  # told apart within an anchor's 64 bits; the seed is the place of the anchor
+    c = np.fromiter((digest(raw[k][a : b + LEAST], l) for k, a, b, l in zip(of.tolist(), lo.tolist(), hi.tolist(), (pos - lo).tolist(), strict=True)), np.uint64, len(of))
+    order = np.lexsort((c, h))
+    h, c = h[order], c[order]
+    new = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])])[: len(h)]
+    entry = np.empty(len(h), np.uint32)
+    entry[order] = np.cumsum(new) - 1
+    n = np.diff(np.append(np.flatnonzero(new), len(h)))
+    places = (of.astype(np.uint32), pos.astype(np.uint32), (pos - lo).astype(np.uint8), (pos - hi).astype(np.uint8), entry)
+    return h[new].tobytes(), c[new].tobytes(), packed_counts(n), *[x.tobytes() for x in places]
+
+
+def places_of(row: dict) -> tuple[np.ndarray, ...]:
+    kinds = (np.uint32, np.uint32, np.uint8, np.uint8, np.uint32)
+    return tuple(np.frombuffer(row[k], t).astype(np.int64) for k, t in zip(PLACES, kinds, strict=True))
+
+
+def each_row(batch: dict) -> Iterator[dict]:
+    return (dict(zip(batch, x, strict=True)) for x in zip(*batch.values(), strict=True))
+
+
+def compared(parts: DataFrame, bits: int, together: int) -> DataFrame:
+    """(chunk, range, codes): a byte for each entry of a chunk in the range, of AGAIN, FIRST, SENDS and CROWDED."""
+
+    def ask(batch: dict) -> dict:
+        out: dict[str, list] = {k: [] for k in ("range", "chunk", "anchor", "context", "copies")}
+        for row in each_row(batch):
+            h, c, n = np.frombuffer(row["anchor"], np.uint64), np.frombuffer(row["context"], np.uint64), from_counts(row["copies"])
+            for r, a, b in cuts(h, bits):
+                for held, v in zip(out.values(), (r, row["chunk"], packed_keys(h[a:b], bits), c[a:b].tobytes(), packed_counts(n[a:b])), strict=True):
+                    held.append(v)
+        return out
+
+    def judge(df: pd.DataFrame) -> pd.DataFrame:
+        df = df.sort_values("chunk")
+        h, c, n = (np.concatenate([f(x) for x in df[k]]) for f, k in ((from_keys, "anchor"), (lambda x: np.frombuffer(x, np.uint64), "context"), (from_counts, "copies")))
+        order = np.lexsort((c, h))  # stable: of a context, the entry of the first chunk comes first
+        h, c, n = h[order], c[order], n[order]
+        other = np.concatenate([[True], h[1:] != h[:-1]])[: len(h)]
+        new = np.concatenate([[True], c[1:] != c[:-1]])[: len(h)] | other
+        context, anchor = np.cumsum(new) - 1, np.cumsum(other) - 1
+        kinds = np.bincount(anchor, new)[anchor]
+        code = AGAIN * (np.bincount(context, n)[context] > 1) + FIRST * new + SENDS * (new & (kinds > 1)) + CROWDED * (new & (kinds > together))
+        out = np.empty(len(h), np.uint8)
+        out[order] = code
+        edge = np.cumsum([0, *[len(x) // 8 for x in df["context"]]])
+        return pd.DataFrame({"chunk": df["chunk"], "range": df["range"], "codes": [out[a:b].tobytes() for a, b in zip(edge, edge[1:], strict=False)]})
+
+    asked = map_batches(parts.select("chunk", *ENTRIES), ask, "range int, chunk string, anchor binary, context binary, copies binary")
+    return stored(asked.groupBy("range").applyInPandas(judge, "chunk string, range int, codes binary"), "repeats")
+
+
+def codes_of(answers: list[dict] | None) -> np.ndarray:
+    return np.frombuffer(b"".join(x["codes"] for x in sorted(answers or [], key=lambda x: x["range"])), np.uint8)
+
+
+def contexts(met: DataFrame) -> DataFrame:
+    """(h, chunk, at, entry, l, again, crowded, ctx) of the entries that send their bytes, l of which precede the anchor; at is the first place."""
+
+    def rows(batch: dict) -> dict:
+        out: dict[str, list] = {k: [] for k in ("h", "chunk", "at", "entry", "l", "again", "crowded", "ctx")}
+        for row in each_row(batch):
+            code, h = codes_of(row["answers"]), np.frombuffer(row["anchor"], np.int64)
+            of, pos, most, least, entry = places_of(row)
+            _, first = np.unique(entry, return_index=True)
+            some = np.flatnonzero(code & SENDS)
+            at = first[some]
+            raw = {k: (row["text"][k] or "").encode("utf-8") for k in set(of[at].tolist())}
+            out["ctx"] += [raw[k][p - l : p - m + LEAST] for k, p, l, m in zip(of[at].tolist(), pos[at].tolist(), most[at].tolist(), least[at].tolist(), strict=True)]
+            for k, v in (("h", h[some]), ("at", at), ("entry", some), ("l", most[at]), ("again", code[some] & AGAIN > 0), ("crowded", code[some] & CROWDED > 0)):
+                out[k] += v.tolist()
+            out["chunk"] += [row["chunk"]] * len(some)
+        return out
+
+    return map_batches(met.select("chunk", "text", "anchor", *PLACES, "answers"), rows, "h long, chunk string, at int, entry int, l int, again boolean, crowded boolean, ctx binary")
 
 
 def shared_depths(rows: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -233,8 +235,24 @@ def shared_depths(rows: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.n
     return order, np.concatenate([[-1], lcp])
 
 
-def repeated_starts(group: np.ndarray, left: np.ndarray, ctx: list[bytes], n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each context (in the order of their first positions) and start s before the anchor: repeated, and first copy.
+def previous_factors(run: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """For suffixes in suffix order, whether a factor of LEAST bytes starts at a smaller place: their run has a smaller one before or after them.
+
+    run rises along the suffix order; places are distinct.
+    """
+    above = int(place.max(initial=0)) + 1
+    previous_smaller, next_smaller = np.zeros(len(run), bool), np.zeros(len(run), bool)
+    key = run * above + place  # later runs lie above all of the earlier ones
+    least = np.minimum.accumulate(key[::-1])[::-1]
+    next_smaller[:-1] = least[1:] < key[:-1]
+    key = (run.max(initial=0) - run) * above + place  # and now the other way round
+    least = np.minimum.accumulate(key)
+    previous_smaller[1:] = least[:-1] < key[1:]
+    return previous_smaller | next_smaller
+
+
+def repeated_starts(group: np.ndarray, left: np.ndarray, ctx: list[bytes], again: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each context (in the order of their first places) and start s before the anchor: whether its string occurs again, and whether earlier.
 
     Suffixes that start s bytes before the anchor share LEAST bytes if they are in one run of the order by the bytes
     before the anchor, of depth s, and in one run of the order by the bytes from the anchor on, of depth LEAST - s.
@@ -245,26 +263,25 @@ def repeated_starts(group: np.ndarray, left: np.ndarray, ctx: list[bytes], n: np
     for i, (c, l) in enumerate(zip(ctx, left.tolist(), strict=True)):
         b = np.frombuffer(c, np.uint8)
         right[i] = len(b) - l
-        after[i, : right[i]] = b[l:]
+        after[i, : min(LEAST, right[i])] = b[l : l + LEAST]
         before[i, :l] = b[:l][::-1]
     orders = [shared_depths(after, group), shared_depths(before, group)]
     run = np.empty((2, m), np.int64)
-    again, first = np.zeros((m, REACH + 1), bool), np.zeros((m, REACH + 1), bool)
+    twice, earlier = np.zeros((m, REACH + 1), bool), np.zeros((m, REACH + 1), bool)
     for s in range(REACH + 1):
-        ok = np.nonzero((left >= s) & (right >= LEAST - s))[0]
+        ok = np.flatnonzero((left >= s) & (right >= LEAST - s))
         if not len(ok):
             continue
         for k, depth in ((0, LEAST - s), (1, s)):
             order, lcp = orders[k]
             run[k, order] = np.cumsum(lcp < depth)
         code = run[0, ok] * (m + 1) + run[1, ok]
-        rank = np.argsort(code, kind="stable")  # suffix order, and by position within a run
+        rank = np.argsort(code, kind="stable")
         code, at = code[rank], ok[rank]
-        starts = np.nonzero(np.concatenate([[True], code[1:] != code[:-1]]))[0]
-        copies = np.add.reduceat(n[at], starts)
-        again[at, s] = np.repeat(copies, np.diff([*starts, len(at)])) >= 2
-        first[at[starts], s] = True  # no smaller position on either side in the run
-    return again, first & again
+        number = np.cumsum(np.concatenate([[False], code[1:] != code[:-1]]))
+        twice[at, s] = np.bincount(number, 1 + again[at])[number] >= 2
+        earlier[at, s] = previous_factors(number, at)
+    return twice, earlier
 
 
 def ranges(flags: np.ndarray) -> list[int]:
@@ -274,14 +291,14 @@ def ranges(flags: np.ndarray) -> list[int]:
 
 
 def sorted_together(own: DataFrame) -> DataFrame:
-    """Verdicts on anchors whose contexts fit a task: (c, again, first), from (h, l, ctx, n, c) sorted by anchor and first position."""
+    """Verdicts on anchors whose contexts fit a task: (chunk, entry, twice, earlier), from contexts sorted by anchor and place."""
 
     def judge(cols: dict) -> dict:
         h = np.array(cols["h"], np.int64)
         group = np.cumsum(np.concatenate([[0], h[1:] != h[:-1]]))
-        again, first = repeated_starts(group, np.array(cols["l"]), cols["ctx"], np.array(cols["n"], np.int64))
-        some = np.nonzero(again.any(1))[0].tolist()
-        return {"c": [cols["c"][i] for i in some], "again": [ranges(again[i]) for i in some], "first": [ranges(first[i]) for i in some]}
+        twice, earlier = repeated_starts(group, np.array(cols["l"]), cols["ctx"], np.array(cols["again"], np.int64))
+        some = np.flatnonzero(twice.any(1)).tolist()
+        return {k: [cols[k][i] for i in some] for k in ("chunk", "entry")} | {"twice": [ranges(twice[i]) for i in some], "earlier": [ranges(earlier[i]) for i in some]}
 
     def rows(batches):
         held: dict = {}
@@ -297,129 +314,100 @@ def sorted_together(own: DataFrame) -> DataFrame:
         if held.get("h"):
             yield judge(held)
 
-    return map_stream(own.select("h", "l", "ctx", "n", "c"), rows, "c binary, again array<int>, first array<int>")
+    return map_stream(own.select("h", "l", "ctx", "again", "chunk", "entry"), rows, VERDICT)
+
+
+VERDICT = "chunk string, entry int, twice array<int>, earlier array<int>"
 
 
 def counted_apart(own: DataFrame) -> DataFrame:
     """The same for anchors with very many contexts: every string is counted by its hash, pre-aggregated."""
     start = F.explode(F.sequence(F.greatest(F.lit(0), F.lit(LEAST) - (F.length("ctx") - F.col("l"))), F.col("l")))
-    cut = own.select("h", "c", "n", "first_at", "l", "ctx", start.alias("s"))
-    cut = cut.select("h", "c", "n", "first_at", "s", F.unhex(F.md5(F.substring("ctx", F.col("l") - F.col("s") + 1, F.lit(LEAST)))).alias("w"))
-    total = cut.groupBy("h", "s", "w").agg(F.sum("n").alias("copies"), F.min("first_at").alias("least"))
-    hits = cut.join(total.where("copies > 1"), ["h", "s", "w"]).select("c", "s", (F.col("first_at") == F.col("least")).alias("f"))
+    place = F.struct("chunk", "at")
+    cut = own.select("h", "chunk", "at", "entry", "again", "l", "ctx", start.alias("s"))
+    cut = cut.select("h", "chunk", "at", "entry", "again", "s", F.unhex(F.md5(F.substring("ctx", F.col("l") - F.col("s") + 1, F.lit(LEAST)))).alias("w"))
+    total = cut.groupBy("h", "s", "w").agg(F.sum(F.when(F.col("again"), 2).otherwise(1)).alias("copies"), F.min(place).alias("least")).where("copies > 1")
+    hits = cut.join(total, ["h", "s", "w"]).select("chunk", "entry", "s", (place != F.col("least")).alias("later"))
     pair = lambda xs: F.flatten(F.transform(xs, lambda s: F.array(s, s)))  # noqa: E731  one start is a range, too
-    return hits.groupBy("c").agg(F.collect_list("s").alias("a"), F.collect_list(F.when(F.col("f"), F.col("s"))).alias("f")).select("c", pair(F.col("a")).alias("again"), pair(F.col("f")).alias("first"))
-
-
-def _places(runs: Column) -> Column:
-    """0, 1 .. for the pairs of lo, hi, lo, hi ..."""
-    return F.when(F.size(runs) > 0, F.sequence(F.lit(0), (F.size(runs) / 2 - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
-
+    runs = hits.groupBy("chunk", "entry").agg(F.collect_list("s").alias("a"), F.collect_list(F.when(F.col("later"), F.col("s"))).alias("b"))  # REACH + 1 at most
+    return runs.select("chunk", "entry", pair(F.col("a")).alias("twice"), pair(F.col("b")).alias("earlier"))
 
-def _starts(runs: Column) -> Column:
-    return F.flatten(F.transform(_places(runs), lambda k: F.sequence(runs[2 * k], runs[2 * k + 1])))
 
-
-def spans(docs: DataFrame, keep_first: bool, together: int = TOGETHER) -> DataFrame:
-    """(key, spans array<struct<lo,hi>>) of docs (id, key, text): the bytes to remove, overlapping ones not yet merged."""
-    spark = docs.sparkSession
-    broadcast = spark.sparkContext.broadcast
-    counts = durable(anchor_counts(docs, "text").where("n > 1").select("h"))
-    # Found again where they are needed: the texts are read once more, and places never fill the shared folder.
-    found = occurrences(docs, broadcast(bit_filter(counts, F.col("h"), counts.count())))
-    first = [F.min(F.struct("id", "key", "pos")).alias("first_at")] if keep_first else []
-    folded = stored(found.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("rep"), *first))
-    kinds = folded.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"))
-    met = folded.join(kinds, "h")
-    at = ["first_at"] * keep_first
-    alone = met.where("kinds = 1 and n > 1").select("c", *at)
-    several = stored(met.where("kinds > 1"))
-    seen = context_bytes(docs, broadcast(bit_filter(several, F.col("rep"), several.count())))
-    own = seen.groupBy("h", "c").agg(F.first("l").alias("l"), F.first("ctx").alias("ctx")).join(several, ["h", "c"])
-    place = F.col("first_at") if keep_first else F.col("rep")
-    own = own.select("h", "c", "l", "ctx", "n", "kinds", place.alias("first_at"))
-    some = own.where(F.col("kinds") <= together).repartition("h").sortWithinPartitions("h", "first_at")
-    judged = sorted_together(some)
-    if several.where(F.col("kinds") > together).limit(1).count():
-        own = stored(own)
-        judged = sorted_together(own.where(F.col("kinds") <= together).repartition("h").sortWithinPartitions("h", "first_at"))
-        judged = judged.unionByName(counted_apart(own.where(F.col("kinds") > together)))
-    none = F.lit(None).cast("array<int>")
-    if keep_first:
-        verdict = alone.select("c", none.alias("again"), none.alias("first"), "first_at").unionByName(judged.join(folded.select("c", "first_at"), "c"))
-    else:
-        verdict = alone.select("c", none.alias("again")).unionByName(judged.select("c", "again"))
-    hits = found.select("c", "l", "m", *["id"] * keep_first, "key", "pos").join(verdict, "c")
-    # Of an anchor whose contexts are all equal, every string is repeated.
-    hits = hits.withColumn("again", F.coalesce("again", F.array("m", "l")))
+def removed(row: dict, keep_first: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, lo, hi) of the spans of a chunk, by rising place and merged."""
+    code = codes_of(row["answers"])
+    of, pos, most, least, entry = places_of(row)
+    gone = code[entry] & AGAIN > 0
     if keep_first:
-        is_first = F.struct("id", "key", "pos").eqNullSafe(F.col("first_at"))
-        rest = F.array_except(_starts(F.col("again")), _starts(F.coalesce("first", F.array("m", "l"))))
-        hits = hits.withColumn("again", F.when(is_first, F.flatten(F.transform(rest, lambda s: F.array(s, s)))).otherwise(F.col("again")))
-    cut = F.transform(_places(F.col("again")), lambda k: F.struct((F.col("pos") - F.col("again")[2 * k + 1]).alias("lo"), (F.col("pos") - F.col("again")[2 * k] + LEAST).alias("hi")))
-    return hits.select("key", F.explode(cut).alias("x")).groupBy("key").agg(F.collect_list("x").alias("spans"))  # bounded by the text's length
-
-
-def merged(parts: list[dict]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for x in sorted((p["lo"], p["hi"]) for p in parts):
-        if out and x[0] <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], x[1]))
-        else:
-            out.append(x)
-    return out
+        _, first = np.unique(entry, return_index=True)
+        gone[first[code & FIRST > 0]] = False  # what stays of these, their verdicts say
+    starts, ends, texts = [pos[gone] - most[gone]], [pos[gone] - least[gone] + LEAST], [of[gone]]
+    verdicts = row["verdicts"] or []
+    if verdicts:
+        _, first = np.unique(entry, return_index=True)
+        runs = [np.array(x["earlier" if keep_first else "twice"], np.int64).reshape(-1, 2) for x in verdicts]
+        at = np.repeat(first[[x["entry"] for x in verdicts]], [len(x) for x in runs])
+        runs = np.concatenate(runs)
+        starts.append(pos[at] - runs[:, 1])
+        ends.append(pos[at] - runs[:, 0] + LEAST)
+        texts.append(of[at])
+    text, lo, hi = np.concatenate(texts), np.concatenate(starts), np.concatenate(ends)
+    by = np.lexsort((lo, text))
+    text, lo, hi = text[by], lo[by], hi[by]
+    if not len(text):
+        return text, lo, hi
+    gap = int(hi.max()) + 1  # texts end to end, apart
+    reach = np.maximum.accumulate(hi + text * gap)
+    new = np.flatnonzero(np.concatenate([[True], (lo + text * gap)[1:] > reach[:-1]]))
+    return text[new], lo[new], reach[np.append(new[1:], len(reach)) - 1] - text[new] * gap
 
 
 def remove_repeats(docs: DataFrame, keep_first: bool = True, id: str = "doc_id", text: str = "text", together: int = TOGETHER) -> DataFrame:
-    """(id, n_bytes, spans, n_removed, n_spans, kept binary, kept_sha256) of every row.
+    """(id, n_bytes, spans, n_removed, n_spans, kept_sha256) of every row; spans are the removed bytes, from lo up to hi.
 
-    Bytes covered by a string of LEAST bytes that also starts elsewhere are removed, in the same text or another;
-    with keep_first the first copy stays, by (id, position). Strings are judged on the input, and never cross texts.
+    Bytes covered by a string of LEAST bytes that also starts elsewhere are removed, in the same text or another; with
+    keep_first the first copy stays, by (id, position), null ids last. Strings are judged on the input, and never cross texts.
 
     - A null text is empty. Texts shorter than LEAST bytes are kept whole. Very long texts are read in overlapping segments.
-    - Rows that repeat an id are texts of their own; if they repeat its text too, they share a verdict, as copies that
-      can't be told apart (with keep_first, both stay).
+    - Rows that repeat an id are texts of their own; if they repeat its text too, one of them comes first.
     - Removal works on bytes, so what is kept may end inside a character. An empty table gives an empty result.
+    - Other columns are not read, whatever their names.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     kind = dict(docs.dtypes)[id]
     base = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    base = base.withColumn("key", F.unhex(F.md5(F.concat(F.coalesce(F.col("id").cast("string"), F.lit("null")), F.lit(":"), F.col("text")))))
-    found = durable(spans(base, keep_first, together))
-    head = lambda c: F.conv(F.hex(F.substring(c, 1, 8)), 16, -10).cast("long")
-    held = spark.sparkContext.broadcast(bit_filter(found, head(F.col("key")), found.count()))
-
-    def sure(batches):
-        """Texts that surely have no span are finished here; only the others travel."""
-        for batch in batches:
-            keys = np.array([int.from_bytes(k[:8], "big") for k in batch["key"]], np.uint64)
-            maybe = in_filter(held.value, keys).tolist() if len(keys) else []
-            raw = [t.encode("utf-8") for t in batch["text"]]
-            yield {
-                "id": batch["id"], "key": batch["key"], "n_bytes": [len(r) for r in raw],
-                "raw": [r if m else None for r, m in zip(raw, maybe)], "sha": [None if m else hashlib.sha256(r).hexdigest() for r, m in zip(raw, maybe)],
-            }
-
-    def finish(batches):
-        for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("id", "n_bytes", "spans", "n_removed", "n_spans", "kept_sha256")}
-            for own, n, raw, sha, parts in zip(batch["id"], batch["n_bytes"], batch["raw"], batch["sha"], batch["spans"]):
-                cuts = merged(parts or [])
-                if raw is not None:
-                    at, digest = 0, hashlib.sha256()
-                    for lo, hi in cuts:
-                        digest.update(raw[at:lo])
-                        at = hi
-                    digest.update(raw[at:])
-                    sha = digest.hexdigest()
-                for name, v in zip(out, (own, n, [{"lo": a, "hi": b} for a, b in cuts], sum(b - a for a, b in cuts), len(cuts), sha), strict=True):
-                    out[name].append(v)
-            yield out
-
-    first = map_stream(base, sure, f"id {kind}, key binary, n_bytes long, raw binary, sha string")
-    joined = first.join(found, "key", "left").select("id", "n_bytes", "raw", "sha", "spans")
-    done = map_stream(joined, finish, f"id {kind}, n_bytes long, spans array<struct<lo:int,hi:int>>, n_removed long, n_spans long, kept_sha256 string")
+    if keep_first:
+        base = base.orderBy(F.col("id").asc_nulls_last(), F.md5("text"))
+    parts = chunks(base, "text", anchored, (*ENTRIES, *PLACES))
+    codes = compared(parts, range_bits(parts), together)
+    own = stored(contexts(with_answers(parts, codes)), "repeats")
+    verdict = sorted_together(own.where("not crowded").repartition("h").sortWithinPartitions("h", "chunk", "at"))
+    if own.where("crowded").limit(1).count():
+        verdict = verdict.unionByName(counted_apart(own.where("crowded")))
+    verdict = stored(verdict, "repeats")
+    by_chunk = verdict.groupBy("chunk").agg(F.collect_list(F.struct("entry", "twice", "earlier")).alias("verdicts"))  # its entries at most
+    met = with_answers(parts.select("chunk", "id", "text", *PLACES), codes).join(by_chunk, "chunk", "left")
+
+    def finish(batch: dict) -> dict:
+        out: dict[str, list] = {k: [] for k in ("id", "n_bytes", "spans", "n_removed", "n_spans", "kept_sha256")}
+        for row in each_row(batch):
+            k, lo, hi = removed(row, keep_first)
+            edge = np.searchsorted(k, np.arange(len(row["id"]) + 1)).tolist()
+            lo, hi = lo.tolist(), hi.tolist()
+            for i, t in enumerate(row["text"]):
+                data, at, digest = t.encode("utf-8"), 0, hashlib.sha256()
+                cut = list(zip(lo[edge[i] : edge[i + 1]], hi[edge[i] : edge[i + 1]], strict=True))
+                for a, b in cut:
+                    digest.update(data[at:a])
+                    at = b
+                digest.update(data[at:])
+                done = (row["id"][i], len(data), [{"lo": a, "hi": b} for a, b in cut], sum(b - a for a, b in cut), len(cut), digest.hexdigest())
+                for held, v in zip(out.values(), done, strict=True):
+                    held.append(v)
+        return out
+
+    done = map_batches(met.select("id", "text", *PLACES, "answers", "verdicts"), finish, f"id {kind}, n_bytes long, spans array<struct<lo:int,hi:int>>, n_removed long, n_spans long, kept_sha256 string")
     return done.withColumnRenamed("id", id)
 
 

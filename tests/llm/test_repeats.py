@@ -66,6 +66,26 @@ def test_first_copy_stays(spark, together):
         assert got[k].n_removed == gone.sum(), k
 
 
+def test_previous_factors_by_brute_force():
+    r = random.Random(2)
+    for _ in range(200):
+        n = r.randrange(0, 12)
+        run = np.cumsum([r.random() < 0.4 for _ in range(n)]).astype(np.int64)
+        place = np.array(r.sample(range(30), n), np.int64)
+        want = [any(run[j] == run[i] and place[j] < place[i] for j in range(n)) for i in range(n)]
+        assert repeats.previous_factors(run, place).tolist() == want
+
+
+def test_chunks_of_any_size(spark, monkeypatch):
+    from loomgraph.llm import exchange
+
+    monkeypatch.setattr(exchange, "CHUNK_ROWS", 3)
+    rows = texts()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = remove_repeats(df, keep_first=False).select(*COLUMNS).collect()
+    assert sorted(map(tuple, got), key=repr) == brute(rows)
+
+
 def test_segments_of_long_texts_agree(monkeypatch):
     r = random.Random(1)
     text = bytes(r.choice(b"abcdef ") for _ in range(20_000))
