@@ -13,7 +13,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, word_count
+from .common import durable, table, word_count
 
 WEIGHTS = (5, 2, 1)
 SHARE = Fraction(3, 2)
@@ -51,20 +51,17 @@ def order_key(id: Column, seed: int) -> Column:
     return F.md5(F.concat(F.coalesce(id.cast("string"), F.lit("null")), F.lit(f":{seed}")))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: Fraction = SHARE, max_epochs: int = MAX_EPOCHS, seed: int = 42, id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """Every row with (id, size, source, source_size, target, reps, taken); taken = reps * size.
-
-    - size counts words; a null or empty text has size 0 and takes nothing.
-    - Sources in code point order, a null source last, get the weights in turn, repeating.
-    - Rows that repeat an id are ordered by their size; equal ones are interchangeable, and each is taken on its own.
-    - The words a source takes differ from its target by half a document at most. An empty table gives an empty result.
-    """
+def _planned(docs: DataFrame, rows: bool, weights: tuple[int, ...], share: Fraction, max_epochs: int, seed: int, id: str, text: str, source: str) -> DataFrame:
+    """(_id, _size, _source, source_size, target, _reps) of each row, and the row itself as _row if asked for."""
     spark = docs.sparkSession
-    sized = docs.select(F.col(id).alias("_id"), F.col(source).alias("_source"), word_count(F.col(text)).alias("_size"))
-    sized = sized.withColumn("_key", order_key(F.col("_id"), seed))
-    bucketed = sized.withColumn("_bucket", F.substring("_key", 1, ORDER_DIGITS))
+    own = [F.struct(*[docs[c] for c in docs.columns]).alias("_row")] if rows else []
+    sized = docs.select(F.col(id).alias("_id"), F.col(source).alias("_source"), word_count(F.col(text)).alias("_size"), *own)
+    if not rows:
+        sized = durable(sized)  # the texts are read once
+    bucketed = sized.withColumn("_key", order_key(F.col("_id"), seed)).withColumn("_bucket", F.substring("_key", 1, ORDER_DIGITS))
     sums = bucketed.groupBy("_source", "_bucket").agg(F.sum("_size").alias("_words"))
-    sources = sums.groupBy("_source").agg(F.sum("_words").alias("_words")).collect()
+    sums = durable(sums.coalesce(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)))  # 16 ** ORDER_DIGITS short rows a source at most
+    sources = sums.groupBy("_source").agg(F.sum("_words").alias("_words")).collect()  # a row per source
     sources.sort(key=lambda r: (r["_source"] is None, (r["_source"] or "").encode("utf-8")))
     sizes = [int(r["_words"]) for r in sources]
     dealt = [weights[i % len(weights)] for i in range(len(sizes))]
@@ -86,27 +83,41 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: Fraction = S
     cuts = cuts.select(F.col("_source").alias("_c"), F.col("_bucket").alias("_cut"), F.col("_before"))
     cuts = small(cuts.groupBy("_c").agg(F.min_by(F.struct("_cut", "_before"), "_cut").alias("_at")).select("_c", "_at.*"))
 
-    rows = bucketed.join(planned, by_source(bucketed, planned)).drop("_p")
-    rows = rows.join(cuts, rows["_source"].eqNullSafe(cuts["_c"]), "left").drop("_c")
-    inside = rows.where(F.col("_bucket") == F.col("_cut"))
+    out = bucketed.join(planned, by_source(bucketed, planned)).drop("_p")
+    out = out.join(cuts, out["_source"].eqNullSafe(cuts["_c"]), "left").drop("_c")
+    inside = out.where(F.col("_bucket") == F.col("_cut"))
     order = Window.partitionBy("_source").orderBy("_key", "_id", "_size").rowsBetween(Window.unboundedPreceding, -1)
     inside = inside.withColumn("_at", F.col("_before") + F.coalesce(F.sum("_size").over(order), F.lit(0)))
     inside = inside.withColumn("_more", F.when(F.col("_at") + F.col("_size") / 2 <= F.col("_extra"), 1).otherwise(0)).drop("_at")
-    outside = rows.where(F.col("_cut").isNull() | (F.col("_bucket") != F.col("_cut")))
+    outside = out.where(F.col("_cut").isNull() | (F.col("_bucket") != F.col("_cut")))
     outside = outside.withColumn("_more", F.when(F.col("_bucket") < F.col("_cut"), 1).otherwise(0))
     reps = F.when(F.col("_size") > 0, F.least(F.col("_whole") + F.col("_more"), F.lit(max_epochs))).otherwise(0).cast("long")
-    return inside.unionByName(outside).select(
+    return inside.unionByName(outside).withColumn("_reps", reps)
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: Fraction = SHARE, max_epochs: int = MAX_EPOCHS, seed: int = 42, id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """Every row with (id, size, source, source_size, target, reps, taken); taken = reps * size.
+
+    - size counts words; a null or empty text has size 0 and takes nothing. Very long texts count whole.
+    - Sources in code point order, a null source last, get the weights in turn, repeating.
+    - Rows that repeat an id are ordered by their size; equal ones are interchangeable, and each is taken on its own.
+    - The words a source takes differ from its target by half a document at most. An empty table gives an empty result.
+    - Other columns are not read, whatever their names.
+    """
+    rows = _planned(docs, False, weights, share, max_epochs, seed, id, text, source)
+    return rows.select(
         F.col("_id").alias(id), F.col("_size").alias("size"), F.col("_source").alias(source), "source_size", "target",
-        reps.alias("reps"), (reps * F.col("_size")).alias("taken"),
+        F.col("_reps").alias("reps"), (F.col("_reps") * F.col("_size")).alias("taken"),
     )
 
 
-def repeat_rows(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each row of docs, all its columns, as often as the mix takes it."""
-    id = options.get("id", "doc_id")
-    reps = mix(docs, **options).where("reps > 0").groupBy(F.col(id).alias("_id")).agg(F.max("reps").alias("_reps"))
-    joined = docs.join(reps, docs[id].eqNullSafe(reps["_id"]))
-    return joined.withColumn("_again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_reps")))).select(*[docs[c] for c in docs.columns])
+def repeat_rows(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: Fraction = SHARE, max_epochs: int = MAX_EPOCHS, seed: int = 42, id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The mix itself: each row of docs, all its columns under any names, as often as the mix takes it.
+
+    Each row is repeated by its own plan, also where ids are null or repeated. Rows of size 0 go. An empty table stays empty.
+    """
+    rows = _planned(docs, True, weights, share, max_epochs, seed, id, text, source).where("_reps > 0")
+    return rows.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_reps"))).alias("_again")).select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
