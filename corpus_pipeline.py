@@ -12,12 +12,12 @@ from loomgraph.llm.common import shared_dir, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; null texts and texts without a letter go."""
+    """Documents whose language can be told: texts that are null or without a letter go, and those that no learned language's model predicts better than none."""
     return langid.keep_identified(docs, langid.fit(docs))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the smallest id."""
+    """Of equal texts one row, of the smallest id."""
     return exact_dedup.keep_first(docs)
 
 
