@@ -13,6 +13,7 @@ import json
 import os
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -25,7 +26,10 @@ from .common import _arrow_schema, bounded_batches, map_batches, table
 
 #: Fixed value of the vocabulary: how byte-level BPE splits text before it merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE = 400_000
+#: Chunks and words that a worker remembers.
+CHUNKS, WORDS = 200_000, 100_000
+#: Bytes of a word up to which the ranks are scanned.
+LONG = 256
 NONE = 1 << 60  # no such merge: above every rank
 
 
@@ -65,7 +69,9 @@ class ByteBpe:
         self.words: dict[str, tuple[int, ...]] = {}
 
     def merge(self, word: bytes) -> tuple[int, ...]:
-        """The rank array: parts[i] is the part that starts at the i-th boundary, ranks[i] its merge with the next part."""
+        """The rank array: parts[i] is the part that starts at the i-th boundary, ranks[i] its merge with the next part. Long words have a heap."""
+        if len(word) > LONG:
+            return self.merge_long(word)
         table = self.byte_ids
         parts = [table[b] for b in word]
         get = self.ranks.get
@@ -83,6 +89,31 @@ class ByteBpe:
                 ranks[i - 1] = get(parts[i - 1] << 20 | part, NONE)
         return tuple(parts)
 
+    def merge_long(self, word: bytes) -> tuple[int, ...]:
+        """The same merges in the same order, the least rank and then the leftmost first: parts are linked, and a heap finds the least."""
+        parts = [self.byte_ids[b] for b in word]
+        n, get = len(parts), self.ranks.get
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        now = [get(a << 20 | b, NONE) for a, b in zip(parts, parts[1:])]  # the merge of each part with the next one
+        heap = [(r, i) for i, r in enumerate(now) if r != NONE]
+        heapify(heap)
+        now.append(NONE)
+        while heap:
+            r, i = heappop(heap)
+            if now[i] != r:
+                continue  # one of the two has changed since
+            gone = after[i]
+            parts[i], after[i] = r & 0xFFFFF, after[gone]
+            parts[gone], now[gone] = -1, NONE
+            if after[i] < n:
+                before[after[i]] = i
+            for k in (before[i], i):
+                if k >= 0:
+                    now[k] = get(parts[k] << 20 | parts[after[k]], NONE) if after[k] < n else NONE
+                    if now[k] != NONE:
+                        heappush(heap, (now[k], k))
+        return tuple(p for p in parts if p >= 0)
+
     def chunk(self, text: str) -> tuple[int, ...]:
         """Ids of a piece of text that no pre-token crosses the borders of."""
         out: list[int] = []
@@ -91,7 +122,7 @@ class ByteBpe:
             if ids is None:
                 ids = self.merge(w.encode())
                 if len(w) <= 64:
-                    if len(self.words) >= CACHE:
+                    if len(self.words) >= WORDS:
                         self.words.clear()
                     self.words[w] = ids
             out += ids
@@ -115,7 +146,7 @@ class ByteBpe:
             return ()
         ids = self.chunk(" " + piece)
         if len(piece) <= 64:
-            if len(self.chunks) >= CACHE:
+            if len(self.chunks) >= CHUNKS:
                 self.chunks.clear()
             self.chunks[piece] = ids
         return ids
@@ -187,7 +218,9 @@ def decode_ids(encoded: DataFrame, path: str | None = None, ids: str = "ids") ->
 def round_trip(docs: DataFrame, path: str | None = None, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256) of every row: encoded, then decoded from the ids, in one pass.
 
-    A null text counts as empty. Rows that repeat an id are each encoded. An empty table gives an empty result.
+    A null text counts as empty. Rows that repeat an id are each encoded. An empty table gives an empty result. Very
+    long texts are encoded whole, in time that grows little faster than they do, also where they are one word. Other
+    columns are not read, whatever their names.
     """
     bounded_batches(docs.sparkSession)
     path = path or os.environ.get("LOOMGRAPH_BPE") or default_vocabulary()

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, durable, hex64, map_batches, table
+from .common import batches_of, bounded_batches, durable, hex64, map_batches, table
 from .components import components
 
 SEED = 42
@@ -109,16 +109,16 @@ def links(fps: DataFrame, radius: int, segments: int | None = None, tile: int =
     others = F.explode(F.flatten(F.transform(F.array(*[F.lit(o).cast("long") for o in offsets]), lambda o: F.transform(F.sequence(F.lit(0), F.lit(chunks - 1)).cast("array<long>"), lambda c: (base + o) * chunks + c))))
     left = tiles.select(F.col("tile").alias("from"), F.col("part").alias("fp_part"), F.col("fps").alias("a"), others.alias("tile")).where("tile >= from")
     met = left.join(tiles.withColumnRenamed("fps", "b"), "tile").where("from < tile or fp_part <= part").select("a", "b")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "32")
+    # Tile pairs are far fewer than rows, and each is much work.
+    met = met.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
     def rows(batch):
         out = [tile_links(np.array(a, np.int64).view(np.uint64), np.array(b, np.int64).view(np.uint64), radius) for a, b in zip(batch["a"], batch["b"], strict=True)]
         flat = [np.concatenate([x[k] for x in out]).view(np.int64).tolist() if out else [] for k in (0, 1)]
         return {"u": flat[0], "v": flat[1]}
 
-    edges = durable(map_batches(met, rows, "u long, v long").where("u <> v"))
-    bounded_batches(spark)
-    return edges
+    with batches_of(spark, 32):
+        return durable(map_batches(met, rows, "u long, v long").where("u <> v"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -127,6 +127,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, id: str
     - Fingerprints link when at most ``radius`` bits differ; equal ones always do. A text without words, or null, has fingerprint 0.
     - Null ids count as larger than all others; a component of null ids alone has a null component_id.
     - Rows that repeat an id are linked by their texts like any others. An empty table gives an empty result.
+    - Very long texts count with all their shingles. Other columns are not read, whatever their names.
     """
     own = durable(fingerprints(docs, shingle, id, text))
     nodes = durable(own.groupBy("fp").agg(F.min(id).alias("_first")))

@@ -30,6 +30,8 @@ def usable(vectors: DataFrame, id: str, vector: str, scale: int) -> DataFrame:
     """(id, v array<long>, norm): floor(scale * x) of rows with an id and a vector whose components are all finite numbers."""
     x = F.transform(F.col(vector), lambda c: c.cast("double"))
     good = F.col(vector).isNotNull() & F.col(id).isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
+    limit = F.lit(2.0**31) / F.sqrt(F.greatest(F.size(vector), F.lit(1)))
+    good = good & F.forall(x, lambda c: F.abs(c * scale) < limit)
     v = F.transform(x, lambda c: F.floor(c * scale).cast("long"))
     return vectors.where(good).select(F.col(id).cast("long").alias("id"), v.alias("v")).withColumn("norm", F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c))
 
@@ -77,6 +79,8 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, id:
     """(query_id, rank, vec_id, score): each query's k highest integer inner products, ties to the smaller id.
 
     - Queries are rows whose id is divisible by ``every``; candidates all rows but those with the query's own id.
+    - Scores are 64-bit integers: rows with a component beyond 2 ** 31 / sqrt(length) after scaling, whose products could
+      leave them, take no part either.
     - Rows with a null id, a null vector or a component that is null or not finite take no part; vectors meet only
       others of their own length, and empty ones score 0.
     - Rows that repeat an id are candidates of their own, and a repeated query is asked once. An empty table gives an empty result.

@@ -180,7 +180,10 @@ def read_bundles(index: DataFrame, payload: bool = True) -> DataFrame:
                         held, size = [], 0
                 yield pa.RecordBatch.from_pylist(held, schema=arrow)
 
-    return index.select("bundle").distinct().mapInArrow(run, RECORDS)
+    # Few short rows, and each is much to read: as many tasks as there are bundles, about.
+    bundles = index.select("bundle").distinct()
+    tasks = max(index.sparkSession.sparkContext.defaultParallelism, int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return bundles.repartition(tasks, "bundle").mapInArrow(run, RECORDS)
 
 
 def archive_pages(pages: DataFrame, folder: str | None = None, id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -213,7 +216,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     kind = dict(pages.dtypes)["page_id"]
     back = read_bundles(archive_pages(pages), payload=False)
-    number = lambda c: F.when(F.col(c) != "urn:page:null", F.substring_index(c, ":", -1)).cast(kind)
+    number = lambda c: F.when(F.col(c) != "urn:page:null", F.substr(F.col(c), F.lit(len("urn:page:") + 1))).cast(kind)
     return back.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
 
 

@@ -54,6 +54,22 @@ def test_bpe_as_the_library_does(docs, empty):
     assert {(r.text or "") == r.decoded for r in kept.collect()} == {True}
 
 
+def test_long_words_merge_alike():
+    import random
+    import time
+
+    own, r = bpe.ByteBpe(bpe.default_vocabulary()), random.Random(4)
+    words = ["".join(r.choice(x) for _ in range(n)) for x in ("ab", "etaoin shrdlu".replace(" ", ""), "é日x") for n in (1, 2, 57, 300, 900)] + ["a" * 777, "ing" * 200]
+    short = bpe.LONG
+    for w in words:
+        bpe.LONG = 10**9
+        want = own.merge(w.encode())
+        bpe.LONG = short
+        assert own.merge_long(w.encode()) == want, w
+    began, word = time.time(), "".join(r.choice("abcdefgh") for _ in range(1 << 20))
+    assert own.decode(own.encode(word)) == word and time.time() - began < 30
+
+
 @pytest.mark.parametrize("text", ["  a", "a  b", "a ", " a\n b", "a\n\n b", "don't I'LL", "\u3000x \u00a0y", "12³ ⅷ٣", "x\x1c y", "\x85 a", "a\r\nb", "tab\tx y", "é" * 300, "<|endoftext|>", "a <|endoftext|> b", "\u200b \ufeff"])
 def test_bpe_of_odd_white_space(text):
     from tokenizers import Tokenizer
@@ -65,7 +81,8 @@ def test_bpe_of_odd_white_space(text):
 
 
 def test_bpe_cache_is_bounded(monkeypatch):
-    monkeypatch.setattr(bpe, "CACHE", 5)
+    monkeypatch.setattr(bpe, "CHUNKS", 5)
+    monkeypatch.setattr(bpe, "WORDS", 5)
     own = bpe.ByteBpe(bpe.default_vocabulary())
     text = " ".join(f"word{i}" for i in range(50))
     assert own.decode(own.encode(text)) == text
@@ -99,6 +116,20 @@ def test_url_index_runs_few_rules():
 # 3. Mixing
 
 
+def test_rows_are_repeated_by_their_own_plan(spark):
+    rows = [(None if i % 2 else i % 7, "w " * (i % 5), "ab"[i % 3 == 0], i, "r", 1) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _row int, _again string, _reps int").repartition(3)
+    plan = mixing.mix(df).collect()
+    want = Counter()
+    for r in plan:
+        want[r.doc_id, r.size, r.source] += r.reps
+    got = mixing.repeat_rows(df)
+    assert got.columns == df.columns
+    rows = got.collect()
+    assert Counter((r.doc_id, len(r.text.split()), r.source) for r in rows) == +want and len(rows) == sum(r.reps for r in plan)
+    assert max(Counter(r._row for r in rows).values()) <= 2 and mixing.repeat_rows(df.limit(0)).count() == 0
+
+
 def test_mixing(docs, empty, spark):
     rows = mixing.mix(docs).collect()
     assert len(rows) == len(DOCS)
@@ -175,8 +206,9 @@ def brute_dedup(rows):
     for i, t, *_ in rows:
         own = [j for j, u, *_ in rows if plain(u) == plain(t)]
         keep = min((j for j in own if j is not None), default=None)
-        out.append((i, keep, len(own), i == keep, sha(plain(t))))
-    return sorted(out, key=repr)
+        first = (i, plain(t)) not in [(o[0], o[5]) for o in out]
+        out.append((i, keep, len(own), i == keep and first, sha(plain(t)), plain(t)))
+    return sorted((o[:5] for o in out), key=repr)
 
 
 def test_exact_dedup(docs, empty):
@@ -189,6 +221,15 @@ def test_exact_dedup(docs, empty):
     assert sorted((r.doc_id for r in exact_dedup.keep_first(docs).collect()), key=repr) == sorted([i for i, k, _, y, _ in brute_dedup(DOCS) if y], key=repr)
 
 
+def test_first_rows_of_repeated_ids(spark):
+    rows = [(5, "a", "p"), (5, "a", "q"), (3, "b", "r"), (7, "b", "s"), (7, "c", "t"), (None, "d", "u"), (None, "d", "v"), (None, "c", "w"), (8, None, "x"), (9, "", "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _stay string").repartition(3)
+    assert df.columns == exact_dedup.keep_first(df).columns
+    got = sorted(((r.doc_id, r.text) for r in exact_dedup.keep_first(df).collect()), key=repr)
+    assert got == sorted([(5, "a"), (3, "b"), (7, "c"), (None, "d"), (8, None)], key=repr)
+    assert exact_dedup.keep_first(df.limit(0)).count() == 0
+
+
 # 6. Top-k
 
 
@@ -199,9 +240,10 @@ def test_topk(spark, block, monkeypatch):
 
     r = random.Random(5)
     rows = [(k, [r.uniform(-1, 1) for _ in range(8)]) for k in range(180)]
+    rows += [(403, [1e12] * 4), (404, [0.5] * 4), (405, [1e300] * 8)]
     rows += [(200 + k, [0.5] * 8) for k in range(40)] + [(50, rows[50][1]), (None, [0.1] * 8), (300, None), (301, [None] * 8), (302, [float("nan")] * 8), (303, [float("inf")] * 8), (400, [0.25] * 3), (401, [0.5] * 3), (350, []), (351, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
-    good = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    good = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) and abs(x) < 1e6 for x in v)]
     want = []
     for q, a in {i: v for i, v in good if i % 50 == 0}.items():
         scored = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in good if i != q and len(a) == len(b))[:5]
@@ -225,48 +267,71 @@ def test_language_id(spark, docs, empty, sf_dir):
     assert len(pred) > 20 and sum(r.lang == r.lang_pred for r in pred) >= 0.97 * len(pred)
 
 
-def test_code_lengths_are_probabilities():
-    trees = langid.Trees([("a", ord("x") << 16 | ord("y") << 8 | c, n) for c, n in ((ord("z"), 5), (ord("q"), 1))] + [("b", 0x202041, 3)])
-    p = 2.0 ** -trees.bits.reshape(2, trees.a, trees.a, trees.a).astype(float)
-    size = [1] * (trees.a - 1) + [256 - (trees.a - 1)]
-    assert abs((p * size).sum(3) - 1).max() < 1e-4
+def ppm(train, text):
+    """Bits of a text by the definition: the longest context that was seen, and escapes from it."""
+    seen = {}
+    for t in train:
+        s = langid.symbols_of(t)
+        for i in range(langid.ORDER, len(s)):
+            for k in range(langid.ORDER + 1):
+                seen.setdefault(s[i - k : i], Counter())[s[i]] += 1
+    s, bits = langid.symbols_of(text), 0.0
+    for i in range(langid.ORDER, len(s)):
+        for k in range(langid.ORDER, -1, -1):
+            if (c := seen.get(s[i - k : i])) is None:
+                continue
+            whole = sum(c.values()) + len(c)
+            if s[i] in c:
+                bits -= math.log2(c[s[i]] / whole)
+                break
+            bits -= math.log2(len(c) / whole)
+        else:
+            bits += 8
+    return bits
+
+
+def test_code_lengths_by_brute_force(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null and lang is not null").orderBy("doc_id").limit(60).collect()
+    train = {x: [r.text[:1500] for r in rows[:40] if r.lang == x] for x in sorted({r.lang for r in rows[:40]})}
+    df = spark.createDataFrame([(i, t, x) for x, ts in train.items() for i, t in enumerate(ts)], "doc_id long, text string, lang string")
+    trees = langid.fit(df)
+    texts = [*[r.text[:800] for r in rows[40:]], "x", "Ünïcode 日本語 \x00\x01", "aaaa", train[trees.langs[0]][0]]
+    got = trees.code_lengths([langid.symbols_of(t) for t in texts])
+    for t, row in zip(texts, got, strict=True):
+        assert row.tolist() == pytest.approx([ppm(train[x], t) for x in trees.langs], rel=1e-4)
+
+
+def test_languages_that_can_be_told(spark, docs, empty, sf_dir):
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    trees = langid.fit(table)
+    clean = ["The cat and the dog.", "Das ist ein Haus", "el perro es", "Le chat est sur la table", "Of."]
+    junk = ["x\u4e2d\u6587\u5b57\u7b26\u6c49\u5b57", "a\x01\x02\x03\x04\x05\x06\x07", "12 34 -- ??", "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*clean, *junk])], "doc_id long, text string")
+    assert sorted(r.doc_id for r in langid.keep_identified(df, trees).collect()) == list(range(len(clean)))
+    assert langid.keep_identified(docs, trees).columns == docs.columns
+    assert langid.keep_identified(empty, trees).count() == langid.keep_identified(docs, langid.fit(empty)).count() == 0
+    kept = {r.doc_id for r in langid.keep_identified(table, trees).collect()}
+    assert all(r.doc_id in kept for r in table.collect() if r.text and sum(map(str.isalpha, r.text)) > len(r.text) / 2)
 
 
 # 9. LM scoring
 
 
-@pytest.mark.parametrize("head", [1 << 17, 4])
-def test_lm(spark, docs, empty, head, monkeypatch):
-    monkeypatch.setattr(lm, "HEAD", head)
+def test_lm(spark, docs, empty):
     train = [d for d in DOCS if zlib.crc32(str(d[0]).encode() if d[0] is not None else b"") % 7 != 2]
     from pyspark.sql import functions as F
 
-    df = docs.where(F.col("doc_id").isNull() | (langid.id_crc(F.col("doc_id"), 7) != 2))
-    model, counts, total, kinds = lm.train(df)
     c = Counter(w for d in train for w in [*lm.words_of(d[1]), b""])
-    assert (total, kinds) == (sum(c.values()), len(c))
-    rows = lm.score_texts(docs, model, counts, total, kinds).collect()
+    total, kinds = sum(c.values()), len(c)
+    rows = lm.score_texts(docs, langid.id_crc(F.col("doc_id"), 7) != 2).collect()
     got = Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in rows)
     want = Counter()
     for i, t, *_ in DOCS:
         w = [*lm.words_of(t), b""]
         want[i, len(w), sum(c[x] > 0 for x in w), total, round(sum(math.log10((c[x] + 1) / (total + kinds + 1)) for x in w), 6)] += 1
     assert got == want and all(r.score <= 0 for r in rows)
-    none = lm.train(empty)
-    assert {r.base_score for r in lm.score_texts(docs, *none).collect()} == {0.0}
-    assert lm.score_texts(empty, model, counts, total, kinds).count() == 0
-
-
-def test_automaton_is_a_distribution():
-    head = [(b"a", 50), (b"b", 30), (b"", 10), (b"c", 10)]
-    P, T = lm.PAIR, lm.TRIPLE
-    pairs = {0 * P + 1: 20, 0 * P + 0: 10, 1 * P + 2: 8, 2 * P + 0: 6}
-    triples = {(0 * T + 1) * T + 2: 5, (2 * T + 0) * T + 1: 3}
-    m = lm.Automaton(head, 100, 4, pairs, triples)
-    unknown = 10 ** -m.norm
-    for s in range(len(m.fail)):
-        total = sum(10 ** m.step(s, w)[0] for w in range(4)) + 10 ** m.drop[s] * unknown
-        assert total == pytest.approx(1, abs=1e-6), s
+    assert {(r.base_score, r.score) for r in lm.score_texts(docs, F.lit(False)).collect()} == {(0.0, 0.0)}
+    assert lm.score_texts(empty, F.lit(True)).count() == 0
 
 
 # 10. WARC
