@@ -4,76 +4,60 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import diffs, imports
 from ..operators import algorithms, conflicts, incremental, lookup, metrics, sessions, traverse, vectors
 from ..operators.index import SymbolIndex
 from ..schema import project_id
-from . import derived
-from .derived import SYMBOLS_SQL, TASKS_SQL, TIMELINE_SQL, graph_sql, table
+from . import building, derived  # noqa: F401  building registers its own queries
+from .derived import SYMBOLS_SQL, TASKS_SQL, TIMELINE_SQL, UNIQUE_SQL, table
+from .registry import ORACLES, QUERIES, query  # noqa: F401
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-#: Least quantities that make a dense, a middling and a sparse call graph.
-DENSE, MIDDLE, SPARSE = 40, 45, 48
 LAYERS = [("top", ["#1"]), ("mid", ["#2", "#3"]), ("low", ["#4", "#5"]), ("base", ["#"])]
 PATTERNS = ["P01_symbol_not_found", "P02_view_depth_flag", "P03_grep_wrong_flag", "P04_unsupported_file", "P08_windows_cmd_tools", "P20_list_empty"]
 
 
-def query(name: str, sql: str | None = None, q: int | None = None):
-    def add(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = (f"WITH RECURSIVE {graph_sql(q)}" if q else "") + sql
-        return f
-
-    return add
-
-
-def on_graph(name: str, q: int, f: Callable, sql: str | None = None) -> None:
-    query(name, sql, q)(lambda spark, d: f(derived.graph(spark, d, q)))
+def on_graph(name: str, f: Callable, sql: str | None = None) -> None:
+    query(name, sql, True)(lambda spark, d: f(derived.graph(spark, d)))
 
 
 # Aggregates.
-on_graph("hot_callees", DENSE, metrics.hot_callees, """
+on_graph("hot_callees", metrics.hot_callees, """
 SELECT d_name AS name, d_file AS file, d_label AS label, count(DISTINCT src_id) AS callers FROM ends GROUP BY ALL ORDER BY callers DESC, 1, 2, 3 LIMIT 20""")
-on_graph("module_coupling", DENSE, metrics.module_coupling, """
+on_graph("module_coupling", metrics.module_coupling, """
 , x AS (SELECT unnest([s_file, d_file]) AS file FROM ends WHERE s_file <> d_file)
 SELECT n.file, n.symbols, coalesce(c.coupling, 0) AS coupling FROM (SELECT file, count(*) AS symbols FROM nodes GROUP BY file) n
 LEFT JOIN (SELECT file, count(*) AS coupling FROM x GROUP BY file) c ON n.file = c.file""")
-on_graph("complexity_rank", DENSE, metrics.complexity_rank, """
+on_graph("complexity_rank", metrics.complexity_rank, """
 , i AS (SELECT dst_id, count(*) AS n FROM calls GROUP BY 1), o AS (SELECT src_id, count(*) AS n FROM calls GROUP BY 1)
 SELECT node_id, name, file, label, coalesce(i.n, 0) AS fan_in, coalesce(o.n, 0) AS fan_out, coalesce(i.n, 0) * coalesce(o.n, 0) AS score
 FROM nodes LEFT JOIN i ON node_id = dst_id LEFT JOIN o ON node_id = src_id WHERE label <> 'Module' AND (i.n > 0 OR o.n > 0) ORDER BY score DESC, fan_in DESC, node_id LIMIT 20""")
-on_graph("bottleneck_rank", DENSE, metrics.bottleneck_rank, """
+on_graph("bottleneck_rank", metrics.bottleneck_rank, """
 , i AS (SELECT dst_id, count(DISTINCT s_file) AS caller_files, min(s_file) AS caller_sample FROM ends WHERE s_file <> d_file GROUP BY 1),
 o AS (SELECT src_id, count(DISTINCT d_file) AS callee_files, min(d_file) AS callee_sample FROM ends WHERE s_file <> d_file GROUP BY 1)
 SELECT node_id, name, file, caller_files, caller_sample, callee_files, callee_sample, caller_files * callee_files AS score
 FROM nodes JOIN i ON node_id = dst_id JOIN o ON node_id = src_id ORDER BY score DESC, name, file, node_id LIMIT 10""")
-on_graph("unused_nodes", SPARSE, metrics.unused, """
+on_graph("unused_nodes", metrics.unused, """
 SELECT node_id, name, label, file, line FROM nodes n WHERE label <> 'Module' AND NOT starts_with(name, '__') AND NOT EXISTS (SELECT 1 FROM calls WHERE dst_id = node_id)""")
-on_graph("layer_violations", DENSE, lambda g: metrics.layer_violations(g, LAYERS, [("low", "mid")]), """
+on_graph("layer_violations", lambda g: metrics.layer_violations(g, LAYERS, [("low", "mid")]), """
 , l AS (SELECT *, CASE WHEN contains(s_file, '#1') THEN 0 WHEN contains(s_file, '#2') OR contains(s_file, '#3') THEN 1 WHEN contains(s_file, '#4') OR contains(s_file, '#5') THEN 2 WHEN contains(s_file, '#') THEN 3 END AS a,
   CASE WHEN contains(d_file, '#1') THEN 0 WHEN contains(d_file, '#2') OR contains(d_file, '#3') THEN 1 WHEN contains(d_file, '#4') OR contains(d_file, '#5') THEN 2 WHEN contains(d_file, '#') THEN 3 END AS b FROM ends)
 SELECT s_name, s_file, d_name, d_file, ['top', 'mid', 'low', 'base'][a + 1] AS from_layer, ['top', 'mid', 'low', 'base'][b + 1] AS to_layer, count(*) AS calls
 FROM l WHERE s_file <> d_file AND a > b AND NOT (a = 2 AND b = 1) GROUP BY ALL""")
 FILE = "Brand#7"
-on_graph("scope_exports", DENSE, lambda g: metrics.scope_exports(g, FILE), f"""
+on_graph("scope_exports", lambda g: metrics.scope_exports(g, FILE), f"""
 SELECT d_name AS name, d_label AS label, count(DISTINCT src_id) AS callers, array_to_string(list_sort(list(DISTINCT s_file))[1:3], ',') AS sample_files FROM ends WHERE d_file = '{FILE}' AND s_file <> '{FILE}' GROUP BY 1, 2""")
-on_graph("scope_imports", DENSE, lambda g: metrics.scope_imports(g, FILE), f"""
+on_graph("scope_imports", lambda g: metrics.scope_imports(g, FILE), f"""
 SELECT d_name AS name, d_file AS file, count(DISTINCT src_id) AS users FROM ends WHERE s_file = '{FILE}' AND d_file <> '{FILE}' GROUP BY 1, 2""")
-on_graph("scope_internal", SPARSE, lambda g: metrics.scope_internal(g, FILE), f"""
+on_graph("scope_internal", lambda g: metrics.scope_internal(g, FILE), f"""
 SELECT node_id, name, label, line FROM nodes WHERE file = '{FILE}' AND name NOT IN (SELECT d_name FROM ends WHERE (d_file = '{FILE}') <> (s_file = '{FILE}'))""")
-on_graph("scope_resolve", SPARSE, lambda g: metrics.resolve_file(g, "Brand#2"), """
+on_graph("scope_resolve", lambda g: metrics.resolve_file(g, "Brand#2"), """
 SELECT 0 AS stage, file FROM (SELECT DISTINCT file FROM nodes WHERE contains(file, 'Brand#2')) ORDER BY file LIMIT 10""")
-on_graph("graph_stats", MIDDLE, metrics.graph_stats, """
+on_graph("graph_stats", metrics.graph_stats, """
 SELECT 'nodes' AS what, count(*) AS total FROM nodes UNION ALL SELECT 'edges', count(*) FROM ends""")
-on_graph("label_histogram", SPARSE, metrics.label_histogram, "SELECT label, count(*) AS total FROM nodes GROUP BY label")
-on_graph("consistency", SPARSE, metrics.inconsistencies, """
+on_graph("label_histogram", metrics.label_histogram, "SELECT label, count(*) AS total FROM nodes GROUP BY label")
+on_graph("consistency", metrics.inconsistencies, """
 SELECT 'missing' AS what, count(*) AS total FROM nodes WHERE name IS NULL OR file IS NULL
 UNION ALL SELECT 'duplicates', count(*) FROM (SELECT 1 FROM nodes GROUP BY file, name HAVING count(*) > 1)""")
 
@@ -81,43 +65,43 @@ UNION ALL SELECT 'duplicates', count(*) FROM (SELECT 1 FROM nodes GROUP BY file,
 @query("changed_symbols", """
 , c AS (SELECT file, CASE WHEN file = 'Brand#4' THEN 'A' ELSE 'M' END AS status FROM (SELECT DISTINCT file FROM nodes) WHERE file IN ('Brand#4', 'Brand#9', 'Brand#11'))
 SELECT node_id, name, n.file, line, status = 'A' OR (n.file = 'Brand#9' AND (line BETWEEN 3 AND 9 OR line BETWEEN 20 AND 31)) AS direct,
-  (SELECT count(*) FROM calls WHERE dst_id = node_id) AS callers FROM nodes n JOIN c ON n.file = c.file""", DENSE)
+  (SELECT count(*) FROM calls WHERE dst_id = node_id) AS callers FROM nodes n JOIN c ON n.file = c.file""", True)
 def changed_symbols(spark, d):
     changes = spark.createDataFrame([("Brand#4", "A"), ("Brand#9", "M"), ("Brand#11", "M")], "file string, status string")
     hunks = spark.createDataFrame([("Brand#9", 3, 9), ("Brand#9", 20, 31)], "file string, lo int, hi int")
-    return metrics.changed_symbols(derived.graph(spark, d, DENSE), changes, hunks)
+    return metrics.changed_symbols(derived.graph(spark, d), changes, hunks)
 
 
 @query("last_commit", """
-SELECT o_orderkey::VARCHAR AS commit_hash, o_orderdate AS ts FROM orders o WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity >= 49) ORDER BY ts DESC, 1 LIMIT 1""")
+SELECT o_orderkey::VARCHAR AS commit_hash, o_orderdate AS ts FROM orders o WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey) ORDER BY ts DESC, 1 LIMIT 1""")
 def last_commit(spark, d):
     commits = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("commit_hash"), F.col("o_orderdate").alias("ts"))
-    links = table(spark, d, "lineitem").where("l_quantity >= 49").select(F.col("l_orderkey").cast("string").alias("dst_id"))
+    links = table(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("dst_id"))
     return metrics.last_commit(commits, links)
 
 
 # Lookups.
 RANK = "CASE label WHEN 'Function' THEN 0 WHEN 'Class' THEN 1 ELSE 2 END"
-on_graph("node_by_id", SPARSE, lambda g: lookup.node_by_id(g, "42").select(*lookup.BRIEF), "SELECT node_id, name, label, file, line FROM nodes WHERE node_id = '42'")
-on_graph("definition", MIDDLE, lambda g: lookup.definition(g, "red bolt", "Brand#1"), f"""
+on_graph("node_by_id", lambda g: lookup.node_by_id(g, "42").select(*lookup.BRIEF), "SELECT node_id, name, label, file, line FROM nodes WHERE node_id = '42'")
+on_graph("definition", lambda g: lookup.definition(g, "red bolt", "Brand#1"), f"""
 , b AS (SELECT * FROM nodes WHERE name = 'red bolt' AND contains(file, 'Brand#1') ORDER BY {RANK}, file, line, node_id LIMIT 1)
 SELECT b.node_id, b.name, b.label, b.file, b.line, e.dst_id AS callee_id, e.d_name AS callee, e.d_file AS callee_file FROM b LEFT JOIN ends e ON e.src_id = b.node_id""")
-on_graph("definition_homonyms", SPARSE, lambda g: lookup.homonyms(g, "red bolt"), "SELECT node_id, name, label, file, line FROM nodes WHERE name = 'red bolt' AND (SELECT count(*) FROM nodes WHERE name = 'red bolt') > 1")
-on_graph("definition_by_name", MIDDLE, lambda g: lookup.definition_by_name(g, "red bolt"), "SELECT DISTINCT d_name AS callee, d_file AS callee_file FROM ends WHERE s_name = 'red bolt'")
-on_graph("definition_fallback", SPARSE, lambda g: lookup.definition_fallback(g, "red.red bolt"), "SELECT 1 AS stage, name, file, label, line FROM nodes WHERE name = 'red bolt' AND parent = 'red'")
-on_graph("definition_suggest", SPARSE, lambda g: lookup.definition_fallback(g, "Cls.olt"), """
+on_graph("definition_homonyms", lambda g: lookup.homonyms(g, "red bolt"), "SELECT node_id, name, label, file, line FROM nodes WHERE name = 'red bolt' AND (SELECT count(*) FROM nodes WHERE name = 'red bolt') > 1")
+on_graph("definition_by_name", lambda g: lookup.definition_by_name(g, "red bolt"), "SELECT DISTINCT d_name AS callee, d_file AS callee_file FROM ends WHERE s_name = 'red bolt'")
+on_graph("definition_fallback", lambda g: lookup.definition_fallback(g, "red.red bolt"), "SELECT 1 AS stage, name, file, label, line FROM nodes WHERE name = 'red bolt' AND parent = 'red'")
+on_graph("definition_suggest", lambda g: lookup.definition_fallback(g, "Cls.olt"), """
 SELECT 3 AS stage, name, file, label, NULL::INTEGER AS line FROM (SELECT DISTINCT name, file, label FROM nodes WHERE contains(lower(name), 'olt') ORDER BY length(name), name, file, label LIMIT 5)""")
 LOOKUP = """, b AS (SELECT *, {how} AS via FROM nodes WHERE {cond} ORDER BY {order}{rank}, file, line, node_id LIMIT 1)
 SELECT node_id, name, label, file, line, via, (SELECT count(*) FROM calls WHERE dst_id = node_id) AS callers,
   coalesce((SELECT array_to_string(list_sort(list(DISTINCT d_name))[1:5], ',') FROM ends WHERE src_id = node_id), '') AS callees FROM b"""
-on_graph("lookup_exact", MIDDLE, lambda g: lookup.lookup(g, "hot gear"), LOOKUP.format(how="'exact'", cond="name = 'hot gear'", order="", rank=RANK))
-on_graph("lookup_partial", MIDDLE, lambda g: lookup.lookup(g, "Gear"), LOOKUP.format(how="'partial'", cond="contains(lower(name), 'gear')", order="length(name), ", rank=RANK))
-on_graph("lookup_dotted", MIDDLE, lambda g: lookup.lookup(g, "hot.hot gear"), LOOKUP.format(how="'dotted'", cond="name = 'hot gear' AND parent = 'hot'", order="", rank=RANK))
+on_graph("lookup_exact", lambda g: lookup.lookup(g, "hot gear"), LOOKUP.format(how="'exact'", cond="name = 'hot gear'", order="", rank=RANK))
+on_graph("lookup_partial", lambda g: lookup.lookup(g, "Gear"), LOOKUP.format(how="'partial'", cond="contains(lower(name), 'gear')", order="length(name), ", rank=RANK))
+on_graph("lookup_dotted", lambda g: lookup.lookup(g, "hot.hot gear"), LOOKUP.format(how="'dotted'", cond="name = 'hot gear' AND parent = 'hot'", order="", rank=RANK))
 SNIPPET = """CASE WHEN position(lower(term) IN lower(docstring)) > 0 THEN docstring ELSE '' END"""
-on_graph("grep_symbols", SPARSE, lambda g: lookup.grep(g, "def BOLT", label="function", top=25), f"""
+on_graph("grep_symbols", lambda g: lookup.grep(g, "def BOLT", label="function", top=25), f"""
 , h AS (SELECT *, CASE WHEN contains(lower(name), 'bolt') THEN 0 ELSE 1 END AS rank, 'BOLT' AS term FROM nodes WHERE label = 'Function' AND (contains(lower(name), 'bolt') OR contains(lower(docstring), 'bolt')) ORDER BY rank, file, line, node_id LIMIT 25)
 SELECT node_id, name, label, file, line, rank, {SNIPPET} AS snippet FROM h QUALIFY row_number() OVER (PARTITION BY file, name, line ORDER BY rank, node_id) = 1""")
-on_graph("grep_alternation", SPARSE, lambda g: lookup.grep(g, "gizmo|promo", top=15), f"""
+on_graph("grep_alternation", lambda g: lookup.grep(g, "gizmo|promo", top=15), f"""
 , a(alt, term) AS (VALUES (0, 'gizmo'), (1, 'promo')),
 h AS (SELECT n.*, alt, term, CASE WHEN contains(lower(name), term) THEN 0 ELSE 1 END AS rank FROM nodes n, a WHERE contains(lower(name), term) OR contains(lower(docstring), term)),
 t AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY alt ORDER BY rank, file, line, node_id) <= 15)
@@ -126,13 +110,13 @@ SELECT node_id, name, label, file, line, rank, {SNIPPET} AS snippet FROM t QUALI
 
 @query("grep_snippet", r"""
 SELECT doc_id, CASE WHEN p = 0 THEN '' ELSE CASE WHEN p > 41 THEN '...' ELSE '' END || replace(substr(text, greatest(1, p - 40)::INT, (least(length(text), p + 43) - greatest(1, p - 40) + 1)::INT), chr(10), ' ')
-  || CASE WHEN p + 43 < length(text) THEN '...' ELSE '' END END AS snippet FROM (SELECT doc_id, text, position('tion' IN lower(text)) AS p FROM documents WHERE lang = 'en')""")
+  || CASE WHEN p + 43 < length(text) THEN '...' ELSE '' END END AS snippet FROM (SELECT doc_id, text, position('tion' IN lower(text)) AS p FROM documents)""")
 def grep_snippet(spark, d):
-    docs = table(spark, d, "documents").where("lang = 'en'")
+    docs = table(spark, d, "documents")
     return docs.select("doc_id", lookup.snippet(F.col("text"), F.lit("tion")).alias("snippet"))
 
 
-on_graph("list_by_file", SPARSE, lambda g: lookup.list_symbols(g, "Brand#1", "class"), """
+on_graph("list_by_file", lambda g: lookup.list_symbols(g, "Brand#1", "class"), """
 SELECT node_id, name, label, file, line, count(*) OVER (PARTITION BY file) AS in_file FROM nodes WHERE contains(file, 'Brand#1') AND label = 'Class'""")
 
 
@@ -144,11 +128,11 @@ def view_window(spark, d):
     return lookup.view_window(lines, "nosuchname", 3, context=1)
 
 
-on_graph("orient_terms", SPARSE, lambda g: lookup.orient(g, "Where does the Bolt handle widget and ring_gear and gizmo for Gear"), """
+on_graph("orient_terms", lambda g: lookup.orient(g, "Where does the Bolt handle widget and ring_gear and gizmo for Gear"), """
 , t(term) AS (VALUES ('Bolt'), ('Gear'), ('widget'), ('ring_gear'), ('gizmo')),
 h AS (SELECT term, n.* FROM nodes n, t WHERE label NOT IN ('File', 'Module') AND contains(lower(name), lower(term)))
 SELECT term, node_id, name, label, file, line FROM h QUALIFY row_number() OVER (PARTITION BY term ORDER BY CASE WHEN lower(name) = lower(term) THEN 0 ELSE 1 END, file, line, node_id) <= 6""")
-on_graph("callers", MIDDLE, lambda g: lookup.callers(g, "red bolt"), "SELECT node_id, name, label, file, line FROM nodes WHERE node_id IN (SELECT src_id FROM ends WHERE d_name = 'red bolt')")
+on_graph("callers", lambda g: lookup.callers(g, "red bolt"), "SELECT node_id, name, label, file, line FROM nodes WHERE node_id IN (SELECT src_id FROM ends WHERE d_name = 'red bolt')")
 
 # Traversal.
 START = f"s AS (SELECT node_id FROM nodes WHERE name = '{{name}}' ORDER BY {RANK}, file, line, node_id LIMIT 1)"
@@ -162,50 +146,50 @@ def walk(k: int, way: tuple[str, str] = DOWN, name: str = "red bolt") -> str:
     return WALK.format(k=k, to=way[0], frm=way[1], name=name)
 
 
-on_graph("neighbors_2", MIDDLE, lambda g: traverse.neighbors(g, "42", 2, 100_000), """
+on_graph("neighbors_2", lambda g: traverse.neighbors(g, "42", 2, 100_000), """
 , r(node_id, depth) AS (SELECT '42', 0 UNION SELECT dst_id, depth + 1 FROM r JOIN calls ON src_id = r.node_id WHERE depth < 2)
 SELECT node_id, name, label, file, line FROM nodes WHERE node_id IN (SELECT node_id FROM r WHERE depth > 0)""")
-on_graph("bounded_subgraph_nodes", MIDDLE, lambda g: traverse.subgraph_nodes(g, traverse.start_of(g, "red bolt"), 6), walk(6) + "SELECT node_id, name, label, file, line, docstring, depth, depth = 0 AS is_root FROM m JOIN nodes USING (node_id)")
-on_graph("bounded_subgraph_edges", MIDDLE, lambda g: traverse.induced_edges(g, traverse.subgraph_nodes(g, traverse.start_of(g, "red bolt"), 5)), walk(5) + "SELECT src_id, dst_id FROM calls WHERE src_id IN (SELECT node_id FROM m) AND dst_id IN (SELECT node_id FROM m)")
-on_graph("subgraph_edges_by_name", MIDDLE, lambda g: traverse.by_name(g, traverse.induced_edges(g, traverse.subgraph_nodes(g, traverse.start_of(g, "red bolt"), 3))), walk(3) + "SELECT DISTINCT s_name AS src, d_name AS dst FROM ends WHERE src_id IN (SELECT node_id FROM m) AND dst_id IN (SELECT node_id FROM m)")
-on_graph("impact_by_depth", MIDDLE, lambda g: traverse.impact_by_depth(g, IMPACT, 5), walk(5, UP, IMPACT) + f"SELECT node_id, name, file, depth FROM m JOIN nodes USING (node_id) WHERE depth > 0 AND name <> '{IMPACT}'")
-on_graph("token_estimate", MIDDLE, lambda g: traverse.token_estimate(traverse.subgraph_nodes(g, traverse.start_of(g, "red bolt"), 5)), walk(5) + "SELECT (sum(length(name) + length(file) + 30) // 4)::BIGINT AS tokens FROM m JOIN nodes USING (node_id)")
+on_graph("bounded_subgraph_nodes", lambda g: traverse.subgraph_nodes(g, traverse.start_of(g, "red bolt"), 6), walk(6) + "SELECT node_id, name, label, file, line, docstring, depth, depth = 0 AS is_root FROM m JOIN nodes USING (node_id)")
+on_graph("bounded_subgraph_edges", lambda g: traverse.induced_edges(g, traverse.subgraph_nodes(g, traverse.start_of(g, "red bolt"), 5)), walk(5) + "SELECT src_id, dst_id FROM calls WHERE src_id IN (SELECT node_id FROM m) AND dst_id IN (SELECT node_id FROM m)")
+on_graph("subgraph_edges_by_name", lambda g: traverse.by_name(g, traverse.induced_edges(g, traverse.subgraph_nodes(g, traverse.start_of(g, "red bolt"), 3))), walk(3) + "SELECT DISTINCT s_name AS src, d_name AS dst FROM ends WHERE src_id IN (SELECT node_id FROM m) AND dst_id IN (SELECT node_id FROM m)")
+on_graph("impact_by_depth", lambda g: traverse.impact_by_depth(g, IMPACT, 5), walk(5, UP, IMPACT) + f"SELECT node_id, name, file, depth FROM m JOIN nodes USING (node_id) WHERE depth > 0 AND name <> '{IMPACT}'")
+on_graph("token_estimate", lambda g: traverse.token_estimate(traverse.subgraph_nodes(g, traverse.start_of(g, "red bolt"), 5)), walk(5) + "SELECT (sum(length(name) + length(file) + 30) // 4)::BIGINT AS tokens FROM m JOIN nodes USING (node_id)")
 
 
 @query("shortest_path_hops", """
 , r(node_id, depth) AS (SELECT node_id, 0 FROM nodes WHERE name = 'red bolt' UNION SELECT dst_id, depth + 1 FROM r JOIN calls ON src_id = r.node_id WHERE depth < 12)
-SELECT min(depth) AS hops FROM r JOIN nodes USING (node_id) WHERE name = 'blue gizmo'""", MIDDLE)
+SELECT min(depth) AS hops FROM r JOIN nodes USING (node_id) WHERE name = 'blue gizmo'""", True)
 def shortest_path_hops(spark, d):
-    return traverse.shortest_path(derived.graph(spark, d, MIDDLE), "red bolt", "blue gizmo").agg(F.max("hop").alias("hops"))
+    return traverse.shortest_path(derived.graph(spark, d), "red bolt", "blue gizmo").agg(F.max("hop").alias("hops"))
 
 
 # Algorithms.
 @query("scc_groups", """
 , t(a, b) AS (SELECT src_id, dst_id FROM calls UNION SELECT a, dst_id FROM t JOIN calls ON src_id = b),
 p AS (SELECT x.a, x.b FROM t x JOIN t y ON x.a = y.b AND x.b = y.a WHERE x.a <> x.b)
-SELECT a AS node_id, least(a, min(b)) AS component FROM p GROUP BY a""", SPARSE)
+SELECT a AS node_id, least(a, min(b)) AS component FROM p GROUP BY a""", True)
 def scc_groups(spark, d):
-    return algorithms.scc(derived.graph(spark, d, SPARSE).calls())
+    return algorithms.scc(derived.graph(spark, d).calls())
 
 
 @query("cycle_report", """
 , t(a, b) AS (SELECT src_id, dst_id FROM calls UNION SELECT a, dst_id FROM t JOIN calls ON src_id = b),
 p AS (SELECT x.a, x.b FROM t x JOIN t y ON x.a = y.b AND x.b = y.a WHERE x.a <> x.b),
 g AS (SELECT a, least(a, min(b)) AS representative FROM p GROUP BY a)
-SELECT representative, array_to_string(list_sort(list(a)), ',') AS members, count(*) AS size FROM g GROUP BY representative""", SPARSE)
+SELECT representative, array_to_string(list_sort(list(a)), ',') AS members, count(*) AS size FROM g GROUP BY representative""", True)
 def cycle_report(spark, d):
-    g = derived.graph(spark, d, SPARSE)
+    g = derived.graph(spark, d)
     return algorithms.cycle_groups(g.nodes, g.calls()).select("representative", F.array_join("members", ",").alias("members"), "size")
 
 
 @query("bridge_compression")
 def bridge_compression(spark, d):
     """Bridges of the subgraphs around several nodes, all at once."""
-    g = derived.graph(spark, d, SPARSE)
+    g = derived.graph(spark, d)
     out = None
     for name in ("red bolt", "hot gear", "blue gizmo"):
         root = traverse.start_of(g, name)
-        nodes = traverse.subgraph_nodes(g, root, 6)
+        nodes = traverse.subgraph_nodes(g, root, 2)
         root_id = F.lit(root.first()["node_id"] if root.first() else "")
         n = nodes.select(F.lit(name).alias("graph"), root_id.alias("root"), F.lit("node").alias("kind"), F.col("node_id").alias("a"), F.lit(None).cast("string").alias("b"), (F.col("depth") * 1_000_000).cast("long").alias("ord"))
         e = traverse.induced_edges(g, nodes).select(F.lit(name), root_id, F.lit("edge"), "src_id", "dst_id", F.lit(0).cast("long"))
@@ -238,9 +222,9 @@ def structural_change(spark, d):
 
 @query("edge_upsert", """
 , e AS (SELECT src_id, dst_id, s_label, 'Function' AS d_label FROM ends UNION SELECT src_id, 'none', s_label, 'Function' FROM ends)
-SELECT DISTINCT e.src_id, e.dst_id FROM e JOIN nodes d ON d.node_id = e.dst_id AND d.label = e.d_label""", MIDDLE)
+SELECT DISTINCT e.src_id, e.dst_id FROM e JOIN nodes d ON d.node_id = e.dst_id AND d.label = e.d_label""", True)
 def edge_upsert(spark, d):
-    g = derived.graph(spark, d, MIDDLE)
+    g = derived.graph(spark, d)
     e = g.edges.join(g.nodes.select(F.col("node_id").alias("src_id"), F.col("label").alias("src_label")), "src_id").withColumn("dst_label", F.lit("Function"))
     return incremental.valid_edges(g.nodes, e.unionByName(e.withColumn("dst_id", F.lit("none")))).select("src_id", "dst_id")
 
@@ -252,7 +236,7 @@ def conflicts_direct(spark, d):
     return conflicts.direct_conflicts(derived.tasks(spark, d)).withColumn("symbols", F.array_join("symbols", ","))
 
 
-CLOSURE_SQL = f"""WITH RECURSIVE {TASKS_SQL}, {SYMBOLS_SQL},
+CLOSURE_SQL = f"""WITH RECURSIVE {TASKS_SQL}, {UNIQUE_SQL},
 f AS (SELECT name, coalesce((SELECT arg_max(file, ord) FROM symbols q WHERE q.qualified_name = n.name), (SELECT arg_min(file, ord) FROM symbols q WHERE q.name = n.name)) AS file FROM (SELECT name FROM symbols UNION SELECT qualified_name FROM symbols) n),
 step AS (SELECT DISTINCT f.name, s.name AS dep FROM f JOIN symbols s ON s.file = f.file AND s.type = 'import'),
 c(name, dep) AS (SELECT step.name, dep FROM step JOIN (SELECT DISTINCT symbol FROM targets) w ON w.symbol = step.name UNION SELECT c.name, step.dep FROM c JOIN step ON step.name = c.dep)"""
@@ -260,7 +244,7 @@ c(name, dep) AS (SELECT step.name, dep FROM step JOIN (SELECT DISTINCT symbol FR
 
 def _closure(spark, d):
     t = derived.tasks(spark, d)
-    return t, conflicts.dependency_closure(derived.symbols(spark, d), conflicts.targets(t).select(F.col("symbol").alias("name")))
+    return t, conflicts.dependency_closure(derived.unique_symbols(spark, d), conflicts.targets(t).select(F.col("symbol").alias("name")))
 
 
 @query("dependency_closure", CLOSURE_SQL + " SELECT name, dep FROM c")
@@ -274,6 +258,15 @@ def conflicts_dependency(spark, d):
     return conflicts.dependency_conflicts(*_closure(spark, d)).withColumn("symbols", F.array_join("symbols", ","))
 
 
+@query("conflict_report", CLOSURE_SQL + """
+, k AS (SELECT 'direct' AS kind, count(*) AS conflicts FROM (SELECT DISTINCT a.task, b.task FROM targets a JOIN targets b ON a.symbol = b.symbol AND a.task < b.task)
+  UNION ALL SELECT 'dependency', count(*) FROM (SELECT DISTINCT a.task, b.task FROM targets a JOIN c ON c.name = a.symbol JOIN targets b ON b.symbol = c.dep WHERE a.task <> b.task)
+  UNION ALL SELECT 'circular', count(*) FROM (SELECT DISTINCT a.task FROM targets a JOIN c ON c.name = a.symbol JOIN targets b ON b.symbol = c.dep AND b.task = a.task))
+SELECT kind, conflicts FROM k UNION ALL SELECT 'feasible', (sum(conflicts) = 0)::BIGINT FROM k""")
+def conflict_report(spark, d):
+    return conflicts.report(derived.tasks(spark, d), derived.unique_symbols(spark, d))
+
+
 @query("conflicts_circular", CLOSURE_SQL + """
 SELECT a.task, array_to_string(list_sort(list(DISTINCT a.symbol)), ',') AS symbols FROM targets a JOIN c ON c.name = a.symbol JOIN targets b ON b.symbol = c.dep AND b.task = a.task GROUP BY 1""")
 def conflicts_circular(spark, d):
@@ -291,6 +284,30 @@ def index_by_qualified_name(spark, d):
     return SymbolIndex(derived.symbols(spark, d)).get_by_qualified_name("red.red bolt").select("ord", "name", "file")
 
 
+@query("index_by_name", f"WITH {SYMBOLS_SQL} SELECT ord, name, file FROM symbols WHERE name = 'hot gear'")
+def index_by_name(spark, d):
+    return SymbolIndex(derived.symbols(spark, d)).get_by_name("hot gear").select("ord", "name", "file")
+
+
+@query("index_by_file", f"WITH {SYMBOLS_SQL} SELECT ord, name, file FROM symbols WHERE file = 'Brand#7/3'")
+def index_by_file(spark, d):
+    return SymbolIndex(derived.symbols(spark, d)).get_by_file("Brand#7/3").select("ord", "name", "file")
+
+
+@query("index_of_type", f"WITH {SYMBOLS_SQL} SELECT ord, name, file FROM symbols WHERE type = 'import'")
+def index_of_type(spark, d):
+    return SymbolIndex(derived.symbols(spark, d)).of_type("import").select("ord", "name", "file")
+
+
+@query("index_add_and_remove", f"""
+WITH {SYMBOLS_SQL}, two AS (SELECT *, ord AS o FROM symbols UNION ALL SELECT *, ord + (SELECT max(ord) FROM symbols) + 1 FROM symbols WHERE type = 'class'), i AS (SELECT *, concat_ws(':', type, file, line, name) AS node_id FROM two)
+SELECT o AS ord, node_id FROM i WHERE node_id <> (SELECT node_id FROM i WHERE o = 3)""")
+def index_add_and_remove(spark, d):
+    s = derived.symbols(spark, d)
+    index = SymbolIndex(s).add_all(s.where("type = 'class'"))
+    return index.remove(index.symbols.where("ord = 3").first()["node_id"])[0].symbols.select("ord", "node_id")
+
+
 @query("index_duplicates", f"WITH {SYMBOLS_SQL} SELECT name, count(*) AS n, arg_min(concat_ws(':', type, file, line, name), ord) AS first_id FROM symbols GROUP BY name HAVING count(*) > 1")
 def index_duplicates(spark, d):
     return SymbolIndex(derived.symbols(spark, d)).duplicates()
@@ -322,15 +339,21 @@ def knn_l2(spark, d):
 
 
 @query("knn_batch", """
-WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id IN (3, 7, 11, 19)),
+WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 20 = 0),
 s AS (SELECT query_id, vec_id, list_sum(list_transform(list_zip(embedding, e), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE))) AS d FROM embeddings, q)
 SELECT query_id, (row_number() OVER w)::INTEGER AS rank, vec_id, round(d, 6) AS distance, round(1 / (1 + d), 6) AS score FROM s WINDOW w AS (PARTITION BY query_id ORDER BY d, vec_id) QUALIFY row_number() OVER w <= 5""")
 def knn_batch(spark, d):
     v = table(spark, d, "embeddings")
-    q = v.where(F.col("vec_id").isin(3, 7, 11, 19)).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     return vectors.nearest_of_each(v, q, 5, "vec_id").select("query_id", "rank", "vec_id", F.round("distance", 6).alias("distance"), F.round("score", 6).alias("score"))
 
 
+@query("embedding_text", f"""
+WITH {SYMBOLS_SQL} SELECT ord, concat_ws(' ', name, 'type: ' || type, docstring, 'parent: ' || parent) AS text FROM symbols""")
+def embedding_text(spark, d):
+    return derived.symbols(spark, d).select("ord", vectors.embedding_text().alias("text"))
+
+
 @query("lexical_search", f"""
 WITH {SYMBOLS_SQL} SELECT ord, name, CASE WHEN lower(name) = 'red bolt' THEN 1.0 WHEN contains(lower(name), 'red bolt') THEN 0.8 ELSE 0.5 END::DOUBLE AS score FROM symbols
 WHERE contains(lower(name), 'red bolt') OR contains(lower(docstring), 'red bolt') ORDER BY score DESC, ord LIMIT 30""")
@@ -385,12 +408,12 @@ def batch_trend(spark, d):
 
 @query("batch_gap_commits", """
 WITH b AS (SELECT strftime(ts, '%m-%d') AS batch, min(ts) AS begin FROM events GROUP BY 1), g AS (SELECT batch, begin AS lo, lead(begin) OVER (ORDER BY begin) AS hi, lead(batch) OVER (ORDER BY begin) AS next_batch FROM b),
-c AS (SELECT event_id::VARCHAR AS commit_hash, ts, event_type AS message FROM events WHERE value > 90)
+c AS (SELECT event_id::VARCHAR AS commit_hash, ts, event_type AS message FROM events)
 SELECT batch, next_batch, commit_hash, ts, CASE WHEN contains(message, 'err') THEN 'P01' WHEN contains(message, 'c') THEN 'P02' END AS pattern FROM c JOIN g ON ts > lo AND ts <= hi""")
 def batch_gap_commits(spark, d):
     e = table(spark, d, "events")
     batches = e.groupBy(F.date_format("ts", "MM-dd").alias("batch")).agg(F.min("ts").alias("begin"))
-    commits = e.where("value > 90").select(F.col("event_id").cast("string").alias("commit_hash"), "ts", F.col("event_type").alias("message"))
+    commits = e.select(F.col("event_id").cast("string").alias("commit_hash"), "ts", F.col("event_type").alias("message"))
     return sessions.batch_gap_commits(batches, commits, {"err": "P01", "c": "P02"})
 
 

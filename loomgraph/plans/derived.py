@@ -18,7 +18,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def graph(spark: SparkSession, sf_dir: str, least_quantity: int) -> PropertyGraph:
+def graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     p = table(spark, sf_dir, "part")
     label = F.element_at(F.create_map(*[F.lit(x) for kv in LABELS.items() for x in kv]), F.col("p_type"))
     nodes = p.select(
@@ -26,18 +26,15 @@ def graph(spark: SparkSession, sf_dir: str, least_quantity: int) -> PropertyGrap
         F.col("p_size").alias("line"), F.concat_ws(" ", "p_type", "p_brand", "p_name").alias("docstring"), F.substring_index("p_name", " ", 1).alias("parent"),
     )
     items = table(spark, sf_dir, "lineitem")
-    a = items.where(F.col("l_quantity") >= least_quantity).select("l_orderkey", F.col("l_partkey").cast("string").alias("src_id"), (F.col("l_linenumber") + 1).alias("l_linenumber"))
+    a = items.select("l_orderkey", F.col("l_partkey").cast("string").alias("src_id"), (F.col("l_linenumber") + 1).alias("l_linenumber"))
     b = items.select("l_orderkey", F.col("l_partkey").cast("string").alias("dst_id"), "l_linenumber")
     calls = a.join(b, ["l_orderkey", "l_linenumber"]).select("src_id", "dst_id").distinct()
     return PropertyGraph(nodes, calls.withColumn("type", F.lit("CALLS")))
 
 
-def graph_sql(least_quantity: int) -> str:
-    labels = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in LABELS.items())
-    return f"""nodes AS (SELECT p_partkey::VARCHAR AS node_id, CASE p_type {labels} END AS label, p_name AS name, p_brand AS file, p_size AS line,
+GRAPH_SQL = f"""nodes AS (SELECT p_partkey::VARCHAR AS node_id, CASE p_type {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in LABELS.items())} END AS label, p_name AS name, p_brand AS file, p_size AS line,
   p_type || ' ' || p_brand || ' ' || p_name AS docstring, split_part(p_name, ' ', 1) AS parent FROM part),
-calls AS (SELECT DISTINCT a.l_partkey::VARCHAR AS src_id, b.l_partkey::VARCHAR AS dst_id FROM lineitem a JOIN lineitem b
-  ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_quantity >= {least_quantity}),
+calls AS (SELECT DISTINCT a.l_partkey::VARCHAR AS src_id, b.l_partkey::VARCHAR AS dst_id FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1),
 ends AS (SELECT c.src_id, c.dst_id, s.name AS s_name, s.file AS s_file, s.label AS s_label, d.name AS d_name, d.file AS d_file, d.label AS d_label
   FROM calls c JOIN nodes s ON s.node_id = c.src_id JOIN nodes d ON d.node_id = c.dst_id)"""
 
@@ -70,16 +67,13 @@ hits AS (SELECT session, turn, unnest(list_filter([
 
 
 def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers with few orders are tasks, whose targets are the brands of the parts of their first lines."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").where("o_custkey <= 60")
-    i = table(spark, sf_dir, "lineitem").where("l_linenumber = 1 and l_quantity >= 40").select("l_orderkey", "l_partkey")
-    p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("symbol"))
-    rows = o.join(i, o.o_orderkey == i.l_orderkey).join(p, i.l_partkey == p.p_partkey)
-    return rows.groupBy(F.col("o_custkey").alias("id")).agg(F.array_sort(F.collect_set("symbol")).alias("target_symbols"))
+    """Suppliers are tasks, whose targets are the parts of all their lines, under names of their own."""
+    i = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey")
+    p = table(spark, sf_dir, "part").select("p_partkey", F.expr("concat_ws(' ', p_name, p_partkey)").alias("symbol"))
+    return i.join(p, i.l_partkey == p.p_partkey).groupBy(F.col("l_suppkey").alias("id")).agg(F.array_sort(F.collect_set("symbol")).alias("target_symbols"))
 
 
-TASKS_SQL = """targets AS (SELECT DISTINCT o_custkey AS task, p_name AS symbol FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey
-  WHERE o_custkey <= 60 AND l_linenumber = 1 AND l_quantity >= 40)"""
+TASKS_SQL = """targets AS (SELECT DISTINCT l_suppkey AS task, p_name || ' ' || p_partkey AS symbol FROM lineitem JOIN part ON l_partkey = p_partkey)"""
 
 
 def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,3 +89,12 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 SYMBOLS_SQL = """symbols AS (SELECT p_partkey AS ord, p_name AS name, split_part(p_name, ' ', 1) || '.' || p_name AS qualified_name,
   CASE WHEN p_type = 'ECONOMY' AND p_size <= 5 THEN 'import' WHEN p_type = 'MEDIUM' THEN 'class' ELSE 'function' END AS type,
   p_brand || '/' || p_size % 4 AS file, p_size AS line, p_type AS docstring, split_part(p_name, ' ', 1) AS parent FROM part)"""
+
+
+def unique_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same symbols under names of their own."""
+    own = F.concat_ws(" ", "name", F.col("ord").cast("string"))
+    return symbols(spark, sf_dir).withColumn("name", own).withColumn("qualified_name", F.concat_ws(".", "parent", "name"))
+
+
+UNIQUE_SQL = SYMBOLS_SQL.replace("p_name AS name", "p_name || ' ' || p_partkey AS name").replace("|| '.' || p_name AS", "|| '.' || p_name || ' ' || p_partkey AS")
