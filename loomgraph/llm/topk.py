@@ -41,8 +41,8 @@ def pivot_distances(v: np.ndarray, lift: np.ndarray, pivots: np.ndarray, pivot_l
     return np.sqrt(np.maximum(square + (lift[:, None] - pivot_lift[None, :]) ** 2, 0))
 
 
-def search_block(q_ids, q, c_ids, c, top, k, pivots, pivot_lift) -> list[tuple[int, int, int]]:
-    """(query, candidate, score) of each query's k best in this block; ties go to the smaller id."""
+def search_block(q_ids, q, c_ids, c, top, k, pivots, pivot_lift, scored: list[int] | None = None) -> list[tuple[int, int, int]]:
+    """(query, candidate, score) of each query's k best in this block; ties go to the smaller id. scored gets the number of candidates that were not eliminated."""
     peak = max(np.abs(q).max(initial=0), np.abs(c).max(initial=0))
     exact = float(peak) ** 2 * max(1, q.shape[1]) < 2**53
     qf, cf = q.astype(float), c.astype(float)
@@ -62,6 +62,8 @@ def search_block(q_ids, q, c_ids, c, top, k, pivots, pivot_lift) -> list[tuple[i
             take = min(step, len(left))
             part = np.argpartition(-bound[left], take - 1)[:take] if take < len(left) else np.arange(len(left))
             now = left[part]
+            if scored is not None:
+                scored.append(take)
             got = (cf[now] @ qf[i]).astype(np.int64) if exact else np.array([sum(int(a) * int(b) for a, b in zip(r, q[i], strict=True)) for r in c[now]], np.int64)
             own = c_ids[now] != q_ids[i]
             ids, scores = np.concatenate([ids, c_ids[now][own]]), np.concatenate([scores, got[own]])
@@ -84,7 +86,8 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, id:
     - Rows with a null id, a null vector or a component that is null or not finite take no part; vectors meet only
       others of their own length, and empty ones score 0.
     - Rows that repeat an id are candidates of their own, and a repeated query is asked once. An empty table gives an empty result.
-    - Pivots are a fixed number of vectors of each length, in the order of a hash of their id: they affect speed only.
+    - Pivots are a fixed number of vectors of each length, in the order of a hash of their id: they affect speed only, and
+      how much they eliminate depends on how the vectors cluster. Very long vectors and columns of any name make no difference.
     """
     spark = vectors.sparkSession
     bounded_batches(spark)

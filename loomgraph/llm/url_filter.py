@@ -120,7 +120,8 @@ def filter_urls(pages: DataFrame, host_rules=HOST_RULES, patterns=PATTERNS, id:
 
     - A null url, or one without ``://``, has an empty host and path, no rule, and the patterns' verdict.
     - The longest host rule wins, ties to the longer host; where none fits, exceptions beat blocks, and the rest is allowed.
-    - Repeated rows are judged one by one; very long URLs whole. Other columns are not read.
+    - Repeated rows are judged one by one; very long URLs whole. An empty table gives an empty result.
+    - Other columns are not read, whatever their names.
     """
     bounded_batches(pages.sparkSession)
     rules = [host_rule(*r) for r in host_rules] + [pattern_rule(p) for p in patterns]

@@ -192,7 +192,10 @@ def archive_pages(pages: DataFrame, folder: str | None = None, id: str = "page_i
     - A null html is an empty payload. Of equal payloads of 100 bytes or more the smallest id is a response and the
       others revisit it; smaller payloads are all responses.
     - A null id comes after all others; rows that repeat the smallest id of their group are all responses.
-    - Payloads are equal when their SHA-256 and length are. An empty table gives an empty index.
+    - Payloads are equal when their SHA-256 and length are. An empty table gives an empty index. Very long payloads have
+      a frame of their own. Other columns are not read, whatever their names.
+    - A record's identifier is made of the page's id, so rows that repeat an id, or have none, share one: the index has a
+      row for each of them, with the place of its own record.
     """
     spark = pages.sparkSession
     bounded_batches(spark)

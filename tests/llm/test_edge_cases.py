@@ -252,6 +252,25 @@ def test_topk(spark, block, monkeypatch):
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def test_pivots_eliminate_in_clusters():
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    centres = r.normal(0, 300, (30, 16))
+    v = np.floor(centres[r.integers(0, 30, 3000)] + r.normal(0, 8, (3000, 16))).astype(np.int64)
+    ids, f = np.arange(3000), v.astype(float)
+    top, pivots = float((f * f).sum(1).max()), f[:24]
+    lift = np.sqrt(top - (pivots * pivots).sum(1))
+    scored: list[int] = []
+    got = topk.search_block(ids[:60], v[:60], ids, v, top, 5, pivots, lift, scored)
+    for q in range(60):
+        s = v @ v[q]
+        s[q] = -(10**12)
+        best = sorted(zip((-s).tolist(), ids.tolist()))[:5]
+        assert sorted((-x, c) for a, c, x in got if a == q) == best
+    assert sum(scored) < 0.5 * 60 * 3000
+
+
 # 8. Language ID
 
 
