@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import json
 import time
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .operators import algorithms, lookup, metrics, traverse, vectors
+from .operators.vector_index import VectorIndex
 from .schema import PropertyGraph
 
 METHODS = ("definition", "context", "impact", "search", "status")
@@ -27,7 +29,9 @@ def error_reason(message: str) -> str:
 class GraphEngine:
     """Answers over a graph. Results are dicts, ready for JSON; they hold one symbol's surroundings, which depth and limits bound."""
 
-    def __init__(self, graph: PropertyGraph, symbols: DataFrame | None = None, ttl: float = 60, head: tuple[str, str | None, int, list[str]] | None = None):
+    def __init__(self, graph: PropertyGraph, symbols: DataFrame | None = None, ttl: float = 60, head: tuple[str, str | None, int, list[str]] | None = None, index: Callable[[], VectorIndex] | None = None):
+        """index: makes the vector index when a search first needs it."""
+        self._make_index, self._index = index, None
         self.graph, self.symbols, self.ttl, self.head = graph, symbols, ttl, head
         self._cache: dict[tuple, tuple[float, dict]] = {}
 
@@ -88,12 +92,30 @@ class GraphEngine:
 
         return self._cached(("impact", symbol, depth), make)
 
-    def search(self, query: str, top_k: int = 5) -> dict:
-        def make():
-            hits = [] if self.symbols is None else vectors.lexical(self.symbols, query, top_k).collect()
-            return {"query": query, "hits": [{"name": r["name"], "file": r["file"], "score": r["score"]} for r in hits]}
+    @property
+    def index(self) -> VectorIndex | None:
+        if self._index is None and self._make_index:
+            self._index = self._make_index()
+        return self._index
+
+    def search(self, query: str, top_k: int = 5, follow: str | None = None) -> dict:
+        """The nearest nodes by vectors, or by text where there is no fresh index; follow adds the best hit's context or impact."""
+        if follow not in (None, "context", "impact"):
+            raise ValueError(f"unknown follow {follow}")
 
-        return self._cached(("search", query, top_k), make)
+        def make():
+            near = self.index.search(query, top_k, self.head[0] if self.head else None) if self.index else None
+            if near is not None:
+                how, hits = "vectors", near.collect()
+            else:
+                how, hits = "text", [] if self.symbols is None else vectors.lexical(self.symbols, query, top_k).collect()
+            out = {"query": query, "how": how, "hits": [{"name": r["name"], "file": r["file"], "score": r["score"]} for r in hits]}
+            if follow and hits:
+                best = hits[0]["name"]
+                out[follow] = self.context(best, 2) if follow == "context" else self.impact(best, 3)
+            return out
+
+        return self._cached(("search", query, top_k, follow), make)
 
     def status(self) -> dict:
         def make():

@@ -11,6 +11,7 @@ from .functions import contracts
 from .functions.diffs import as_changes
 from .operators import build as building
 from .operators import incremental
+from .operators.vector_index import VectorIndex
 from .runtime import durable
 from .schema import LABEL_OF_TYPE, PropertyGraph, qualified_name
 from .sources import files, git
@@ -39,12 +40,25 @@ def layer_config(path: str) -> tuple[list[tuple[str, list[str]]], list[tuple[str
     return [(x["name"], x["paths"]) for x in spec["layers"]], [(x["from"], x["to"]) for x in spec.get("allowlist", [])]
 
 
-def build(spark: SparkSession, root: str, store: GraphStore, ignore: str = "", repo: str | None = None) -> DataFrame:
-    """Parses a tree once, writes its graph, and records the commit; returns the rows of files that could not be parsed."""
+def read_env(path: str) -> dict[str, str]:
+    """key=value lines of a file; comments, blanks and a missing file give nothing, quotes around a value go."""
+    try:
+        with open(path, encoding="utf-8") as f:
+            lines = [x.strip() for x in f]
+    except FileNotFoundError:
+        return {}
+    pairs = (x.split("=", 1) for x in lines if x and not x.startswith("#") and "=" in x)
+    return {k.strip(): v.strip().strip("'\"") for k, v in pairs}
+
+
+def build(spark: SparkSession, root: str, store: GraphStore, ignore: str = "", repo: str | None = None, embeddings: bool = False) -> DataFrame:
+    """Parses a tree once, writes its graph and if wanted its vectors, and records the commit; returns the rows of files that could not be parsed."""
     rows = durable(files.extract(files.discover(spark, root, ignore, store.project)))
     store.replace(building.build(files.symbols_of(rows), files.calls_of(rows)))
     if repo:
         store.record_commit(git.commit(spark, repo))
+    if embeddings:
+        VectorIndex(store).build(git.run_git(["rev-parse", "HEAD"], repo).strip() if repo else None)
     return rows.where("kind = 'error'").select("file", "error")
 
 
@@ -63,8 +77,12 @@ def sync(spark: SparkSession, root: str, repo: str, range_: str, store: GraphSto
 
     Symbols of changed files are compared with the graph's by qualified name; a rename is a deletion and an addition.
     Edges of the changed files are built anew, and edges of other files to symbols that are gone are dropped. The
-    commit and its links to new and modified symbols are recorded.
+    commit and its links to new and modified symbols are recorded, and vectors of those are made anew if the store has
+    vectors. A repository of one commit has no range to compare: that commit is recorded, and the delta is empty.
     """
+    if range_ == "HEAD~1..HEAD" and git.commit_count(repo) == 1:
+        store.record_commit(git.commit(spark, repo))
+        return spark.createDataFrame([], "file string, qualified_name string, op string, line int, type string")
     changes = as_changes(git.changed(spark, repo, range_)).where(F.lower(F.substring_index("file", ".", -1)).isin(*files.LANGUAGES)).select("file", "status").distinct()
     touched = durable(changes)
     found = files.discover(spark, root, ignore, store.project)
@@ -95,6 +113,9 @@ def sync(spark: SparkSession, root: str, repo: str, range_: str, store: GraphSto
     new = after.join(delta.where("op <> 'deleted'").select(*key), key, "left_semi").select("node_id")
     links = head.select("commit_hash").join(new.agg(F.collect_list("node_id").alias("node_ids")), how="cross")  # one row each; the ids of one commit's files
     store.record_commit(head, links)
+    index = VectorIndex(store)
+    if index.exists():
+        index.refresh(new, head.first()["commit_hash"])
     return delta
 
 

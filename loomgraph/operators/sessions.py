@@ -154,6 +154,12 @@ def call_classes(tl: DataFrame) -> DataFrame:
     return tl.where(F.col("name").isin("Read", "Grep", "Skill", "Edit", "Write", "Glob")).groupBy("session", "name", kind.alias("class")).agg(F.count(F.lit(1)).alias("calls"))
 
 
+def failed_commands(tl: DataFrame, tool: str, subcommand: str, width: int = 80) -> DataFrame:
+    """(session, turn, command, result): failed calls of one subcommand, with the start of what they printed."""
+    failed = (F.col("name") == "Bash") & F.col("is_error") & F.trim(arg("command")).startswith(f"{tool} {subcommand}")
+    return tl.where(failed).select("session", "turn", F.trim(arg("command")).alias("command"), F.substring("result", 1, width).alias("result"))
+
+
 def task_text(logs: DataFrame) -> DataFrame:
     """(session, task): the first user text with **Task:**, else ``?``."""
     texts = logs.where("type = 'user'").select("session", "seq", F.posexplode("content").alias("pos", "c")).where(F.contains("c.text", F.lit("**Task:**")))
@@ -185,7 +191,7 @@ def session_facts(logs: DataFrame, tool: str) -> DataFrame:
     return out.select(*fixed, "first_fallback_turn", "abandoned_turn", *[F.coalesce(c, F.lit(0)).alias(c) for c in counts])
 
 
-#: Metrics that may rise without being a regression, and one that must not fall.
+# Metrics that may rise without being a regression, and one that must not fall.
 MAY_RISE, MUST_RISE = ("total_calls", "bash", "read", "tool_ok", "edit"), ("tool_ok",)
 
 

@@ -16,13 +16,27 @@ def embedding_text() -> Column:
     return F.concat_ws(" ", some("name"), some("type", "type: "), some("docstring"), some("parent", "parent: "))
 
 
-def embed(rows: DataFrame, text: Column, id: str = "node_id", width: int = WIDTH) -> DataFrame:
-    """(id, embedding array<float>): a hashed bag of words of unit length, weighted by rarity over all rows. A stand-in where no model is installed."""
+def _bag(rows: DataFrame, text: Column, id: str) -> DataFrame:
     words = F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), lambda w: w != ""))
-    bag = rows.select(F.col(id).alias("id"), F.explode(words).alias("w"))
+    return rows.select(F.col(id).alias("id"), F.explode(words).alias("w"))
+
+
+def word_weights(rows: DataFrame, text: Column, id: str = "node_id") -> DataFrame:
+    """(w, weight): the rarer a word is over all rows, the more it weighs."""
     total = rows.agg(F.count(F.lit(1)).alias("total"))
-    rare = bag.groupBy("w").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(total)).select("w", (F.log((F.col("total") + 1.0) / (F.col("df") + 1.0)) + 1).alias("weight"))  # total is one row
-    slots = bag.join(rare, "w").groupBy("id", F.pmod(F.xxhash64("w"), F.lit(width)).cast("int").alias("slot")).agg(F.sum("weight").alias("x"))
+    rare = _bag(rows, text, id).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    return rare.crossJoin(F.broadcast(total)).select("w", (F.log((F.col("total") + 1.0) / (F.col("df") + 1.0)) + 1).alias("weight"))  # total is one row
+
+
+def embed(rows: DataFrame, text: Column, id: str = "node_id", width: int = WIDTH, weights: DataFrame | None = None) -> DataFrame:
+    """(id, embedding array<float>): a hashed bag of words of unit length. A stand-in where no model is installed.
+
+    Words weigh by their rarity over all rows, or as ``weights`` says; a word that it lacks weighs as much as its rarest.
+    """
+    rare = word_weights(rows, text, id) if weights is None else weights
+    most = rare.agg(F.coalesce(F.max("weight"), F.lit(1.0)).alias("most"))
+    bag = _bag(rows, text, id).join(rare, "w", "left").crossJoin(F.broadcast(most)).withColumn("weight", F.coalesce("weight", "most"))  # one row
+    slots = bag.groupBy("id", F.pmod(F.xxhash64("w"), F.lit(width)).cast("int").alias("slot")).agg(F.sum("weight").alias("x"))
     norm = slots.groupBy("id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), F.map_from_entries(F.collect_list(F.struct("slot", "x"))).alias("at"))  # width entries at most
     vector = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: (F.coalesce(F.element_at("at", k), F.lit(0.0)) / F.col("norm")).cast("float"))
     return norm.select(F.col("id").alias(id), vector.alias("embedding"))

@@ -371,6 +371,7 @@ on_timeline("tool_usage", lambda tl: sessions.tool_usage(tl, "tool"), """, b AS
 SELECT session, count(*) FILTER (own AND NOT is_error) AS tool_ok, count(*) FILTER (own AND is_error) AS tool_err, count(*) FILTER (NOT own) AS fallback, min(turn) FILTER (NOT own)::INTEGER AS first_fallback_turn,
   (CASE WHEN max(turn) FILTER (own) IS NULL THEN 1 WHEN max(turn) > max(turn) FILTER (own) + 4 THEN max(turn) FILTER (own) END)::INTEGER AS abandoned_turn FROM b GROUP BY session""")
 on_timeline("subcommands", lambda tl: sessions.subcommands(tl, "tool"), "SELECT session, split_part(command, ' ', 2) AS subcommand, count(*) AS calls FROM tl WHERE name = 'Bash' AND starts_with(command, 'tool ') GROUP BY 1, 2")
+on_timeline("failed_commands", lambda tl: sessions.failed_commands(tl, "tool", "view", 9).withColumn("turn", F.col("turn").cast("long")), "SELECT session, turn, command, result[1:9] AS result FROM tl WHERE name = 'Bash' AND is_error AND starts_with(command, 'tool view')")
 on_timeline("pattern_hits", lambda tl: sessions.pattern_hits(tl, "tool").drop("severity"), "SELECT session, pattern, count(*) AS hits FROM hits GROUP BY 1, 2")
 on_timeline("pattern_matrix", lambda tl: sessions.pattern_matrix(sessions.pattern_hits(tl, "tool"), PATTERNS), "SELECT session, " + ", ".join(f"count(*) FILTER (pattern = '{p}') AS {p}" for p in PATTERNS) + " FROM hits GROUP BY session")
 on_timeline("pattern_scan", lambda tl: sessions.pattern_scan(tl, "tool").select("pattern", "hits", "sessions", F.array_join("examples", "|").alias("examples")), """, e AS (SELECT pattern, h.session, h.turn, t.command FROM hits h JOIN tl t ON t.session = h.session AND t.turn = h.turn),

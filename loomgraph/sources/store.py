@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from ..operators.incremental import delete_nodes, modified_by, upsert_nodes, valid_edges
 from ..schema import COMMITS, EDGES, NODES, PropertyGraph
 
-PARTITIONS = {"nodes": ["project_id"], "edges": ["project_id", "type"], "commits": [], "vectors": []}
-SCHEMAS = {"nodes": NODES, "edges": EDGES, "commits": COMMITS, "vectors": "node_id string, embedding array<float>"}
+PARTITIONS = {"nodes": ["project_id"], "edges": ["project_id", "type"], "commits": [], "vectors": [], "vector_words": []}
+SCHEMAS = {"nodes": NODES, "edges": EDGES, "commits": COMMITS, "vectors": "node_id string, embedding array<float>", "vector_words": "w string, weight double"}
 
 
 class GraphStore:
@@ -54,9 +54,9 @@ class GraphStore:
         df = self.spark.read.schema(SCHEMAS[table]).parquet(f"{self.root}/{folder}")
         return df if everything or not self.project or "project_id" not in df.columns else df.where(F.col("project_id") == self.project)
 
-    def write(self, **tables: DataFrame) -> None:
-        """New versions of the tables, published together."""
-        manifest = self.manifest()
+    def write(self, notes: dict[str, str] | None = None, **tables: DataFrame) -> None:
+        """New versions of the tables, published together with notes on them."""
+        manifest = self.manifest() | (notes or {})
         for name, df in tables.items():
             folder = f"{name}-{uuid.uuid4().hex}"
             cols = [c.strip().split()[0] for c in SCHEMAS[name].replace("map<string,string>", "map").split(",")]

@@ -49,6 +49,48 @@ def test_build_then_sync(spark, repo, tmp_path):
     assert git.log_between(spark, str(root), "2000-01-01", "2090-01-01").count() == 2
 
 
+def test_vectors_follow_the_graph(spark, repo, tmp_path):
+    from loomgraph.engine import GraphEngine
+    from loomgraph.operators.vector_index import VectorIndex
+
+    root, run = repo
+    head = lambda: git.run_git(["rev-parse", "HEAD"], str(root)).strip()
+    store = GraphStore(spark, f"file://{tmp_path}/v", "p")
+    index = VectorIndex(store)
+    assert index.load() is None and index.search("f") is None and not index.exists()
+    (root / "d.py").write_text("def open_file(path):\n    \"\"\"Reads bytes from disk.\"\"\"\n    return close(path)\n\n\ndef close(path):\n    return path\n")
+    run("add", ".")
+    run("commit", "-qm", "three")
+    jobs.build(spark, f"file://{root}", store, repo=str(root), embeddings=True)
+    assert index.stats()["head"] == head() and index.stats()["vectors"] == store.read("nodes").where("label <> 'File' and label <> 'Commit'").count()
+    engine = GraphEngine(store.graph(), head=(head(), head(), 0, []), index=lambda: index)
+    got = engine.search("reads bytes disk", 2, follow="context")
+    assert got["how"] == "vectors" and got["hits"][0]["name"] == "open_file" and got["context"]["found"]
+    assert engine.search("close", 1, "impact")["impact"]["total_callers"] == 1
+    (root / "d.py").write_text("def shut(path):\n    \"\"\"Reads bytes from disk.\"\"\"\n    return path\n")
+    run("commit", "-qam", "four")
+    assert index.load(head()) is None and GraphEngine(store.graph(), head=(head(), None, 1, []), index=lambda: index).search("x")["how"] == "text"
+    jobs.sync(spark, f"file://{root}", str(root), "HEAD~1..HEAD", store)
+    assert index.load(head()) is not None and [r.name for r in index.search("reads bytes disk", 1, head()).collect()] == ["shut"]
+    with pytest.raises(ValueError):
+        engine.search("x", follow="other")
+
+
+def test_sync_of_a_single_commit(spark, tmp_path):
+    root = tmp_path / "one"
+    root.mkdir()
+    (root / "a.py").write_text("def f():\n    pass\n")
+    for a in (["init", "-q"], ["add", "."], ["commit", "-qm", "one"]):
+        subprocess.run(["git", "-c", "user.name=t", "-c", "user.email=t@t", *a], cwd=root, check=True, capture_output=True)
+    store = GraphStore(spark, f"file://{tmp_path}/s1", "p")
+    assert jobs.sync(spark, f"file://{root}", str(root), "HEAD~1..HEAD", store).count() == 0 and store.read("commits").count() == 1
+
+
+def test_environment_files(tmp_path):
+    (tmp_path / ".env").write_text("# c\n\nA=1\n B = 'x=y' \nnothing\n")
+    assert jobs.read_env(str(tmp_path / ".env")) == {"A": "1", "B": "x=y"} and jobs.read_env(str(tmp_path / "no")) == {}
+
+
 def test_layer_config(tmp_path):
     layers, allow = jobs.layer_config(str(tmp_path / "l.json"))
     assert layers[0][0] == "cli" and allow == [] and jobs.layer_config(str(tmp_path / "l.json")) == (layers, allow)
