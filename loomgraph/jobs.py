@@ -85,8 +85,8 @@ def sync(spark: SparkSession, root: str, repo: str, range_: str, store: GraphSto
         return spark.createDataFrame([], "file string, qualified_name string, op string, line int, type string")
     changes = as_changes(git.changed(spark, repo, range_)).where(F.lower(F.substring_index("file", ".", -1)).isin(*files.LANGUAGES)).select("file", "status").distinct()
     touched = durable(changes)
-    found = files.discover(spark, root, ignore, store.project)
-    rows = durable(files.extract(found.join(touched.where("status <> 'D'"), "file", "left_semi")))
+    names = [r["file"] for r in touched.where("status <> 'D'").select("file").distinct().collect()]  # of one commit range
+    rows = durable(files.extract(files.discover(spark, root, ignore, store.project, names)))
     after, calls = files.symbols_of(rows), files.calls_of(rows)
     g = store.graph()
     known = symbols_in_graph(g)
@@ -111,7 +111,7 @@ def sync(spark: SparkSession, root: str, repo: str, range_: str, store: GraphSto
     head = git.commit(spark, repo, range_.rsplit("..", 1)[-1] or "HEAD")
     key = ["file", "qualified_name"]
     new = after.join(delta.where("op <> 'deleted'").select(*key), key, "left_semi").select("node_id")
-    links = head.select("commit_hash").join(new.agg(F.collect_list("node_id").alias("node_ids")), how="cross")  # one row each; the ids of one commit's files
+    links = new.select(F.lit(head.first()["commit_hash"]).alias("commit_hash"), F.array("node_id").alias("node_ids"))
     store.record_commit(head, links)
     index = VectorIndex(store)
     if index.exists():

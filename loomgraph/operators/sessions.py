@@ -15,7 +15,10 @@ EVENT = f"type string, subtype string, num_turns long, total_cost_usd double, us
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
     """(session, seq, type, content, subtype, num_turns, total_cost_usd, usage) from JSON lines; a session is a file, seq its line."""
-    raw = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.jsonl)?$", 1).alias("session"), F.posexplode(F.split("value", "\n")).alias("seq", "line"))
+    # Lines in their files' order: by the block that they were read in, and within it as they came.
+    lines = spark.read.text(path, lineSep="\n").select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    number = F.row_number().over(Window.partitionBy("path").orderBy("block", "at")) - 1
+    raw = lines.select(F.regexp_extract("name", r"^(.*?)(?:\.jsonl)?$", 1).alias("session"), number.alias("seq"), "line")
     parsed = raw.where(F.trim("line") != "").select("session", F.col("seq").cast("long").alias("seq"), F.from_json("line", EVENT).alias("e"))
     return parsed.select("session", "seq", F.col("e.type").alias("type"), F.col("e.message.content").alias("content"), "e.subtype", "e.num_turns", "e.total_cost_usd", "e.usage")
 

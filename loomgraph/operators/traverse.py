@@ -43,7 +43,7 @@ def start_of(g: PropertyGraph, name: str, file: str | None = None) -> DataFrame:
 def neighbors(g: PropertyGraph, node_id: str, depth: int = 1, limit: int = 500) -> DataFrame:
     """Distinct callees within ``depth`` hops, the node itself if it is on a cycle; at most ``limit``, as asked for."""
     start = g.nodes.where(F.col("node_id") == node_id).select("node_id")
-    e = g.calls()
+    e = g.kept_calls()
     near = reach(e, start, clamp(depth) - 1).select(F.col("node_id").alias("src_id"))
     ids = e.join(near, "src_id", "left_semi").select(F.col("dst_id").alias("node_id")).distinct()
     return g.nodes.join(ids, "node_id", "left_semi").select(*lookup.BRIEF).orderBy("node_id").limit(limit)
@@ -51,7 +51,7 @@ def neighbors(g: PropertyGraph, node_id: str, depth: int = 1, limit: int = 500)
 
 def subgraph_nodes(g: PropertyGraph, start: DataFrame, depth: int, reverse: bool = False) -> DataFrame:
     """Nodes within ``depth`` calls of start (against the calls if reverse), with depth and is_root."""
-    e = g.calls()
+    e = g.kept_calls()
     if reverse:
         e = e.select(F.col("dst_id").alias("src_id"), F.col("src_id").alias("dst_id"))
     near = reach(e, start, clamp(depth))
@@ -60,8 +60,8 @@ def subgraph_nodes(g: PropertyGraph, start: DataFrame, depth: int, reverse: bool
 
 def induced_edges(g: PropertyGraph, nodes: DataFrame) -> DataFrame:
     """Calls between the given nodes."""
-    ids = nodes.select("node_id")
-    e = g.calls()
+    ids = durable(nodes.select("node_id"))  # met twice
+    e = g.kept_calls()
     return e.join(ids, e.src_id == ids.node_id, "left_semi").join(ids, e.dst_id == ids.node_id, "left_semi").select("src_id", "dst_id")
 
 
@@ -88,7 +88,7 @@ def shortest_path(g: PropertyGraph, source: str, target: str) -> DataFrame:
     Of equally short paths the one through the smallest ids is taken. Runs until the target is met or nothing new is.
     """
     spark = g.nodes.sparkSession
-    e = durable(g.calls())
+    e = g.kept_calls()
     goal = g.nodes.where(F.col("name") == target).select("node_id")
     now = durable(g.nodes.where(F.col("name") == source).select("node_id", F.lit(None).cast("string").alias("via"), F.lit(0).alias("hop")))
     levels, seen = [now], now

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import durable
+
 # Labels of nodes and types of edges.
 NODE_LABELS = ("File", "Module", "Function", "Class", "Variable", "Type", "Interface", "Commit")
 EDGE_TYPES = ("IMPORTS", "CALLS", "DEFINES", "INHERITS", "DEPENDS_ON", "TYPE_OF", "IMPLEMENTS", "MODIFIED_BY")
@@ -33,6 +35,12 @@ class PropertyGraph:
         ids = self.nodes.select("node_id")
         return e.join(ids, e.src_id == ids.node_id, "left_semi").join(ids, e.dst_id == ids.node_id, "left_semi")
 
+    def kept_calls(self) -> DataFrame:
+        """The same, checkpointed once for this graph: for traversals, which refer to them at each hop."""
+        if "_kept" not in self.__dict__:
+            object.__setattr__(self, "_kept", durable(self.calls()))
+        return self.__dict__["_kept"]
+
 
 def node_id(type_: Column, file: Column, line: Column, name: Column) -> Column:
     return F.concat_ws(":", type_, file, line.cast("string"), name)

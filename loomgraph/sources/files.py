@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import fnmatch
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -45,9 +46,19 @@ def is_ignored(path: Column, rules: tuple[list[str], list[str]]) -> Column:
     return out
 
 
-def discover(spark: SparkSession, root: str, ignore: str = "", project: str = "") -> DataFrame:
-    """(project_id, file, language, content) of the sources below a folder; file is relative to it."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(LANGUAGES) + "}").load(root)
+def discover(spark: SparkSession, root: str, ignore: str = "", project: str = "", only: list[str] | None = None) -> DataFrame:
+    """(project_id, file, language, content) of the sources below a folder; file is relative to it.
+
+    only: files to read in place of all, of which those that are missing are left out.
+    """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(LANGUAGES) + "}")
+    if only is None:
+        raw = reader.load(root)
+    else:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        paths = [jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{f}") for f in only]
+        there = [f"{root.rstrip('/')}/{f}" for f, p in zip(only, paths, strict=True) if p.getFileSystem(conf).exists(p)]
+        raw = reader.load([re.sub(r"([\[\]{}*?\\])", r"\\\1", x) for x in there]) if there else spark.createDataFrame([], "path string, modificationTime timestamp, length long, content binary")
     plain = F.regexp_replace("path", r"^[a-z]+:/+", "/")
     at = F.regexp_replace(F.lit(root), r"^[a-z]+:/+", "/")
     file = F.regexp_replace(F.replace(plain, F.regexp_replace(at, "/+$", ""), F.lit("")), "^/+", "")

@@ -1,7 +1,8 @@
 """The graph on disk: versions of node, edge, commit and vector tables under one folder.
 
 A write makes a new version in full and then moves a pointer, so readers see the old graph or the new one, never
-half of either. Tables are partitioned by project, and edges by type, so scans read what they need.
+half of either. Nodes and edges have a folder for each project, so a write touches its own project alone; edges are
+partitioned by type, so scans read what they need.
 """
 
 from __future__ import annotations
@@ -19,6 +20,10 @@ PARTITIONS = {"nodes": ["project_id"], "edges": ["project_id", "type"], "commits
 SCHEMAS = {"nodes": NODES, "edges": EDGES, "commits": COMMITS, "vectors": "node_id string, embedding array<float>", "vector_words": "w string, weight double"}
 
 
+#: Tables with a folder for each project.
+OWNED = ("nodes", "edges")
+
+
 class GraphStore:
     def __init__(self, spark: SparkSession, root: str, project: str = ""):
         self.spark, self.root, self.project = spark, root.rstrip("/"), project
@@ -48,46 +53,55 @@ class GraphStore:
         context.rename(tmp, now, options)
 
     def read(self, table: str, everything: bool = False) -> DataFrame:
-        folder = self.manifest().get(table)
-        if folder is None:
-            return self.spark.createDataFrame([], SCHEMAS[table])
-        df = self.spark.read.schema(SCHEMAS[table]).parquet(f"{self.root}/{folder}")
-        return df if everything or not self.project or "project_id" not in df.columns else df.where(F.col("project_id") == self.project)
+        """A table: of the project, or of all projects if asked for or if the store has none."""
+        held = [f for k, f in self.manifest().items() if k == table or k == f"{table}@{self.project}" or k.startswith(f"{table}@") and (everything or not self.project)]
+        out = None
+        for folder in held:  # one for each project
+            df = self.spark.read.schema(SCHEMAS[table]).parquet(f"{self.root}/{folder}")
+            out = df if out is None else out.unionByName(df)
+        return self.spark.createDataFrame([], SCHEMAS[table]) if out is None else out
+
+    def _folder(self, name: str, df: DataFrame) -> str:
+        folder = f"{name}-{uuid.uuid4().hex}"
+        cols = [c.strip().split()[0] for c in SCHEMAS[name].replace("map<string,string>", "map").split(",")]
+        df.select(*cols).write.partitionBy(*PARTITIONS[name]).parquet(f"{self.root}/{folder}")
+        return folder
 
     def write(self, notes: dict[str, str] | None = None, **tables: DataFrame) -> None:
-        """New versions of the tables, published together with notes on them."""
+        """New versions of what read() gives of the tables, published together with notes on them; nodes and edges of other projects stay as they are."""
         manifest = self.manifest() | (notes or {})
         for name, df in tables.items():
-            folder = f"{name}-{uuid.uuid4().hex}"
-            cols = [c.strip().split()[0] for c in SCHEMAS[name].replace("map<string,string>", "map").split(",")]
-            df.select(*cols).write.partitionBy(*PARTITIONS[name]).parquet(f"{self.root}/{folder}")
-            manifest[name] = folder
+            folder = self._folder(name, df)
+            if name in OWNED:
+                manifest = {k: f for k, f in manifest.items() if self.project or not k.startswith(f"{name}@")}
+                manifest[f"{name}@{self.project}"] = folder
+            else:
+                manifest[name] = folder
         self._publish(manifest)
 
     def graph(self) -> PropertyGraph:
         return PropertyGraph(self.read("nodes"), self.read("edges"))
 
     def replace(self, g: PropertyGraph) -> None:
-        """The project's nodes and edges anew; other projects keep theirs."""
-        old_n, old_e = self.read("nodes", True), self.read("edges", True)
-        others = lambda df: df.where(F.col("project_id") != self.project)
-        self.write(nodes=others(old_n).unionByName(g.nodes), edges=others(old_e).unionByName(g.edges))
+        """The project's nodes and edges anew; other projects keep theirs, unread and unwritten."""
+        manifest = self.manifest()
+        self._publish(manifest | {f"nodes@{self.project}": self._folder("nodes", g.nodes), f"edges@{self.project}": self._folder("edges", g.edges)})
 
     def clear(self) -> None:
         if not self.project:
             raise ValueError("clearing needs a project")
-        self.write(nodes=self.read("nodes", True).where(F.col("project_id") != self.project), edges=self.read("edges", True).where(F.col("project_id") != self.project))
+        self._publish({k: f for k, f in self.manifest().items() if k not in [f"{t}@{self.project}" for t in OWNED]})
 
     def upsert(self, nodes: DataFrame, edges: DataFrame | None = None) -> None:
         """Nodes by (label, node_id), and edges whose ends are there by then."""
-        now = upsert_nodes(self.read("nodes", True), nodes)
+        now = upsert_nodes(self.read("nodes"), nodes)
         tables = {"nodes": now}
         if edges is not None:
-            tables["edges"] = valid_edges(now, self.read("edges", True).unionByName(edges))
+            tables["edges"] = valid_edges(now, self.read("edges").unionByName(edges))
         self.write(**tables)
 
     def delete(self, gone: DataFrame) -> None:
-        n, e = delete_nodes(self.read("nodes", True), self.read("edges", True), gone)
+        n, e = delete_nodes(self.read("nodes"), self.read("edges"), gone)
         self.write(nodes=n, edges=e)
 
     def record_commit(self, commit: DataFrame, touched: DataFrame | None = None) -> None:
@@ -95,6 +109,6 @@ class GraphStore:
         commits = self.read("commits").join(commit, "commit_hash", "left_anti").unionByName(commit)
         tables = {"commits": commits}
         if touched is not None:
-            links = modified_by(self.read("nodes", True), commits, touched)
-            tables["edges"] = self.read("edges", True).unionByName(links).dropDuplicates(["src_id", "dst_id", "type"])
+            links = modified_by(self.read("nodes"), commits, touched)
+            tables["edges"] = self.read("edges").unionByName(links).dropDuplicates(["src_id", "dst_id", "type"])
         self.write(**tables)

@@ -10,6 +10,7 @@ from loomgraph.operators import build, incremental, metrics, sessions
 from loomgraph.operators.index import SymbolIndex
 from loomgraph.sources import files
 from loomgraph.sources.files import extract_source
+from loomgraph.schema import PropertyGraph
 from loomgraph.sources.store import GraphStore
 from loomgraph.streaming import watch
 
@@ -74,6 +75,10 @@ def test_build_and_store(spark, repo, tmp_path):
     assert store.graph().nodes.count() == g.nodes.count() and store.graph().edges.count() == g.edges.count()
     other = GraphStore(spark, store.root, "else")
     assert other.graph().nodes.count() == 0
+    other.replace(PropertyGraph(g.nodes.withColumn("project_id", F.lit("else")), g.edges.withColumn("project_id", F.lit("else"))))
+    before = store.manifest()["nodes@proj"]
+    other.delete(other.read("nodes").where("label = 'File'").select("node_id"))
+    assert store.manifest()["nodes@proj"] == before and store.read("nodes").count() == g.nodes.count() and GraphStore(spark, store.root).read("nodes").count() > g.nodes.count()
     helper = store.read("nodes").where("name = 'helper'").where("label = 'Function'")
     store.upsert(helper.withColumn("docstring", F.lit("new")).withColumn("props", F.create_map(F.lit("k"), F.lit("v"))))
     now = store.read("nodes").where("name = 'helper' and label = 'Function'").collect()
@@ -85,7 +90,7 @@ def test_build_and_store(spark, repo, tmp_path):
     assert store.read("nodes").where("name = 'helper' and label = 'Function'").count() == 0
     assert store.read("edges").where(F.col("dst_id") == now[0].node_id).count() == 0
     store.clear()
-    assert store.read("nodes").count() == 0
+    assert store.read("nodes").count() == 0 and other.read("nodes").count() > 0
     with pytest.raises(ValueError):
         GraphStore(spark, store.root).clear()
 
