@@ -14,7 +14,9 @@ from .operators import algorithms, lookup, metrics, traverse, vectors
 from .operators.vector_index import VectorIndex
 from .schema import PropertyGraph
 
-METHODS = ("definition", "context", "impact", "search", "status")
+METHODS = ("definition", "context", "impact", "search", "orient", "status")
+#: Direct callers that a context names.
+CALLERS = 20
 
 
 def error_reason(message: str) -> str:
@@ -63,13 +65,23 @@ class GraphEngine:
 
         return self._cached(("definition", symbol, file_filter), make)
 
+    def _name(self, symbol: str, file_filter: str | None = None) -> str | None:
+        """The node's name that a symbol means: its own, or the last part of a dotted one."""
+        row = lookup.resolve(self.graph, symbol, file_filter).first()
+        return row["name"] if row else None
+
     def context(self, symbol: str, depth: int = 2, compress: bool = False, file_filter: str | None = None) -> dict:
+        """What a symbol calls within ``depth``, with cycles, and its direct callers: their number and the first CALLERS."""
+
         def make():
-            start = traverse.start_of(self.graph, symbol, file_filter)
+            name = self._name(symbol, file_filter)
+            if name is None:
+                return self._missing(symbol)
+            start = traverse.start_of(self.graph, name, file_filter)
             nodes_df = traverse.subgraph_nodes(self.graph, start, depth)
             nodes = sorted((r.asDict() for r in nodes_df.collect()), key=lambda n: (n["depth"], n["file"] or "", n["line"] or 0, n["node_id"]))
-            if not nodes:
-                return self._missing(symbol)
+            by = lookup.callers(self.graph, name)
+            callers = {"callers": [{"name": r["name"], "file": r["file"]} for r in by.orderBy("file", "name", "node_id").limit(CALLERS).collect()], "total_callers": by.count()}
             edges = sorted((r["src_id"], r["dst_id"]) for r in traverse.induced_edges(self.graph, nodes_df).collect())
             cycles = strong_components([n["node_id"] for n in nodes], edges)
             bridges: list[str] = []
@@ -77,20 +89,55 @@ class GraphEngine:
                 kept, edges, bridges, _ = algorithms.compress(nodes[0]["node_id"], [n["node_id"] for n in nodes], edges, {m for c in cycles for m in c})
                 nodes = [n for n in nodes if n["node_id"] in set(kept)]
             tokens = sum(len(n["name"]) + len(n["file"] or "") + 30 for n in nodes) // 4
-            return {"found": True, "symbol": symbol, "nodes": nodes, "edges": edges, "cycles": [{"members": c, "representative": c[0]} for c in cycles], "bridges_removed": len(bridges), "depth_reached": max(n["depth"] for n in nodes), "token_estimate": tokens}
+            return {"found": True, "symbol": symbol, "nodes": nodes, "edges": edges, "cycles": [{"members": c, "representative": c[0]} for c in cycles], "bridges_removed": len(bridges), "depth_reached": max(n["depth"] for n in nodes), "token_estimate": tokens} | callers
 
         return self._cached(("context", symbol, depth, compress, file_filter), make)
 
-    def impact(self, symbol: str, depth: int = 3) -> dict:
+    def impact(self, symbol: str, depth: int = 3, compress: bool = False) -> dict:
+        """Callers of a symbol by their fewest hops, with the cycles among them; compress takes bridges between callers out."""
+
         def make():
-            if not self.graph.nodes.where(F.col("name") == symbol).limit(1).count():
+            name = self._name(symbol)
+            if name is None:
                 return self._missing(symbol)
+            nodes_df = traverse.subgraph_nodes(self.graph, traverse.start_of(self.graph, name), depth, reverse=True)
+            nodes = sorted((r.asDict() for r in nodes_df.collect()), key=lambda n: (n["depth"], n["file"] or "", n["name"], n["node_id"]))
+            edges = sorted((r["src_id"], r["dst_id"]) for r in traverse.induced_edges(self.graph, nodes_df).collect())
+            cycles = strong_components([n["node_id"] for n in nodes], edges)
+            bridges = 0
+            if compress:
+                kept, _, gone, _ = algorithms.compress(nodes[0]["node_id"], [n["node_id"] for n in nodes], edges, {m for c in cycles for m in c})
+                nodes, bridges = [n for n in nodes if n["node_id"] in set(kept)], len(gone)
             by_depth: dict[int, list[dict]] = {}
-            for r in traverse.impact_by_depth(self.graph, symbol, depth).orderBy("depth", "file", "name", "node_id").collect():
-                by_depth.setdefault(r["depth"], []).append({"name": r["name"], "file": r["file"]})
-            return {"found": True, "symbol": symbol, "callers_by_depth": by_depth, "total_callers": sum(map(len, by_depth.values()))}
+            for n in nodes:
+                if n["depth"] and n["name"] != name:
+                    by_depth.setdefault(n["depth"], []).append({"name": n["name"], "file": n["file"]})
+            tokens = sum(len(n["name"]) + len(n["file"] or "") + 30 for n in nodes) // 4
+            found = {"found": True, "symbol": symbol, "callers_by_depth": by_depth, "total_callers": sum(map(len, by_depth.values()))}
+            return found | {"cycles": [{"members": c, "representative": c[0]} for c in cycles], "bridges_removed": bridges, "token_estimate": tokens}
 
-        return self._cached(("impact", symbol, depth), make)
+        return self._cached(("impact", symbol, depth, compress), make)
+
+    def orient(self, task: str, top: int = 6, depth: int = 5) -> dict:
+        """Nodes that a task's words name, and for the first of each word its context, else its impact, else that of up to three nodes that mention it."""
+
+        def make():
+            hits = [r.asDict() for r in lookup.orient(self.graph, task, top).orderBy("term", "file", "line", "node_id").collect()]  # top rows a term
+            found: dict[str, dict] = {}
+            for name in dict.fromkeys({h["term"]: h["name"] for h in reversed(hits)}.values()):
+                answer = self.context(name, depth, True)
+                if not answer["edges"]:
+                    answer = self.impact(name, depth, True)
+                if answer.get("edges") or answer.get("total_callers"):
+                    found[name] = answer
+                    continue
+                users = [r["name"] for r in lookup.grep(self.graph, name, top=10).collect() if r["label"] in ("Function", "Class") and r["name"] != name]
+                for user in list(dict.fromkeys(users))[:3]:
+                    if (answer := self.impact(user, depth, True)).get("total_callers"):
+                        found[user] = answer
+            return {"task": task, "hits": hits, "follow": found}
+
+        return self._cached(("orient", task, top, depth), make)
 
     @property
     def index(self) -> VectorIndex | None:

@@ -150,6 +150,27 @@ def view_window(lines: DataFrame, name: str, line: int, end_line: int | None = N
     return lines.crossJoin(F.broadcast(moved)).where(F.col("line_no").between(F.col("anchor") - context, F.col("anchor") + length + context)).select("line_no", "text")  # moved is one row
 
 
+def resolve(g: PropertyGraph, symbol: str, file: str | None = None) -> DataFrame:
+    """The node that a name means, as one row at most: functions before classes before others; a dotted name also by its last part, within its parent."""
+    named = F.col("name") == symbol
+    rank = F.when(named, 0).otherwise(1)
+    if "." in symbol:
+        owner, own = symbol.rsplit(".", 1)
+        named = named | ((F.col("name") == own) & F.contains("parent", F.lit(owner)))
+    found = g.nodes.where(named if file is None else named & F.contains("file", F.lit(file)))
+    return found.orderBy(rank, priority(F.col("label")), "file", "line", "node_id").limit(1)
+
+
+def view(g: PropertyGraph, lines: DataFrame, symbol: str, file: str | None = None, context: int = 0, compact: bool = False) -> DataFrame:
+    """(file, line_no, text) of a symbol's source from (file, line_no, text) of all files; nothing if the graph lacks the symbol or its line."""
+    row = resolve(g, symbol, file).first()
+    if row is None or row["file"] is None or row["line"] is None:
+        return lines.limit(0).select("file", "line_no", "text")
+    end = row["end_line"] if "end_line" in g.nodes.columns else None
+    own = lines.where(F.col("file") == row["file"])
+    return view_window(own, symbol.rsplit(".", 1)[-1], row["line"], end, context, compact).select(F.lit(row["file"]).alias("file"), "line_no", "text")
+
+
 # Words of a task that name no symbol.
 STOP_WORDS = (
     "about after also around argument before between broad call calls change class code concept could define defined "

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import PropertyGraph
@@ -77,24 +77,32 @@ def changed_symbols(g: PropertyGraph, changes: DataFrame, hunks: DataFrame) -> D
     )
 
 
-def layer_violations(g: PropertyGraph, layers: list[tuple[str, list[str]]], allow: list[tuple[str, str]] = ()) -> DataFrame:
-    """Cross-file calls from a lower layer up to a higher one. The first layer of which a path part occurs in the file counts."""
+def _layer(c: Column, layers: list[tuple[str, list[str]]]) -> Column:
+    """The number of the first layer of which a path part occurs in the file, or null."""
+    out = F.lit(None).cast("int")
+    for i, (_, paths) in reversed(list(enumerate(layers))):
+        hit = F.lit(False)
+        for p in paths:
+            hit = hit | F.contains(c, F.lit(p))
+        out = F.when(hit, i).otherwise(out)
+    return out
 
-    def layer(c):
-        out = F.lit(None).cast("int")
-        for i, (_, paths) in reversed(list(enumerate(layers))):
-            hit = F.lit(False)
-            for p in paths:
-                hit = hit | F.contains(c, F.lit(p))
-            out = F.when(hit, i).otherwise(out)
-        return out
 
+def layer_violations(g: PropertyGraph, layers: list[tuple[str, list[str]]], allow: list[tuple[str, str]] = (), allowed: bool = False) -> DataFrame:
+    """Cross-file calls from a lower layer up to a higher one; allowed: those that ``allow`` excuses, in place of the others."""
     names = F.array(*[F.lit(n) for n, _ in layers])
-    e = _ends(g).where("s_file <> d_file").select("s_name", "s_file", "d_name", "d_file", layer(F.col("s_file")).alias("a"), layer(F.col("d_file")).alias("b"))
+    e = _ends(g).where("s_file <> d_file").select("s_name", "s_file", "d_name", "d_file", _layer(F.col("s_file"), layers).alias("a"), _layer(F.col("d_file"), layers).alias("b"))
     bad = e.where(F.col("a") > F.col("b")).withColumn("from_layer", F.element_at(names, F.col("a") + 1)).withColumn("to_layer", F.element_at(names, F.col("b") + 1))
+    excused = F.lit(False)
     for x, y in allow:
-        bad = bad.where(~((F.col("from_layer") == x) & (F.col("to_layer") == y)))
-    return bad.groupBy("s_name", "s_file", "d_name", "d_file", "from_layer", "to_layer").agg(F.count(F.lit(1)).alias("calls"))
+        excused = excused | ((F.col("from_layer") == x) & (F.col("to_layer") == y))
+    return bad.where(excused if allowed else ~excused).groupBy("s_name", "s_file", "d_name", "d_file", "from_layer", "to_layer").agg(F.count(F.lit(1)).alias("calls"))
+
+
+def unclassified_files(g: PropertyGraph, layers: list[tuple[str, list[str]]]) -> DataFrame:
+    """(file, calls): files of cross-file calls that are in no layer, with the calls at either end of them."""
+    ends = _ends(g).where("s_file <> d_file").select(F.explode(F.array("s_file", "d_file")).alias("file"))
+    return ends.where(_layer(F.col("file"), layers).isNull()).groupBy("file").agg(F.count(F.lit(1)).alias("calls"))
 
 
 def scope_symbols(g: PropertyGraph, file: str) -> DataFrame:

@@ -45,6 +45,8 @@ on_graph("layer_violations", lambda g: metrics.layer_violations(g, LAYERS, [("lo
   CASE WHEN contains(d_file, '#1') THEN 0 WHEN contains(d_file, '#2') OR contains(d_file, '#3') THEN 1 WHEN contains(d_file, '#4') OR contains(d_file, '#5') THEN 2 WHEN contains(d_file, '#') THEN 3 END AS b FROM ends)
 SELECT s_name, s_file, d_name, d_file, ['top', 'mid', 'low', 'base'][a + 1] AS from_layer, ['top', 'mid', 'low', 'base'][b + 1] AS to_layer, count(*) AS calls
 FROM l WHERE s_file <> d_file AND a > b AND NOT (a = 2 AND b = 1) GROUP BY ALL""")
+on_graph("unclassified_files", lambda g: metrics.unclassified_files(g, [("one", ["#1"]), ("two", ["#2"])]), """
+, x AS (SELECT unnest([s_file, d_file]) AS file FROM ends WHERE s_file <> d_file) SELECT file, count(*) AS calls FROM x WHERE NOT contains(file, '#1') AND NOT contains(file, '#2') GROUP BY file""")
 FILE = "Brand#7"
 on_graph("scope_exports", lambda g: metrics.scope_exports(g, FILE), f"""
 SELECT d_name AS name, d_label AS label, count(DISTINCT src_id) AS callers, array_to_string(list_sort(list(DISTINCT s_file))[1:3], ',') AS sample_files FROM ends WHERE d_file = '{FILE}' AND s_file <> '{FILE}' GROUP BY 1, 2""")
@@ -128,6 +130,16 @@ def view_window(spark, d):
     return lookup.view_window(lines, "nosuchname", 3, context=1)
 
 
+@query("view_symbol", """
+, b AS (SELECT file, line FROM nodes WHERE name = 'red bolt' AND contains(file, 'Brand#1') ORDER BY CASE label WHEN 'Function' THEN 0 WHEN 'Class' THEN 1 ELSE 2 END, file, line, node_id LIMIT 1)
+SELECT b.file, g.n AS line_no, b.file || ':' || g.n AS text FROM b, (SELECT unnest(generate_series(1, 60)) AS n) g WHERE g.n BETWEEN b.line - 2 AND b.line + 31""", True)
+def view_symbol(spark, d):
+    g = derived.graph(spark, d)
+    lines = g.nodes.select("file").distinct().select("file", F.explode(F.sequence(F.lit(1), F.lit(60))).alias("line_no"))
+    lines = lines.select("file", F.col("line_no").cast("long").alias("line_no"), F.concat_ws(":", "file", "line_no").alias("text"))
+    return lookup.view(g, lines, "red bolt", "Brand#1", context=2)
+
+
 on_graph("orient_terms", lambda g: lookup.orient(g, "Where does the Bolt handle widget and ring_gear and gizmo for Gear"), """
 , t(term) AS (VALUES ('Bolt'), ('Gear'), ('widget'), ('ring_gear'), ('gizmo')),
 h AS (SELECT term, n.* FROM nodes n, t WHERE label NOT IN ('File', 'Module') AND contains(lower(name), lower(term)))

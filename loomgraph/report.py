@@ -31,7 +31,8 @@ def context_text(result: dict, style: str = "full") -> str:
     edges = [f"{names.get(a, a)} -> {names.get(b, b)}" for a, b in result["edges"]]
     if style == "compact":
         return "\n".join([stats, "; ".join(edges), *(f"cycle: {c}" for c in cycles)])
-    return "\n".join([*(f"{'  ' * n['depth']}{_place(n)}" for n in result["nodes"]), *edges, *(f"cycle: {c}" for c in cycles), stats])
+    callers = [f"{result['total_callers']} callers: " + ", ".join(c["name"] for c in result["callers"])] if result.get("callers") else []
+    return "\n".join([*(f"{'  ' * n['depth']}{_place(n)}" for n in result["nodes"]), *edges, *(f"cycle: {c}" for c in cycles), *callers, stats])
 
 
 def impact_text(result: dict, style: str = "full") -> str:
@@ -41,7 +42,9 @@ def impact_text(result: dict, style: str = "full") -> str:
     if style == "brief":
         return head
     rows = [f"  {d}: " + ", ".join(c["name"] if style == "compact" else f"{c['name']} ({c['file']})" for c in callers) for d, callers in sorted(result["callers_by_depth"].items())]
-    return "\n".join([head, *rows])
+    cycles = [f"cycle of {len(c['members'])} around {c['representative']}" for c in result.get("cycles", [])]
+    removed = [f"{result['bridges_removed']} bridges removed"] if result.get("bridges_removed") else []
+    return "\n".join([head, *rows, *cycles, *removed])
 
 
 def session_text(facts: dict, patterns: dict[str, list[str]]) -> str:

@@ -93,6 +93,25 @@ def test_engine(spark):
     assert error_reason("Symbol not found") == "not_found" and error_reason("index is stale") == "graph_stale"
 
 
+def test_engine_views(spark):
+    g = graph(spark, [("a", "b"), ("b", "c"), ("c", "b"), ("z", "a"), ("y", "z"), ("user_of_lone", "z")], ["lone"])
+    from pyspark.sql import functions as F
+
+    nodes = g.nodes.withColumn("parent", F.when(F.col("name") == "b", "Owner")).withColumn("docstring", F.when(F.col("name") == "z", "uses lone").otherwise("")).withColumn("end_line", F.lit(None).cast("int"))
+    engine = GraphEngine(PropertyGraph(nodes, g.edges))
+    c = engine.context("a", 2)
+    assert c["total_callers"] == 1 and c["callers"] == [{"name": "z", "file": "f.py"}]
+    assert engine.context("Owner.b", 1)["found"] and engine.impact("Owner.b", 1)["total_callers"] == 2 and not engine.context("No.b")["found"]
+    i = engine.impact("b", 5)
+    assert [x["members"] for x in i["cycles"]] == [["b", "c"]] and i["total_callers"] == 5
+    assert engine.impact("a", 5, True)["bridges_removed"] == 0 and engine.impact("z", 3)["callers_by_depth"] == {1: [{"name": "user_of_lone", "file": "f.py"}, {"name": "y", "file": "f.py"}]}
+    o = engine.orient("Where does user_of_lone go, and lone")
+    assert {h["name"] for h in o["hits"]} == {"user_of_lone"} and o["follow"]["user_of_lone"]["edges"]
+    lines = spark.createDataFrame([("f.py", k, t) for k, t in enumerate(["", "def a():", "    pass", "def b():", "    return 1"], 1)], "file string, line_no long, text string")
+    assert [r.text for r in lookup.view(engine.graph, lines, "Owner.b").orderBy("line_no").collect()] == ["def b():", "    return 1"]
+    assert lookup.view(engine.graph, lines, "nothing").count() == 0
+
+
 def test_schedule(spark):
     rows = [("t1", ["core"], []), ("t2", ["a"], ["core"]), ("t3", ["b"], ["core"]), ("t4", ["c"], ["core"]), ("t5", ["d"], ["a", "b", "c"]), ("t6", ["e"], ["d"])]
     df = spark.createDataFrame(rows, "id string, target_symbols array<string>, dependency_symbols array<string>")
