@@ -19,13 +19,15 @@ METHODS = ("definition", "context", "impact", "search", "orient", "status")
 CALLERS = 20
 
 
+# What messages of a store that cannot be reached hold.
+OFFLINE = ("ServiceUnavailable", "Unable to connect", "Connection refused")
+
+
 def error_reason(message: str) -> str:
-    """not_found, graph_stale, store_offline or parse_error, from a message."""
-    m = message.lower()
-    for reason, words in (("not_found", ("not found", "no such")), ("graph_stale", ("stale", "behind")), ("store_offline", ("offline", "connection", "unavailable"))):
-        if any(w in m for w in words):
-            return reason
-    return "parse_error"
+    """store_offline, not_found or parse_error, from a message."""
+    if any(w in message for w in OFFLINE):
+        return "store_offline"
+    return "not_found" if "not found" in message.lower() else "parse_error"
 
 
 class GraphEngine:
@@ -168,7 +170,7 @@ class GraphEngine:
         def make():
             totals = {r["what"]: r["total"] for r in metrics.graph_stats(self.graph).collect()}
             verdict = metrics.freshness(*self.head) if self.head else {"verdict": "unknown", "is_fresh": False, "stale": ""}
-            return {"nodes": totals.get("nodes", 0), "edges": totals.get("edges", 0), **verdict}
+            return {"nodes": totals.get("nodes", 0), "edges": totals.get("edges", 0), "head": self.head[0] if self.head else "unknown", **verdict}
 
         return self._cached(("status",), make, 10)
 
@@ -193,6 +195,38 @@ class GraphEngine:
         self.cache_clear()
 
 
+def reference(node: dict) -> dict:
+    """What points to a symbol: its name, file, line and label, those that are known."""
+    return {k: node[k] for k in ("name", "file", "line", "label") if node.get(k) is not None}
+
+
+def references(result: dict) -> list[dict]:
+    """The symbols of a result: all nodes of a context, the node of a definition, the hits of a search."""
+    nodes = result.get("nodes") or result.get("hits") or ([result["node"]] if result.get("node") else [])
+    return [reference(n) for n in nodes]
+
+
+def top(search: dict) -> dict | None:
+    """The best hit, or None."""
+    return search["hits"][0] if search.get("hits") else None
+
+
+def hits_from(rows: list[dict], query: str | None = None) -> dict:
+    """A search result made of bare hits, in their order."""
+    return {"query": query, "hits": list(rows)}
+
+
+def online(status: dict) -> bool:
+    """Whether a status was told by a store: it counts nodes, and knows the repository's head."""
+    return status.get("nodes", -1) >= 0 and status.get("head", "unknown") != "unknown"
+
+
+def with_reason(result: dict) -> dict:
+    """A result whose error has its reason beside it."""
+    error = result.get("error")
+    return result if not error or result.get("error_reason") else result | {"error_reason": "not_found" if error == "not_found" else error_reason(str(error))}
+
+
 def callers_at(impact: dict, depth: int) -> list[dict]:
     return impact.get("callers_by_depth", {}).get(depth, [])
 

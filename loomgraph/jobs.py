@@ -51,6 +51,44 @@ def read_env(path: str) -> dict[str, str]:
     return {k.strip(): v.strip().strip("'\"") for k, v in pairs}
 
 
+# Preferences and what they are where no file sets them.
+PREFERENCES = {"models_dir": None, "default_depth": None, "compact": False, "brief": False}
+
+
+def preferences(*paths: str) -> dict:
+    """The preferences of JSON files, of which the first that sets a valid value decides: a project's file goes before the user's.
+
+    A depth is a whole number from 1 to 10, compact and brief are true or false, a folder is a text. Files that are
+    missing or not JSON set nothing, and keys that are unknown are left out.
+    """
+    fits = {
+        "models_dir": lambda v: isinstance(v, str), "default_depth": lambda v: isinstance(v, int) and not isinstance(v, bool) and 1 <= v <= 10,
+        "compact": lambda v: isinstance(v, bool), "brief": lambda v: isinstance(v, bool),
+    }
+    out = dict(PREFERENCES)
+    for path in reversed(paths):
+        try:
+            with open(path, encoding="utf-8") as f:
+                spec = json.load(f)
+        except (FileNotFoundError, json.JSONDecodeError):
+            continue
+        out |= {k: v for k, v in spec.items() if k in fits and fits[k](v)} if isinstance(spec, dict) else {}
+    return out
+
+
+def set_preference(path: str, key: str, value) -> None:
+    """Writes one known preference to a file, whose other keys stay."""
+    if key not in PREFERENCES:
+        raise ValueError(f"unknown preference {key}")
+    try:
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+    except FileNotFoundError:
+        spec = {}
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(spec | {key: value}, f, indent=2)
+
+
 def build(spark: SparkSession, root: str, store: GraphStore, ignore: str = "", repo: str | None = None, embeddings: bool = False) -> DataFrame:
     """Parses a tree once, writes its graph and if wanted its vectors, and records the commit; returns the rows of files that could not be parsed."""
     rows = durable(files.extract(files.discover(spark, root, ignore, store.project)))

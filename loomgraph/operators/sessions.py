@@ -6,6 +6,8 @@ interval join; the pattern detectors are boolean expressions evaluated in one pa
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -96,6 +98,54 @@ def detectors(tool: str) -> dict[str, tuple[str, Column]]:
     }
 
 
+#: Patterns in words.
+MEANINGS = {
+    "P01_symbol_not_found": "the symbol asked for is not in the graph, often a method under another name",
+    "P02_view_depth_flag": "view takes no --depth; context does",
+    "P03_grep_wrong_flag": "grep called with a flag of another command",
+    "P04_unsupported_file": "--file given to a command without it; definition, view and context have it",
+    "P05_multiple_symbols": "several symbols have the name; --file would tell them apart",
+    "P06_cd_bad_path": "cd to a folder that is not there, so what follows fails or runs elsewhere",
+    "P07_backslash_path": "a path with backslashes without quotes, which the shell takes out",
+    "P08_windows_cmd_tools": "a command of another operating system's shell",
+    "P09_scope_ambiguous": "scope of a bare file name that several files have",
+    "P10_dotenv_errors": "the environment file cannot be parsed, which fails every command of the project",
+    "P11_view_file_missing": "the symbol is in the graph, but its source file is not checked out",
+    "P12_pytest_broken": "the tests cannot be imported in this environment",
+    "P13_wsl_path": "a path of a subsystem that is not there",
+    "P14_pipe_masks_error": "a pipe's last command hides that the first one failed",
+    "P15_read_directory": "a folder read as a file",
+    "P16_read_empty_offset": "an empty offset counts as reading the whole file, which is blocked",
+    "P17_read_blocked": "reading a whole file is blocked until the tool was asked",
+    "P18_grep_tool_blocked": "the search tool is blocked; the graph tool's own search is meant",
+    "P19_lookup_regen": "lookup built the vectors anew; a build should have made them",
+    "P20_list_empty": "list found nothing: a module's name differs from its path",
+}
+
+
+def pattern_meta(spark: SparkSession, tool: str) -> DataFrame:
+    """(pattern, severity, description): a row per pattern, to join with hits."""
+    return spark.createDataFrame([(p, s, MEANINGS[p]) for p, (s, _) in detectors(tool).items()], "pattern string, severity string, description string")
+
+
+def scan_detectors(tool: str) -> dict[str, tuple[str, Column]]:
+    """The detectors of a scan over all sessions: narrower P03 and P04, wider P02, P07, P08 and P14, P14b more, P19 and P20 not."""
+    cmd = F.trim(arg("command"))
+    bash, err = F.col("name") == "Bash", F.col("is_error")
+    failed, part = bash & err, F.element_at(F.split(cmd, r"\s+&&\s+|\s+\|\s+"), 1)
+    out = {p: d for p, d in detectors(tool).items() if p not in ("P19_lookup_regen", "P20_list_empty")}
+    # What the conditions look for.
+    return dict(sorted((out | {
+        "P02_view_depth_flag": ("MED", failed & cmd.rlike(rf"{tool} view.*--depth")),
+        "P03_grep_wrong_flag": ("HIGH", failed & cmd.rlike(rf"^{tool} grep") & part.rlike(r"--compact|--head(?:_limit)?")),
+        "P04_unsupported_file": ("MED", failed & cmd.rlike(rf"{tool} (?:impact|grep)\b.*--file")),
+        "P07_backslash_path": ("HIGH", failed & cmd.rlike(r"(?:grep|find|cat|head)\b.*[A-Z]:\\\\")),
+        "P08_windows_cmd_tools": ("HIGH", failed & cmd.rlike(r"findstr|Get-Content|Select-String")),
+        "P14_pipe_masks_error": ("MED", bash & ~err & F.contains(cmd, F.lit("|")) & cmd.rlike(rf"^{tool}\s+") & F.contains(cmd, F.lit("--output_mode"))),
+        "P14b_grep_output_mode": ("MED", failed & F.contains(cmd, F.lit(f"{tool} grep")) & F.contains(cmd, F.lit("--output_mode"))),
+    }).items()))
+
+
 def example() -> Column:
     """What a hit shows: the command, the file, or the pattern."""
     name = F.col("name")
@@ -103,9 +153,9 @@ def example() -> Column:
     return F.when(name == "Read", F.substring_index(path, "/", -1)).when(name == "Grep", F.substring(arg("pattern"), 1, 60)).otherwise(F.substring(arg("command"), 1, 80))
 
 
-def pattern_rows(tl: DataFrame, tool: str) -> DataFrame:
+def pattern_rows(tl: DataFrame, tool: str, of: Callable[[str], dict[str, tuple[str, Column]]] = detectors) -> DataFrame:
     """(session, pattern, severity, seq, pos, example): a row per hit, all detectors in one pass."""
-    hits = F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(p).alias("pattern"), F.lit(s).alias("severity"))) for p, (s, c) in detectors(tool).items()]), lambda x: x.isNotNull())
+    hits = F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(p).alias("pattern"), F.lit(s).alias("severity"))) for p, (s, c) in of(tool).items()]), lambda x: x.isNotNull())
     return tl.select("session", "seq", "pos", F.explode(hits).alias("h"), example().alias("example")).select("session", "h.pattern", "h.severity", "seq", "pos", "example")
 
 
@@ -114,8 +164,8 @@ def pattern_hits(tl: DataFrame, tool: str) -> DataFrame:
 
 
 def pattern_scan(tl: DataFrame, tool: str, examples: int = 5) -> DataFrame:
-    """Hits of each pattern over all sessions, with the first few examples; the few are picked before they are gathered."""
-    rows = pattern_rows(tl, tool)
+    """Hits of each pattern of the scan over all sessions, with the first few examples; the few are picked before they are gathered."""
+    rows = pattern_rows(tl, tool, scan_detectors)
     first = Window.partitionBy("pattern").orderBy("session", "seq", "pos")
     some = rows.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= examples).groupBy("pattern").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "example"))), lambda x: x["example"]).alias("examples"))
     return rows.groupBy("pattern", "severity").agg(F.count(F.lit(1)).alias("hits"), F.count_distinct("session").alias("sessions")).join(some, "pattern")
@@ -163,11 +213,17 @@ def failed_commands(tl: DataFrame, tool: str, subcommand: str, width: int = 80)
     return tl.where(failed).select("session", "turn", F.trim(arg("command")).alias("command"), F.substring("result", 1, width).alias("result"))
 
 
-def task_text(logs: DataFrame) -> DataFrame:
-    """(session, task): the first user text with **Task:**, else ``?``."""
-    texts = logs.where("type = 'user'").select("session", "seq", F.posexplode("content").alias("pos", "c")).where(F.contains("c.text", F.lit("**Task:**")))
-    found = texts.groupBy("session").agg(F.min_by(F.trim(F.regexp_extract("c.text", r"(?s)\*\*Task:\*\*\s*(.*)", 1)), F.struct("seq", "pos")).alias("task"))
-    return logs.select("session").distinct().join(found, "session", "left").select("session", F.coalesce("task", F.lit("?")).alias("task"))
+def task_text(logs: DataFrame, width: int = 200) -> DataFrame:
+    """(session, task): the line after **Task:** of the first user text with one, else the start of the first arguments of an analysis skill, else ``?``."""
+    line = r"(?d)\*\*Task:\*\*\s*(.+?)(?:\n|$)"
+    blocks = logs.select("session", "type", "seq", F.posexplode("content").alias("pos", "c"))
+    said = F.when((F.col("type") == "user") & (F.col("c.type") == "text") & F.col("c.text").rlike(line), F.trim(F.regexp_extract("c.text", line, 1)))
+    args = F.element_at("c.input", "args")
+    asked = (F.col("type") == "assistant") & (F.col("c.type") == "tool_use") & (F.col("c.name") == "Skill") & F.element_at("c.input", "skill").endswith("-analysis") & (args != "")
+    at = F.struct("seq", "pos")
+    first = lambda x: F.min_by(x, F.when(x.isNotNull(), at))
+    found = blocks.groupBy("session").agg(first(said).alias("said"), first(F.when(asked, F.substring(args, 1, width))).alias("asked"))
+    return logs.select("session").distinct().join(found, "session", "left").select("session", F.coalesce("said", "asked", F.lit("?")).alias("task"))
 
 
 def prompt_with(logs: DataFrame, marker: str) -> DataFrame:
@@ -211,12 +267,27 @@ def batch_trend(facts: DataFrame, metrics: list[str]) -> DataFrame:
     return ends.select("metric", t1.alias("first_total"), F.col("a.avg").alias("first_avg"), t2.alias("last_total"), F.col("b.avg").alias("last_avg"), trend.alias("trend"), verdict.alias("verdict"))
 
 
+def _ends(facts: DataFrame, *columns: str) -> DataFrame:
+    """(instance, a, b): structs of an instance's first and last session; numbers that are missing are 0."""
+    at, x = F.struct("ts", "session"), F.struct(*[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in columns])
+    return facts.groupBy("instance").agg(F.min_by(x, at).alias("a"), F.max_by(x, at).alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def _verdict(margin: float) -> Column:
+    d = F.col("b.cost") - F.col("a.cost")
+    return F.when(d < -margin, "better").when(d > margin, "worse").otherwise("same")
+
+
 def first_last_verdict(facts: DataFrame, margin: float = 0.005) -> DataFrame:
-    """(instance, first_cost, last_cost, verdict): an instance's first session against its last, by cost."""
-    at = F.struct("ts", "session")
-    ends = facts.groupBy("instance").agg(F.min_by("cost", at).alias("first_cost"), F.max_by("cost", at).alias("last_cost"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    d = F.col("last_cost") - F.col("first_cost")
-    return ends.select("instance", "first_cost", "last_cost", F.when(d < -margin, "better").when(d > margin, "worse").otherwise("same").alias("verdict"))
+    """(instance, first_cost, last_cost, verdict): an instance's first session against its last, by cost; no cost is 0."""
+    return _ends(facts, "cost").select("instance", F.col("a.cost").alias("first_cost"), F.col("b.cost").alias("last_cost"), _verdict(margin).alias("verdict"))
+
+
+def pattern_deltas(facts: DataFrame, patterns: list[str], margin: float = 0.005) -> DataFrame:
+    """(instance, pattern, first_hits, last_hits): of instances that got worse, the patterns with more hits in the last session than in the first."""
+    worse = _ends(facts, "cost", *patterns).where(_verdict(margin) == "worse")
+    each = F.explode(F.array(*[F.struct(F.lit(p).alias("pattern"), F.col(f"a.{p}").alias("first_hits"), F.col(f"b.{p}").alias("last_hits")) for p in patterns]))
+    return worse.select("instance", each.alias("d")).select("instance", "d.*").where("last_hits > first_hits")
 
 
 def batch_gap_commits(batches: DataFrame, commits: DataFrame, keywords: dict[str, str] | None = None) -> DataFrame:

@@ -386,7 +386,7 @@ on_timeline("subcommands", lambda tl: sessions.subcommands(tl, "tool"), "SELECT
 on_timeline("failed_commands", lambda tl: sessions.failed_commands(tl, "tool", "view", 9).withColumn("turn", F.col("turn").cast("long")), "SELECT session, turn, command, result[1:9] AS result FROM tl WHERE name = 'Bash' AND is_error AND starts_with(command, 'tool view')")
 on_timeline("pattern_hits", lambda tl: sessions.pattern_hits(tl, "tool").drop("severity"), "SELECT session, pattern, count(*) AS hits FROM hits GROUP BY 1, 2")
 on_timeline("pattern_matrix", lambda tl: sessions.pattern_matrix(sessions.pattern_hits(tl, "tool"), PATTERNS), "SELECT session, " + ", ".join(f"count(*) FILTER (pattern = '{p}') AS {p}" for p in PATTERNS) + " FROM hits GROUP BY session")
-on_timeline("pattern_scan", lambda tl: sessions.pattern_scan(tl, "tool").select("pattern", "hits", "sessions", F.array_join("examples", "|").alias("examples")), """, e AS (SELECT pattern, h.session, h.turn, t.command FROM hits h JOIN tl t ON t.session = h.session AND t.turn = h.turn),
+on_timeline("pattern_scan", lambda tl: sessions.pattern_scan(tl, "tool").select("pattern", "hits", "sessions", F.array_join("examples", "|").alias("examples")), """, e AS (SELECT pattern, h.session, h.turn, t.command FROM hits h JOIN tl t ON t.session = h.session AND t.turn = h.turn WHERE pattern NOT IN ('P04_unsupported_file', 'P20_list_empty') AND is_error),
 r AS (SELECT pattern, string_agg(command, '|' ORDER BY session, turn) AS examples FROM (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY pattern ORDER BY session, turn) <= 5) GROUP BY pattern)
 SELECT pattern, count(*) AS hits, count(DISTINCT session) AS sessions, any_value(examples) AS examples FROM e JOIN r USING (pattern) GROUP BY pattern""")
 on_timeline("call_classes", sessions.call_classes, """SELECT session, name, CASE WHEN name IN ('Read', 'Grep') AND is_error THEN 'blocked' WHEN is_error THEN 'failed' ELSE 'ok' END AS class, count(*) AS calls FROM tl WHERE name <> 'Bash' GROUP BY 1, 2, 3""")
@@ -408,6 +408,18 @@ def first_last_verdict(spark, d):
     return sessions.first_last_verdict(_facts(spark, d))
 
 
+@query("pattern_deltas", FACTS_SQL + """
+, h AS (SELECT session, date_trunc('day', tl.ts) AS day, pattern, count(*) AS n FROM hits JOIN tl USING (session, turn) GROUP BY 1, 2, 3),
+f AS (SELECT f.session, f.ts, cost, p.pattern, coalesce(n, 0) AS n FROM facts f CROSS JOIN (SELECT unnest(""" + str(PATTERNS) + """) AS pattern) p LEFT JOIN h ON h.session = f.session AND h.day = f.day AND h.pattern = p.pattern)
+SELECT session AS instance, pattern, arg_min(n, ts) AS first_hits, arg_max(n, ts) AS last_hits FROM f GROUP BY 1, 2
+HAVING count(*) > 1 AND arg_max(cost, ts) - arg_min(cost, ts) > 0.005 AND arg_max(n, ts) > arg_min(n, ts)""")
+def pattern_deltas(spark, d):
+    daily = F.concat_ws("@", "session", F.date_trunc("day", "ts").cast("string"))
+    hits = sessions.pattern_matrix(sessions.pattern_hits(derived.timeline(spark, d).withColumn("session", daily), "tool"), PATTERNS)
+    facts = _facts(spark, d).withColumn("session", F.concat_ws("@", "session", F.col("day").cast("string")))
+    return sessions.pattern_deltas(facts.join(hits, "session", "left"), PATTERNS)
+
+
 @query("batch_trend", FACTS_SQL + """
 , l AS (SELECT strftime(ts, '%m-%dT%H') AS batch, ts, unnest([struct_pack(metric := 'total_calls', x := total_calls::DOUBLE), struct_pack(metric := 'total_errors', x := total_errors::DOUBLE), struct_pack(metric := 'bash', x := bash::DOUBLE)]) AS m FROM facts),
 s AS (SELECT m.metric AS metric, batch, min(ts) AS b, sum(m.x) AS total, avg(m.x) AS av FROM l GROUP BY 1, 2),
@@ -447,6 +459,30 @@ def prompt_line_difference(spark, d):
     return c.select("conv_id", F.array_join(sessions.line_difference(F.col("a"), F.col("b")), "\n").alias("gone"))
 
 
+# Plans of tasks: suppliers in chains of four.
+def _plan(spark, d):
+    k, text = F.col("s_suppkey"), F.col("s_suppkey").cast("string")
+    none = F.array().cast("array<string>")
+    return conflicts.phases(table(spark, d, "supplier").select(k.alias("id"), F.array(text).alias("target_symbols"), F.when(k % 4 == 0, none).otherwise(F.array((k - 1).cast("string"))).alias("dependency_symbols")))
+
+
+FIRST_SQL = "SELECT s_suppkey AS id, (CASE WHEN s_suppkey < 4 THEN s_suppkey - min(s_suppkey) OVER () ELSE s_suppkey % 4 END + 1)::INTEGER AS phase FROM supplier"
+
+
+@query("task_phases", FIRST_SQL)
+def task_phases(spark, d):
+    return _plan(spark, d)
+
+
+@query("task_outcome", f"""
+WITH p AS ({FIRST_SQL}), f AS (SELECT min(phase) AS stop FROM p WHERE id % 5 <> 0 AND id % 7 = 3), r AS (SELECT *, CASE WHEN id % 5 <> 0 AND phase <= stop THEN id % 7 <> 3 END AS ok FROM p, f)
+SELECT CASE WHEN count(*) FILTER (ok) = count(*) THEN 'SUCCESS' WHEN count(*) FILTER (ok) = 0 THEN 'FAILED' ELSE 'PARTIAL' END AS status, count(*) AS total, count(*) FILTER (ok) AS completed, count(*) FILTER (NOT ok) AS failed,
+  count(*) FILTER (ok IS NULL) AS skipped FROM r""")
+def task_outcome(spark, d):
+    results = table(spark, d, "supplier").where("s_suppkey % 5 <> 0").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 7 != 3).alias("success"))
+    return conflicts.outcome(_plan(spark, d), results, stop_at_failure=True)
+
+
 # Scalar operators.
 @query("import_resolve_python", """
 SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'pkg.sub.' || p_name WHEN 1 THEN 'pkg.' || p_name ELSE p_name END AS module FROM part""")

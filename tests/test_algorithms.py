@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from loomgraph.engine import GraphEngine, all_callers, callers_at, error_reason, explain, from_json, strong_components, to_json
+from loomgraph.engine import GraphEngine, all_callers, callers_at, error_reason, explain, from_json, hits_from, online, references, strong_components, to_json, top, with_reason
 from loomgraph.operators import algorithms, conflicts, lookup, traverse
 from loomgraph.schema import PropertyGraph
 
@@ -90,7 +90,10 @@ def test_engine(spark):
     assert got[0] is got[2] and got[1]["total_callers"] == 2
     with pytest.raises(ValueError):
         engine.batch([("drop", "a")])
-    assert error_reason("Symbol not found") == "not_found" and error_reason("index is stale") == "graph_stale"
+    assert error_reason("Symbol not found") == "not_found" and error_reason("Unable to connect to it") == "store_offline" and error_reason("odd") == "parse_error"
+    assert online(engine.status()) and not online(GraphEngine(g).status()) and [r["name"] for r in references(c)] == ["a", "b", "c"] and references(d)[0]["file"] == "f.py"
+    assert top(hits_from([])) is None and top(hits_from([{"name": "x"}, {"name": "y"}], "q")) == {"name": "x"}
+    assert with_reason(engine.impact("none"))["error_reason"] == "not_found" and with_reason({"error": "Connection refused"})["error_reason"] == "store_offline" and with_reason(i) is i
 
 
 def test_engine_views(spark):
@@ -120,6 +123,17 @@ def test_schedule(spark):
     assert {r.id: r.phase for r in conflicts.phases(same).collect()} == {"a": 1, "b": 2, "c": None, "d": None}
 
 
+def test_outcome_of_a_plan(spark):
+    plan = spark.createDataFrame([("t0", 1), ("t1", 1), ("t2", 2), ("t3", 2), ("t4", None)], "id string, phase int")
+    results = lambda *ok: spark.createDataFrame([(f"t{k}", x) for k, x in enumerate(ok)], "id string, success boolean")
+    of = lambda *ok, **more: tuple(conflicts.outcome(plan, results(*ok), **more).first())
+    assert of(False, True, False, True) == ("PARTIAL", 5, 2, 2, 1)
+    assert of(False, True, False, True, True, stop_at_failure=True) == ("PARTIAL", 5, 1, 1, 3)
+    assert of(True, True, True, True, True, stop_at_failure=True) == ("PARTIAL", 5, 4, 0, 1)
+    assert tuple(conflicts.outcome(plan.where("phase is not null"), results(True, True, True, True)).first()) == ("SUCCESS", 4, 4, 0, 0)
+    assert of(False, False) == ("FAILED", 5, 0, 2, 3) and tuple(conflicts.outcome(plan.limit(0), results(True)).first()) == ("SUCCESS", 0, 0, 0, 0)
+
+
 def test_conflicts(spark):
     symbols = spark.createDataFrame([(1, "f", "f", "function", "a.py"), (2, "g", "g", "function", "b.py"), (3, "g", "g", "import", "a.py"), (4, "h", "h", "function", "c.py")], "ord long, name string, qualified_name string, type string, file string")
     tasks = spark.createDataFrame([("t1", ["f"]), ("t2", ["g"]), ("t3", ["h", "f"])], "id string, target_symbols array<string>")

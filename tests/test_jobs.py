@@ -91,6 +91,21 @@ def test_environment_files(tmp_path):
     assert jobs.read_env(str(tmp_path / ".env")) == {"A": "1", "B": "x=y"} and jobs.read_env(str(tmp_path / "no")) == {}
 
 
+def test_preferences(tmp_path):
+    own, user = str(tmp_path / "own.json"), str(tmp_path / "user.json")
+    assert jobs.preferences(own, user) == jobs.PREFERENCES
+    jobs.set_preference(user, "default_depth", 3)
+    jobs.set_preference(user, "brief", True)
+    jobs.set_preference(own, "default_depth", 11)
+    assert jobs.preferences(own, user) == jobs.PREFERENCES | {"default_depth": 3, "brief": True}
+    jobs.set_preference(own, "default_depth", 7)
+    assert jobs.preferences(own, user)["default_depth"] == 7 and jobs.preferences(own)["brief"] is False
+    (tmp_path / "own.json").write_text("not json")
+    assert jobs.preferences(own, user)["default_depth"] == 3
+    with pytest.raises(ValueError):
+        jobs.set_preference(user, "colour", 1)
+
+
 def test_layer_config(tmp_path):
     layers, allow = jobs.layer_config(str(tmp_path / "l.json"))
     assert layers[0][0] == "cli" and allow == [] and jobs.layer_config(str(tmp_path / "l.json")) == (layers, allow)

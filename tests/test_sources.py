@@ -1,6 +1,7 @@
 """Extraction, graph building, the store, the watcher, contracts, diffs, imports and session logs."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -104,6 +105,44 @@ def test_watch(spark, tmp_path):
     assert seen == [(["a", "b"], ["a.py"])]
 
 
+def test_changes_wait_for_a_quiet_tree(spark, tmp_path):
+    (tmp_path / "node_modules").mkdir()
+    (tmp_path / "a.py").write_text("def a(): pass\n")
+    (tmp_path / "b.py").write_text("def b(): pass\n")
+    now, seen = [0.0], []
+    tree = watch.Debounced(spark, f"file://{tmp_path}", lambda s, f, n: seen.append((sorted((r["file"], r["name"]) for r in s.collect()), f, n)), debounce=2, clock=lambda: now[0])
+    assert tree.tick() == [] and not seen
+    (tmp_path / "a.py").write_text("def a(): pass\ndef more(): pass\n")
+    (tmp_path / "node_modules" / "x.py").write_text("def x(): pass\n")
+    assert tree.tick() == []
+    now[0] = 1.5
+    (tmp_path / "c.py").write_text("def c(): pass\n")
+    (tmp_path / "b.py").unlink()
+    assert tree.tick() == []
+    now[0] = 3
+    assert tree.tick() == []  # 3 s after the first change, 1.5 after the last
+    now[0] = 4
+    assert tree.tick() == ["a.py", "b.py", "c.py"]
+    assert seen == [([("a.py", "a"), ("a.py", "more"), ("c.py", "c")], ["a.py", "b.py", "c.py"], 0)]
+    now[0] = 9
+    assert tree.tick() == [] and len(seen) == 1
+
+
+def test_watching_changes(spark, tmp_path):
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src/a.py").write_text("def a(): pass\n")
+    seen = []
+    query = watch.watch_changes(spark, f"file://{tmp_path}/src", f"file://{tmp_path}/cp", lambda s, f, n: seen.append((sorted(r["name"] for r in s.collect()), f)), debounce=0.5)
+    try:
+        (tmp_path / "src/a.py").write_text("def a(): pass\ndef b(): pass\n")
+        until = time.monotonic() + 60
+        while not seen and time.monotonic() < until:
+            time.sleep(0.2)
+    finally:
+        query.stop()
+    assert seen == [(["a", "b"], ["a.py"])]
+
+
 def test_windows_of_events(spark, sf_dir):
     rows = watch.windowed_totals(spark.read.parquet(f"{sf_dir}/events.parquet")).agg(F.sum("n")).first()[0]
     assert rows == spark.read.parquet(f"{sf_dir}/events.parquet").count()
@@ -220,3 +259,31 @@ def test_session_logs(spark, tmp_path):
     trend = {r.metric: r for r in sessions.batch_trend(sessions.session_facts(logs, "tool"), ["cost", "total_calls", "total_errors"]).collect()}
     assert trend["cost"].trend == "-80%" and trend["total_errors"].verdict == "improvement"
     assert {r.task for r in sessions.task_text(logs).collect()} == {"fix it"}
+    worse = sessions.session_facts(logs, "tool").withColumn("ts", F.expr("timestamp '2027-01-01' - (ts - timestamp '2026-01-01')"))
+    assert sessions.first_last_verdict(worse).first().verdict == "worse"
+    assert {(r.pattern, r.first_hits, r.last_hits) for r in sessions.pattern_deltas(worse, list(sessions.detectors("tool"))).collect()} == {("P17_read_blocked", 0, 1)}
+    free = worse.withColumn("cost", F.lit(None).cast("double"))
+    assert sessions.first_last_verdict(free).first().verdict == "same" and not sessions.pattern_deltas(free, ["P17_read_blocked"]).count()
+
+
+def test_tasks_of_sessions(spark):
+    block = "struct<type:string,name:string,input:map<string,string>,text:string>"
+    said = lambda t: ("text", None, None, t)
+    skill = lambda **a: ("tool_use", "Skill", a, None)
+    rows = [
+        ("a", 0, "user", [said("**Task:**"), said("x **Task:** one\ntwo")]), ("a", 1, "user", [said("**Task:** three")]),
+        ("b", 0, "assistant", [skill(skill="other", args="no"), skill(skill="code-analysis", args="")]), ("b", 1, "assistant", [skill(skill="code-analysis", args="y" * 300)]),
+        ("c", 0, "assistant", [said("**Task:** not by the user")]), ("d", 0, "user", None),
+    ]
+    logs = spark.createDataFrame(rows, f"session string, seq long, type string, content array<{block}>")
+    assert {r.session: r.task for r in sessions.task_text(logs).collect()} == {"a": "one", "b": "y" * 200, "c": "?", "d": "?"}
+
+
+def test_scan_differs_from_reports(spark):
+    bash = lambda c, err=True, result="": ("s", 1, 1, 0, "Bash", {"command": c}, result, err)
+    rows = [bash("tool grep x --compact", False), bash("tool lookup x --file f"), bash("tool grep x --output_mode y"), bash("cat C:\\\\a"), bash("xfindstr a"), bash("tool list", False, "No symbols found")]
+    tl = spark.createDataFrame(rows, "session string, turn int, seq int, pos int, name string, input map<string,string>, result string, is_error boolean")
+    assert {r.pattern: r.hits for r in sessions.pattern_hits(tl, "tool").collect()} == {"P03_grep_wrong_flag": 1, "P04_unsupported_file": 1, "P07_backslash_path": 1, "P20_list_empty": 1}
+    assert {r.pattern: r.hits for r in sessions.pattern_scan(tl, "tool").collect()} == {"P07_backslash_path": 1, "P08_windows_cmd_tools": 1, "P14b_grep_output_mode": 1}
+    meta = {r.pattern: r for r in sessions.pattern_meta(spark, "tool").collect()}
+    assert len(meta) == 20 and meta["P10_dotenv_errors"].severity == "CRIT" and all(r.description for r in meta.values())
