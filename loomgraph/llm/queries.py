@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import align, bpe, exact_dedup, langid, lm, mixing, repeats, simhash, telephony, topk, url_filter, warc
+from . import align, bpe, exact_dedup, langid, lm, mixing, prefix_trie, repeats, simhash, telephony, topk, url_filter, warc
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_warc": warc.op10_warc,
     "op11_media": telephony.op11_media,
     "op12_alignment": align.op12_alignment,
+    "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 
 ORACLES = {
