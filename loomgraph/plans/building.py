@@ -115,34 +115,170 @@ def ignored_paths(spark, d):
     return table(spark, d, "part").select("p_partkey", files.is_ignored(path, rules).alias("ignored"))
 
 
-# Sources: a file for each part, with a class, its method and a function, or what the language has of these.
-SOURCES = {
-    "python": ("import os\n\n\nclass C@:\n    def m@(self):\n        return f@()\n\n\nasync def f@():\n    pass\n", [("import", "os", 1, None), ("class", "C@", 4, None), ("function", "m@", 5, "C@"), ("function", "f@", 9, None)], ("m@", "f@")),
-    "typescript": ("// class No@ {}\n\nexport class C@ {\n  m@(): void {\n    f@();\n  }\n}\n\nexport function f@() {\n  return 1;\n}\n", [("class", "C@", 3, None), ("function", "m@", 4, "C@"), ("function", "f@", 9, None)], ("m@", "f@")),
-    "go": ("package p\n\ntype C@ struct {\n\ta int\n}\n\nfunc (c *C@) M@() {\n\tf@()\n}\n\nfunc f@() {\n}\n", [("class", "C@", 3, None), ("function", "M@", 7, "C@"), ("function", "f@", 11, None)], ("M@", "f@")),
-    "rust": ("struct C@ {\n    a: i32,\n}\n\nimpl C@ {\n    fn m@(&self) {\n        f@();\n    }\n}\n\nfn f@() {\n}\n", [("class", "C@", 1, None), ("function", "m@", 6, "C@"), ("function", "f@", 11, None)], ("m@", "f@")),
-    "java": ("package p;\n\nimport java.util.List;\n\npublic class C@ {\n    public void m@() {\n        f@();\n    }\n}\n", [("import", "List", 3, None), ("class", "C@", 5, None), ("function", "m@", 6, "C@")], ("m@", "f@")),
-    "csharp": ("using System;\n\nnamespace N {\n    public class C@ {\n        public void M@() {\n            F@();\n        }\n    }\n}\n", [("import", "System", 1, None), ("class", "C@", 4, None), ("function", "M@", 5, "C@")], ("M@", "F@")),
+# Sources: a file for each part, of three pieces; which of its three forms a piece has goes by the part's size, key and type, and its names hold the part's key, name and type.
+def _sources(spark: SparkSession, d: str) -> DataFrame:
+    """(project_id, file, language, content) of all languages, a file for each part and language."""
+    part = table(spark, d, "part")
+    key, name, kind = F.col("p_partkey").cast("string"), F.replace(F.col("p_name"), F.lit(" "), F.lit("_")), F.lower("p_type")
+    chosen = [F.col("p_size") % 3, F.col("p_partkey") % 3, F.length("p_type") % 3]
+
+    def text(language: str):
+        forms = [F.element_at(F.array(*[F.lit(text) for text, _, _ in piece]), (c + 1).cast("int")) for c, piece in zip(chosen, PIECES[language], strict=True)]
+        return F.replace(F.replace(F.replace(F.concat(*forms), F.lit("§"), key), F.lit("¤"), name), F.lit("¥"), kind)
+
+    each = F.explode(F.array(*[F.struct(F.lit(x).alias("language"), text(x).alias("text")) for x in PIECES])).alias("s")
+    rows = part.select(key.alias("k"), each)
+    return rows.select(F.lit("p").alias("project_id"), F.concat(F.lit("d/"), "k", F.lit("."), F.lit("x")).alias("file"), F.col("s.language").alias("language"), F.col("s.text").cast("binary").alias("content"))
+
+
+def _value(x: str | None) -> str:
+    if x is None:
+        return "NULL"
+    out = x.replace("'", "''")
+    for mark, column in (("§", "p_partkey"), ("¤", "replace(p_name, ' ', '_')"), ("¥", "lower(p_type)")):
+        out = out.replace(mark, f"' || {column} || '")
+    return f"'{out}'"
+
+
+CHOSEN = ("p_size % 3", "p_partkey % 3", "length(p_type) % 3")
+
+
+def _expected(language: str, calls: bool) -> str:
+    """SQL of the rows that the pieces' forms stand for, each under its own condition."""
+    rows, line = [], 0
+    for chosen, piece in zip(CHOSEN, PIECES[language], strict=True):
+        sizes = {text.count("\n") for text, _, _ in piece}
+        assert len(sizes) == 1, (language, sizes)
+        for k, (_, symbols, called) in enumerate(piece):
+            if calls:
+                at = {name: line + own for _, name, own, _, _ in symbols}
+                rows += [f"SELECT 'function:d/' || p_partkey || '.x:{at[caller]}:' || {_value(caller)} AS caller_id, {_value(name)} AS call_text FROM part WHERE {chosen} = {k}" for caller, name in called]
+            else:
+                rows += [
+                    f"SELECT 'd/' || p_partkey || '.x' AS file, '{kind}' AS type, {_value(name)} AS name, {line + own} AS line, {_value(parent)} AS parent, {_value(doc)} AS docstring FROM part WHERE {chosen} = {k}"
+                    for kind, name, own, parent, doc in symbols
+                ]
+        line += sizes.pop()
+    return " UNION ALL ".join(rows)
+
+
+#: Of each language three pieces of three forms: text, symbols (type, name, line of the piece, parent, docstring) and calls (caller, called). The forms of a piece have equally many lines.
+PIECES = {
+    "python": [
+        [
+            ("import os\nfrom .¥ import a as b, c\nX = 1\n", [("import", "os", 1, None, None), ("import", "d.¥.b", 2, None, None), ("import", "d.¥.c", 2, None, None)], []),
+            ("try:\n    import ¤ as q\nexcept ImportError: pass\n", [("import", "q", 2, None, None)], []),
+            ("'''import no'''\nfrom ¥.x import *\n# def no(): pass\n", [("import", "¥.x.*", 2, None, None)], []),
+        ],
+        [
+            ("class C§(B):\n    \"Doc ¤.\"\n    @p(z())\n    def m§(self): return self.f(g§(1))\n    x = lambda: no()\n", [("class", "C§", 1, None, "Doc ¤."), ("function", "m§", 4, "C§", None)], [("m§", "self.f"), ("m§", "g§")]),
+            ("async def f§(a, *b):\n    def inner(): return deep()\n    class L: pass\n    return f\"{t§(a)}\"\n\n", [("function", "f§", 1, None, None), ("function", "inner", 2, None, None), ("class", "L", 3, None, None)], [("f§", "deep"), ("f§", "t§"), ("inner", "deep")]),
+            ("class C§:\n    if X:\n        def ¤(self):\n            'does'\n            [h(i) for i in k()]\n", [("class", "C§", 1, None, None), ("function", "¤", 3, "C§", "does")], [("¤", "h"), ("¤", "k")]),
+        ],
+        [
+            ("def last():\n    return '''def no(): x()'''\n", [("function", "last", 1, None, None)], []),
+            ("with open(p) as f:\n    def last(): f.read().strip()\n", [("function", "last", 2, None, None)], [("last", "f.read"), ("last", "f.read().strip")]),
+            ("for i in r():\n    class Last§: y = 1\n", [("class", "Last§", 2, None, None)], []),
+        ],
+    ],
+    "typescript": [
+        [
+            ("import D, { a as b } from './¥';\nconst s = `function no() { ${x(`}`)} class N {`;\ndeclare const z: any;\n", [("import", "d/¥.D", 1, None, None), ("import", "d/¥.b", 1, None, None)], []),
+            ("import * as n from '¤';\nimport type {\n  T } from \"../¥.ts\";\n", [("import", "¤.n", 1, None, None), ("import", "¥.T", 2, None, None)], []),
+            ("const r = /[/'{]+\\/class X {/g; import './side';\n/** Type. */\nexport type U§ = { a: string } | `k${string}`;\n", [("import", "d/side", 1, None, None), ("type", "U§", 3, None, "* Type.")], []),
+        ],
+        [
+            ("@Comp({ f() {} })\nexport class C§<T extends { a: string }> extends B<T> {\n  private x = () => { no(); };\n  m§<U>(a: U): { k: number } { return this.go<U>(a); }\n}\n", [("class", "C§", 2, None, None), ("function", "m§", 4, "C§", None)], [("m§", "this.go")]),
+            ("interface I§<T> { f(): void; }\nnamespace N { export async function ¤(x): x is T {\n  return h(`${j§(x)}`);\n} }\nfunction over(a): void;\n", [("interface", "I§", 1, None, None), ("function", "¤", 2, None, None)], [("¤", "h"), ("¤", "j§")]),
+            ("abstract class A§ {\n  abstract q(): void; n(): void;\n  static async *gen() { yield* z§(); new W(v()); }\n  get ¥() { return super.p(); }\n}\n", [("class", "A§", 1, None, None), ("function", "gen", 3, "A§", None), ("function", "¥", 4, "A§", None)], [("gen", "z§"), ("gen", "v"), ("¥", "super.p")]),
+        ],
+        [
+            ("export function V§() { return <div title='{'>Don't {list.map(i => <Row a={f(i)} />)}</div>; }\n", [("function", "V§", 1, None, None)], [("V§", "list.map"), ("V§", "f")]),
+            ("function o§() { function inner() { deep(); } return a / b / inner(); }\n", [("function", "o§", 1, None, None), ("function", "inner", 1, None, None)], [("o§", "deep"), ("o§", "inner"), ("inner", "deep")]),
+            ("const e = function named() { no(); }, g = <T,>(x: T) => x;\n", [], []),
+        ],
+    ],
+    "go": [
+        [
+            ("package p\nimport \"fmt\"\nvar s = `func no() {`\n", [("import", "fmt", 2, None, None)], []),
+            ("package p\nimport (n \"net/¥\"\n\t_ \"a/b/¤/\")\n", [("import", "¥", 2, None, None), ("import", "¤", 3, None, None)], []),
+            ("package p\n// T§ is one.\ntype T§[K any] struct { f func() struct{ b int } }\n", [("class", "T§", 3, None, "T§ is one.")], []),
+        ],
+        [
+            ("type (\n\tA§ struct{ x int }\n\tB interface{ M() }\n\tC func(a struct{}) int\n)\n", [("class", "A§", 2, None, None), ("interface", "B", 3, None, None), ("type", "C", 4, None, None)], []),
+            ("func (s *S§[K, V]) M(a K) (err error) {\n\tgo s.run(a)\n\tdefer mu.Unlock()\n\treturn g§[K](func() { z() })\n}\n", [("function", "M", 1, "S§", None)], [("M", "s.run"), ("M", "mu.Unlock"), ("M", "g§"), ("M", "z")]),
+            ("/* ¤ */\nfunc f§(\n\ta int,\n) map[string]func() int { b := []byte(s); return h(b, '{', \"}\") }\n\n", [("function", "f§", 2, None, "/* ¤ */")], [("f§", "h")]),
+        ],
+        [
+            ("func asm(x int) int\n", [("function", "asm", 1, None, None)], []),
+            ("func last() interface{ M() } { return k() }\n", [("function", "last", 1, None, None)], [("last", "k")]),
+            ("var f = func() { no() }; type ¤ [5]int\n", [("type", "¤", 1, None, None)], []),
+        ],
+    ],
+    "rust": [
+        [
+            ("use a::{B, c::D as ¤, f::*};\n#![allow(x)]\n/* fn no() /* {} */ */\n", [("import", "B", 1, None, None), ("import", "¤", 1, None, None), ("import", "f", 1, None, None)], []),
+            ("/// One\n#[derive(Debug)]\npub struct P§<T> where T: X { a: fn(i32) -> T }\n", [("class", "P§", 3, None, "One")], []),
+            ("macro_rules! m { () => { fn no() {} } }\npub(crate) type A§<'a> = &'a str;\nconst C: fn() = || { no(); };\n", [("type", "A§", 2, None, None)], []),
+        ],
+        [
+            ("impl<T: Fn() -> i32> fmt::Display for S§<T> where T: Clone {\n    const K: char = '{';\n    /// ¥\n    pub async fn m<'a>(&'a self) -> R<(), E> { self.go()?; Self::st(f(1)) }\n}\n", [("function", "m", 4, "S§<T>", "¥")], [("m", "self.go"), ("m", "Self.st"), ("m", "f")]),
+            ("mod ¤ {\n    use super::X;\n    #[test]\n    fn t§() { assert_eq!(no(1), 2); check::<u8>(b'x', r#\"fn \"no\"() {\"#); }\n}\n", [("import", "X", 2, None, None), ("function", "t§", 4, "¤", None)], [("t§", "check")]),
+            ("trait T§: A { fn req(&self); fn def(&self) { no(); } }\nfn f§() {\n    if let Some(x) = g() { x.h() }\n    match k() { Ok(v) => l(v), Err(e) => {} }\n}\n", [("interface", "T§", 1, None, None), ("function", "f§", 2, None, None)], [("f§", "g"), ("f§", "x.h"), ("f§", "k"), ("f§", "l")]),
+        ],
+        [
+            ("fn last() { fn nested() { a() } nested() }\n", [("function", "last", 1, None, None)], [("last", "a"), ("last", "nested")]),
+            ("enum E§ { A { x: i32 }, B(i32) } extern \"C\" { fn no(); }\n", [("class", "E§", 1, None, None)], []),
+            ("pub extern \"C\" fn ¤() -> impl Iterator<Item = u8> + '_ { q() }\n", [("function", "¤", 1, None, None)], [("¤", "q")]),
+        ],
+    ],
+    "java": [
+        [
+            ("package p;\nimport static org.¥.Y.z;\nimport java.io.*;\n", [("import", "z", 2, None, None), ("import", "io", 3, None, None)], []),
+            ("import java.util.¤;\n/** An\n * interface. */ interface I§<T> { double area(); default int n() { return k().trim(); } }\n", [("import", "¤", 1, None, None), ("interface", "I§", 3, None, "An interface."), ("function", "area", 3, "I§", None), ("function", "n", 3, "I§", None)], [("n", "k"), ("n", "trim")]),
+            ("enum E§ { RED(1) { int no() { return no(); } }, BLUE;\n  E§(int x) { set(x); }\n}\n", [("class", "E§", 1, None, None), ("function", "E§", 2, "E§", None)], [("E§", "set")]),
+        ],
+        [
+            ("/** Doc ¤. */\n@Entity(name = \"t{\")\npublic class C§<T extends B & D> extends F<T> {\n  @Override <R> List<R> m§(Function<T, R> f, int... n) throws X { return f.apply(new Q(w()), \"}\"); }\n}\n", [("class", "C§", 2, None, "Doc ¤."), ("function", "m§", 4, "C§", None)], [("m§", "apply"), ("m§", "w")]),
+            ("class C§ {\n  Map<String, List<int[]>> v = new HashMap<>() {{ put(no()); }};\n  static { no(); }\n  String ¥() { return \"\"\"\n    class No { \"\"\" + go(); } }\n", [("class", "C§", 1, None, None), ("function", "¥", 4, "C§", None)], [("¥", "go")]),
+            ("class O§ {\n  // void no() {}\n  class In { In() { a§(); } static class Deep {\n    void d() { O§.this.b(); } } }\n}\n", [("class", "O§", 1, None, None), ("class", "In", 3, "O§", None), ("function", "In", 3, "In", None), ("class", "Deep", 3, "In", None), ("function", "d", 4, "Deep", None)], [("In", "a§"), ("d", "b")]),
+        ],
+        [
+            ("record R§(int x) { static R§ of() { return make(); } }\n", [("class", "R§", 1, None, None), ("function", "of", 1, "R§", None)], [("of", "make")]),
+            ("@interface No { String value() default \"x\"; } class Z§ {}\n", [("class", "Z§", 1, None, None)], []),
+            ("abstract class Z§ { Runnable r = () -> { no(); }; abstract <T> T get(Class<T> c); char c = '{'; }\n", [("class", "Z§", 1, None, None), ("function", "get", 1, "Z§", None)], []),
+        ],
+    ],
+    "csharp": [
+        [
+            ("using System;\nusing static A.¥;\nusing J = N.¤;\n", [("import", "System", 1, None, None), ("import", "¥", 2, None, None), ("import", "¤", 3, None, None)], []),
+            ("/// <summary>The <c>¤</c>.</summary>\n/// More.\npublic record struct R§(int A) { public int Sum() => Add(A); }\n", [("class", "R§", 3, None, "The ¤. More."), ("function", "Sum", 3, "R§", None)], [("Sum", "Add")]),
+            ("#if DEBUG {\nenum E§ : byte { A = 1 }\n#endif }\n", [("class", "E§", 2, None, None)], []),
+        ],
+        [
+            ("namespace N.¥ {\n  [Attr(\"}\")] public sealed class C§<T> : B<T> where T : class, new() {\n    public C§(int x) : base(no(x)) { Init(); }\n    public int P { get; set; } = no(); event Action E;\n    async Task<(int, T)> M<U>(U u) where U : struct { await L§(u); } } }\n", [("class", "C§", 2, None, None), ("function", "C§", 3, "C§", None), ("function", "M", 5, "C§", None)], [("C§", "Init"), ("M", "L§")]),
+            ("class C§ {\n  string v = @\"C:\\ \"\"class No { }\"\" \";\n  char c = '\"';\n  void ¤() { var s = $\"a{G($\"b{H§()}\")} {{no()}}\"; }\n}\n", [("class", "C§", 1, None, None), ("function", "¤", 4, "C§", None)], [("¤", "G"), ("¤", "H§")]),
+            ("interface I§<in T> {\n  void M(T t);\n  static int D() { int Local() => q(); return new X(z()).Y<int>(); }\n  int this[int i] { get; }\n}\n", [("interface", "I§", 1, None, None), ("function", "M", 2, "I§", None), ("function", "D", 3, "I§", None)], [("D", "q"), ("D", "z"), ("D", "Y")]),
+        ],
+        [
+            ("struct S§ { public static S§ operator +(S§ a, S§ b) => no(a); ~S§() { no(); } }\n", [("class", "S§", 1, None, None)], []),
+            ("class Z§ { (int a, int b) Pair() => (One(), 2); void I.Ex() { a?.B(); } }\n", [("class", "Z§", 1, None, None), ("function", "Pair", 1, "Z§", None), ("function", "Ex", 1, "Z§", None)], [("Pair", "One"), ("Ex", "a.B")]),
+            ("delegate void No(int x); class Z§ { Func<int, int> g = x => { return no(x); }; }\n", [("class", "Z§", 1, None, None)], []),
+        ],
+    ],
 }
 
 
 def _extracted(spark: SparkSession, d: str, language: str) -> DataFrame:
-    text = F.regexp_replace(F.lit(SOURCES[language][0]), "@", F.col("p_partkey").cast("string"))
-    rows = table(spark, d, "part").select(F.lit("p").alias("project_id"), F.concat(F.lit("d/"), F.col("p_partkey").cast("string")).alias("file"), F.lit(language).alias("language"), text.cast("binary").alias("content"))
-    return files.extract(rows)
+    return files.extract(_sources(spark, d).where(F.col("language") == language))
 
 
 def _extraction(language: str) -> None:
-    _, found, (caller, called) = SOURCES[language]
-    value = lambda x: "NULL" if x is None else "'" + x.replace("@", "' || p_partkey || '") + "'"
-    sql = " UNION ALL ".join(f"SELECT 'd/' || p_partkey AS file, '{t}' AS type, {value(n)} AS name, {line} AS line, {value(p)} AS parent FROM part" for t, n, line, p in found)
-    query(f"symbols_of_{language}", sql)(lambda spark, d: files.symbols_of(_extracted(spark, d, language)).select("file", "type", "name", "line", "parent"))
-    at = next(line for _, n, line, _ in found if n == caller)
-    sql = f"SELECT 'function:d/' || p_partkey || ':{at}:' || {value(caller)} AS caller_id, {value(called)} AS call_text FROM part"
-    query(f"calls_of_{language}", sql)(lambda spark, d: files.calls_of(_extracted(spark, d, language)).select("caller_id", "call_text"))
+    query(f"symbols_of_{language}", _expected(language, False))(lambda spark, d: files.symbols_of(_extracted(spark, d, language)).select("file", "type", "name", "line", "parent", "docstring"))
+    query(f"calls_of_{language}", _expected(language, True))(lambda spark, d: files.calls_of(_extracted(spark, d, language)).select("caller_id", "call_text"))
 
 
-for _language in SOURCES:
+for _language in PIECES:
     _extraction(_language)
 
 
