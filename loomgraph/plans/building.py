@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import contracts, diffs
+from ..functions import contracts, diffs, tables
 from ..operators import build, incremental, sessions
 from ..schema import node_id
 from ..sources import files
@@ -127,8 +127,8 @@ def _sources(spark: SparkSession, d: str) -> DataFrame:
         return F.replace(F.replace(F.replace(F.concat(*forms), F.lit("§"), key), F.lit("¤"), name), F.lit("¥"), kind)
 
     each = F.explode(F.array(*[F.struct(F.lit(x).alias("language"), text(x).alias("text")) for x in PIECES])).alias("s")
-    rows = part.select(key.alias("k"), each)
-    return rows.select(F.lit("p").alias("project_id"), F.concat(F.lit("d/"), "k", F.lit("."), F.lit("x")).alias("file"), F.col("s.language").alias("language"), F.col("s.text").cast("binary").alias("content"))
+    rows = part.select(key.alias("k"), each).repartition(spark.sparkContext.defaultParallelism)  # reading a file costs far more than sending it
+    return rows.select(F.lit("p").alias("project_id"), F.concat(F.lit("d/"), "k", F.lit("."), F.element_at(F.create_map(*[F.lit(x) for kv in ENDS.items() for x in kv]), F.col("s.language"))).alias("file"), F.col("s.language").alias("language"), F.col("s.text").cast("binary").alias("content"))
 
 
 def _value(x: str | None) -> str:
@@ -140,6 +140,8 @@ def _value(x: str | None) -> str:
     return f"'{out}'"
 
 
+#: Extensions of the made files.
+ENDS = {"python": "py", "typescript": "tsx", "go": "go", "rust": "rs", "java": "java", "csharp": "cs"}
 CHOSEN = ("p_size % 3", "p_partkey % 3", "length(p_type) % 3")
 
 
@@ -152,10 +154,10 @@ def _expected(language: str, calls: bool) -> str:
         for k, (_, symbols, called) in enumerate(piece):
             if calls:
                 at = {name: line + own for _, name, own, _, _ in symbols}
-                rows += [f"SELECT 'function:d/' || p_partkey || '.x:{at[caller]}:' || {_value(caller)} AS caller_id, {_value(name)} AS call_text FROM part WHERE {chosen} = {k}" for caller, name in called]
+                rows += [f"SELECT 'function:d/' || p_partkey || '.{ENDS[language]}:{at[caller]}:' || {_value(caller)} AS caller_id, {_value(name)} AS call_text FROM part WHERE {chosen} = {k}" for caller, name in called]
             else:
                 rows += [
-                    f"SELECT 'd/' || p_partkey || '.x' AS file, '{kind}' AS type, {_value(name)} AS name, {line + own} AS line, {_value(parent)} AS parent, {_value(doc)} AS docstring FROM part WHERE {chosen} = {k}"
+                    f"SELECT 'd/' || p_partkey || '.{ENDS[language]}' AS file, '{kind}' AS type, {_value(name)} AS name, {line + own} AS line, {_value(parent)} AS parent, {_value(doc)} AS docstring FROM part WHERE {chosen} = {k}"
                     for kind, name, own, parent, doc in symbols
                 ]
         line += sizes.pop()
@@ -282,6 +284,30 @@ for _language in PIECES:
     _extraction(_language)
 
 
+# The same from SQL: table functions in LATERAL joins, and over a table whole.
+ALL_SYMBOLS = " UNION ALL ".join(_expected(x, False) for x in PIECES)
+
+
+def _sql(spark: SparkSession, d: str, text: str) -> DataFrame:
+    tables.register(spark)
+    return spark.sql(text, sources=_sources(spark, d))
+
+
+@query("sql_symbols", ALL_SYMBOLS)
+def sql_symbols(spark, d):
+    return _sql(spark, d, "SELECT s.file, x.type, x.name, x.line, x.parent, x.docstring FROM {sources} s, LATERAL extract_symbols(s.file, s.content) x")
+
+
+@query("sql_symbols_of_table", f"SELECT file, type, count(*) AS n, sum(line)::BIGINT AS lines, count(parent) AS members FROM ({ALL_SYMBOLS}) GROUP BY ALL")
+def sql_symbols_of_table(spark, d):
+    return _sql(spark, d, "SELECT file, type, count(*) AS n, sum(line) AS lines, count(parent) AS members FROM symbols_of_files(TABLE(SELECT file, content FROM {sources})) WHERE error IS NULL GROUP BY ALL")
+
+
+@query("sql_calls", " UNION ALL ".join(_expected(x, True) for x in PIECES))
+def sql_calls(spark, d):
+    return _sql(spark, d, "SELECT concat_ws(':', x.caller_type, s.file, x.caller_line, x.caller_name) AS caller_id, x.call_text FROM {sources} s, LATERAL extract_calls(s.file, s.content) x")
+
+
 # Contracts.
 CONTRACT_SOURCE = '''class C:
     def m(self, a: int, b: str = 'x') -> Optional[@]:
@@ -316,6 +342,17 @@ def contracts_of_sources(spark, d):
     )
 
 
+@query("sql_contracts", """
+SELECT p_partkey::VARCHAR AS file, 'C.m' AS qualified_name, 3::BIGINT AS n_parameters, 'b=\'\'x\'\'' AS defaults, 'Optional[' || p_type || ']' AS return_type, ['ValueError'] AS raises FROM part
+UNION ALL SELECT p_partkey::VARCHAR, 'f' || p_type, 2::BIGINT, '', NULL, []::VARCHAR[] FROM part""".replace("\\'", "'"))
+def sql_contracts(spark, d):
+    tables.register(spark)
+    rows = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("file"), F.regexp_replace(F.lit(CONTRACT_SOURCE), "@", F.col("p_type")).alias("source"))
+    return spark.sql("""
+        SELECT s.file, x.qualified_name, cast(size(x.parameters) AS bigint) AS n_parameters, array_join(transform(filter(x.parameters, p -> p.default_value IS NOT NULL), p -> p.name || '=' || p.default_value), ',') AS defaults, x.return_type, x.raises
+        FROM {rows} s, LATERAL extract_contracts(s.source) x""", rows=rows)
+
+
 @query("contract_changes", """
 , b AS (SELECT p_partkey AS k, list_filter([CASE WHEN p_partkey % 5 = 0 THEN 'PARAMETER_REMOVED:HIGH:b' END, CASE WHEN p_partkey % 3 = 0 THEN 'PARAMETER_REQUIRED_NOW:HIGH:c' END, CASE WHEN p_partkey % 5 <> 0 AND p_partkey % 7 = 0 THEN 'PARAMETER_TYPE_CHANGED:HIGH:b' END,
   CASE WHEN p_partkey % 8 = 0 THEN 'RETURN_TYPE_NARROWED:MEDIUM:return' END, CASE WHEN p_partkey % 4 = 0 THEN 'EXCEPTION_ADDED:LOW:E2' END, CASE WHEN p_partkey % 9 = 0 THEN 'PRECONDITION_ADDED:MEDIUM:preconditions' END], lambda x: x IS NOT NULL) AS x FROM part)
