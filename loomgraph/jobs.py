@@ -159,6 +159,6 @@ def sync(spark: SparkSession, root: str, repo: str, range_: str, store: GraphSto
 
 def breaking_changes(spark: SparkSession, repo: str, path: str, before: str, after: str, symbol: str | None = None) -> DataFrame:
     """Comparison of a file's contracts at two commits, of all its functions or of one."""
-    read = lambda ref: contracts.extract_contracts(spark.createDataFrame([(path, git.blob(repo, ref, path))], "file string, source string"))
+    read = lambda ref: contracts.extract_contracts(git.history(spark, repo, "blobs", ref=ref).where(F.col("file") == path).select("file", F.col("content").cast("string").alias("source")))
     out = contracts.compare(read(before), read(after), ("file", "qualified_name"))
     return out if symbol is None else out.where(F.col("qualified_name") == symbol)

@@ -1,53 +1,37 @@
-"""Version-control history as DataFrames; git runs on the driver, and what it prints is small."""
+"""Version-control history: what the jobs ask of it, from the tables of the history source."""
 
 from __future__ import annotations
 
-import subprocess
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..functions.diffs import hunks, name_status
-from ..schema import COMMITS
-
-
-class GitError(RuntimeError):
-    """git is missing, timed out, or failed."""
-
-
-def run_git(args: list[str], cwd: str, timeout: int = 60) -> str:
-    try:
-        done = subprocess.run(["git", *args], cwd=cwd, capture_output=True, text=True, timeout=timeout)
-    except FileNotFoundError as e:
-        raise GitError("git is not installed") from e
-    except subprocess.TimeoutExpired as e:
-        raise GitError(f"git {args[0]} took more than {timeout} s") from e
-    if done.returncode:
-        raise GitError(done.stderr.strip() or f"git {args[0]} failed")
-    return done.stdout
-
+from .files import LANGUAGES, ignore_rules, is_ignored
+from .git_source import GitError, history, run_git
 
-def _lines(spark: SparkSession, text: str) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(text.splitlines())), "seq int, line string")
+__all__ = ["GitError", "blob", "changed", "changed_hunks", "commit", "commit_count", "commits_behind", "history", "log_between", "run_git", "sources_at"]
 
 
 def changed(spark: SparkSession, repo: str, range_: str) -> DataFrame:
     """(status, file, old_file) of a commit range."""
-    return name_status(_lines(spark, run_git(["diff", "--name-status", range_], repo)))
+    return history(spark, repo, "diff", range=range_)
 
 
 def changed_hunks(spark: SparkSession, repo: str, range_: str) -> DataFrame:
-    return hunks(_lines(spark, run_git(["diff", "--unified=0", range_], repo)))
+    """(file, lo, hi): the changed lines of the new side; a hunk of no lines is left out."""
+    return history(spark, repo, "hunks", range=range_)
 
 
 def commit(spark: SparkSession, repo: str, ref: str = "HEAD") -> DataFrame:
     """One row of commit data; the time also as git wrote it."""
-    from datetime import datetime, timezone
-
-    h, short, author, when, subject = run_git(["show", "-s", "--format=%H%x00%h%x00%an%x00%aI%x00%s", ref], repo).strip("\n").split("\0", 4)
     branch = run_git(["rev-parse", "--abbrev-ref", "HEAD"], repo).strip()
-    files = len(run_git(["show", "--name-only", "--format=", ref], repo).split("\n")) - 1
-    ts = datetime.fromisoformat(when).astimezone(timezone.utc).replace(tzinfo=None)
-    return spark.createDataFrame([(h, short, subject, author, ts, when, branch, files)], COMMITS)
+    return history(spark, repo, "commits", ref=ref, limit="1").select("commit_hash", "short_hash", "message", "author", "ts", "ts_raw", F.lit(branch).alias("branch"), "files_changed")
+
+
+def sources_at(spark: SparkSession, repo: str, ref: str = "HEAD", ignore: str = "", project: str = "") -> DataFrame:
+    """(project_id, file, language, content) of the sources of a commit, without a working tree."""
+    by_ext = F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])
+    rows = history(spark, repo, "blobs", ref=ref).select(F.lit(project).alias("project_id"), "file", F.element_at(by_ext, F.lower(F.substring_index("file", ".", -1))).alias("language"), "content")
+    return rows.where(F.col("language").isNotNull() & F.contains(F.col("file"), F.lit(".")) & ~is_ignored(F.col("file"), ignore_rules(ignore)))
 
 
 def blob(repo: str, ref: str, path: str) -> str:
@@ -67,6 +51,7 @@ def commit_count(repo: str) -> int:
 
 
 def log_between(spark: SparkSession, repo: str, after: str, before: str) -> DataFrame:
-    """(commit_hash, ts_raw, message) in a time window."""
-    text = run_git(["log", f"--after={after}", f"--before={before}", "--format=%h%x00%aI%x00%s"], repo)
-    return spark.createDataFrame([tuple(x.split("\0", 2)) for x in text.splitlines()], "commit_hash string, ts_raw string, message string")
+    """(commit_hash, ts_raw, message) of commits in a time window."""
+    at = F.col("committed")
+    rows = history(spark, repo, "commits").where((at >= F.lit(after).cast("timestamp")) & (at <= F.lit(before).cast("timestamp")))
+    return rows.select(F.col("short_hash").alias("commit_hash"), "ts_raw", "message")
