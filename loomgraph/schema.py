@@ -7,8 +7,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import durable
-
 # Labels of nodes and types of edges.
 NODE_LABELS = ("File", "Module", "Function", "Class", "Variable", "Type", "Interface", "Commit")
 EDGE_TYPES = ("IMPORTS", "CALLS", "DEFINES", "INHERITS", "DEPENDS_ON", "TYPE_OF", "IMPLEMENTS", "MODIFIED_BY")
@@ -35,11 +33,18 @@ class PropertyGraph:
         ids = self.nodes.select("node_id")
         return e.join(ids, e.src_id == ids.node_id, "left_semi").join(ids, e.dst_id == ids.node_id, "left_semi")
 
+    def adjacency(self, reverse: bool = False):
+        """The calls laid out for expansion, along or against them: stored once for this graph."""
+        from .operators.adjacency import lay_out
+
+        key = "_against" if reverse else "_along"
+        if key not in self.__dict__:
+            object.__setattr__(self, key, lay_out(self.calls(), reverse))
+        return self.__dict__[key]
+
     def kept_calls(self) -> DataFrame:
-        """The same, checkpointed once for this graph: for traversals, which refer to them at each hop."""
-        if "_kept" not in self.__dict__:
-            object.__setattr__(self, "_kept", durable(self.calls()))
-        return self.__dict__["_kept"]
+        """The calls (src_id, dst_id) from the stored layout."""
+        return self.adjacency().edges.select("src_id", "dst_id")
 
 
 def node_id(type_: Column, file: Column, line: Column, name: Column) -> Column:

@@ -145,3 +145,81 @@ def test_conflicts(spark):
 
 def test_task_terms():
     assert lookup.task_terms("Where does HttpClient handle retry_count for the request") == ["HttpClient", "retry_count", "request"]
+
+
+def test_hops_do_not_shuffle_edges(spark):
+    import random
+
+    r = random.Random(3)
+    edges = sorted({(f"n{r.randrange(60)}", f"n{r.randrange(60)}") for _ in range(200)})
+    g = graph(spark, edges)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = traverse.reach(g.adjacency(), g.nodes.where("node_id = 'n1'").select("node_id"), 4)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    scans = [k for k, line in enumerate(plan.splitlines()) if "adjacency_" in line and "Scan" in line or "FileScan" in line]
+    lines = plan.splitlines()
+    assert len(scans) >= 4
+    for k in scans:  # what stands above a scan, up to its join
+        up, depth = [], len(lines[k]) - len(lines[k].lstrip(" :+-*|"))
+        for line in reversed(lines[:k]):
+            d = len(line) - len(line.lstrip(" :+-*|"))
+            if d < depth:
+                up.append(line)
+                depth = d
+            if "Join" in up[-1] if up else False:
+                break
+        assert not any("Exchange" in x for x in up), up
+
+
+def slow_reach(edges, start, hops):
+    depth, now = {start: 0}, [start]
+    for level in range(hops):
+        now = sorted({b for a, b in edges if a in now} - set(depth))
+        depth |= dict.fromkeys(now, level + 1)
+    return depth
+
+
+@pytest.mark.parametrize("hub", [10**6, 5])
+def test_reach_of_many_requests(spark, monkeypatch, hub):
+    """Also with hubs in parts."""
+    import random
+
+    from loomgraph.operators import adjacency
+
+    monkeypatch.setattr(adjacency, "HUB", hub)
+    r = random.Random(hub)
+    edges = sorted({(f"n{r.randrange(40)}", f"n{r.randrange(40)}") for _ in range(70)} | {("n0", f"n{k}") for k in range(1, 30)} | {("n39", "n39")})
+    g = graph(spark, edges)
+    assert (g.adjacency().hubs is not None) == (hub == 5)
+    starts = [(k, f"n{r.randrange(40)}", r.randrange(5)) for k in range(25)] + [(99, "n0", 3), (99, "n5", 3)]
+    got = traverse.reach_many(g.adjacency(), spark.createDataFrame(starts, "request int, node_id string, hops int"), 5)
+    found = {}
+    for x in got.collect():
+        assert (x.request, x.node_id) not in found
+        found[x.request, x.node_id] = x.depth
+    want = {}
+    for k, start, hops in starts:
+        for n, d in slow_reach(edges, start, hops).items():
+            want[k, n] = min(d, want.get((k, n), 99))
+    assert found == want
+    back = [(b, a) for a, b in edges]
+    one = traverse.reach(g.adjacency(True), g.nodes.where("node_id = 'n3'").select("node_id"), 3)
+    assert {x.node_id: x.depth for x in one.collect()} == slow_reach(back, "n3", 3)
+    inner = {(x.request, x.src_id, x.dst_id) for x in traverse.edges_within(g, got).collect()}
+    assert inner == {(k, a, b) for k in {s[0] for s in starts} for a, b in edges if (k, a) in want and (k, b) in want}
+
+
+def test_shortest_paths_from_both_ends(spark):
+    import random
+
+    r = random.Random(8)
+    edges = sorted({(f"n{r.randrange(30)}", f"n{r.randrange(30)}") for _ in range(45)} | {("n0", f"m{k}") for k in range(40)})
+    g = graph(spark, edges)
+    for source, target in (("n0", "n7"), ("n0", "m3"), ("m3", "n0"), ("n4", "n4"), ("n9", "n21"), ("n2", "n11")):
+        want = slow_reach(edges, source, 50).get(target)
+        path = [x.node_id for x in traverse.shortest_path(g, source, target).orderBy("hop").collect()]
+        assert (len(path) - 1 if path else None) == want, (source, target)
+        assert all(e in set(edges) for e in zip(path, path[1:])) and (not path or (path[0], path[-1]) == (source, target))
