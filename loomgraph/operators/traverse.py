@@ -57,16 +57,23 @@ def edges_within(g: PropertyGraph, reached: DataFrame) -> DataFrame:
     return met.join(ids.withColumnRenamed("node_id", "dst_id"), ["request", "dst_id"], "left_semi").select("request", "src_id", "dst_id")
 
 
-def starts_of(g: PropertyGraph, requests: DataFrame) -> DataFrame:
-    """(request, node_id, name) of the one node each of (request, symbol, file) starts at: its own name, or the last part of a dotted one with its parent. Requests without a node give no row."""
-    parts = F.split("symbol", r"\.")
-    asked = requests.withColumns({"_last": F.element_at(parts, -1), "_owner": F.when(F.size(parts) > 1, F.element_at(parts, -2))})
-    n = g.nodes.select("node_id", "name", "file", F.col("parent").alias("_parent"), priority(F.col("label")).alias("_p"), "line").withColumnRenamed("file", "_file")
+def resolve_many(g: PropertyGraph, requests: DataFrame) -> DataFrame:
+    """(request, name, file) of (request, symbol, file): the name of the node that each symbol means, as lookup.resolve finds it. Requests without a node give no row."""
+    owner = F.regexp_extract("symbol", r"(?s)^(.*)\.[^.]*$", 1)
+    asked = requests.select("request", "symbol", "file", F.substring_index("symbol", ".", -1).alias("_last"), F.when(F.contains("symbol", F.lit(".")), owner).alias("_owner"))
+    n = g.nodes.select("node_id", "name", F.col("file").alias("_file"), F.col("parent").alias("_parent"), priority(F.col("label")).alias("_p"), "line")
     inside = F.col("file").isNull() | F.contains(F.col("_file"), F.col("file"))
     own = asked.join(n, (F.col("symbol") == F.col("name")) & inside).withColumn("_way", F.lit(0))
-    dotted = asked.where("_owner is not null").join(n, (F.col("_last") == F.col("name")) & (F.col("_owner") == F.col("_parent")) & inside).withColumn("_way", F.lit(1))
-    best = F.min(F.struct("_way", "_p", "_file", "line", "node_id", "name")).alias("b")
-    return own.unionByName(dotted).groupBy("request").agg(best).select("request", "b.node_id", "b.name")
+    dotted = asked.where("_owner is not null").join(n, (F.col("_last") == F.col("name")) & F.contains(F.col("_parent"), F.col("_owner")) & inside).withColumn("_way", F.lit(1))
+    best = F.min(F.struct("_way", "_p", "_file", "line", "node_id", "name", "file")).alias("b")
+    return own.unionByName(dotted).groupBy("request").agg(best).select("request", "b.name", "b.file")
+
+
+def start_of_many(g: PropertyGraph, named: DataFrame) -> DataFrame:
+    """(request, node_id) of (request, name, file): the one node each traversal by name starts at."""
+    n = g.nodes.select("node_id", F.col("name").alias("_name"), F.col("file").alias("_file"), priority(F.col("label")).alias("_p"), "line")
+    found = named.join(n, (F.col("name") == F.col("_name")) & (F.col("file").isNull() | F.contains(F.col("_file"), F.col("file"))))
+    return found.groupBy("request").agg(F.min(F.struct("_p", "_file", "line", "node_id")).alias("b")).select("request", "b.node_id")
 
 
 def start_of(g: PropertyGraph, name: str, file: str | None = None) -> DataFrame:

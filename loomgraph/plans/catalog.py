@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import diffs, imports
 from ..operators import algorithms, conflicts, incremental, lookup, metrics, sessions, traverse, vectors
 from ..operators.index import SymbolIndex
-from ..schema import project_id
+from ..schema import priority, project_id
 from . import building, derived  # noqa: F401  building registers its own queries
 from .derived import SYMBOLS_SQL, TASKS_SQL, TIMELINE_SQL, UNIQUE_SQL, table
 from .registry import ORACLES, QUERIES, query  # noqa: F401
@@ -168,6 +168,23 @@ on_graph("impact_by_depth", lambda g: traverse.impact_by_depth(g, IMPACT, 5), wa
 on_graph("token_estimate", lambda g: traverse.token_estimate(traverse.subgraph_nodes(g, traverse.start_of(g, "red bolt"), 5)), walk(5) + "SELECT (sum(length(name) + length(file) + 30) // 4)::BIGINT AS tokens FROM m JOIN nodes USING (node_id)")
 
 
+# Many requests at once: of each file the first function, and what it reaches, or is reached from, in as many hops as its name has words.
+MANY_SQL = f"""
+, s AS (SELECT file AS request, node_id, len(string_split(name, ' ')) AS hops FROM nodes QUALIFY row_number() OVER (PARTITION BY file ORDER BY {RANK}, file, line, node_id) = 1),
+r(request, node_id, hops, depth) AS (SELECT request, node_id, hops, 0 FROM s UNION SELECT request, {{to}}, hops, depth + 1 FROM r JOIN calls ON {{frm}} = r.node_id WHERE depth < hops)
+SELECT request, node_id, min(depth) AS depth FROM r GROUP BY request, node_id"""
+
+
+def _many(g, reverse: bool):
+    best = F.min(F.struct(priority(F.col("label")).alias("p"), "line", "node_id", "name")).alias("b")
+    starts = g.nodes.groupBy(F.col("file").alias("request")).agg(best).select("request", "b.node_id", F.size(F.split("b.name", " ")).alias("hops"))
+    return traverse.reach_many(g.adjacency(reverse), starts, traverse.MAX_DEPTH)
+
+
+on_graph("reach_of_many", lambda g: _many(g, False), MANY_SQL.format(to="dst_id", frm="src_id"))
+on_graph("impact_of_many", lambda g: _many(g, True), MANY_SQL.format(to="src_id", frm="dst_id"))
+
+
 @query("shortest_path_hops", """
 , r(node_id, depth) AS (SELECT node_id, 0 FROM nodes WHERE name = 'red bolt' UNION SELECT dst_id, depth + 1 FROM r JOIN calls ON src_id = r.node_id WHERE depth < 12)
 SELECT min(depth) AS hops FROM r JOIN nodes USING (node_id) WHERE name = 'blue gizmo'""", True)

@@ -223,3 +223,33 @@ def test_shortest_paths_from_both_ends(spark):
         path = [x.node_id for x in traverse.shortest_path(g, source, target).orderBy("hop").collect()]
         assert (len(path) - 1 if path else None) == want, (source, target)
         assert all(e in set(edges) for e in zip(path, path[1:])) and (not path or (path[0], path[-1]) == (source, target))
+
+
+def test_batches_answer_together(spark):
+    """What a batch answers in common jobs is what each query answers alone."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    r = random.Random(11)
+    edges = sorted({(f"n{r.randrange(25)}", f"n{r.randrange(25)}") for _ in range(45)})
+    g = graph(spark, edges, ["lone"])
+    nodes = g.nodes.withColumn("parent", F.when(F.col("name") == "n3", "pkg.Owner")).withColumn("docstring", F.col("name"))
+    twin = nodes.where("name = 'n4'").withColumns({"node_id": F.lit("n4b"), "file": F.lit("other.py"), "label": F.lit("Class")})
+    g = PropertyGraph(nodes.unionByName(twin), g.edges)
+    queries = [
+        ("definition", "n1"), ("definition", ("n4",), {"file_filter": "other"}), ("definition", "none"), ("context", ("n2",), {"depth": 3, "compress": True}), ("context", "n3", 2), ("context", "Owner.n3", 1), ("context", ("nope",), {}),
+        ("context", ("lone",), {}), ("impact", ("n5",), {"depth": 4}), ("impact", "n6", 2, True), ("impact", "none"), ("context", "n4", 2, False, "other"), ("status", (), {}), ("impact", ("n5",), {"depth": 4}),
+    ]
+    many = GraphEngine(g)
+    calls = []
+    whole = many._ask_many
+    many._ask_many = lambda keys: calls.append(len(keys)) or whole(keys)
+    got = many.batch([*queries, ("context",), ("impact", ("n1",), {"wrong": 1}), ("search", ("n1",), {"follow": "odd"})])
+    assert calls == [12] and got[8] is got[13]
+    assert [type(x) for x in got[-3:]] == [TypeError, TypeError, ValueError]
+    alone = GraphEngine(g, ttl=0)
+    for q, x in zip(queries, got, strict=False):
+        args, kwargs = (q[1], q[2]) if len(q) == 3 and isinstance(q[2], dict) else (q[1:], {})
+        assert x == getattr(alone, q[0])(*args, **kwargs), q
+    assert many.batch([("definition", "n1"), ("impact", "n6", 2, True)]) == [got[0], got[9]] and calls == [12]  # from the cache
