@@ -240,13 +240,15 @@ def test_topk(spark, block, monkeypatch):
 
     r = random.Random(5)
     rows = [(k, [r.uniform(-1, 1) for _ in range(8)]) for k in range(180)]
-    rows += [(403, [1e12] * 4), (404, [0.5] * 4), (405, [1e300] * 8)]
+    rows += [(403, [1e12] * 4), (404, [0.5] * 4), (405, [1e300] * 8), (406, [-1.7e308] * 8), (407, [3e6] * 8), (450, [1.7e308, 1e9, 0.0, 0.0, 0.0, 0.0, 0.0, -2.5e6]), (500, [-1e10] * 4)]
     rows += [(200 + k, [0.5] * 8) for k in range(40)] + [(50, rows[50][1]), (None, [0.1] * 8), (300, None), (301, [None] * 8), (302, [float("nan")] * 8), (303, [float("inf")] * 8), (400, [0.25] * 3), (401, [0.5] * 3), (350, []), (351, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
-    good = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) and abs(x) < 1e6 for x in v)]
+    most = 1.7976931348623157e308
+    good = [(i, [math.floor(max(-most, min(most, 256 * x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    fits = lambda s: max(-(2**63), min(2**63 - 1, s))
     want = []
     for q, a in {i: v for i, v in good if i % 50 == 0}.items():
-        scored = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in good if i != q and len(a) == len(b))[:5]
+        scored = sorted((-fits(sum(x * y for x, y in zip(a, b))), i) for i, b in good if i != q and len(a) == len(b))[:5]
         want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored)]
     assert sorted(map(tuple, topk.top_k(df).collect())) == sorted(want)
     assert topk.top_k(df.limit(0)).count() == 0
@@ -262,7 +264,9 @@ def test_pivots_eliminate_in_clusters():
     top, pivots = float((f * f).sum(1).max()), f[:24]
     lift = np.sqrt(top - (pivots * pivots).sum(1))
     scored: list[int] = []
-    got = topk.search_block(ids[:60], v[:60], ids, v, top, 5, pivots, lift, scored)
+    own = np.sqrt(np.maximum(top - (f * f).sum(1), 0))
+    tables = [topk.pivot_distances(x, y, pivots, lift).astype(np.float32) for x, y in ((f[:60], np.zeros(60)), (f, own))]
+    got = topk.search_block(ids[:60], f[:60], tables[0], ids, f, tables[1], top, 5, scored)
     for q in range(60):
         s = v @ v[q]
         s[q] = -(10**12)
