@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,16 +13,50 @@ STRIDE = 2
 
 
 def _trim(e: DataFrame) -> DataFrame:
-    """Drops edges of nodes without a predecessor or successor, until none is left: they are on no cycle."""
-    n = e.count()
-    while n:
-        for _ in range(STRIDE):
-            e = e.join(e.select(F.col("v").alias("u")).distinct(), "u", "left_semi").join(e.select(F.col("u").alias("v")).distinct(), "v", "left_semi").select("u", "v")
-        e = durable(e)
-        if (m := e.count()) == n:
-            break
-        n = m
-    return e
+    """Drops edges of nodes without a predecessor or successor, a few layers of them: they are on no cycle."""
+    for _ in range(STRIDE):
+        e = e.join(e.select(F.col("v").alias("u")).distinct(), "u", "left_semi").join(e.select(F.col("u").alias("v")).distinct(), "v", "left_semi").select("u", "v")
+    return durable(e)
+
+
+def chains(e: DataFrame, keep: DataFrame | None = None) -> tuple[DataFrame | None, DataFrame | None]:
+    """(links, rings) of a graph with distinct edges (u, v): nodes with one predecessor and one successor, but for those of keep (n).
+
+    links (n, u, v): of each chain's nodes, what comes before the chain and what after it. rings (n, l): nodes of rings
+    that have nothing else, and the ring's smallest. Each node looks twice as far in every round, so the rounds go by
+    the logarithm of the longest chain.
+    """
+    ins = e.groupBy(F.col("v").alias("n")).agg(F.count(F.lit(1)).alias("i"), F.min("u").alias("before")).where("i = 1").drop("i")
+    outs = e.groupBy(F.col("u").alias("n")).agg(F.count(F.lit(1)).alias("o"), F.min("v").alias("after")).where("o = 1").drop("o")
+    own = ins.join(outs, "n").where("before <> n")
+    own = durable(own if keep is None else own.join(keep.select("n"), "n", "left_anti"))
+    size = own.count()
+    if not size:
+        return None, None
+    ids = own.select(F.col("n").alias("x"))
+    first = own.join(ids.withColumnRenamed("x", "before"), "before", "left_anti").select(F.col("n").alias("f"), "before")
+    ends = own.join(ids.withColumnRenamed("x", "after"), "after", "left_anti").select("n")
+    # to: how far a node sees; last: the chain's last node, once it is seen; l: the smallest on the way
+    seen = own.join(ends.withColumn("done", F.lit(True)), "n", "left").select("n", F.col("after").alias("to"), F.coalesce("done", F.lit(False)).alias("done"), F.when(F.col("done"), F.col("n")).alias("last"), F.least("n", "after").alias("l"))
+    far, seen = 1, durable(seen)
+    while far <= size and seen.where("not done").limit(1).count():
+        next_ = seen.select(F.col("n").alias("to"), F.col("to").alias("_to"), F.col("done").alias("_done"), F.col("last").alias("_last"), F.col("l").alias("_l"))
+        moved = seen.where("not done").join(next_, "to").select("n", F.col("_to").alias("to"), F.col("_done").alias("done"), F.col("_last").alias("last"), F.least("l", "_l").alias("l"))
+        seen, far = durable(seen.where("done").unionByName(moved)), 2 * far
+    whole = seen.where("done")
+    begins = whole.join(first, whole["n"] == first["f"]).select("last", F.col("before").alias("u"))
+    links = durable(whole.join(begins, "last").select("n", "u", F.col("to").alias("v")))
+    return links, seen.where("not done").select("n", "l")
+
+
+def _without(e: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The edges that don't touch the nodes (n)."""
+    return e.join(nodes.select(F.col("n").alias("u")), "u", "left_anti").join(nodes.select(F.col("n").alias("v")), "v", "left_anti").select("u", "v")
+
+
+def contracted(e: DataFrame, links: DataFrame) -> DataFrame:
+    """The edges with each chain as one edge; a chain that comes back to where it began leaves none."""
+    return durable(_without(e, links).unionByName(links.select("u", "v").where("u <> v")).distinct())
 
 
 def _spread(e: DataFrame, labels: DataFrame) -> DataFrame:
@@ -42,26 +75,49 @@ def _spread(e: DataFrame, labels: DataFrame) -> DataFrame:
 def scc(edges: DataFrame) -> DataFrame:
     """(node_id, component): nodes on cycles of two or more, component is the smallest member. Self loops are no cycles.
 
-    Nodes on no path between cycles are trimmed; then the smallest id that reaches a node is its colour, and what
-    reaches a colour's root back within the colour is a component. Found components leave, and the rest goes on.
+    The graph shrinks first: ends are trimmed, and chains become single edges, in rounds that go by the logarithm of
+    their length. Of what remains the smallest id that reaches a node is its colour, and what reaches a colour's root back
+    within the colour is a component. Found components leave, and the rest shrinks again. At last the chains are
+    unwound: a chain's nodes are on a cycle if what is before it and after it are in one component, or are the same node.
     """
     e = durable(edges.select(F.col("src_id").alias("u"), F.col("dst_id").alias("v")).where("u <> v").distinct())
-    found = None
-    while (e := _trim(e)).limit(1).count():
+    found, held = None, []  # (n, k): k is any node that stands for the component
+    add = lambda new: new if found is None else found.unionByName(new)
+    while True:
+        n = e.count()
+        while n:
+            e = _trim(e)
+            links, rings = chains(e)
+            if links is not None:
+                found = add(rings.select("n", F.col("l").alias("k")))
+                held.append(links)
+                e = contracted(_without(e, rings), links)
+            if (m := e.count()) == n:
+                break
+            n = m
+        if not n:
+            break
         nodes = e.select(F.explode(F.array("u", "v")).alias("n")).distinct()
         colour = _spread(e, nodes.select("n", F.col("n").alias("l")))
         a, b = colour.select(F.col("n").alias("u"), F.col("l").alias("lu")), colour.select(F.col("n").alias("v"), F.col("l").alias("lv"))
         inside = durable(e.join(a, "u").join(b, "v").where("lu = lv").select("u", "v"))
         back = _spread(inside.select(F.col("v").alias("u"), F.col("u").alias("v")), nodes.select("n", F.col("n").alias("l")))
         # Within a colour the root is the smallest id, so whoever reaches the root gets its id.
-        own = durable(colour.join(back.select("n", F.col("l").alias("r")), "n").where("l = r").select(F.col("n").alias("node_id"), F.col("l").alias("component")))
-        found = own if found is None else found.unionAll(own)
-        gone = own.select(F.col("node_id").alias("u"))
-        e = durable(e.join(gone, "u", "left_anti").join(gone.withColumnRenamed("u", "v"), "v", "left_anti").select("u", "v"))
+        own = durable(colour.join(back.select("n", F.col("l").alias("r")), "n").where("l = r").select("n", F.col("l").alias("k")))
+        found = add(own)
+        e = durable(_without(e, own))
     if found is None:
         return edges.limit(0).select(F.col("src_id").alias("node_id"), F.col("src_id").alias("component"))
-    sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return found.join(sizes, "component", "left_semi").select("node_id", "component")
+    sizes = found.groupBy("k").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    found = found.join(sizes, "k", "left_semi").select("n", "k")
+    for links in reversed(held):
+        # a node that a chain comes back to is on a cycle, whether or not on another one
+        back = links.where("u = v").select(F.col("u").alias("n")).distinct().join(found, "n", "left_anti").select("n", F.col("n").alias("k"))
+        found = durable(found.unionByName(back))
+        a, b = found.select(F.col("n").alias("u"), F.col("k").alias("ku")), found.select(F.col("n").alias("v"), F.col("k").alias("kv"))
+        found = durable(found.unionByName(links.join(a, "u").join(b, "v").where("ku = kv").select("n", F.col("ku").alias("k"))))
+    least = found.groupBy("k").agg(F.min("n").alias("component"))
+    return found.join(least, "k").select(F.col("n").alias("node_id"), "component")
 
 
 def cycle_groups(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -110,16 +166,32 @@ def compress(root: str, nodes: list[str], edges: list[tuple[str, str]], cyclic:
 
 
 def compress_subgraphs(rows: DataFrame) -> DataFrame:
-    """compress() of many small subgraphs at once, from (graph, root, kind, a, b, ord): kind is node, edge or cyclic."""
-
-    def one(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values(["ord", "a", "b"], na_position="last")
-        pick = lambda k: df[df["kind"] == k]
-        nodes, edges, bridges, _ = compress(df["root"].iloc[0], list(pick("node")["a"]), list(zip(pick("edge")["a"], pick("edge")["b"])), set(pick("cyclic")["a"]))
-        made = [("node", n, None) for n in nodes] + [("edge", a, b) for a, b in edges] + [("bridge", n, None) for n in bridges]
-        return pd.DataFrame([(df["graph"].iloc[0], *m) for m in made], columns=["graph", "kind", "a", "b"])
+    """compress() of many subgraphs at once, from (graph, root, kind, a, b): kind is node, edge or cyclic. Returns (graph, kind, a, b): node, edge and bridge rows.
 
-    return rows.groupBy("graph").applyInPandas(one, "graph string, kind string, a string, b string")
+    Chains between nodes that stay are contracted, parallel edges fall together, and so on until there is no chain. A
+    node that may go may still go when another has gone, so the order makes no difference to what stays. Nodes on cycles
+    must be named as cyclic; those of a cycle that aren't named stay too. Edges to unknown nodes don't count.
+    """
+    key = lambda c: F.struct(F.col("graph").alias("g"), F.col(c).alias("x"))
+    nodes = durable(rows.where("kind = 'node'").select(key("a").alias("n"), (F.col("a") == F.col("root")).alias("root")).groupBy("n").agg(F.max("root").alias("root")))
+    ids = nodes.select("n")
+    e = rows.where("kind = 'edge'").select(key("a").alias("u"), key("b").alias("v")).distinct()
+    e = durable(e.join(ids.withColumnRenamed("n", "u"), "u", "left_semi").join(ids.withColumnRenamed("n", "v"), "v", "left_semi"))
+    keep = durable(nodes.where("root").select("n").unionByName(rows.where("kind = 'cyclic'").select(key("a").alias("n"))).distinct())
+    bridges = None
+    while True:
+        links, rings = chains(e, keep)
+        if links is None:
+            break
+        gone = links.where("u <> v").select("n")
+        if not gone.limit(1).count():
+            break
+        e = contracted(e, links.where("u <> v"))
+        bridges = gone if bridges is None else bridges.unionByName(gone)
+    bridges = nodes.select("n").limit(0) if bridges is None else bridges
+    out = lambda df, kind, a, b: df.select(F.col(f"{a}.g").alias("graph"), F.lit(kind).alias("kind"), F.col(f"{a}.x").alias("a"), (F.col(f"{b}.x") if b else F.lit(None).cast("string")).alias("b"))
+    left = ids.join(bridges, "n", "left_anti")
+    return out(left, "node", "n", None).unionByName(out(e, "edge", "u", "v")).unionByName(out(bridges, "bridge", "n", None))
 
 
 def compression_stats(before_nodes: int, before_edges: int, after_nodes: int, after_edges: int, bridges: int) -> str:

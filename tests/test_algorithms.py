@@ -253,3 +253,56 @@ def test_batches_answer_together(spark):
         args, kwargs = (q[1], q[2]) if len(q) == 3 and isinstance(q[2], dict) else (q[1:], {})
         assert x == getattr(alone, q[0])(*args, **kwargs), q
     assert many.batch([("definition", "n1"), ("impact", "n6", 2, True)]) == [got[0], got[9]] and calls == [12]  # from the cache
+
+
+def slow_components(edges):
+    from loomgraph.engine import strong_components
+
+    return {n: c[0] for c in strong_components(sorted({x for e in edges for x in e}), edges) for n in c}
+
+
+def test_components_of_shrinking_graphs(spark):
+    """Rings, rings on rings, ladders, chains that come back to their node, and random sparse graphs, in one graph."""
+    import random
+
+    r = random.Random(21)
+    edges = [(f"p{k}", f"p{k + 1}") for k in range(30)]  # a path
+    edges += [(f"r{k}", f"r{(k + 1) % 17}") for k in range(17)]  # a ring
+    edges += [("h", "h1"), ("h1", "h2"), ("h2", "h"), ("h", "i1"), ("i1", "h"), ("p30", "h"), ("h", "z1"), ("z1", "z2")]  # chains back to one node
+    edges += [(f"a{k}", f"a{(k + 1) % 9}") for k in range(9)] + [("a3", "b1"), ("b1", "b2"), ("b2", "a7"), ("a5", "c1"), ("c1", "q0")] + [(f"q{k}", f"q{(k + 1) % 6}") for k in range(6)] + [("q2", "a_"), ("a_", "x"), ("x", "x")]
+    edges += [(f"s{r.randrange(60)}", f"s{r.randrange(60)}") for _ in range(75)] + [(f"t{r.randrange(40)}", f"t{r.randrange(40)}") for _ in range(44)]
+    got = {x.node_id: x.component for x in algorithms.scc(spark.createDataFrame(edges, "src_id string, dst_id string")).collect()}
+    assert got == slow_components([e for e in edges if e[0] != e[1]])
+
+
+def test_a_long_ring_takes_few_rounds(spark, monkeypatch):
+    rounds = []
+    keep = algorithms.durable
+    monkeypatch.setattr(algorithms, "durable", lambda df: rounds.append(1) or keep(df))
+    n = 10_000
+    ring = spark.range(n).selectExpr("format_string('%05d', id) AS src_id", f"format_string('%05d', (id + 1) % {n}) AS dst_id")
+    path = spark.range(n).selectExpr("format_string('x%05d', id) AS src_id", "format_string('x%05d', id + 1) AS dst_id")
+    shortcut = spark.createDataFrame([("00077", "05000"), ("x00005", "x09000")], "src_id string, dst_id string")
+    for extra in (ring.limit(0), shortcut):
+        rounds.clear()
+        got = algorithms.scc(ring.unionAll(path).unionAll(extra))
+        assert got.count() == n and got.select("component").distinct().collect()[0].component == "00000"
+        assert len(rounds) < 80, len(rounds)
+
+
+def test_subgraphs_are_compressed_as_one_by_one(spark):
+    import random
+
+    r = random.Random(4)
+    rows, want = [], set()
+    for k in range(25):
+        n = r.randrange(3, 14)
+        nodes = [f"n{i:02d}" for i in range(n)]
+        edges = sorted({(nodes[a], nodes[b]) for a, b in ((r.randrange(n), r.randrange(n)) for _ in range(r.randrange(2, 18))) if a < b or k % 3 == 0 and a != b})
+        cyclic = set(slow_components(edges)) if edges else set()
+        kept, left, bridges, _ = algorithms.compress(nodes[0], nodes, edges, cyclic)
+        want |= {(f"g{k}", "node", x, None) for x in kept} | {(f"g{k}", "edge", *e) for e in left} | {(f"g{k}", "bridge", x, None) for x in bridges}
+        rows += [(f"g{k}", nodes[0], "node", x, None) for x in nodes] + [(f"g{k}", nodes[0], "edge", *e) for e in edges] + [(f"g{k}", nodes[0], "cyclic", x, None) for x in cyclic] + [(f"g{k}", nodes[0], "edge", nodes[0], "nowhere")]
+    got = algorithms.compress_subgraphs(spark.createDataFrame(rows, "graph string, root string, kind string, a string, b string"))
+    assert {tuple(x) for x in got.collect()} == want
+    assert algorithms.compress_subgraphs(spark.createDataFrame([], "graph string, root string, kind string, a string, b string")).count() == 0
