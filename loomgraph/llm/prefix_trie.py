@@ -216,7 +216,7 @@ def subtree_sums(shared: DataFrame) -> DataFrame:
     """(depth, a, b, n_leaves, saved_tokens) of nodes with up_a and up_b, leaves and saved: what is summed over each subtree, by doubling.
 
     After k rounds a node has the sums of the 2 ** k levels from it downwards, and knows the node that many levels up.
-    So rounds grow with the logarithm of the depth.
+    So rounds grow with the logarithm of the depth. Each is a written table, whose size is known to the next.
     """
     deepest = shared.agg(F.max("depth")).first()[0] or 0
     s = shared.select(*KEY, F.col("up_a"), F.col("up_b"), "leaves", "saved")  # up: of the node 1, 2, 4, ... levels up, where there is one
@@ -225,7 +225,7 @@ def subtree_sums(shared: DataFrame) -> DataFrame:
         below = s.where(F.col("depth") >= far).groupBy((F.col("depth") - far).alias("depth"), F.col("up_a").alias("a"), F.col("up_b").alias("b")).agg(F.sum("leaves").alias("_l"), F.sum("saved").alias("_s"))
         higher = s.where(F.col("depth") >= far).select((F.col("depth") + far).alias("depth"), F.col("a").alias("up_a"), F.col("b").alias("up_b"), F.col("up_a").alias("_a"), F.col("up_b").alias("_b"))
         added = s.join(below, KEY, "left").join(higher, ["depth", "up_a", "up_b"], "left")
-        s = durable(added.select(*KEY, F.col("_a").alias("up_a"), F.col("_b").alias("up_b"), (F.col("leaves") + F.coalesce("_l", F.lit(0))).alias("leaves"), (F.col("saved") + F.coalesce("_s", F.lit(0))).alias("saved")))
+        s = stored(added.select(*KEY, F.col("_a").alias("up_a"), F.col("_b").alias("up_b"), (F.col("leaves") + F.coalesce("_l", F.lit(0))).alias("leaves"), (F.col("saved") + F.coalesce("_s", F.lit(0))).alias("saved")), "trie-sums")
     return s.select(*KEY, F.col("leaves").alias("n_leaves"), F.col("saved").alias("saved_tokens"))
 
 
