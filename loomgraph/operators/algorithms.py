@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import durable
+from ..runtime import settled
 
 
 #: Rounds of an iteration between two checkpoints: each refers to the one before twice.
@@ -16,7 +16,7 @@ def _trim(e: DataFrame) -> DataFrame:
     """Drops edges of nodes without a predecessor or successor, a few layers of them: they are on no cycle."""
     for _ in range(STRIDE):
         e = e.join(e.select(F.col("v").alias("u")).distinct(), "u", "left_semi").join(e.select(F.col("u").alias("v")).distinct(), "v", "left_semi").select("u", "v")
-    return durable(e)
+    return settled(e)
 
 
 def chains(e: DataFrame, keep: DataFrame | None = None) -> tuple[DataFrame | None, DataFrame | None]:
@@ -29,7 +29,7 @@ def chains(e: DataFrame, keep: DataFrame | None = None) -> tuple[DataFrame | Non
     ins = e.groupBy(F.col("v").alias("n")).agg(F.count(F.lit(1)).alias("i"), F.min("u").alias("before")).where("i = 1").drop("i")
     outs = e.groupBy(F.col("u").alias("n")).agg(F.count(F.lit(1)).alias("o"), F.min("v").alias("after")).where("o = 1").drop("o")
     own = ins.join(outs, "n").where("before <> n")
-    own = durable(own if keep is None else own.join(keep.select("n"), "n", "left_anti"))
+    own = settled(own if keep is None else own.join(keep.select("n"), "n", "left_anti"))
     size = own.count()
     if not size:
         return None, None
@@ -38,14 +38,14 @@ def chains(e: DataFrame, keep: DataFrame | None = None) -> tuple[DataFrame | Non
     ends = own.join(ids.withColumnRenamed("x", "after"), "after", "left_anti").select("n")
     # to: how far a node sees; last: the chain's last node, once it is seen; l: the smallest on the way
     seen = own.join(ends.withColumn("done", F.lit(True)), "n", "left").select("n", F.col("after").alias("to"), F.coalesce("done", F.lit(False)).alias("done"), F.when(F.col("done"), F.col("n")).alias("last"), F.least("n", "after").alias("l"))
-    far, seen = 1, durable(seen)
+    far, seen = 1, settled(seen)
     while far <= size and seen.where("not done").limit(1).count():
         next_ = seen.select(F.col("n").alias("to"), F.col("to").alias("_to"), F.col("done").alias("_done"), F.col("last").alias("_last"), F.col("l").alias("_l"))
         moved = seen.where("not done").join(next_, "to").select("n", F.col("_to").alias("to"), F.col("_done").alias("done"), F.col("_last").alias("last"), F.least("l", "_l").alias("l"))
-        seen, far = durable(seen.where("done").unionByName(moved)), 2 * far
+        seen, far = settled(seen.where("done").unionByName(moved)), 2 * far
     whole = seen.where("done")
     begins = whole.join(first, whole["n"] == first["f"]).select("last", F.col("before").alias("u"))
-    links = durable(whole.join(begins, "last").select("n", "u", F.col("to").alias("v")))
+    links = settled(whole.join(begins, "last").select("n", "u", F.col("to").alias("v")))
     return links, seen.where("not done").select("n", "l")
 
 
@@ -56,7 +56,7 @@ def _without(e: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def contracted(e: DataFrame, links: DataFrame) -> DataFrame:
     """The edges with each chain as one edge; a chain that comes back to where it began leaves none."""
-    return durable(_without(e, links).unionByName(links.select("u", "v").where("u <> v")).distinct())
+    return settled(_without(e, links).unionByName(links.select("u", "v").where("u <> v")).distinct())
 
 
 def _spread(e: DataFrame, labels: DataFrame) -> DataFrame:
@@ -66,7 +66,7 @@ def _spread(e: DataFrame, labels: DataFrame) -> DataFrame:
         for _ in range(STRIDE):
             sent = e.join(new.select(F.col("n").alias("u"), F.col("l").alias("m")), "u").select(F.col("v").alias("n"), F.col("m").alias("l"))
             new = sent.unionAll(new.select("n", "l")).groupBy("n").agg(F.min("l").alias("l"))
-        new = durable(new.join(labels.select("n", F.col("l").alias("was")), "n").select("n", "l", (F.col("l") < F.col("was")).alias("changed")))
+        new = settled(new.join(labels.select("n", F.col("l").alias("was")), "n").select("n", "l", (F.col("l") < F.col("was")).alias("changed")))
         if not new.where("changed").limit(1).count():
             return new.select("n", "l")
         labels = new.select("n", "l")
@@ -80,7 +80,7 @@ def scc(edges: DataFrame) -> DataFrame:
     within the colour is a component. Found components leave, and the rest shrinks again. At last the chains are
     unwound: a chain's nodes are on a cycle if what is before it and after it are in one component, or are the same node.
     """
-    e = durable(edges.select(F.col("src_id").alias("u"), F.col("dst_id").alias("v")).where("u <> v").distinct())
+    e = settled(edges.select(F.col("src_id").alias("u"), F.col("dst_id").alias("v")).where("u <> v").distinct())
     found, held = None, []  # (n, k): k is any node that stands for the component
     add = lambda new: new if found is None else found.unionByName(new)
     while True:
@@ -100,12 +100,12 @@ def scc(edges: DataFrame) -> DataFrame:
         nodes = e.select(F.explode(F.array("u", "v")).alias("n")).distinct()
         colour = _spread(e, nodes.select("n", F.col("n").alias("l")))
         a, b = colour.select(F.col("n").alias("u"), F.col("l").alias("lu")), colour.select(F.col("n").alias("v"), F.col("l").alias("lv"))
-        inside = durable(e.join(a, "u").join(b, "v").where("lu = lv").select("u", "v"))
+        inside = settled(e.join(a, "u").join(b, "v").where("lu = lv").select("u", "v"))
         back = _spread(inside.select(F.col("v").alias("u"), F.col("u").alias("v")), nodes.select("n", F.col("n").alias("l")))
         # Within a colour the root is the smallest id, so whoever reaches the root gets its id.
-        own = durable(colour.join(back.select("n", F.col("l").alias("r")), "n").where("l = r").select("n", F.col("l").alias("k")))
+        own = settled(colour.join(back.select("n", F.col("l").alias("r")), "n").where("l = r").select("n", F.col("l").alias("k")))
         found = add(own)
-        e = durable(_without(e, own))
+        e = settled(_without(e, own))
     if found is None:
         return edges.limit(0).select(F.col("src_id").alias("node_id"), F.col("src_id").alias("component"))
     sizes = found.groupBy("k").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
@@ -113,9 +113,9 @@ def scc(edges: DataFrame) -> DataFrame:
     for links in reversed(held):
         # a node that a chain comes back to is on a cycle, whether or not on another one
         back = links.where("u = v").select(F.col("u").alias("n")).distinct().join(found, "n", "left_anti").select("n", F.col("n").alias("k"))
-        found = durable(found.unionByName(back))
+        found = settled(found.unionByName(back))
         a, b = found.select(F.col("n").alias("u"), F.col("k").alias("ku")), found.select(F.col("n").alias("v"), F.col("k").alias("kv"))
-        found = durable(found.unionByName(links.join(a, "u").join(b, "v").where("ku = kv").select("n", F.col("ku").alias("k"))))
+        found = settled(found.unionByName(links.join(a, "u").join(b, "v").where("ku = kv").select("n", F.col("ku").alias("k"))))
     least = found.groupBy("k").agg(F.min("n").alias("component"))
     return found.join(least, "k").select(F.col("n").alias("node_id"), "component")
 
@@ -173,11 +173,11 @@ def compress_subgraphs(rows: DataFrame) -> DataFrame:
     must be named as cyclic; those of a cycle that aren't named stay too. Edges to unknown nodes don't count.
     """
     key = lambda c: F.struct(F.col("graph").alias("g"), F.col(c).alias("x"))
-    nodes = durable(rows.where("kind = 'node'").select(key("a").alias("n"), (F.col("a") == F.col("root")).alias("root")).groupBy("n").agg(F.max("root").alias("root")))
+    nodes = settled(rows.where("kind = 'node'").select(key("a").alias("n"), (F.col("a") == F.col("root")).alias("root")).groupBy("n").agg(F.max("root").alias("root")))
     ids = nodes.select("n")
     e = rows.where("kind = 'edge'").select(key("a").alias("u"), key("b").alias("v")).distinct()
-    e = durable(e.join(ids.withColumnRenamed("n", "u"), "u", "left_semi").join(ids.withColumnRenamed("n", "v"), "v", "left_semi"))
-    keep = durable(nodes.where("root").select("n").unionByName(rows.where("kind = 'cyclic'").select(key("a").alias("n"))).distinct())
+    e = settled(e.join(ids.withColumnRenamed("n", "u"), "u", "left_semi").join(ids.withColumnRenamed("n", "v"), "v", "left_semi"))
+    keep = settled(nodes.where("root").select("n").unionByName(rows.where("kind = 'cyclic'").select(key("a").alias("n"))).distinct())
     bridges = None
     while True:
         links, rings = chains(e, keep)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,3 +27,15 @@ def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint: losing an executor later loses no work."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The same as a written table in the shared folder, for rounds that join their own results.
+
+    A checkpoint keeps the estimated size of the plan behind it, and a join multiplies its sides' estimates; over some
+    rounds that number alone takes longer than the work. A table has the size of its files, so small ones are broadcast.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
