@@ -477,6 +477,20 @@ def prompt_line_difference(spark, d):
 
 
 # Plans of tasks: suppliers in chains of four.
+@query("conflict_classes", f"WITH {TASKS_SQL} SELECT symbol, count(*) AS tasks, count(*) * (count(*) - 1) // 2 AS pairs FROM targets GROUP BY symbol HAVING count(*) > 1")
+def conflict_classes(spark, d):
+    return conflicts.conflict_classes(derived.tasks(spark, d))
+
+
+def _turns(spark, d):
+    """Suppliers are tasks, the nations their targets: those of a nation take turns."""
+    nation = F.col("s_nationkey").cast("string")
+    return conflicts.phases(table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.array(nation).alias("target_symbols"), F.array().cast("array<string>").alias("dependency_symbols")))
+
+
+query("task_turns", "SELECT s_suppkey AS id, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey)::INTEGER AS phase FROM supplier")(_turns)
+
+
 def _plan(spark, d):
     k, text = F.col("s_suppkey"), F.col("s_suppkey").cast("string")
     none = F.array().cast("array<string>")

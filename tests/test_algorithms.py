@@ -304,3 +304,51 @@ def test_subgraphs_are_compressed_as_one_by_one(spark):
     got = algorithms.compress_subgraphs(spark.createDataFrame(rows, "graph string, root string, kind string, a string, b string"))
     assert {tuple(x) for x in got.collect()} == want
     assert algorithms.compress_subgraphs(spark.createDataFrame([], "graph string, root string, kind string, a string, b string")).count() == 0
+
+
+def slow_phases(tasks):
+    """By the same rules: layers of dependencies, an order in each target, the longest way."""
+    def longest(edges):
+        level, left = {}, {t for t, *_ in tasks}
+        while left:
+            now = {t for t in left if not any(b == t and a in left for a, b in edges)}
+            if not now:
+                return level
+            for t in now:
+                level[t] = max([level[a] + 1 for a, b in edges if b == t], default=0)
+            left -= now
+        return level
+
+    after = {(a, b) for a, ta, _ in tasks for b, _, db in tasks if a != b and set(ta) & set(db)}
+    layer = longest(after)
+    same = set()
+    for s in {x for _, ts, _ in tasks for x in ts}:
+        own = sorted((layer[t], t) for t, ts, _ in tasks if s in ts and t in layer)
+        same |= {(a, b) for (_, a), (_, b) in zip(own, own[1:])}
+    final = longest(after | same)
+    return {t: final[t] + 1 if t in final else None for t, *_ in tasks}
+
+
+def test_schedules_by_longest_ways(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(conflicts, "LAYERS", 0)
+
+    r = random.Random(17)
+    tasks = [(f"t{k:02d}", sorted({r.choice("abcdefghij") for _ in range(r.randrange(3))}), sorted({r.choice("abcdefghijzz") for _ in range(r.randrange(2))})) for k in range(14)]
+    tasks += [("u1", ["m"], ["m"]), ("u2", ["m"], []), ("v1", ["n"], ["n"]), ("v2", ["n"], ["n"]), ("w1", ["o"], ["n"]), ("w2", ["p"], ["o"])]
+    df = spark.createDataFrame(tasks, "id string, target_symbols array<string>, dependency_symbols array<string>")
+    assert {x.id: x.phase for x in conflicts.phases(df).collect()} == slow_phases(tasks)
+    got = {x.symbol: (x.tasks, x.pairs) for x in conflicts.conflict_classes(df).collect()}
+    assert got["m"] == (2, 1) and got["n"] == (2, 1) and all(p == n * (n - 1) // 2 for n, p in got.values())
+
+
+def test_many_tasks_on_one_target(spark, monkeypatch):
+    rounds = []
+    keep = conflicts.settled
+    monkeypatch.setattr(conflicts, "settled", lambda df: rounds.append(1) or keep(df))
+    n = 20_000
+    df = spark.range(n).selectExpr("id", "array('shared') AS target_symbols", "CAST(array() AS array<string>) AS dependency_symbols")
+    got = conflicts.phases(df)
+    assert got.where("phase <> id + 1").count() == 0 and got.count() == n
+    assert len(rounds) < 100, len(rounds)
