@@ -173,12 +173,13 @@ def view(g: PropertyGraph, lines: DataFrame, symbol: str, file: str | None = Non
 
 # Words of a task that name no symbol.
 STOP_WORDS = (
-    "about after also around argument before between broad call calls change class code concept could define defined "
-    "does entry every file files find first from function handle handles handling have here hook hooks implement "
-    "implemented immediately improve into just library look main make method methods need only other place point "
-    "points return should some struct structure symbol than that their then there these this those understand used "
-    "using what when where which will with work would write your"
-).split()
+    "about", "after", "also", "around", "argument", "before", "between", "broad", "call", "calls", "change", "class", "code", "concept", "could",
+    "define", "defined", "does", "entry", "every", "file", "files", "find", "first", "from", "function", "handle", "handles", "handling", "have",
+    "here", "hook", "hooks", "implement", "implemented", "immediately", "improve", "into", "just", "library", "look", "main", "make", "method",
+    "methods", "need", "only", "other", "place", "point", "points", "return", "should", "some", "struct", "structure", "symbol", "than", "that",
+    "their", "then", "there", "these", "this", "those", "understand", "used", "using", "what", "when", "where", "which", "will", "with", "work",
+    "would", "write", "your",
+)
 # What looks like a class or method name, and like a function name.
 CAMEL, SNAKE = r"\b[A-Z][a-z][A-Za-z]{2,}\b", r"\b[a-z][a-z_]{4,}\b"
 

@@ -251,7 +251,24 @@ def session_facts(logs: DataFrame, tool: str) -> DataFrame:
 
 
 # Metrics that may rise without being a regression, and one that must not fall.
-MAY_RISE, MUST_RISE = ("total_calls", "bash", "read", "tool_ok", "edit"), ("tool_ok",)
+MAY_RISE, MUST_RISE = ("total_calls", "bash", "read", "tool_ok", "edit", "read_partial"), ("tool_ok",)
+#: What a batch is compared by, besides its patterns.
+METRICS = ("cost", "turns", "total_calls", "total_errors", "bash", "read", "skill", "edit", "grep", "tool_ok", "tool_err", "fallback")
+
+
+def session_counts(tl: DataFrame, tool: str) -> DataFrame:
+    """(session, total_calls, total_errors, a column per tool, read_partial, read_blocked, tool_ok, tool_err, fallback, a column per pattern) of each session with calls."""
+    names = list(detectors(tool))
+    read = call_classes(tl).where("name = 'Read'").groupBy("session").agg(*[F.sum(F.when(F.col("class") == c, F.col("calls"))).alias(f"read_{c}") for c in ("partial", "blocked")])
+    calls = tl.groupBy("session").agg(F.count(F.lit(1)).alias("total_calls"), F.count_if("is_error").alias("total_errors"), *[F.count_if(F.col("name") == n).alias(n.lower()) for n in ("Bash", "Read", "Skill", "Edit", "Grep", "Glob", "Write")])
+    used = tool_usage(tl, tool).select("session", "tool_ok", "tool_err", "fallback")
+    out = calls.join(read, "session", "left").join(used, "session", "left").join(pattern_matrix(pattern_hits(tl, tool), names), "session", "left")
+    return out.na.fill(0, [c for c in out.columns if c != "session"])
+
+
+def batch_report(facts: DataFrame, tool: str) -> DataFrame:
+    """batch_trend over every metric: METRICS, and all patterns, from facts with ts and a column for each."""
+    return batch_trend(facts, [*METRICS, *detectors(tool)])
 
 
 def batch_trend(facts: DataFrame, metrics: list[str]) -> DataFrame:

@@ -448,6 +448,32 @@ def batch_trend(spark, d):
     return sessions.batch_trend(_facts(spark, d), ["total_calls", "total_errors", "bash"])
 
 
+# Every metric: a session a user and day, whose turns are the day's, and whose cost goes by its edits.
+REPORT_SQL = f"""WITH {TIMELINE_SQL.replace("FROM events)", "FROM (SELECT *, user_id || '@' || date_trunc('day', ts)::DATE AS u FROM events))").replace("'s' || user_id AS session", "'s' || u AS session").replace("PARTITION BY user_id", "PARTITION BY u")},
+p AS (SELECT session, pattern, count(*) AS n FROM hits GROUP BY ALL),
+f AS (SELECT session, min(ts) AS ts, count(*) FILTER (name = 'Edit') / 8 AS cost, max(turn) AS turns, count(*) AS total_calls, count(*) FILTER (is_error) AS total_errors, count(*) FILTER (name = 'Bash') AS bash, count(*) FILTER (name = 'Read') AS read, 0 AS skill,
+  count(*) FILTER (name = 'Edit') AS edit, count(*) FILTER (name = 'Grep') AS grep, count(*) FILTER (name = 'Bash' AND starts_with(command, 'tool ') AND NOT is_error) AS tool_ok, count(*) FILTER (name = 'Bash' AND starts_with(command, 'tool ') AND is_error) AS tool_err,
+  count(*) FILTER (name = 'Bash' AND NOT starts_with(command, 'tool ')) AS fallback FROM tl GROUP BY session),
+l AS (SELECT strftime(ts, '%m-%dT%H') AS batch, ts, unnest([{", ".join(f"struct_pack(metric := '{m}', x := {m}::DOUBLE)" for m in sessions.METRICS)}]) AS m FROM f),
+q AS (SELECT strftime(ts, '%m-%dT%H') AS batch, ts, struct_pack(metric := k.pattern, x := coalesce(n, 0)::DOUBLE) AS m FROM f CROSS JOIN (SELECT unnest({list(sessions.MEANINGS)}) AS pattern) k LEFT JOIN p ON p.session = f.session AND p.pattern = k.pattern),
+s AS (SELECT m.metric AS metric, batch, min(ts) AS b, sum(m.x) AS total, avg(m.x) AS av FROM (SELECT * FROM l UNION ALL SELECT * FROM q) GROUP BY 1, 2),
+e AS (SELECT metric, arg_min(total, b) AS t1, arg_min(av, b) AS a1, arg_max(total, b) AS t2, arg_max(av, b) AS a2 FROM s GROUP BY metric HAVING count(*) > 1)
+SELECT metric, t1 AS first_total, a1 AS first_avg, t2 AS last_total, a2 AS last_avg,
+  CASE WHEN abs(t2 - t1) < 0.001 THEN '=' WHEN t2 > t1 THEN CASE WHEN t1 < 0.001 THEN '+' || t2::BIGINT || ' NEW' ELSE '+' || round(100 * abs(t2 - t1) / t1)::BIGINT || '%' END WHEN t1 < 0.001 THEN '=' ELSE '-' || round(100 * abs(t2 - t1) / t1)::BIGINT || '%' END AS trend,
+  CASE WHEN abs(t2 - t1) < 0.001 THEN 'same' WHEN t2 > t1 THEN CASE WHEN metric IN ('total_calls', 'bash', 'read', 'tool_ok', 'edit') THEN 'neutral' ELSE 'regression' END WHEN metric = 'tool_ok' THEN 'regression' ELSE 'improvement' END AS verdict FROM e"""
+
+
+@query("batch_report", REPORT_SQL)
+def batch_report(spark, d):
+    from pyspark.sql import Window
+
+    session = F.concat_ws("@", "session", F.to_date("ts").cast("string"))
+    tl = derived.timeline(spark, d).withColumn("session", session)
+    tl = tl.withColumn("turn", F.row_number().over(Window.partitionBy("session").orderBy("turn")))
+    head = tl.groupBy("session").agg(F.min("ts").alias("ts"), F.max("turn").alias("turns"), (F.count_if(F.col("name") == "Edit") / 8).alias("cost"))
+    return sessions.batch_report(head.join(sessions.session_counts(tl, "tool"), "session"), "tool")
+
+
 @query("batch_gap_commits", """
 WITH b AS (SELECT strftime(ts, '%m-%d') AS batch, min(ts) AS begin FROM events GROUP BY 1), g AS (SELECT batch, begin AS lo, lead(begin) OVER (ORDER BY begin) AS hi, lead(batch) OVER (ORDER BY begin) AS next_batch FROM b),
 c AS (SELECT event_id::VARCHAR AS commit_hash, ts, event_type AS message FROM events)

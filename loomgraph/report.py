@@ -20,19 +20,28 @@ def definition_text(result: dict, style: str = "full") -> str:
     return "\n".join([f"{node['label']} {node['name']}", f"  at {node['file']}:{node['line']}", *(f"  calls {c['name']} ({c['file']})" for c in result["callees"])])
 
 
-def context_text(result: dict, style: str = "full") -> str:
+def freshness_text(status: dict | None) -> list[str]:
+    """How the graph stands to the repository, and which files have changed since; nothing without a status."""
+    if not status:
+        return []
+    return [f"graph: {status['verdict']}"] + ([f"changed since: {status['stale']}"] if status.get("stale") else [])
+
+
+def context_text(result: dict, style: str = "full", status: dict | None = None) -> str:
+    """status: the engine's, whose freshness stands below the numbers."""
     if not result["found"]:
         return f"{result['symbol']}: not found"
     names = {n["node_id"]: n["name"] for n in result["nodes"]}
     cycles = [", ".join(names.get(m, m) for m in c["members"][:3]) for c in result["cycles"]]
     stats = f"{len(result['nodes'])} nodes, {len(result['edges'])} edges, depth {result['depth_reached']}, about {result['token_estimate']} tokens" + (f", {result['bridges_removed']} bridges removed" if result["bridges_removed"] else "")
+    fresh = freshness_text(status)
     if style == "brief":
-        return stats
+        return "\n".join([stats, *fresh])
     edges = [f"{names.get(a, a)} -> {names.get(b, b)}" for a, b in result["edges"]]
     if style == "compact":
-        return "\n".join([stats, "; ".join(edges), *(f"cycle: {c}" for c in cycles)])
+        return "\n".join([stats, *fresh, "; ".join(edges), *(f"cycle: {c}" for c in cycles)])
     callers = [f"{result['total_callers']} callers: " + ", ".join(c["name"] for c in result["callers"])] if result.get("callers") else []
-    return "\n".join([*(f"{'  ' * n['depth']}{_place(n)}" for n in result["nodes"]), *edges, *(f"cycle: {c}" for c in cycles), *callers, stats])
+    return "\n".join([*(f"{'  ' * n['depth']}{_place(n)}" for n in result["nodes"]), *edges, *(f"cycle: {c}" for c in cycles), *callers, stats, *fresh])
 
 
 def impact_text(result: dict, style: str = "full") -> str:
