@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import json
+import time
+import uuid
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +18,7 @@ from .operators.vector_index import VectorIndex
 from .runtime import durable
 from .schema import LABEL_OF_TYPE, PropertyGraph, qualified_name
 from .sources import files, git
-from .sources.store import GraphStore
+from .sources.store import UPDATES, GraphStore
 
 # The layers that a new configuration starts with, from the highest to the lowest.
 DEFAULT_LAYERS = [
@@ -157,6 +160,27 @@ def sync(spark: SparkSession, root: str, repo: str, range_: str, store: GraphSto
     return delta
 
 
+def update(spark: SparkSession, root: str, repo: str, range_: str, store: GraphStore, ignore: str = "") -> DataFrame:
+    """sync() with its result as a row (see store.UPDATES): whether it succeeded, what it changed, how long it took, or its error.
+
+    The result and the delta are recorded in the store. A failure leaves the graph as it was: the versions that a sync
+    had published before it failed are taken back.
+    """
+    began, at, delta, error = time.monotonic(), datetime.now(timezone.utc).replace(tzinfo=None), None, None
+    before = store.manifest()
+    try:
+        delta = sync(spark, root, repo, range_, store, ignore)
+        counts = {r["op"]: r["count"] for r in delta.groupBy("op").count().collect()}
+        changed = delta.select("file").distinct().count()
+    except Exception as e:  # the caller gets it as a result
+        error, counts, changed, delta = f"{type(e).__name__}: {e}", {}, 0, None
+        store.restore(before)
+    row = (uuid.uuid4().hex, store.project, range_, at, error is None, changed, *(counts.get(op, 0) for op in ("added", "deleted", "modified")), 1000 * (time.monotonic() - began), error)
+    result = spark.createDataFrame([row], UPDATES)
+    store.record_update(result, delta)
+    return result
+
+
 def breaking_changes(spark: SparkSession, repo: str, path: str, before: str, after: str, symbol: str | None = None) -> DataFrame:
     """Comparison of a file's contracts at two commits, of all its functions or of one."""
     read = lambda ref: contracts.extract_contracts(git.history(spark, repo, "blobs", ref=ref).where(F.col("file") == path).select("file", F.col("content").cast("string").alias("source")))

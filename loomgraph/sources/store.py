@@ -20,6 +20,8 @@ PARTITIONS = {"nodes": ["project_id"], "edges": ["project_id", "type"], "commits
 SCHEMAS = {"nodes": NODES, "edges": EDGES, "commits": COMMITS, "vectors": "node_id string, embedding array<float>", "vector_words": "w string, weight double"}
 
 
+UPDATES = "update_id string, project_id string, commits string, at timestamp, success boolean, files long, added long, deleted long, modified long, duration_ms double, error string"
+UPDATE_ROWS = "update_id string, file string, qualified_name string, op string, line int, type string"
 #: Tables with a folder for each project.
 OWNED = ("nodes", "edges")
 
@@ -52,6 +54,11 @@ class GraphStore:
         options[0] = rename.OVERWRITE
         context.rename(tmp, now, options)
 
+    def restore(self, manifest: dict[str, str]) -> None:
+        """Makes earlier versions current again; their files are never changed."""
+        if manifest != self.manifest():
+            self._publish(manifest)
+
     def read(self, table: str, everything: bool = False) -> DataFrame:
         """A table: of the project, or of all projects if asked for or if the store has none."""
         held = [f for k, f in self.manifest().items() if k == table or k == f"{table}@{self.project}" or k.startswith(f"{table}@") and (everything or not self.project)]
@@ -112,3 +119,24 @@ class GraphStore:
             links = modified_by(self.read("nodes"), commits, touched)
             tables["edges"] = self.read("edges").unionByName(links).dropDuplicates(["src_id", "dst_id", "type"])
         self.write(**tables)
+
+    # What updates did: appended, never rewritten, and kept apart from the versions.
+    def record_update(self, result: DataFrame, delta: DataFrame | None) -> None:
+        """Appends the result of an update (UPDATES), after the rows of its delta: a result without rows changed nothing."""
+        if delta is not None:
+            rows = delta.join(result.select("update_id"))  # one row
+            rows.select("update_id", "file", "qualified_name", "op", F.col("line").cast("int"), "type").write.mode("append").parquet(f"{self.root}/update_rows")
+        result.write.mode("append").parquet(f"{self.root}/updates")
+
+    def updates(self) -> DataFrame:
+        """The project's updates, or all if the store has none: results with their times, see UPDATES."""
+        found = self._appended("updates", UPDATES)
+        return found.where(F.col("project_id") == self.project) if self.project else found
+
+    def update_rows(self) -> DataFrame:
+        """(update_id, file, qualified_name, op, line, type) of the updates that ended."""
+        return self._appended("update_rows", UPDATE_ROWS).join(self.updates().select("update_id"), "update_id", "left_semi")
+
+    def _appended(self, name: str, schema: str) -> DataFrame:
+        _, p, fs = self._path(name)
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}") if fs.exists(p) else self.spark.createDataFrame([], schema)

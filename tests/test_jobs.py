@@ -109,3 +109,33 @@ def test_preferences(tmp_path):
 def test_layer_config(tmp_path):
     layers, allow = jobs.layer_config(str(tmp_path / "l.json"))
     assert layers[0][0] == "cli" and allow == [] and jobs.layer_config(str(tmp_path / "l.json")) == (layers, allow)
+
+
+def test_updates_are_recorded(spark, tmp_path, monkeypatch):
+    root = tmp_path / "r"
+    root.mkdir()
+    run = lambda *a: subprocess.run(["git", "-c", "user.name=t", "-c", "user.email=t@t", *a], cwd=root, check=True, capture_output=True)
+    run("init", "-q")
+    (root / "a.py").write_text("def f():\n    return g()\n\ndef g(): pass\n")
+    run("add", ".")
+    run("commit", "-qm", "one")
+    store = GraphStore(spark, f"file://{tmp_path}/s", "p")
+    assert store.updates().count() == 0 and store.update_rows().count() == 0
+    jobs.build(spark, f"file://{root}", store, repo=str(root))
+    (root / "a.py").write_text("def f():\n    return h()\n\n\ndef h(): pass\n")
+    run("add", ".")
+    run("commit", "-qm", "two")
+    r = jobs.update(spark, f"file://{root}", str(root), "HEAD~1..HEAD", store).first()
+    assert (r.success, r.files, r.added, r.deleted, r.modified, r.error, r.commits) == (True, 1, 1, 1, 0, None, "HEAD~1..HEAD") and r.duration_ms > 0
+    held = edges(store)
+    assert held == {("f", "h")}
+    monkeypatch.setattr(GraphStore, "record_commit", lambda *a: 1 / 0)  # after the graph was published
+    (root / "a.py").write_text("def f(): pass\n")
+    run("add", ".")
+    run("commit", "-qm", "three")
+    bad = jobs.update(spark, f"file://{root}", str(root), "HEAD~1..HEAD", store).first()
+    assert (bad.success, bad.files, bad.error) == (False, 0, "ZeroDivisionError: division by zero")
+    assert edges(store) == held  # as before
+    assert [x.success for x in store.updates().orderBy("at").collect()] == [True, False]
+    assert {(x.update_id, x.qualified_name, x.op) for x in store.update_rows().collect()} == {(r.update_id, "g", "deleted"), (r.update_id, "h", "added")}
+    assert GraphStore(spark, store.root, "other").updates().count() == 0
