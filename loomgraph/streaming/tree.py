@@ -153,7 +153,7 @@ def watch_tree(spark: SparkSession, root: str, checkpoint: str, on_batch: Callab
     """Calls on_batch(symbols, files, batch) for files that came, changed or went, each when it has been quiet; a file that went has no symbols.
 
     What is there when a checkpoint is first used is no change. A query that starts again from its checkpoint hands on
-    what happened while it was down.
+    what happened while it was down. A batch that was not over when the query stopped comes again, under its number.
     """
 
     def flush(batch: DataFrame, number: int) -> None:

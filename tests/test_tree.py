@@ -27,8 +27,8 @@ def test_a_restart_hands_on_what_changed_meanwhile(spark, tmp_path, two_partitio
     (src / "node_modules").mkdir()
     for name in ("a", "b", "pkg/c", "pkg/same"):
         (src / f"{name}.py").write_text(f"def {name[-1]}(): pass\n")
-    seen = []
-    start = lambda: tree.watch_tree(spark, f"file://{src}", f"file://{tmp_path}/cp", lambda s, f, n: seen.append((sorted(r["name"] for r in s.collect()), f)), "gen_*", debounce=1, gone=6, every="500 milliseconds")
+    seen, last = [], []
+    start = lambda: tree.watch_tree(spark, f"file://{src}", f"file://{tmp_path}/cp", lambda s, f, n: last.append(n) or seen.append((sorted(r["name"] for r in s.collect()), f)), "gen_*", debounce=1, gone=6, every="500 milliseconds")
     query = start()
     try:
         until = time.monotonic() + 90
@@ -41,6 +41,9 @@ def test_a_restart_hands_on_what_changed_meanwhile(spark, tmp_path, two_partitio
         (src / "gen_x.py").write_text("def x(): pass\n")
         (src / "node_modules/y.py").write_text("def y(): pass\n")
         wait(seen, 2)
+        until = time.monotonic() + 60  # a batch that isn't over when the query stops comes again
+        while (not last or query.lastProgress["batchId"] <= last[-1]) and time.monotonic() < until:
+            time.sleep(0.2)
     finally:
         query.stop()
     assert {f for _, fs in seen for f in fs} == {"a.py", "pkg/new.py"} and {n for ns, _ in seen for n in ns} == {"a", "more", "new"}
