@@ -56,3 +56,10 @@ def test_closure_stores_no_pairs(given):
     got = conflicts.dependency_closure(symbols, conflicts.targets(tasks).selectExpr("symbol AS name")).collect()
     assert {tuple(r) for r in got} == closure and len(got) == len(closure) > 2000
     assert most(held) < 400
+
+
+def test_circular_stores_no_pairs(given):
+    tasks, symbols, (_, _, circular, _), held = given
+    names, deps = conflicts.file_closure(symbols, conflicts.targets(tasks).selectExpr("symbol AS name"))
+    assert {r.task: r.symbols for r in conflicts.circular(tasks, names, deps).collect()} == circular
+    assert circular and most(held) < 400
