@@ -63,3 +63,10 @@ def test_circular_stores_no_pairs(given):
     names, deps = conflicts.file_closure(symbols, conflicts.targets(tasks).selectExpr("symbol AS name"))
     assert {r.task: r.symbols for r in conflicts.circular(tasks, names, deps).collect()} == circular
     assert circular and most(held) < 400
+
+
+def test_report_stores_no_pairs(given):
+    tasks, symbols, (_, dependency, circular, direct), held = given
+    got = {r.kind: r.conflicts for r in conflicts.report(tasks, symbols).collect()}
+    assert got == {"direct": len(direct), "dependency": len(dependency), "circular": len(circular), "feasible": 0}
+    assert most(held) < 400
