@@ -70,3 +70,11 @@ def test_report_stores_no_pairs(given):
     got = {r.kind: r.conflicts for r in conflicts.report(tasks, symbols).collect()}
     assert got == {"direct": len(direct), "dependency": len(dependency), "circular": len(circular), "feasible": 0}
     assert most(held) < 400
+
+
+def test_dependency_conflicts_store_no_pairs(given):
+    tasks, symbols, (_, dependency, _, _), held = given
+    names, deps = conflicts.file_closure(symbols, conflicts.targets(tasks).selectExpr("symbol AS name"))
+    got = conflicts.dependency_conflicts(tasks, names, deps).collect()
+    assert {(r.task_a, r.task_b): r.symbols for r in got} == dependency and len(got) == len(dependency) > 2000
+    assert most(held) < 400
