@@ -78,3 +78,15 @@ def test_dependency_conflicts_store_no_pairs(given):
     got = conflicts.dependency_conflicts(tasks, names, deps).collect()
     assert {(r.task_a, r.task_b): r.symbols for r in got} == dependency and len(got) == len(dependency) > 2000
     assert most(held) < 400
+
+
+@pytest.mark.parametrize(("most_listed", "heavy"), [(512, 100_000), (3, 2)])
+def test_direct_conflicts_shuffle_lists(spark, given, monkeypatch, most_listed, heavy):
+    """Crowded targets in several lists, tasks of many targets in several deals."""
+    tasks, _, (*_, direct), _ = given
+    monkeypatch.setattr(conflicts, "LIST", most_listed, raising=False)
+    monkeypatch.setattr(conflicts, "HEAVY", heavy, raising=False)
+    df = conflicts.direct_conflicts(tasks)
+    assert {(r.task_a, r.task_b): r.symbols for r in df.collect()} == direct
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode(others") < plan.index("RepartitionByExpression")  # lists are shuffled, pairs made after
