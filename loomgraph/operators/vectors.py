@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 WIDTH = 384
-#: Queries that a task holds at once.
-BLOCK = 10_000
+#: Queries that a task holds at once; rows of a block.
+BLOCK, ROWS = 10_000, 1000
 
 
 def embedding_text() -> Column:
@@ -52,14 +59,88 @@ def nearest(vectors: DataFrame, query: list[float], k: int = 5, id: str = "node_
     return vectors.select(F.col(id), d.alias("distance")).orderBy("distance", id).limit(k).withColumn("score", 1 / (1 + F.col("distance")))
 
 
+def _packed(rows: DataFrame, kind: str, width: int) -> DataFrame:
+    """(block, ids, data): rows (id, vec) of vectors of this width in blocks of ROWS, by rising id, as matrices of doubles."""
+    arrow = pa.schema([("block", pa.string()), ("ids", pa.list_(to_arrow_schema(StructType.fromDDL(f"id {kind}")).field("id").type)), ("data", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("id").to_pylist()
+            m = batch.column("vec").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+            order = sorted(range(len(ids)), key=ids.__getitem__)
+            for at in range(0, len(order), ROWS):
+                part = order[at : at + ROWS]
+                yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([[ids[i] for i in part]], arrow.field("ids").type), pa.array([m[part].tobytes()], pa.binary())], schema=arrow)
+
+    return rows.mapInArrow(run, f"block string, ids array<{kind}>, data binary")
+
+
+def _closest(met: DataFrame, k: int, width: int, kinds: tuple[str, str]) -> DataFrame:
+    """(query_id, node, distance): of block pairs (q_block, q_ids, q, v_ids, v) the k nearest of each query that a task has seen.
+
+    A product of matrices bounds the distances; those that may be among the k nearest so far are then computed as
+    squared_l2 does, term after term.
+    """
+    schema = f"query_id {kinds[0]}, node {kinds[1]}, distance double"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def told(held: list) -> pa.RecordBatch:
+        rows = [(q, n, d) for ids, best, _ in held for q, found in zip(ids, best, strict=True) for d, n in found]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(arrow)], schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}  # by block of queries, in the order of their first pair; as many queries as BLOCK
+        for row in (batch.slice(i, 1).to_pylist()[0] for batch in batches for i in range(batch.num_rows)):
+            key = row["q_block"]
+            if key not in held:
+                while held and (len(held) + 1) * ROWS > BLOCK:
+                    yield told([held.pop(next(iter(held)))])
+                held[key] = (row["q_ids"], [[] for _ in row["q_ids"]], np.full(len(row["q_ids"]), np.inf))
+            _, best, far = held[key]
+            q, v = (np.frombuffer(row[c], np.float64).reshape(-1, width) for c in ("q", "v"))
+            qn, vn = (q * q).sum(1)[:, None], (v * v).sum(1)
+            near = qn + vn - 2 * (q @ v.T)
+            slack = 8 * (width + 4) * np.finfo(np.float64).eps * (qn + vn.max(initial=0))
+            if len(v) > k:
+                far_here = np.minimum(far, np.partition(near, k - 1, axis=1)[:, k - 1] + slack[:, 0]) if not np.isfinite(far).all() else far
+            else:
+                far_here = far
+            some = near <= far_here[:, None] + slack
+            for i in np.flatnonzero(some.any(1)).tolist():
+                at = np.flatnonzero(some[i])
+                diff = v[at] - q[i]
+                d = np.cumsum(diff * diff, axis=1)[:, -1] if width else np.zeros(len(at))
+                order = np.argsort(d, kind="stable")[:k]  # ids rise within a block
+                best[i] = sorted(best[i] + [(float(d[j]), row["v_ids"][at[j]]) for j in order.tolist()])[:k]
+                if len(best[i]) == k:
+                    far[i] = best[i][-1][0]
+        if held:
+            yield told(list(held.values()))
+
+    return met.mapInArrow(run, schema)
+
+
 def nearest_of_each(vectors: DataFrame, queries: DataFrame, k: int = 5, id: str = "node_id", vector: str = "embedding") -> DataFrame:
-    """The k nearest of each query (query_id, query): each task keeps k rows a query before they are gathered. More than BLOCK queries are split into blocks, each met by every partition of the vectors."""
-    held = queries.select("query_id", F.col("query").alias("_q"))
-    blocks = -(-held.count() // BLOCK)
-    held = held.repartition(blocks) if blocks > 1 else F.broadcast(held)  # BLOCK queries at most are broadcast
-    met = vectors.select(F.col(id).alias("node"), F.col(vector).alias("_v")).crossJoin(held)
+    """The k nearest of each query (query_id, query), in pairs of blocks that are multiplied as matrices; each task keeps k rows a query.
+
+    Pairs with a vector that is null, not finite or of another width than most are compared one by one; their distance may be null, and comes first.
+    """
+    v, q = vectors.select(F.col(id).alias("id"), F.col(vector).alias("vec")), queries.select(F.col("query_id").alias("id"), F.col("query").alias("vec"))
+    fine = F.coalesce(F.forall("vec", lambda x: x.isNotNull() & (F.abs(x) < 1e100)) & F.col("id").isNotNull(), F.lit(False))
+    widths = v.where(fine).groupBy(F.size("vec").alias("w")).count().orderBy(F.desc("count"), "w").first()
+    width = widths["w"] if widths else 0
+    plain = F.coalesce(fine & (F.size("vec") == width), F.lit(False))
+    kinds = dict(q.dtypes)["id"], dict(v.dtypes)["id"]
+    blocks = [_packed(x.where(plain), kind, width).withColumnsRenamed({"block": f"{c}_block", "ids": f"{c}_ids", "data": c}) for c, x, kind in (("q", q, kinds[0]), ("v", v, kinds[1]))]
+    # Blocks of vectors go to as many tasks as there are cores, whatever files they come from.
+    met = blocks[0].crossJoin(blocks[1].repartition(vectors.sparkSession.sparkContext.defaultParallelism))
+    rows = _closest(met, k, width, kinds)
+    odd = lambda x, on: x.where(~plain if on else plain)
+    for a, b in ((odd(q, True), v), (odd(q, False), odd(v, True))):
+        if a.limit(1).count() and b.limit(1).count():
+            a, b = a.select(F.col("id").alias("query_id"), F.col("vec").alias("_q")), b.select(F.col("id").alias("node"), F.col("vec").alias("_v"))
+            rows = rows.unionByName(b.crossJoin(a).select("query_id", "node", squared_l2(F.col("_v"), F.col("_q")).alias("distance")))
     best = Window.partitionBy("query_id").orderBy("distance", "node")
-    rows = met.select("query_id", "node", squared_l2(F.col("_v"), F.col("_q")).alias("distance"))
     return rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", F.col("node").alias(id), "distance", (1 / (1 + F.col("distance"))).alias("score"))
 
 
