@@ -1,7 +1,7 @@
 """Table functions for SQL: symbols, calls and contracts of sources.
 
-Each comes in two forms. ``extract_symbols(path, content)`` stands in a LATERAL join, a call for each row, whose results
-go back in Arrow batches. ``symbols_of_files(TABLE(t))`` takes a table whole, with the columns file and content, and reads
+Each comes in two forms. ``extract_symbols(path, content)`` stands in a LATERAL join, a call for each row; rows are
+pickled in batches, since Arrow would take each call's results as a table. ``symbols_of_files(TABLE(t))`` takes a table whole, with the columns file and content, and reads
 it batch by batch; it also keeps the file, and gives files that can't be read a row with their error.
 """
 
@@ -60,7 +60,7 @@ def _rowwise(read, schema: str):
             for x in found:
                 yield tuple(x[n] for n in names)
 
-    return udtf(Rowwise, returnType=schema, useArrow=True)
+    return udtf(Rowwise, returnType=schema, useArrow=False)  # with Arrow, each row's results would be a frame of their own
 
 
 def _whole(read, schema: str):
@@ -92,7 +92,7 @@ def _contract_rows():
             for x in contracts_of(source or ""):
                 yield tuple([dict(p) for p in x[n]] if n == "parameters" else x[n] for n in names)
 
-    return udtf(Contracts, returnType=CONTRACT, useArrow=True)
+    return udtf(Contracts, returnType=CONTRACT, useArrow=False)
 
 
 def register(spark: SparkSession) -> None:

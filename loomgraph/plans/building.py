@@ -115,6 +115,15 @@ def ignored_paths(spark, d):
     return table(spark, d, "part").select("p_partkey", files.is_ignored(path, rules).alias("ignored"))
 
 
+#: Files that a task reads.
+FILES_A_TASK = 20_000
+
+
+def _dealt(rows: DataFrame, n: int) -> DataFrame:
+    """Rows of n files over tasks of bounded work: reading a file costs far more than sending it."""
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-n // FILES_A_TASK)))
+
+
 # Sources: a file for each part, of three pieces; which of its three forms a piece has goes by the part's size, key and type, and its names hold the part's key, name and type.
 def _sources(spark: SparkSession, d: str) -> DataFrame:
     """(project_id, file, language, content) of all languages, a file for each part and language."""
@@ -127,7 +136,7 @@ def _sources(spark: SparkSession, d: str) -> DataFrame:
         return F.replace(F.replace(F.replace(F.concat(*forms), F.lit("§"), key), F.lit("¤"), name), F.lit("¥"), kind)
 
     each = F.explode(F.array(*[F.struct(F.lit(x).alias("language"), text(x).alias("text")) for x in PIECES])).alias("s")
-    rows = part.select(key.alias("k"), each).repartition(spark.sparkContext.defaultParallelism)  # reading a file costs far more than sending it
+    rows = _dealt(part.select(key.alias("k"), each), part.count() * len(PIECES))
     return rows.select(F.lit("p").alias("project_id"), F.concat(F.lit("d/"), "k", F.lit("."), F.element_at(F.create_map(*[F.lit(x) for kv in ENDS.items() for x in kv]), F.col("s.language"))).alias("file"), F.col("s.language").alias("language"), F.col("s.text").cast("binary").alias("content"))
 
 
@@ -347,7 +356,9 @@ SELECT p_partkey::VARCHAR AS file, 'C.m' AS qualified_name, 3::BIGINT AS n_param
 UNION ALL SELECT p_partkey::VARCHAR, 'f' || p_type, 2::BIGINT, '', NULL, []::VARCHAR[] FROM part""".replace("\\'", "'"))
 def sql_contracts(spark, d):
     tables.register(spark)
-    rows = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("file"), F.regexp_replace(F.lit(CONTRACT_SOURCE), "@", F.col("p_type")).alias("source"))
+    part = table(spark, d, "part")
+    part = _dealt(part.select("p_partkey", "p_type"), part.count())  # a small table may be one partition
+    rows = part.select(F.col("p_partkey").cast("string").alias("file"), F.regexp_replace(F.lit(CONTRACT_SOURCE), "@", F.col("p_type")).alias("source"))
     return spark.sql("""
         SELECT s.file, x.qualified_name, cast(size(x.parameters) AS bigint) AS n_parameters, array_join(transform(filter(x.parameters, p -> p.default_value IS NOT NULL), p -> p.name || '=' || p.default_value), ',') AS defaults, x.return_type, x.raises
         FROM {rows} s, LATERAL extract_contracts(s.source) x""", rows=rows)

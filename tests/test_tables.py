@@ -33,3 +33,21 @@ def test_contracts(spark):
     assert sorted(got.collect()) == sorted(want.collect()) and got.count() == 2
     whole = spark.sql("SELECT file, qualified_name FROM contracts_of_files(TABLE(SELECT file, cast(source AS binary) AS content FROM {s}))", s=df)
     assert sorted(map(tuple, whole.collect())) == [("a.py", "C.m"), ("a.py", "f")]
+
+
+def test_work_is_dealt_over_tasks(spark, sf_dir, monkeypatch):
+    """Tasks read a bounded number of files, and a small table is not read by one task."""
+    from loomgraph.plans import building
+
+    assert building.sql_contracts(spark, sf_dir).rdd.getNumPartitions() >= 4
+    monkeypatch.setattr(building, "FILES_A_TASK", 100, raising=False)
+    files_ = building._sources(spark, sf_dir)
+    assert files_.rdd.getNumPartitions() >= files_.count() / 100 > 4
+    assert building.sql_contracts(spark, sf_dir).rdd.getNumPartitions() >= 2
+
+
+def test_joins_make_no_table_a_row():
+    from pyspark.util import PythonEvalType
+
+    for f in (tables._rowwise(tables._symbols, tables.SYMBOL), tables._rowwise(tables._calls, tables.CALL), tables._contract_rows()):
+        assert f.evalType == PythonEvalType.SQL_TABLE_UDF
