@@ -67,10 +67,10 @@ def chunks(docs: DataFrame, text: str, more: Callable[[list[str | None]], tuple[
     return stored(docs.mapInArrow(run, schema), "chunks")
 
 
-def range_bits(parts: DataFrame) -> int:
-    """As many leading bits of the keys as there are ranges for this much text."""
+def range_bits(parts: DataFrame, text: int = RANGE_BYTES) -> int:
+    """As many leading bits of the keys as there are ranges for this much text, so many bytes each."""
     size = parts.agg(F.sum("size")).first()[0] or 0
-    return min(40, max(3, math.ceil(math.log2(max(1, size / RANGE_BYTES)))))
+    return min(40, max(3, math.ceil(math.log2(max(1, size / text)))))
 
 
 def cuts(keys: np.ndarray, bits: int) -> list[tuple[int, int, int]]:

@@ -34,6 +34,8 @@ from .exchange import chunks, cuts, from_counts, from_keys, packed_counts, packe
 LEAST, GRAM = 200, 50
 REACH = LEAST - GRAM
 SEGMENT = 1 << 20
+#: Text for each range of anchors: an entry comes every 75 bytes or so, and takes a task some 150 bytes.
+RANGE_TEXT = 48 << 20
 #: Different contexts of an anchor up to which they are sorted together.
 TOGETHER = 20_000
 #: What a chunk learns of an entry: its context occurs again; it is the first entry of that context; it sends its bytes;
@@ -42,6 +44,8 @@ AGAIN, FIRST, SENDS, CROWDED = 1, 2, 4, 8
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Anchors have the smallest hashes, so most would fall into the first ranges; times an odd number they spread evenly, and stay distinct.
+_EVEN = np.uint64(0xD1342543DE82EF95)
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
@@ -143,7 +147,7 @@ def anchored(texts: list[str | None]) -> tuple[bytes, ...]:
     parts = list(anchors_of(raw))
     of, pos, h, lo, hi = (np.concatenate([p[i] for p in parts]) if parts else np.empty(0, np.int64) for i in range(5))
     by = np.lexsort((lo, pos, of))
-    of, pos, h, lo, hi = of[by], pos[by], h[by].astype(np.uint64), lo[by], hi[by]
+    of, pos, h, lo, hi = of[by], pos[by], h[by].astype(np.uint64) * _EVEN, lo[by], hi[by]
     digest = xxhash.xxh3_64_intdigest  # told apart within an anchor's 64 bits; the seed is the place of the anchor
     c = np.fromiter((digest(raw[k][a : b + LEAST], l) for k, a, b, l in zip(of.tolist(), lo.tolist(), hi.tolist(), (pos - lo).tolist(), strict=True)), np.uint64, len(of))
     order = np.lexsort((c, h))
@@ -345,7 +349,7 @@ def removed(row: dict, keep_first: bool) -> tuple[np.ndarray, np.ndarray, np.nda
     verdicts = row["verdicts"] or []
     if verdicts:
         _, first = np.unique(entry, return_index=True)
-        runs = [np.array(x["earlier" if keep_first else "twice"], np.int64).reshape(-1, 2) for x in verdicts]
+        runs = [np.array(x["runs"], np.int64).reshape(-1, 2) for x in verdicts]
         at = np.repeat(first[[x["entry"] for x in verdicts]], [len(x) for x in runs])
         runs = np.concatenate(runs)
         starts.append(pos[at] - runs[:, 1])
@@ -380,13 +384,13 @@ def remove_repeats(docs: DataFrame, keep_first: bool = True, id: str = "doc_id",
     if keep_first:
         base = base.orderBy(F.col("id").asc_nulls_last(), F.md5("text"))
     parts = chunks(base, "text", anchored, (*ENTRIES, *PLACES))
-    codes = compared(parts, range_bits(parts), together)
+    codes = compared(parts, range_bits(parts, RANGE_TEXT), together)
     own = stored(contexts(with_answers(parts, codes)), "repeats")
     verdict = sorted_together(own.where("not crowded").repartition("h").sortWithinPartitions("h", "chunk", "at"))
     if own.where("crowded").limit(1).count():
         verdict = verdict.unionByName(counted_apart(own.where("crowded")))
     verdict = stored(verdict, "repeats")
-    by_chunk = verdict.groupBy("chunk").agg(F.collect_list(F.struct("entry", "twice", "earlier")).alias("verdicts"))  # its entries at most
+    by_chunk = verdict.groupBy("chunk").agg(F.collect_list(F.struct("entry", F.col("earlier" if keep_first else "twice").alias("runs"))).alias("verdicts"))  # its entries at most
     met = with_answers(parts.select("chunk", "id", "text", *PLACES), codes).join(by_chunk, "chunk", "left")
 
     def finish(batch: dict) -> dict:

@@ -105,3 +105,11 @@ def test_empty_table_and_other_columns(spark):
     rows = [(1, "a" * 250, "k", 1, 2), (2, "a" * 250, "k", 1, 2)]
     got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string, key string, raw int, h long"), keep_first=False).collect()
     assert [r.n_removed for r in got] == [250, 250]
+
+
+def test_anchors_spread_evenly_over_ranges():
+    """The task of a range meets its share of the anchors, though anchors have the smallest hashes."""
+    r = random.Random(3)
+    h = np.frombuffer(repeats.anchored(["".join(r.choice("abcdefgh ") for _ in range(200_000))])[0], np.uint64)
+    share = np.bincount((h >> np.uint64(61)).astype(int), minlength=8) / len(h)
+    assert len(h) > 2000 and share.max() < 0.2
