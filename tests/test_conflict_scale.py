@@ -90,3 +90,12 @@ def test_direct_conflicts_shuffle_lists(spark, given, monkeypatch, most_listed,
     assert {(r.task_a, r.task_b): r.symbols for r in df.collect()} == direct
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate explode(others") < plan.index("RepartitionByExpression")  # lists are shuffled, pairs made after
+
+
+@pytest.mark.parametrize("heavy", [100_000, 2])
+def test_direct_conflicts_shuffle_no_pairs(given, monkeypatch, heavy):
+    """What is grouped by the pair is where the lists went."""
+    monkeypatch.setattr(conflicts, "HEAVY", heavy)
+    monkeypatch.setattr(conflicts, "PAIRS", 100)  # several tasks
+    plan = conflicts.direct_conflicts(given[0])._jdf.queryExecution().executedPlan().toString()
+    assert "task_b" in plan and not [x for x in plan.splitlines() if "Exchange" in x and "task_b" in x]
