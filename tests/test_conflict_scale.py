@@ -99,3 +99,30 @@ def test_direct_conflicts_shuffle_no_pairs(given, monkeypatch, heavy):
     monkeypatch.setattr(conflicts, "PAIRS", 100)  # several tasks
     plan = conflicts.direct_conflicts(given[0])._jdf.queryExecution().executedPlan().toString()
     assert "task_b" in plan and not [x for x in plan.splitlines() if "Exchange" in x and "task_b" in x]
+
+
+def test_targets_may_be_rows(spark, given):
+    """Tasks given by distinct (task, symbol) have the same conflicts, and no lists are made of them."""
+    tasks, symbols, (_, dependency, circular, direct), _ = given
+    rows = conflicts.targets(tasks)
+    assert conflicts.targets(rows).columns == ["task", "symbol"]
+    assert {(r.task_a, r.task_b): r.symbols for r in conflicts.direct_conflicts(rows).collect()} == direct
+    got = {r.kind: r.conflicts for r in conflicts.report(rows, symbols).collect()}
+    assert got == {"direct": len(direct), "dependency": len(dependency), "circular": len(circular), "feasible": 0}
+
+
+def test_derived_targets_make_no_lists(spark, sf_dir):
+    from loomgraph.plans import derived
+
+    df = derived.targets(spark, sf_dir)
+    assert "collect_" not in df._jdf.queryExecution().executedPlan().toString()
+    assert df.count() == df.distinct().count() > 0
+
+
+def test_derived_targets_are_dealt_over_tasks(spark, sf_dir, monkeypatch):
+    from loomgraph.plans import derived
+
+    monkeypatch.setattr(derived, "LINES_A_TASK", 100, raising=False)
+    plan = derived.targets(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    lines = derived.table(spark, sf_dir, "lineitem").count()
+    assert "RepartitionByExpression [task" in plan and f", {-(-lines // 100)}" in plan
