@@ -74,9 +74,15 @@ def delete_nodes(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[D
     return nodes.join(ids, "node_id", "left_anti"), left
 
 
+#: Touched nodes among which a task looks for equal ones.
+TOUCHED_A_TASK = 1_000_000
+
+
 def modified_by(nodes: DataFrame, commits: DataFrame, touched: DataFrame) -> DataFrame:
-    """MODIFIED_BY edges from touched (commit_hash, node_ids): both ends must exist."""
-    rows = touched.select("commit_hash", F.explode("node_ids").alias("src_id")).distinct()
+    """MODIFIED_BY edges from touched (commit_hash, node_ids): both ends must exist. A commit may have several rows, with some of its nodes each."""
+    size = touched.agg(F.sum(F.size("node_ids"))).first()[0] or 0
+    rows = touched.select("commit_hash", F.explode("node_ids").alias("src_id"))
+    rows = rows.repartition(max(touched.sparkSession.sparkContext.defaultParallelism, -(-size // TOUCHED_A_TASK)), "commit_hash", "src_id").distinct()
     n = nodes.select(F.col("node_id").alias("src_id"), F.col("label").alias("src_label"), "project_id")
     return rows.join(commits.select("commit_hash"), "commit_hash", "left_semi").join(n, "src_id").select(
         "project_id", "src_id", F.concat(F.lit("Commit:"), "commit_hash").alias("dst_id"), F.lit("MODIFIED_BY").alias("type"), "src_label", F.lit("Commit").alias("dst_label"), F.lit(None).cast("map<string,string>").alias("props")

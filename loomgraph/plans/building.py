@@ -74,7 +74,7 @@ def delete_nodes(spark, d):
 @query("modified_by", """
 SELECT DISTINCT node_id AS src_id, 'Commit:' || l_orderkey AS dst_id, label AS src_label FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN nodes ON node_id = l_partkey::VARCHAR""", True)
 def modified_by(spark, d):
-    touched = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("commit_hash")).agg(F.collect_set(F.col("l_partkey").cast("string")).alias("node_ids"))  # a commit's own lines
+    touched = table(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("commit_hash"), F.array(F.col("l_partkey").cast("string")).alias("node_ids"))  # a row for each of a commit's lines
     commits = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("commit_hash"))
     return incremental.modified_by(derived.graph(spark, d).nodes, commits, touched).select("src_id", "dst_id", "src_label")
 
