@@ -8,15 +8,23 @@ from pyspark.sql import functions as F
 from ..runtime import settled
 
 
-#: Rounds of an iteration between two checkpoints: each refers to the one before twice.
-STRIDE = 2
+#: Rows of a table up to which joins may send it to all tasks by way of the driver. Files of names shrink so much that their size says little.
+FEW = 100_000
+
+
+def _large(df: DataFrame) -> DataFrame:
+    """A table to join with, which is shuffled if it has more than a few rows."""
+    return df.hint("merge") if df.count() > FEW else df
 
 
 def _trim(e: DataFrame) -> DataFrame:
-    """Drops edges of nodes without a predecessor or successor, a few layers of them: they are on no cycle."""
-    for _ in range(STRIDE):
-        e = e.join(e.select(F.col("v").alias("u")).distinct(), "u", "left_semi").join(e.select(F.col("u").alias("v")).distinct(), "v", "left_semi").select("u", "v")
-    return settled(e)
+    """Drops edges of nodes without a predecessor or successor, a layer of them: they are on no cycle.
+
+    Edges are counted by their ends and left where they are; only the nodes to drop, few as a rule, are joined with them.
+    """
+    outs, ins = (e.groupBy(F.col(c).alias("n")).agg(F.lit(1).alias(c)) for c in "uv")
+    ends = settled(outs.join(ins, "n", "full").where("u is null or v is null").select("n"))
+    return settled(_without(e, _large(ends))) if ends.limit(1).count() else e
 
 
 def chains(e: DataFrame, keep: DataFrame | None = None) -> tuple[DataFrame | None, DataFrame | None]:
@@ -59,17 +67,22 @@ def contracted(e: DataFrame, links: DataFrame) -> DataFrame:
     return settled(_without(e, links).unionByName(links.select("u", "v").where("u <> v")).distinct())
 
 
-def _spread(e: DataFrame, labels: DataFrame) -> DataFrame:
-    """Smallest label that reaches each node along the edges (u, v); labels (n, l)."""
-    while True:
-        new = labels
-        for _ in range(STRIDE):
-            sent = e.join(new.select(F.col("n").alias("u"), F.col("l").alias("m")), "u").select(F.col("v").alias("n"), F.col("m").alias("l"))
-            new = sent.unionAll(new.select("n", "l")).groupBy("n").agg(F.min("l").alias("l"))
-        new = settled(new.join(labels.select("n", F.col("l").alias("was")), "n").select("n", "l", (F.col("l") < F.col("was")).alias("changed")))
-        if not new.where("changed").limit(1).count():
-            return new.select("n", "l")
-        labels = new.select("n", "l")
+def _reached(e: DataFrame, labels: DataFrame) -> DataFrame:
+    """(n, l): the smallest label that reaches each node along the edges (u, v); labels (n, l) of the nodes to start from.
+
+    Nodes whose label fell hand it on in the next round, and no others do.
+    """
+    new = labels = settled(labels.select("n", "l"))
+    while new.limit(1).count():
+        sent = e.join(_large(new).select(F.col("n").alias("u"), "l"), "u").groupBy(F.col("v").alias("n")).agg(F.min("l").alias("m"))
+        new = settled(sent.join(_large(labels), "n", "left").where("l is null or m < l").select("n", F.col("m").alias("l")))
+        labels = settled(labels.join(_large(new).select("n"), "n", "left_anti").unionByName(new))
+    return labels
+
+
+def _first(e: DataFrame) -> DataFrame:
+    """(n, l): the nodes without a smaller predecessor, labelled by themselves. What another one reaches, a smaller one reaches as well."""
+    return e.groupBy(F.col("u").alias("n")).agg(F.lit(1)).select("n").join(e.where("u < v").select(F.col("v").alias("n")).distinct(), "n", "left_anti").select("n", F.col("n").alias("l"))
 
 
 def scc(edges: DataFrame) -> DataFrame:
@@ -97,15 +110,13 @@ def scc(edges: DataFrame) -> DataFrame:
             n = m
         if not n:
             break
-        nodes = e.select(F.explode(F.array("u", "v")).alias("n")).distinct()
-        colour = _spread(e, nodes.select("n", F.col("n").alias("l")))
+        colour = _large(_reached(e, _first(e)))  # all nodes have successors, since ends are trimmed
         a, b = colour.select(F.col("n").alias("u"), F.col("l").alias("lu")), colour.select(F.col("n").alias("v"), F.col("l").alias("lv"))
         inside = settled(e.join(a, "u").join(b, "v").where("lu = lv").select("u", "v"))
-        back = _spread(inside.select(F.col("v").alias("u"), F.col("u").alias("v")), nodes.select("n", F.col("n").alias("l")))
-        # Within a colour the root is the smallest id, so whoever reaches the root gets its id.
-        own = settled(colour.join(back.select("n", F.col("l").alias("r")), "n").where("l = r").select("n", F.col("l").alias("k")))
+        # Roots keep their own label. What reaches a root within its colour is on a cycle with it.
+        own = _reached(inside.select(F.col("v").alias("u"), F.col("u").alias("v")), colour.where("n = l")).select("n", F.col("l").alias("k"))
         found = add(own)
-        e = settled(_without(e, own))
+        e = settled(_without(e, _large(own)))
     if found is None:
         return edges.limit(0).select(F.col("src_id").alias("node_id"), F.col("src_id").alias("component"))
     sizes = found.groupBy("k").agg(F.count(F.lit(1)).alias("c")).where("c > 1")

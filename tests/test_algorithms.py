@@ -352,3 +352,14 @@ def test_many_tasks_on_one_target(spark, monkeypatch):
     got = conflicts.phases(df)
     assert got.where("phase <> id + 1").count() == 0 and got.count() == n
     assert len(rounds) < 100, len(rounds)
+
+
+def test_fronts_alone_hand_on_labels(spark, monkeypatch):
+    """Each node starts from a smaller predecessor's label if it has one, and only nodes whose label fell are joined with the edges."""
+    starts, n = [], 60
+    keep = algorithms._reached
+    monkeypatch.setattr(algorithms, "_reached", lambda e, labels: starts.append(labels.count()) or keep(e, labels), raising=False)
+    edges = [(f"{i:03d}", f"{(i + d) % n:03d}") for i in range(n) for d in (1, 2, 7, 19)]
+    got = algorithms.scc(spark.createDataFrame(edges, "src_id string, dst_id string")).collect()
+    assert {r.component for r in got} == {"000"} and len(got) == n
+    assert starts == [1, 1]
