@@ -133,7 +133,7 @@ def scc(edges: DataFrame) -> DataFrame:
 
 def cycle_groups(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(representative, members, size): members sorted; edges to unknown nodes don't count."""
-    ids = nodes.select("node_id")
+    ids = _large(nodes.select("node_id"))
     known = edges.join(ids, edges.src_id == ids.node_id, "left_semi").join(ids, edges.dst_id == ids.node_id, "left_semi")
     return scc(known).groupBy(F.col("component").alias("representative")).agg(F.array_sort(F.collect_list("node_id")).alias("members"), F.count(F.lit(1)).alias("size"))
 

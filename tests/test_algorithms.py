@@ -363,3 +363,15 @@ def test_fronts_alone_hand_on_labels(spark, monkeypatch):
     got = algorithms.scc(spark.createDataFrame(edges, "src_id string, dst_id string")).collect()
     assert {r.component for r in got} == {"000"} and len(got) == n
     assert starts == [1, 1]
+
+
+def test_large_tables_are_not_sent_by_way_of_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(algorithms, "FEW", 10, raising=False)
+    nodes = spark.range(50).selectExpr("CAST(id AS string) AS node_id")
+    edges = spark.range(50).selectExpr("CAST(id AS string) AS src_id", "CAST((id + 1) % 50 AS string) AS dst_id")
+    seen = []
+    keep = algorithms.scc
+    monkeypatch.setattr(algorithms, "scc", lambda known: seen.append(known) or keep(known))
+    got = algorithms.cycle_groups(nodes, edges).collect()
+    assert [(r.representative, r.size) for r in got] == [("0", 50)]
+    assert "Broadcast" not in seen[0]._jdf.queryExecution().executedPlan().toString()
