@@ -126,3 +126,23 @@ def test_derived_targets_are_dealt_over_tasks(spark, sf_dir, monkeypatch):
     plan = derived.targets(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     lines = derived.table(spark, sf_dir, "lineitem").count()
     assert "RepartitionByExpression [task" in plan and f", {-(-lines // 100)}" in plan
+
+
+def test_names_of_targets_need_no_tasks(spark, sf_dir, monkeypatch):
+    """What is wanted comes from the lines' keys; tasks are paired with targets once."""
+    from loomgraph.plans import catalog, derived
+
+    asked, keep = [], derived.targets
+    monkeypatch.setattr(derived, "targets", lambda *a: asked.append(a) or keep(*a))
+    catalog.QUERIES["conflicts_circular"](spark, sf_dir)
+    assert len(asked) == 1
+    names = derived.wanted(spark, sf_dir)
+    assert "l_suppkey" not in names._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.name for r in names.collect()) == sorted(r.symbol for r in keep(spark, sf_dir).select("symbol").distinct().collect())
+
+
+def test_circular_knows_the_size_of_tasks_files(given):
+    tasks, symbols, (_, _, circular, _), held = given
+    names, deps = conflicts.file_closure(symbols, conflicts.targets(tasks).selectExpr("symbol AS name"))
+    assert {r.task: r.symbols for r in conflicts.circular(tasks, names, deps).collect()} == circular
+    assert ["task", "file"] in [x.columns for x in held]
