@@ -146,3 +146,16 @@ def test_circular_knows_the_size_of_tasks_files(given):
     names, deps = conflicts.file_closure(symbols, conflicts.targets(tasks).selectExpr("symbol AS name"))
     assert {r.task: r.symbols for r in conflicts.circular(tasks, names, deps).collect()} == circular
     assert ["task", "file"] in [x.columns for x in held]
+
+
+@pytest.mark.parametrize("bits", [63, 1])
+def test_dependency_conflicts_meet_by_bits(given, monkeypatch, bits):
+    """Names are not gathered for each class that meets a task, but for tasks of more files than bits."""
+    tasks, symbols, (_, dependency, *_), _ = given
+    monkeypatch.setattr(conflicts, "BITS", bits, raising=False)
+    names, deps = conflicts.file_closure(symbols, conflicts.targets(tasks).selectExpr("symbol AS name"))
+    df = conflicts.dependency_conflicts(tasks, names, deps)
+    assert {(r.task_a, r.task_b): r.symbols for r in df.collect()} == dependency
+    assert ("collect_set" in df._jdf.queryExecution().executedPlan().toString()) == (bits == 1)
+    joined = conflicts.dependency_conflicts(tasks, names, deps, separator=",").collect()
+    assert {(r.task_a, r.task_b): r.symbols for r in joined} == {k: ",".join(v) for k, v in dependency.items()}
