@@ -127,7 +127,8 @@ def _dealt(rows: DataFrame, n: int) -> DataFrame:
 # Sources: a file for each part, of three pieces; which of its three forms a piece has goes by the part's size, key and type, and its names hold the part's key, name and type.
 def _sources(spark: SparkSession, d: str) -> DataFrame:
     """(project_id, file, language, content) of all languages, a file for each part and language."""
-    part = table(spark, d, "part")
+    part = table(spark, d, "part").select("p_partkey", "p_name", "p_type", "p_size")
+    part = _dealt(part, part.count() * len(PIECES))  # the texts are made by the tasks that read them
     key, name, kind = F.col("p_partkey").cast("string"), F.replace(F.col("p_name"), F.lit(" "), F.lit("_")), F.lower("p_type")
     chosen = [F.col("p_size") % 3, F.col("p_partkey") % 3, F.length("p_type") % 3]
 
@@ -136,7 +137,7 @@ def _sources(spark: SparkSession, d: str) -> DataFrame:
         return F.replace(F.replace(F.replace(F.concat(*forms), F.lit("§"), key), F.lit("¤"), name), F.lit("¥"), kind)
 
     each = F.explode(F.array(*[F.struct(F.lit(x).alias("language"), text(x).alias("text")) for x in PIECES])).alias("s")
-    rows = _dealt(part.select(key.alias("k"), each), part.count() * len(PIECES))
+    rows = part.select(key.alias("k"), each)
     return rows.select(F.lit("p").alias("project_id"), F.concat(F.lit("d/"), "k", F.lit("."), F.element_at(F.create_map(*[F.lit(x) for kv in ENDS.items() for x in kv]), F.col("s.language"))).alias("file"), F.col("s.language").alias("language"), F.col("s.text").cast("binary").alias("content"))
 
 

@@ -51,3 +51,11 @@ def test_joins_make_no_table_a_row():
 
     for f in (tables._rowwise(tables._symbols, tables.SYMBOL), tables._rowwise(tables._calls, tables.CALL), tables._contract_rows()):
         assert f.evalType == PythonEvalType.SQL_TABLE_UDF
+
+
+def test_texts_are_made_after_the_deal(spark, sf_dir):
+    """One task may read a small table whole; it makes no texts of files."""
+    from loomgraph.plans import building
+
+    plan = building._sources(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 <= plan.index("Generate explode") < plan.index("Repartition")
