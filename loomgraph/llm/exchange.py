@@ -24,6 +24,8 @@ from .common import _arrow_schema, bounded_batches, stored
 
 #: Texts of a chunk, and of the corpus for each range of keys.
 CHUNK_BYTES, CHUNK_ROWS, RANGE_BYTES = 3 << 20, 1 << 14, 6 << 20
+#: Chunks that a reader decodes at once.
+CHUNKS_AT_ONCE = 2
 
 
 def chunks(docs: DataFrame, text: str, more: Callable[[list[str | None]], tuple[bytes, ...]] | None = None, names: tuple[str, ...] = ()) -> DataFrame:
@@ -64,7 +66,7 @@ def chunks(docs: DataFrame, text: str, more: Callable[[list[str | None]], tuple[
         if held:
             yield packed(held, size, made)
 
-    return stored(docs.mapInArrow(run, schema), "chunks")
+    return stored(docs.mapInArrow(run, schema), "chunks", CHUNKS_AT_ONCE)
 
 
 def range_bits(parts: DataFrame, text: int = RANGE_BYTES) -> int:

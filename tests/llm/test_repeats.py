@@ -113,3 +113,29 @@ def test_anchors_spread_evenly_over_ranges():
     h = np.frombuffer(repeats.anchored(["".join(r.choice("abcdefgh ") for _ in range(200_000))])[0], np.uint64)
     share = np.bincount((h >> np.uint64(61)).astype(int), minlength=8) / len(h)
     assert len(h) > 2000 and share.max() < 0.2
+
+
+def row_groups(df):
+    import pyarrow.parquet as pq
+
+    files = [pq.ParquetFile(x.removeprefix("file://").removeprefix("file:")).metadata for x in df.inputFiles()]
+    return [f.row_group(k).num_rows for f in files for k in range(f.num_row_groups)]
+
+
+def test_readers_decode_few_chunks_at_once(spark, monkeypatch):
+    """However well texts compress, a row group of chunks has few of them: readers decode a group's rows together."""
+    from loomgraph.llm import exchange
+
+    monkeypatch.setattr(exchange, "CHUNK_ROWS", 1)
+    docs = spark.range(30).selectExpr("id AS doc_id", "repeat('same ', 100) AS text").coalesce(1)
+    groups = row_groups(exchange.chunks(docs, "text"))
+    assert sum(groups) == 30 and max(groups) <= 2
+
+
+def test_row_groups_of_large_rows_are_small(spark):
+    """The size of a row group counts from its first row, not from the hundredth."""
+    from loomgraph.llm.common import stored
+
+    df = spark.range(60).selectExpr("id", "array_join(transform(sequence(1, 10000), x -> sha2(concat(id, ' ', x), 256)), '') AS text").coalesce(1)
+    groups = row_groups(stored(df, "large"))
+    assert sum(groups) == 60 and max(groups) < 40
