@@ -159,3 +159,37 @@ def test_dependency_conflicts_meet_by_bits(given, monkeypatch, bits):
     assert ("collect_set" in df._jdf.queryExecution().executedPlan().toString()) == (bits == 1)
     joined = conflicts.dependency_conflicts(tasks, names, deps, separator=",").collect()
     assert {(r.task_a, r.task_b): r.symbols for r in joined} == {k: ",".join(v) for k, v in dependency.items()}
+
+
+@pytest.mark.parametrize(("at_once", "dealt", "together"), [(250_000, 25_600, 512), (10, 3, 2)])
+def test_classes_and_tasks_are_not_shuffled(spark, given, monkeypatch, at_once, dealt, together):
+    """What is made of a class and a task stays where it is, also where Spark would broadcast nothing; classes come in blocks."""
+    tasks, symbols, (_, dependency, circular, direct), _ = given
+    for k, v in {"AT_ONCE": at_once, "DEALT": dealt, "TOGETHER": together}.items():
+        monkeypatch.setattr(conflicts, k, v, raising=False)
+    monkeypatch.setattr(conflicts, "PAIRS", 100)  # several parts
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        names, deps = conflicts.file_closure(symbols, conflicts.targets(tasks).selectExpr("symbol AS name"))
+        df = conflicts.dependency_conflicts(tasks, names, deps)
+        got = df.collect()
+        counts = {r.kind: r.conflicts for r in conflicts.report(tasks, symbols).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {(r.task_a, r.task_b): r.symbols for r in got} == dependency and len(got) == len(dependency)
+    assert counts == {"direct": len(direct), "dependency": len(dependency), "circular": len(circular), "feasible": 0}
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    plan = plan[: plan.find("== Initial Plan ==")] if "== Initial Plan ==" in plan else plan
+    assert not [x for x in plan.splitlines() if " Exchange " in f" {x.lstrip(' :+-')}" and "class" in x and "task_b" in x]
+    assert not [x for x in plan.splitlines() if "Exchange hashpartitioning(class" in x or "Exchange hashpartitioning(file" in x] or at_once == 10
+    assert "SortMergeJoin" not in plan or at_once == 10
+
+
+def test_pairs_follow_lists(given, monkeypatch):
+    """In a part the same task_a follow each other for one task_b after another: their column repeats, and files stay small."""
+    tasks, symbols, *_ = given
+    monkeypatch.setattr(conflicts, "TOGETHER", 4, raising=False)
+    names, deps = conflicts.file_closure(symbols, conflicts.targets(tasks).selectExpr("symbol AS name"))
+    rows = [(r.task_a, r.task_b) for r in conflicts.dependency_conflicts(tasks, names, deps).collect()]
+    ends = sum(abs(i - k) > 12 for i, k in itertools.pairwise(at for a in range(5, 55) for at, r in enumerate(rows) if r[0] == a))
+    assert ends < len(rows) / 8
